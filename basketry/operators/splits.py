@@ -114,7 +114,7 @@ def flat_columns(df: DataFrame, fields: list[str]) -> DataFrame:
     keep = [c for c in df.columns if c not in ("input", "target")]
     return df.select(
         *keep,
-        *[F.transform("input", lambda x, f=f: x[f]).alias(f"input_{_short(f)}_seq") for f in fields],
+        *[F.col("input")[f].alias(f"input_{_short(f)}_seq") for f in fields],
         *[F.array(F.col("target")[f]).alias(f"gt_{_short(f)}") for f in fields],
     )
 

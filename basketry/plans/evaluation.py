@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import splits
-from basketry.operators.metricspec import ERROR, LOSS, RANKING, Metric, metric
+from basketry.operators.metricspec import ERROR, LOSS, RANKING, Metric, check_compatible, metric
 from basketry.operators.errors import error_metrics
 from basketry.operators.predict import next_item_topn
 from basketry.operators.ranking import ranking_metrics
+from basketry.storage import pin
 
 GROUP = ["task", "template_id"]
 
@@ -18,9 +19,11 @@ def next_item_predictions(interactions: DataFrame, n: int = 10, split: str = "te
     """preds and truths of the next-item predictor for each user of a split.
 
     ``interactions`` must carry ``next_item`` (see ``number_rows(lead=...)``).  The
-    predictor learns only from pairs whose both ends lie in the split's input.
+    predictor learns only from pairs whose both ends lie in the split's input.  The
+    split is read three times (pairs, popularity, last items), so it is pinned.
     """
-    rows = interactions.filter(splits.in_split(split))
+    wanted = interactions.filter(splits.in_split(split))
+    rows = pin(wanted.select("user_id", "pos", "n", "item_id", "next_item"), "followed")
     size = splits.split_size(split)
     learn = rows.withColumn(
         "next_item", F.when(F.col("pos") < size - 2, F.col("next_item"))
@@ -60,8 +63,6 @@ def evaluate(
     a mismatch fails before any job runs.  ``losses`` has one row per batch and is
     needed when a task asks for Loss.
     """
-    from basketry.operators.metricspec import check_compatible
-
     for task, metrics in tasks.items():
         check_compatible(task, families[task], metrics)
     parts = []
