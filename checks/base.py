@@ -107,3 +107,15 @@ def followed(spark, folder):
 
 def big(name: str):
     return F.col(name).cast("bigint").alias(name)
+
+
+def rounded(what, columns: list[str] | None = None, digits: int = 6):
+    """Round a query's DOUBLE columns: a DataFrame, or SQL text with the column names.
+
+    Sums of doubles depend on the order of addition in their last bits.
+    """
+    if columns is None:
+        doubles = [c for c, t in what.dtypes if t == "double"]
+        return what.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles})
+    replaced = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({replaced}) FROM ({what})"

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from checks.base import followed, next_item_ctes, query, with_ctes
+from checks.base import followed, next_item_ctes, query, rounded, with_ctes
 from basketry.plans.evaluation import flagship, next_item_predictions
 from pyspark.sql import functions as F
 
@@ -34,17 +34,20 @@ HITS = """hits AS (
 
 
 @query(
-    with_ctes(
-        *next_item_ctes(),
-        HITS,
-        *metric_sql(5),
-        *metric_sql(10),
-        f"""SELECT 'next_item' AS task, (SELECT count(*) FROM last_bought) AS n_rows,
-        {metric_columns(5)}, {metric_columns(10)}""",
+    rounded(
+        with_ctes(
+            *next_item_ctes(),
+            HITS,
+            *metric_sql(5),
+            *metric_sql(10),
+            f"""SELECT 'next_item' AS task, (SELECT count(*) FROM last_bought) AS n_rows,
+            {metric_columns(5)}, {metric_columns(10)}""",
+        ),
+        [f"{m}@{k}" for k in (5, 10) for m in ("Hit", "MAP", "MRR", "NDCG")],
     )
 )
 def next_item_metrics(spark, folder):
-    return flagship(followed(spark, folder))
+    return rounded(flagship(followed(spark, folder)))
 
 
 @query(

@@ -14,7 +14,18 @@ from basketry.plans import prompts as pr
 from basketry.plans import templates as tpl
 from basketry.sources import retail
 from basketry.storage import pin
-from checks.base import HISTORY, ITEMS, SEED, USERS, draw_sql, history, query, text_sql, with_ctes
+from checks.base import (
+    HISTORY,
+    ITEMS,
+    SEED,
+    USERS,
+    draw_sql,
+    history,
+    query,
+    rounded,
+    text_sql,
+    with_ctes,
+)
 from checks.prompts import (
     CONSTS,
     EPOCHS,
@@ -381,21 +392,26 @@ def yes_no_label(spark, folder):
 
 
 @query(
-    with_ctes(
-        HISTORY,
-        """SELECT user_id, sum(rating) / count(*)::DOUBLE AS avg_rating, sum(rating)::BIGINT AS total,
+    rounded(
+        with_ctes(
+            HISTORY,
+            """SELECT user_id, sum(rating) / count(*)::DOUBLE AS avg_rating, sum(rating)::BIGINT AS total,
           printf('%.2f', sum(rating) / count(*)::DOUBLE) AS avg_text
         FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id""",
+        ),
+        ["avg_rating"],
     )
 )
 def user_avg_rating(spark, folder):
     rows = splits.split_rows(history(spark, folder), "test").filter(F.col("part") == "input")
     sums = rows.groupBy("user_id").agg(F.sum("rating").alias("total"), F.count(F.lit(1)).alias("rows"))
-    return sums.select(
-        "user_id",
-        (F.col("total") / F.col("rows")).alias("avg_rating"),
-        "total",
-        text.two_decimals(F.col("total"), F.col("rows")).alias("avg_text"),
+    return rounded(
+        sums.select(
+            "user_id",
+            (F.col("total") / F.col("rows")).alias("avg_rating"),
+            "total",
+            text.two_decimals(F.col("total"), F.col("rows")).alias("avg_text"),
+        )
     )
 
 
