@@ -1,4 +1,4 @@
 """Imports every query module, so that they register."""
 
-from checks import flagship, history, metrics, prompts, sampling  # noqa: F401
+from checks import flagship, history, metrics, prompts, sampling, tokens  # noqa: F401
 from checks.base import ORACLES, QUERIES  # noqa: F401
