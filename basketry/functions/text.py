@@ -19,6 +19,14 @@ def fill(template: str, slots: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A column used inside a lambda would otherwise be computed for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slot_names(template: str) -> list[str]:
     return [slot for _, slot, _, _ in string.Formatter().parse(template) if slot]
 

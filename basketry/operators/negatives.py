@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketry.functions import draws
+from basketry.functions.text import let
 from basketry.operators.numbering import dense_index
+from basketry.storage import BROADCAST_ROWS, pin
 
 # steps of one task when the walk of a long history is spread
 WALK_BLOCK = 4096
@@ -45,19 +47,23 @@ def catalog(items: DataFrame, order: str) -> Catalog:
     return Catalog(dense_index(items, [order], "item_idx"), size, next_prime(size))
 
 
-def walk_step(cat: Catalog, j: Column, *parts) -> Column:
-    """Item index (or a value >= size) at step j."""
+def walk_start(cat: Catalog, *parts) -> tuple[Column, Column]:
+    """The drawn a and b of a row."""
     a = draws.pick(cat.prime - 1, *parts, "a") + 1
     b = draws.pick(cat.prime, *parts, "b")
-    return (a * j + b) % cat.prime
+    return a, b
 
 
 def negative_indexes(cat: Catalog, excluded: Column, n: int, *parts) -> Column:
     """First n item indexes of the walk outside ``excluded`` (an array), in walk order."""
+    a, b = walk_start(cat, *parts)
     steps = F.least(F.size(excluded) + (n + cat.prime - cat.size), F.lit(cat.prime))
-    walk = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint") - 1),
-        lambda j: walk_step(cat, j, *parts),
+    walk = let(
+        F.struct(a.alias("a"), b.alias("b")),
+        lambda ab: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint") - 1),
+            lambda j: (ab["a"] * j + ab["b"]) % cat.prime,
+        ),
     )
     inside = F.filter(walk, lambda c: c < cat.size)
     return F.slice(F.array_except(inside, excluded), 1, n)
@@ -76,16 +82,19 @@ def negatives_by_join(
     steps = F.least(
         F.coalesce("n_excluded", F.lit(0)) + (n + cat.prime - cat.size), F.lit(cat.prime)
     ).cast("bigint")
+    a, b = walk_start(cat, *parts)
     blocks = (
-        rows.join(sizes, keys, "left")
+        rows.select(*keys, a.alias("a"), b.alias("b"))
+        .join(sizes, keys, "left")
         .withColumn("steps", steps)
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(steps - 1) div {WALK_BLOCK}"))))
     )
     spread = blocks.repartition(*keys, "block")
     first = F.col("block") * WALK_BLOCK
     last = F.least(first + WALK_BLOCK, F.col("steps")) - 1
-    walked = spread.select(*rows.columns, F.explode(F.sequence(first, last)).alias("step"))
-    candidates = walked.withColumn("item_idx", walk_step(cat, F.col("step"), *parts)).filter(
+    walked = spread.select(*keys, "a", "b", F.explode(F.sequence(first, last)).alias("step"))
+    at = (F.col("a") * F.col("step") + F.col("b")) % cat.prime
+    candidates = walked.select(*keys, "step", at.alias("item_idx")).filter(
         F.col("item_idx") < cat.size
     )
     free = candidates.join(excluded, [*keys, "item_idx"], "left_anti")
@@ -103,26 +112,52 @@ def look_up(rows: DataFrame, indexes: str, cat: Catalog, keys: list[str], fields
     return exploded.join(cat.items.select("item_idx", *fields), "item_idx")
 
 
-def candidate_lists(
+def fields_by_index(cat: Catalog, field: str) -> Column:
+    """All values of a field in index order as one array: a scalar subquery.
+
+    Only for a catalog within the broadcast limit.
+    """
+    if cat.size > BROADCAST_ROWS:
+        raise ValueError("the catalog is too large for one array")
+    packed = F.array_sort(F.collect_list(F.struct("item_idx", field)))
+    return cat.items.agg(packed[field].alias(field)).scalar()
+
+
+def add_candidates(
     rows: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, outside_history: bool
 ) -> DataFrame:
-    """(user_id, epoch, candidates): n negatives and the target, shuffled.
+    """Add ``candidates``: n negatives and the target, shuffled.
 
     ``outside_history`` excludes the input items too.  A row whose pool is smaller
-    than n is left out (see :func:`short_pools`).
+    than n is left out (see :func:`short_pools`).  A catalog within the broadcast
+    limit is looked up in place, without a shuffle; a larger one is joined.
     """
     keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
-    drawn = rows.select(
-        *keys,
-        F.col("target.item_id").alias("target_item"),
-        negative_indexes(cat, excluded_indexes(outside_history), n, *parts).alias("negatives"),
-    ).filter(F.size("negatives") == n)
-    negatives = look_up(drawn, "negatives", cat, keys, ["item_id"]).select(*keys, "item_id")
-    shown = negatives.unionByName(drawn.select(*keys, F.col("target_item").alias("item_id")))
-    order = draws.draw(*parts, F.concat(F.lit("shuffle/"), F.col("item_id")))
-    packed = F.array_sort(F.collect_list(F.struct(order.alias("draw"), "item_id")))  # n + 1 items
-    return shown.groupBy(*keys).agg(packed["item_id"].alias("candidates"))
+    negatives = negative_indexes(cat, excluded_indexes(outside_history), n, *parts)
+    drawn = rows.withColumn("negatives", negatives).filter(F.size("negatives") == n)
+
+    def order(item: Column) -> Column:
+        return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
+
+    if cat.size <= BROADCAST_ROWS:
+        # the projections collapse, so the array is one shared value, not a row column
+        listed = drawn.withColumn("ids", fields_by_index(cat, "item_id"))
+        found = F.transform("negatives", lambda i: F.get(F.col("ids"), i.cast("int")))
+        shown = F.transform(
+            F.array_append(found, F.col("target.item_id")),
+            lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")),
+        )
+        mixed = F.array_sort(shown)["item_id"]
+        return listed.withColumn("candidates", mixed).drop("negatives", "ids")
+    drawn = pin(drawn, "drawn")
+    found = look_up(drawn, "negatives", cat, keys, ["item_id"]).select(*keys, "item_id")
+    shown = found.unionByName(drawn.select(*keys, F.col("target.item_id").alias("item_id")))
+    packed = F.array_sort(
+        F.collect_list(F.struct(order(F.col("item_id")).alias("draw"), "item_id"))
+    )  # n + 1 items
+    lists = shown.groupBy(*keys).agg(packed["item_id"].alias("candidates"))
+    return drawn.drop("negatives").join(lists, keys)
 
 
 def excluded_indexes(outside_history: bool) -> Column:
@@ -135,11 +170,15 @@ def short_pools(rows: DataFrame, cat: Catalog, n: int, outside_history: bool) ->
     return rows.filter(cat.size - F.size(excluded_indexes(outside_history)) < n)
 
 
-def one_negative(rows: DataFrame, cat: Catalog, seed: int, purpose: str) -> DataFrame:
-    """(user_id, epoch, item_id, title) of one random item that is not the target."""
-    keys = ["user_id", "epoch"]
+def add_other_item(rows: DataFrame, cat: Catalog, seed: int, purpose: str) -> DataFrame:
+    """Add ``other_item`` and ``other_title`` of one random item that is not the target."""
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
-    drawn = rows.select(
-        *keys, F.get(negative_indexes(cat, excluded_indexes(False), 1, *parts), F.lit(0)).alias("item_idx")
+    drawn = negative_indexes(cat, excluded_indexes(False), 1, *parts)
+    found = rows.withColumn("other_idx", F.get(drawn, F.lit(0)))
+    # no hint: Spark broadcasts the catalog below its size threshold
+    fields = cat.items.select(
+        F.col("item_idx").alias("other_idx"),
+        F.col("item_id").alias("other_item"),
+        F.col("title").alias("other_title"),
     )
-    return drawn.join(cat.items.select("item_idx", "item_id", "title"), "item_idx").drop("item_idx")
+    return found.join(fields, "other_idx").drop("other_idx")

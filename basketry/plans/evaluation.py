@@ -16,7 +16,7 @@ GROUP = ["task", "template_id"]
 
 
 def next_item_predictions(interactions: DataFrame, n: int = 10, split: str = "test") -> DataFrame:
-    """preds and truths of the next-item predictor for each user of a split.
+    """preds, truths and last input item of the next-item predictor per user of a split.
 
     ``interactions`` must carry ``next_item`` (see ``number_rows(lead=...)``).  The
     predictor learns only from pairs whose both ends lie in the split's input.  The
@@ -31,7 +31,8 @@ def next_item_predictions(interactions: DataFrame, n: int = 10, split: str = "te
     last = rows.filter(F.col("pos") == size - 2).select(
         "user_id", "item_id", F.array("next_item").alias("truths")
     )
-    return next_item_topn(learn, last, n).select("user_id", "preds", "truths")
+    out = next_item_topn(learn, last, n)
+    return out.select("user_id", F.col("item_id").alias("last_item"), "preds", "truths")
 
 
 def flagship(interactions: DataFrame, cutoffs=(5, 10)) -> DataFrame:

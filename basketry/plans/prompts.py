@@ -137,12 +137,15 @@ def sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     out = rendered(rows, s, ["inference"], slots, target)
     if not s.training:
         return out
-    lists = neg.candidate_lists(ex, s.catalog, FEW, s.seed, f"{s.task}/candidates", False)
-    qa = with_template(ex.withColumn("picked", picked).join(lists, KEYS), s, "qa")
+    qa = with_template(with_candidates(ex, s, FEW, False).withColumn("picked", picked), s, "qa")
     qa_rows = rendered(qa, s, ["qa"], slots | {"candidates": bullet_slot(s)}, None)
     return out.unionByName(qa_rows).unionByName(pair_prompts(ex, s))
 
 
+def with_candidates(ex: DataFrame, s: Setup, n: int, outside_history: bool) -> DataFrame:
+    return neg.add_candidates(ex, s.catalog, n, s.seed, f"{s.task}/candidates", outside_history)
+
+
 def bullet_slot(s: Setup) -> Column:
     marker = F.when(s.coin("bullet"), F.lit("* ")).otherwise(F.lit("- "))
     return text.bullets(F.col("candidates"), marker)
@@ -184,8 +187,7 @@ def direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     out = rendered(rows, s, ["inference"], slots(rows), target)
     if not s.training:
         return out
-    lists = neg.candidate_lists(ex, s.catalog, FEW, s.seed, f"{s.task}/candidates", False)
-    qa = with_template(ex.withColumn("liked", liked).join(lists, KEYS), s, "qa")
+    qa = with_template(with_candidates(ex, s, FEW, False).withColumn("liked", liked), s, "qa")
     return out.unionByName(
         rendered(qa, s, ["qa"], slots(qa) | {"candidates": bullet_slot(s)}, None)
     )
@@ -225,8 +227,7 @@ def p5_sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     out = rendered(rows, s, ["inference"], slots, target)
     if not s.training:
         return out
-    lists = neg.candidate_lists(ex, s.catalog, MANY, s.seed, f"{s.task}/candidates", True)
-    qa = with_template(ex.join(lists, KEYS), s, "qa")
+    qa = with_template(with_candidates(ex, s, MANY, True), s, "qa")
     candidates = text.joined(F.col("candidates"), " , ", " -> ", separator)
     qa_rows = rendered(qa, s, ["qa"], slots | {"candidates": candidates}, None)
     pair = with_template(with_shown(ex, s), s, "pair")
@@ -236,10 +237,8 @@ def p5_sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
 
 def with_shown(ex: DataFrame, s: Setup) -> DataFrame:
     """Add the item shown in a yes/no question: the target or one other item, by coin."""
-    other = neg.one_negative(ex, s.catalog, s.seed, f"{s.task}/other").select(
-        *KEYS, F.col("item_id").alias("other_item"), F.col("title").alias("other_title")
-    )
-    return ex.join(other, KEYS).withColumn("is_true", draws.coin(*s.parts("shown")))
+    both = neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other")
+    return both.withColumn("is_true", draws.coin(*s.parts("shown")))
 
 
 def shown_slots() -> dict[str, Column]:
@@ -251,8 +250,7 @@ def shown_slots() -> dict[str, Column]:
 
 def p5_direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     """Choose among the target and 99 other items; training adds a yes/no question."""
-    lists = neg.candidate_lists(ex, s.catalog, MANY, s.seed, f"{s.task}/candidates", True)
-    rows = with_template(ex.join(lists, KEYS), s, "inference")
+    rows = with_template(with_candidates(ex, s, MANY, True), s, "inference")
     target = F.col("target.item_id")
     slots = user_slots(rows) | {
         "candidates": F.array_join("candidates", " , "),

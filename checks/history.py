@@ -10,7 +10,7 @@ from basketry.operators import splits
 from basketry.operators.numbering import dense_index, number_rows
 from basketry.operators.predict import item_popularity
 from basketry.sources import layout, raw, retail
-from basketry.storage import fresh_path
+from basketry.storage import fresh_path, pin
 from checks.base import HISTORY, ITEMS, USERS, history, query, with_ctes
 
 
@@ -34,8 +34,7 @@ RATED = """rated AS (
   SELECT user_id, 'foreign', 5, 2, n FROM hist WHERE pos = 0 AND CAST(user_id AS BIGINT) % 50 = 0)"""
 
 
-def rating_parts(spark, folder):
-    rows = history(spark, folder)
+def rating_parts(rows):
     user = F.col("user_id").cast("bigint")
     kept = rows.filter((user + F.col("pos")) % 13 != 0)
     picked = ["user_id", "item_id", "rating", F.col("pos").alias("ord")]
@@ -52,7 +51,7 @@ def rating_parts(spark, folder):
 
 @query(with_ctes(HISTORY, RATED, "SELECT user_id, item_id, rating, part, ord FROM rated"))
 def ratings_union(spark, folder):
-    return raw.union_ratings(rating_parts(spark, folder))
+    return raw.union_ratings(rating_parts(pin(history(spark, folder), "history")))
 
 
 @query(
@@ -67,8 +66,9 @@ def ratings_union(spark, folder):
     )
 )
 def rating_attach_occurrence(spark, folder):
-    rows = history(spark, folder).select("user_id", "pos", "item_id")
-    ratings = raw.union_ratings(rating_parts(spark, folder))
+    whole = pin(history(spark, folder), "history")
+    rows = whole.select("user_id", "pos", "item_id")
+    ratings = raw.union_ratings(rating_parts(whole))
     bound = 2 * retail.row_bound(spark, folder)
     return hist_ops.attach_ratings(rows, ratings, at_most=bound)
 

@@ -43,13 +43,7 @@ def scored_predictions(spark, folder):
 
     Truths are the target and the last input item.  Places 10..13 leave the truth out.
     """
-    plain = ev.next_item_predictions(followed(spark, folder))
-    last = (
-        splits.split_rows(history(spark, folder), "test")
-        .filter(F.col("pos") == F.col("n") - 2)
-        .select("user_id", F.col("item_id").alias("last_item"))
-    )
-    rows = plain.join(last, "user_id").withColumn(
+    rows = ev.next_item_predictions(followed(spark, folder)).withColumn(
         "template_id", F.explode(F.array(*[F.lit(v) for v in VARIANTS]))
     )
     place = draws.pick(14, SEED, F.col("template_id"), F.col("user_id"), "place").cast("int")
@@ -243,13 +237,14 @@ def rating_answers(spark, folder):
         .when(user % 29 == 0, "4d")
         .otherwise((F.col("rating") + shift).cast("string"))
     )
-    return rows.select(
+    out = rows.select(
         F.lit("rating").alias("task"),
         "template_id",
         "user_id",
         F.array(answer).alias("preds"),
         F.array(F.col("rating").cast("string")).alias("truths"),
     )
+    return pin(out, "rated")
 
 
 SHIFT = draw_sql(SEED, "template_id", "user_id", "'shift'")

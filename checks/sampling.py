@@ -291,7 +291,7 @@ def task_pick(spark, folder):
 def candidate_shuffle(spark, folder):
     cat = item_catalog(spark, folder)
     ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-    lists = neg.candidate_lists(ex, cat, 99, SEED, "draw", True)
+    lists = neg.add_candidates(ex, cat, 99, SEED, "draw", True)
     return lists.select("user_id", F.array_join("candidates", " ").alias("candidates"))
 
 
@@ -381,13 +381,13 @@ def like_dislike(spark, folder):
 def yes_no_label(spark, folder):
     cat = item_catalog(spark, folder)
     ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-    both = ex.join(neg.one_negative(ex, cat, SEED, "other"), ["user_id", "epoch"])
+    both = neg.add_other_item(ex, cat, SEED, "other")
     yes = draws.coin(*who(), "shown")
     return both.select(
         "user_id",
-        F.when(yes, F.col("target.item_id")).otherwise(F.col("item_id")).alias("shown"),
+        F.when(yes, F.col("target.item_id")).otherwise(F.col("other_item")).alias("shown"),
         text.yes_no(yes).alias("label"),
-        text.title_label(F.col("title")).alias("other_title"),
+        text.title_label(F.col("other_title")).alias("other_title"),
     )
 
 
@@ -475,7 +475,7 @@ def rating_history_text(spark, folder):
 def bullet_candidates(spark, folder):
     cat = item_catalog(spark, folder)
     ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-    lists = neg.candidate_lists(ex, cat, 4, SEED, "bullets", False)
+    lists = neg.add_candidates(ex, cat, 4, SEED, "bullets", False)
     marker = F.when(draws.coin(*who(), "marker"), F.lit("* ")).otherwise(F.lit("- "))
     return lists.select("user_id", text.bullets(F.col("candidates"), marker).alias("lines"))
 
