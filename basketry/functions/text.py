@@ -8,15 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fill(template: str, slots: dict[str, Column]) -> Column:
-    """``{slot}`` text to one concat expression, parsed when the plan is built."""
-    parts = []
+def parts(template: str) -> list[tuple[str | None, str]]:
+    """Template text as (slot name, "") and (None, literal) in order."""
+    out: list[tuple[str | None, str]] = []
     for literal, slot, _, _ in string.Formatter().parse(template):
         if literal:
-            parts.append(F.lit(literal))
+            out.append((None, literal))
         if slot is not None:
-            parts.append(slots[slot])
-    return F.concat(*parts)
+            out.append((slot, ""))
+    return out
+
+
+def fill(template: str, slots: dict[str, Column]) -> Column:
+    """``{slot}`` text to one concat expression, parsed when the plan is built."""
+    return F.concat(*[F.lit(literal) if slot is None else slots[slot] for slot, literal in parts(template)])
 
 
 def let(value: Column, body) -> Column:
@@ -28,7 +33,7 @@ def let(value: Column, body) -> Column:
 
 
 def slot_names(template: str) -> list[str]:
-    return [slot for _, slot, _, _ in string.Formatter().parse(template) if slot]
+    return [slot for slot, _ in parts(template) if slot]
 
 
 def joined(items: Column, first: str, second: str, use_first: Column) -> Column:

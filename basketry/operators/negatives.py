@@ -119,7 +119,7 @@ def fields_by_index(cat: Catalog, field: str) -> Column:
     """
     if cat.size > BROADCAST_ROWS:
         raise ValueError("the catalog is too large for one array")
-    packed = F.array_sort(F.collect_list(F.struct("item_idx", field)))
+    packed = F.sort_array(F.collect_list(F.struct("item_idx", field)))
     return cat.items.agg(packed[field].alias(field)).scalar()
 
 
@@ -148,16 +148,38 @@ def add_candidates(
             F.array_append(found, F.col("target.item_id")),
             lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")),
         )
-        mixed = F.array_sort(shown)["item_id"]
+        mixed = F.sort_array(shown)["item_id"]
         return listed.withColumn("candidates", mixed).drop("negatives", "ids")
     drawn = pin(drawn, "drawn")
     found = look_up(drawn, "negatives", cat, keys, ["item_id"]).select(*keys, "item_id")
     shown = found.unionByName(drawn.select(*keys, F.col("target.item_id").alias("item_id")))
-    packed = F.array_sort(
-        F.collect_list(F.struct(order(F.col("item_id")).alias("draw"), "item_id"))
-    )  # n + 1 items
-    lists = shown.groupBy(*keys).agg(packed["item_id"].alias("candidates"))
-    return drawn.drop("negatives").join(lists, keys)
+    return drawn.drop("negatives").join(_packed(shown, keys, order), keys)
+
+
+def _packed(shown: DataFrame, keys: list[str], order) -> DataFrame:
+    """n + 1 shown items per key as one array in shuffled order."""
+    items = F.collect_list(F.struct(order(F.col("item_id")).alias("draw"), "item_id"))
+    return shown.groupBy(*keys).agg(F.sort_array(items)["item_id"].alias("candidates"))
+
+
+def candidates_by_join(
+    rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, seed: int, purpose: str
+) -> DataFrame:
+    """(user_id, epoch, candidates) with the exclusions as rows; see :func:`add_candidates`.
+
+    ``excluded`` holds the target and the input items of each key.
+    """
+    keys = ["user_id", "epoch"]
+    parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
+    one = rows.filter(F.col("segment_no") == 0).select(*keys, F.col("target.item_id").alias("item_id"))
+    found = negatives_by_join(one.select(*keys), excluded, cat, n, keys, *parts)
+    wrong = found.join(cat.items.select("item_idx", "item_id"), "item_idx").select(*keys, "item_id")
+
+    def order(item: Column) -> Column:
+        return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
+
+    lists = _packed(wrong.unionByName(one), keys, order)
+    return lists.filter(F.size("candidates") == n + 1)
 
 
 def excluded_indexes(outside_history: bool) -> Column:

@@ -38,7 +38,7 @@ def transition_topn(pairs: DataFrame, n: int) -> DataFrame:
     """
     ranked = W.partitionBy("item_id").orderBy(F.desc("n_seen"), "next_item")
     top = transition_counts(pairs).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)
-    packed = F.array_sort(F.collect_list(F.struct("rank", "next_item")))
+    packed = F.sort_array(F.collect_list(F.struct("rank", "next_item")))
     return top.groupBy("item_id").agg(packed["next_item"].alias("followers"))
 
 
@@ -48,7 +48,7 @@ def next_item_topn(pairs: DataFrame, last_items: DataFrame, n: int) -> DataFrame
     Followers of the last item first, then the most bought items not among them, so
     every row gets the same number of answers when the catalog allows it.
     """
-    packed = F.array_sort(F.collect_list(F.struct("rank", "item_id")))
+    packed = F.sort_array(F.collect_list(F.struct("rank", "item_id")))
     popular = popularity_topn(pairs, 2 * n).agg(packed["item_id"].alias("popular"))
     followers = F.coalesce("followers", F.array().cast("array<string>"))
     # a scalar subquery: one array of 2n ids, computed once

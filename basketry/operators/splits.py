@@ -74,7 +74,7 @@ def segments(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFra
     return (
         rows.withColumn("segment_no", F.expr(f"pos div {int(size)}"))
         .groupBy("user_id", "segment_no")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("seq"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("seq"))
     )
 
 
@@ -91,7 +91,7 @@ def sequences(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFr
     return (
         short_users(rows, size)
         .groupBy("user_id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("seq"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("seq"))
     )
 
 
@@ -131,6 +131,6 @@ def zip_columns(df: DataFrame, lists: list[str]) -> DataFrame:
 
 def gather_columns(rows: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
     """One row per element back to parallel lists in ``order`` (groups must be bounded)."""
-    packed = F.array_sort(F.collect_list(F.struct(order, *cols)))
+    packed = F.sort_array(F.collect_list(F.struct(order, *cols)))
     grouped = rows.groupBy(*keys).agg(packed.alias("packed"))
     return grouped.select(*keys, *[F.col("packed")[c].alias(c) for c in cols])

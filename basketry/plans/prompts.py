@@ -9,14 +9,14 @@ inference template and the task's extra roles.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import draws, text
 from basketry.operators import negatives as neg
-from basketry.operators import sampling
+from basketry.operators import sampling, splits
 from basketry.plans import templates as tpl
 
 KEYS = ["user_id", "epoch"]
@@ -45,13 +45,18 @@ def fields_of(tasks: list[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Setup:
-    """What a builder needs beside the example rows."""
+    """What a builder needs beside the example rows.
+
+    ``excluded`` is set for users in segments: their input items as rows
+    (user_id, epoch, item_idx).
+    """
 
     task: str
     seed: int
     training: bool = False
     catalog: neg.Catalog | None = None
     force: str | None = None
+    excluded: DataFrame | None = None
 
     def parts(self, purpose: str) -> tuple:
         return self.seed, F.col("epoch"), F.col("user_id"), f"{self.task}/{purpose}"
@@ -62,6 +67,27 @@ class Setup:
         return draws.coin(*self.parts(purpose), tag)
 
 
+@dataclass(frozen=True)
+class ListSlot:
+    """A slot whose text grows with the history: items joined by one of two separators."""
+
+    items: Column
+    first: str
+    second: str
+    use_first: Column
+
+    def text(self) -> Column:
+        return text.joined(self.items, self.first, self.second, self.use_first)
+
+    def piece(self) -> Column:
+        """Text of one segment, led by the separator after the first segment."""
+        lead = F.when(self.use_first, F.lit(self.first)).otherwise(F.lit(self.second))
+        return F.concat(F.when(F.col("segment_no") > 0, lead).otherwise(F.lit("")), self.text())
+
+
+Slots = dict[str, Column | ListSlot]
+
+
 def with_template(rows: DataFrame, s: Setup, role: str) -> DataFrame:
     """Add ``template_id``: one random template in training, every one in evaluation."""
     ids = [t.template_id for t in tpl.templates(s.task, role, s.force)]
@@ -71,9 +97,13 @@ def with_template(rows: DataFrame, s: Setup, role: str) -> DataFrame:
 
 
 def rendered(
-    rows: DataFrame, s: Setup, roles: list[str], slots: dict[str, Column], truth: Column | None
+    rows: DataFrame, s: Setup, roles: list[str], slots: Slots, truth: Column | None
 ) -> DataFrame:
-    """Fill the template of each row's ``template_id``."""
+    """Fill the template of each row's ``template_id``.
+
+    A row that is one segment of a long history gives its pieces of the text instead:
+    list slots come from every segment, all other parts from the first one.
+    """
     known = [t for role in roles for t in tpl.templates(s.task, role, s.force)]
 
     def chain(get: Callable[[tpl.Template], Column]) -> Column:
@@ -83,21 +113,80 @@ def rendered(
             out = F.when(hit, get(t)) if out is None else out.when(hit, get(t))
         return out
 
+    plain = {n: v.text() if isinstance(v, ListSlot) else v for n, v in slots.items()}
     is_inference = chain(lambda t: F.lit(t.role)) == "inference"
     gt = F.lit(None) if truth is None else F.when(is_inference, F.array(truth))
-    return rows.select(
+    whole = s.excluded is None
+    body = chain(lambda t: text.fill(t.input_text, plain) if whole else pieces(t.input_text, slots))
+    out = rows.select(
         *KEYS,
         F.lit(s.task).alias("task"),
         "template_id",
         chain(lambda t: F.lit(t.role)).alias("role"),
-        chain(lambda t: text.fill(t.input_text, slots)).alias("input_text"),
-        chain(lambda t: text.fill(t.target_text, slots)).alias("target_text"),
+        body.alias("input_text"),
+        chain(lambda t: text.fill(t.target_text, plain)).alias("target_text"),
         gt.cast("array<string>").alias("ground_truth"),
+        *([] if whole else ["segment_no"]),
+    )
+    if whole:
+        return out
+    each = out.select(
+        *[c for c in out.columns if c != "input_text"], F.inline("input_text")
+    )
+    return each.filter(F.col("in_list") | (F.col("segment_no") == 0)).drop("in_list")
+
+
+def pieces(template: str, slots: Slots) -> Column:
+    """ARRAY<STRUCT<part_no, input_text, in_list>> of one segment."""
+    cells = []
+    for i, (name, part) in enumerate(text.parts(template)):
+        value = F.lit(part) if name is None else slots[name]
+        in_list = isinstance(value, ListSlot)
+        cells.append(
+            F.struct(
+                F.lit(i).alias("part_no"),
+                (value.piece() if in_list else value).alias("input_text"),
+                F.lit(in_list).alias("in_list"),
+            )
+        )
+    return F.array(*cells)
+
+
+def with_facts(ex: DataFrame, s: Setup, *names: str) -> DataFrame:
+    """Add what a task needs to know about the whole input; segment rows carry it already."""
+    if s.excluded is not None:
+        return ex
+    for name in names:
+        ex = _FACTS[name](ex, s)
+    return ex
+
+
+def _rating_facts(ex: DataFrame, s: Setup) -> DataFrame:
+    total = F.aggregate("input.rating", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ex.withColumn("rating_sum", total).withColumn("input_len", F.size("input"))
+
+
+def _liked_facts(ex: DataFrame, s: Setup) -> DataFrame:
+    return ex.withColumn("liked", F.sort_array(F.array_distinct(F.flatten("input.categories"))))
+
+
+def _pair_facts(ex: DataFrame, s: Setup) -> DataFrame:
+    rows = ex.withColumn("at", pair_place(F.size("input"), s))
+    following = F.get("input", (F.col("at") + 1).cast("int"))["item_id"]
+    return rows.withColumn("first", F.get("input", F.col("at").cast("int"))).withColumn(
+        "following", F.coalesce(following, F.col("target.item_id"))
     )
 
 
-def user_slots(rows: DataFrame) -> dict[str, Column]:
-    slots = {"user_id": F.col("user_id")}
+def pair_place(length: Column, s: Setup) -> Column:
+    return draws.pick(length, *s.parts("pair"))
+
+
+_FACTS = {"rating": _rating_facts, "liked": _liked_facts, "pair": _pair_facts}
+
+
+def user_slots(rows: DataFrame) -> Slots:
+    slots: Slots = {"user_id": F.col("user_id")}
     if "user_name" in rows.columns:
         slots["user_name"] = text.user_label(F.col("user_name"), F.col("user_key"))
     return slots
@@ -105,16 +194,15 @@ def user_slots(rows: DataFrame) -> dict[str, Column]:
 
 def rating_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     """History with ratings and their mean; the answer is the target's rating."""
-    ratings = F.col("input.rating")
-    total = F.aggregate(ratings, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    rows = ex.withColumn("avg_rating", text.two_decimals(total, F.size("input"))).withColumn(
-        "pairs", text.arrow_pairs(F.col("input.item_id"), ratings.cast("array<string>"))
-    )
+    average = text.two_decimals(F.col("rating_sum"), F.col("input_len"))
+    ratings = F.col("input.rating").cast("array<string>")
+    rows = with_facts(ex, s, "rating").withColumn("avg_rating", average)
+    rows = rows.withColumn("pairs", text.arrow_pairs(F.col("input.item_id"), ratings))
     rows = with_template(rows, s, "inference")
     rated = F.col("target.rating").cast("string")
     slots = user_slots(rows) | {
         "avg_rating": F.col("avg_rating"),
-        "rated_history": text.joined(F.col("pairs"), " , ", " ; ", s.coin("separator")),
+        "rated_history": ListSlot(F.col("pairs"), " , ", " ; ", s.coin("separator")),
         "item_id": F.col("target.item_id"),
         "target_rating": rated,
     }
@@ -130,8 +218,8 @@ def sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     rows = with_template(ex.withColumn("picked", picked), s, "inference")
     target = F.col("target.item_id")
     slots = user_slots(rows) | {
-        "history": text.joined(F.col("input.item_id"), " , ", " ; ", s.coin("separator")),
-        "category_history": text.joined(F.col("picked"), " , ", " ; ", s.coin("separator")),
+        "history": ListSlot(F.col("input.item_id"), " , ", " ; ", s.coin("separator")),
+        "category_history": ListSlot(F.col("picked"), " , ", " ; ", s.coin("separator")),
         "target_item": target,
     }
     out = rendered(rows, s, ["inference"], slots, target)
@@ -143,7 +231,11 @@ def sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
 
 
 def with_candidates(ex: DataFrame, s: Setup, n: int, outside_history: bool) -> DataFrame:
-    return neg.add_candidates(ex, s.catalog, n, s.seed, f"{s.task}/candidates", outside_history)
+    purpose = f"{s.task}/candidates"
+    if s.excluded is not None and outside_history:
+        lists = neg.candidates_by_join(ex, s.excluded, s.catalog, n, s.seed, purpose)
+        return ex.join(lists, KEYS)
+    return neg.add_candidates(ex, s.catalog, n, s.seed, purpose, outside_history)
 
 
 def bullet_slot(s: Setup) -> Column:
@@ -153,41 +245,35 @@ def bullet_slot(s: Setup) -> Column:
 
 def pair_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     """A random adjacent pair of history + target; all categories of its first item."""
-    rows = ex.withColumn("at", draws.pick(F.size("input"), *s.parts("pair"))).withColumn(
-        "first", F.get("input", F.col("at").cast("int"))
-    )
-    following = F.coalesce(
-        F.get("input", (F.col("at") + 1).cast("int"))["item_id"], F.col("target.item_id")
-    )
-    rows = with_template(rows, s, "pair")
+    rows = with_template(with_facts(ex, s, "pair"), s, "pair")
     slots = user_slots(rows) | {
         "previous_item": F.col("first.item_id"),
         "previous_categories": text.joined(
             F.col("first.categories"), " , ", " ; ", s.coin("pair/separator")
         ),
-        "target_item": following,
+        "target_item": F.col("following"),
     }
     return rendered(rows, s, ["pair"], slots, None)
 
 
 def direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     """Unique categories of the history; training draws its target from history + target."""
-    if s.training:
+    if s.training and s.excluded is None:
         ex = sampling.resample_target(ex, s.seed, f"{s.task}/target")
-    liked = F.array_sort(F.array_distinct(F.flatten(F.col("input.categories"))))
+    ex = with_facts(ex, s, "liked")
     target = F.col("target.item_id")
 
-    def slots(rows: DataFrame) -> dict[str, Column]:
+    def slots(rows: DataFrame) -> Slots:
         return user_slots(rows) | {
             "liked_categories": text.joined(F.col("liked"), " , ", " ; ", s.coin("separator")),
             "target_item": target,
         }
 
-    rows = with_template(ex.withColumn("liked", liked), s, "inference")
+    rows = with_template(ex, s, "inference")
     out = rendered(rows, s, ["inference"], slots(rows), target)
     if not s.training:
         return out
-    qa = with_template(with_candidates(ex, s, FEW, False).withColumn("liked", liked), s, "qa")
+    qa = with_template(with_candidates(ex, s, FEW, False), s, "qa")
     return out.unionByName(
         rendered(qa, s, ["qa"], slots(qa) | {"candidates": bullet_slot(s)}, None)
     )
@@ -221,7 +307,7 @@ def p5_sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     rows = with_template(ex, s, "inference")
     target, separator = F.col("target.item_id"), s.coin("separator")
     slots = user_slots(rows) | {
-        "history": text.joined(F.col("input.item_id"), " , ", " -> ", separator),
+        "history": ListSlot(F.col("input.item_id"), " , ", " -> ", separator),
         "target_item": target,
     }
     out = rendered(rows, s, ["inference"], slots, target)
@@ -241,7 +327,7 @@ def with_shown(ex: DataFrame, s: Setup) -> DataFrame:
     return both.withColumn("is_true", draws.coin(*s.parts("shown")))
 
 
-def shown_slots() -> dict[str, Column]:
+def shown_slots() -> Slots:
     return {
         "shown_item": F.when(F.col("is_true"), F.col("target.item_id")).otherwise(F.col("other_item")),
         "yes_no": text.yes_no(F.col("is_true")),
@@ -301,6 +387,67 @@ def build_prompts(
     return BUILDERS[task](examples, Setup(task, seed, training, catalog, force)).select(*COLUMNS)
 
 
+def long_examples(rows: DataFrame, s: Setup, fields: list[str], size: int = splits.SEGMENT) -> DataFrame:
+    """Example rows in segments of at most ``size`` input items, for long histories.
+
+    ``rows`` is the row form (user_id, epoch, spot, part, fields, user columns).  All
+    facts about a whole history are aggregates that merge before the shuffle; the
+    segment number spreads a user over the tasks.
+    """
+    who = (*KEYS, "user_name", "user_key")
+    lengths = rows.groupBy(*KEYS).agg(F.max("spot").alias("input_len"))  # the target is last
+    rows = rows.join(lengths, KEYS)
+    if s.training and s.task == tpl.DIRECT:
+        at = draws.pick(F.col("input_len") + 1, *s.parts("target"))
+        rows = rows.withColumn("part", F.when(F.col("spot") == at, "target").otherwise("input"))
+    is_input, cell = F.col("part") == "input", F.struct("pos", *fields)
+    facts = [F.max_by(cell, F.when(~is_input, F.col("spot"))).alias("target")]
+    if "rating" in fields:
+        facts.append(F.sum(F.when(is_input, F.col("rating"))).alias("rating_sum"))
+    if s.training and s.task == tpl.SEQUENTIAL:
+        at = pair_place(F.col("input_len"), s)
+        facts += [
+            F.max_by(cell, F.when(F.col("spot") == at, F.col("spot"))).alias("first"),
+            F.max(F.when(F.col("spot") == at + 1, F.col("item_id"))).alias("following"),
+        ]
+    per_user = rows.groupBy(*who, "input_len").agg(*facts)
+    inputs = rows.filter(is_input)
+    if "categories" in fields:
+        each = inputs.select(*KEYS, F.explode("categories").alias("category")).distinct()
+        liked = each.groupBy(*KEYS).agg(F.sort_array(F.collect_set("category")).alias("liked"))
+        per_user = per_user.join(liked, KEYS)
+    lists = (
+        inputs.withColumn("segment_no", F.expr(f"spot div {int(size)}"))
+        .groupBy(*KEYS, "segment_no")
+        .agg(F.sort_array(F.collect_list(cell)).alias("input"))
+    )
+    return lists.join(per_user, KEYS)
+
+
+def build_prompt_pieces(
+    rows: DataFrame,
+    task: str,
+    *,
+    seed: int,
+    training: bool = False,
+    catalog: neg.Catalog | None = None,
+    force: str | None = None,
+    size: int = splits.SEGMENT,
+) -> DataFrame:
+    """Prompts of long histories as ordered pieces.
+
+    Columns of :func:`build_prompts` with ``part_no`` and ``segment_no``; the texts of
+    one prompt in the order (part_no, segment_no) make up the whole input text.
+    """
+    task = tpl.find_task(task)
+    fields = FIELDS[task]
+    s = Setup(task, seed, training, catalog, force, excluded=rows)
+    segments = long_examples(rows, s, fields, size)
+    if "item_idx" in fields:
+        s = replace(s, excluded=rows.select(*KEYS, "item_idx").distinct())
+    return BUILDERS[task](segments, s).select(*COLUMNS, "part_no", "segment_no")
+
+
 def build_training_prompts(
     examples: DataFrame,
     tasks: list[str],

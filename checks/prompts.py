@@ -18,6 +18,7 @@ from basketry.storage import pin
 from checks.base import HISTORY, ITEMS, SEED, USERS, draw_sql, history, query, text_sql, with_ctes
 
 EPOCHS = 2
+PIECE = 16  # segment length that makes ordinary users long
 
 
 # ---- inputs -----------------------------------------------------------------
@@ -44,6 +45,21 @@ def example_rows(spark, folder, tasks, training=False, cat=None):
     return pin(hist_ops.add_users(ex, retail.users(spark, folder)), "examples")
 
 
+def example_pieces(spark, folder, task, training=False, cat=None):
+    """Row form of the examples of users with more than ``PIECE`` rows."""
+    fields = pr.FIELDS[task]
+    wanted = [f for f in fields if f in ("title", "categories", "item_idx")]
+    items = cat.items.select("item_id", *wanted) if wanted else None
+    rows = pin(splits.long_users(history(spark, folder, items), PIECE), "long-history")
+    if training:
+        train = rows.filter(splits.in_split("train"))
+        spots = sampling.window_rows(train, sampling.training_windows(rows, EPOCHS, SEED))
+    else:
+        spots = splits.split_rows(rows, "test").withColumn("epoch", F.lit(0).cast("bigint"))
+        spots = spots.withColumn("spot", F.col("pos"))
+    return hist_ops.add_users(spots, retail.users(spark, folder))
+
+
 # ---- SQL fragments ----------------------------------------------------------
 
 EX_COLUMNS = """h.user_id, h.item_id, h.rating, h.pos, i.title, i.categories, i.item_idx"""
@@ -427,3 +443,31 @@ register("prompt_p5_seq_eval", one_role(p5_sequential_parts(tpl.P5_SEQUENTIAL_EV
 register("prompt_p5_direct", one_role(p5_direct_parts(tpl.P5_DIRECT, False)), tpl.P5_DIRECT)
 register("prompt_p5_support", one_role(p5_direct_parts(tpl.P5_DIRECT, True), 1), tpl.P5_DIRECT, True, "support")
 register("prompt_p5_direct_eval", one_role(p5_direct_parts(tpl.P5_DIRECT_EVAL, False)), tpl.P5_DIRECT_EVAL)
+
+
+def register_pieces(name, sql, task, training=False):
+    """The same prompts, built in segments of 16 items and put together again."""
+
+    def run(spark, folder):
+        cat = item_catalog(spark, folder)
+        rows = example_pieces(spark, folder, task, training, cat)
+        out = pr.build_prompt_pieces(rows, task, seed=SEED, training=training, catalog=cat, size=PIECE)
+        cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
+        names = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
+        whole = out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text"))
+        return checked(whole)
+
+    run.__name__ = name
+    long = f"(SELECT user_id FROM hist WHERE pos = 0 AND n > {PIECE})"
+    query(
+        sql.replace("FROM ex JOIN users USING (user_id)", f"FROM ex JOIN users USING (user_id) WHERE user_id IN {long}")
+    )(run)
+
+
+register_pieces("pieces_rating", rating_sql(), tpl.RATING)
+register_pieces("pieces_sequential", one_role(sequential_parts(False)), tpl.SEQUENTIAL)
+register_pieces("pieces_sequential_train", one_role(sequential_parts(True)), tpl.SEQUENTIAL, True)
+register_pieces("pieces_direct_train", one_role(direct_parts(True)), tpl.DIRECT, True)
+register_pieces("pieces_p5_rating_train", p5_rating_sql(tpl.P5_RATING, True), tpl.P5_RATING, True)
+register_pieces("pieces_p5_sequential_train", one_role(p5_sequential_parts(tpl.P5_SEQUENTIAL, True)), tpl.P5_SEQUENTIAL, True)
+register_pieces("pieces_p5_direct_train", one_role(p5_direct_parts(tpl.P5_DIRECT, True)), tpl.P5_DIRECT, True)

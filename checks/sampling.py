@@ -430,7 +430,7 @@ def liked_categories(spark, folder):
     rows = splits.split_rows(history(spark, folder, items), "test").filter(F.col("part") == "input")
     each = rows.select("user_id", F.explode("categories").alias("category")).distinct()
     return each.groupBy("user_id").agg(
-        F.array_join(F.array_sort(F.collect_set("category")), "|").alias("liked"),
+        F.array_join(F.sort_array(F.collect_set("category")), "|").alias("liked"),
         F.count(F.lit(1)).alias("n_liked"),
     )
 
