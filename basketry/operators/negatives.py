@@ -187,9 +187,14 @@ def excluded_indexes(outside_history: bool) -> Column:
     return F.array_union(F.col("input.item_idx"), target) if outside_history else target
 
 
-def short_pools(rows: DataFrame, cat: Catalog, n: int, outside_history: bool) -> DataFrame:
-    """Rows that leave fewer than n items to draw from."""
-    return rows.filter(cat.size - F.size(excluded_indexes(outside_history)) < n)
+def pool_sizes(excluded: DataFrame, cat: Catalog, keys: list[str]) -> DataFrame:
+    """Items left to draw from per key; ``excluded`` holds distinct (keys, item)."""
+    return excluded.groupBy(*keys).agg((F.lit(cat.size) - F.count(F.lit(1))).alias("pool_size"))
+
+
+def short_pools(excluded: DataFrame, cat: Catalog, n: int, keys: list[str]) -> DataFrame:
+    """Keys that leave fewer than n items to draw from."""
+    return pool_sizes(excluded, cat, keys).filter(F.col("pool_size") < n)
 
 
 def add_other_item(rows: DataFrame, cat: Catalog, seed: int, purpose: str) -> DataFrame:

@@ -96,6 +96,15 @@ def resample_target(examples: DataFrame, seed: int, purpose: str) -> DataFrame:
     )
 
 
+def resample_rows(rows: DataFrame, windows: DataFrame, seed: int, purpose: str) -> DataFrame:
+    """Row form of :func:`resample_target` over sampled windows."""
+    keys = ["user_id", "epoch"]
+    at = draws.pick(F.col("size") + 1, seed, F.col("epoch"), F.col("user_id"), purpose)
+    places = windows.select(*keys, at.alias("at"))
+    part = F.when(F.col("spot") == F.col("at"), "target").otherwise("input")
+    return rows.join(places, keys).withColumn("part", part).drop("at")
+
+
 # Range of perturbed ratings around each star.
 STAR_RANGES = {1: (1.0, 1.4), 2: (1.5, 2.4), 3: (2.5, 3.4), 4: (3.5, 4.4), 5: (4.5, 5.0)}
 

@@ -109,6 +109,14 @@ def examples(
     )
 
 
+def targets(interactions: DataFrame, split: str, fields: list[str]) -> DataFrame:
+    """user_id, epoch, target STRUCT only: a filter, without any list."""
+    last = interactions.filter(in_split(split) & (F.col("pos") == split_size(split) - 1))
+    return last.select(
+        "user_id", F.lit(0).cast("bigint").alias("epoch"), F.struct("pos", *fields).alias("target")
+    )
+
+
 def flat_columns(df: DataFrame, fields: list[str]) -> DataFrame:
     """``input`` / ``target`` structs as ``input_<field>_seq`` and one-element ``gt_<field>`` lists."""
     keep = [c for c in df.columns if c not in ("input", "target")]

@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from basketry.functions import draws, text
 from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
+from basketry.operators.history import add_users
 from basketry.plans import templates as tpl
+from basketry.storage import pin
 
 KEYS = ["user_id", "epoch"]
 COLUMNS = [*KEYS, "task", "template_id", "role", "input_text", "target_text", "ground_truth"]
@@ -471,6 +473,61 @@ def build_training_prompts(
     return out
 
 
+def whole_prompts(
+    interactions: DataFrame,
+    users: DataFrame,
+    tasks: list[str],
+    *,
+    seed: int,
+    split: str = "test",
+    epochs: int | None = None,
+    strategy: str = "all",
+    catalog: neg.Catalog | None = None,
+    size: int = splits.SEGMENT,
+) -> DataFrame:
+    """Prompts of every user: whole texts, and pieces for histories longer than ``size``.
+
+    ``epochs`` switches to training windows; otherwise one task of ``split`` is
+    expanded over its templates.  Whole texts have part_no = segment_no = 0.  The
+    longest history is observed while the examples are written, so the pieces cost
+    nothing when there are none.
+    """
+    names = [tpl.find_task(t) for t in tasks]
+    training, fields = epochs is not None, fields_of(names)
+    longest = Observation()
+    seen = interactions.observe(longest, F.max("n").alias("n"))
+    if training:
+        ex = sampling.train_examples(seen, fields, epochs, seed, size)
+    else:
+        ex = splits.examples(seen, split, fields, size)
+    ex = pin(add_users(ex, users), "examples")
+    if training:
+        out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog)
+    else:
+        out = build_prompts(ex, names[0], seed=seed, catalog=catalog)
+    out = out.withColumns({"part_no": F.lit(0), "segment_no": F.lit(0).cast("bigint")})
+    if (longest.get["n"] or 0) <= size:
+        return out
+    rows = pin(splits.long_users(interactions, size), "long-history")
+    if training:
+        windows = sampling.training_windows(rows, epochs, seed)
+        spots = sampling.window_rows(rows.filter(splits.in_split("train")), windows)
+    else:
+        spots = splits.split_rows(rows, split).withColumn("epoch", F.lit(0).cast("bigint"))
+        spots = spots.withColumn("spot", F.col("pos"))
+    spots = add_users(spots, users)
+    if strategy == "random":
+        drawn = sampling.pick_task(names, seed, F.col("epoch"), F.col("user_id"))
+        spots = spots.withColumn("drawn_task", drawn)
+    for task in names:
+        mine = spots.filter(F.col("drawn_task") == task) if strategy == "random" else spots
+        more = build_prompt_pieces(
+            mine, task, seed=seed, training=training, catalog=catalog, size=size
+        )
+        out = out.unionByName(more)
+    return out
+
+
 def check_evaluable(prompts: DataFrame) -> DataFrame:
     """Fails the job when a row to be evaluated has no ground truth."""
     missing = F.col("ground_truth").isNull()

@@ -14,15 +14,20 @@ from basketry.storage import fresh_path, pin
 from checks.base import HISTORY, ITEMS, USERS, history, query, with_ctes
 
 
-@query(with_ctes(HISTORY, "SELECT user_id, pos, n, item_id FROM hist"))
-def src_sequence_log(spark, folder):
-    """The log is written as text lines and read back through the log reader."""
-    seqs = splits.sequences(history(spark, folder), ["item_id"])
-    lines = seqs.select(
-        F.concat_ws(" ", "user_id", F.array_join(F.col("seq.item_id"), " ")).alias("value")
+@query(
+    with_ctes(
+        HISTORY,
+        """SELECT user_id || '/' || (pos // 1000) AS user_id, pos % 1000 AS pos,
+          count(*) OVER (PARTITION BY user_id, pos // 1000) AS n, item_id FROM hist""",
     )
+)
+def src_sequence_log(spark, folder):
+    """The log is written as text lines (1,000 items at most) and read by the log reader."""
+    seqs = splits.segments(history(spark, folder), ["item_id"], size=1000)
+    name = F.concat("user_id", F.lit("/"), F.col("segment_no").cast("string"))
+    line = F.concat_ws(" ", name, F.array_join(F.col("seq.item_id"), " "))
     path = fresh_path(spark, "sequence-log")
-    lines.write.text(path)
+    seqs.select(line.alias("value")).write.text(path)
     return raw.read_sequence_log(spark, path)
 
 
@@ -415,59 +420,61 @@ def split_columns(spark, folder):
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, string_agg(item_id || ':' || rating, ' ' ORDER BY pos) AS cells
-        FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id""",
+        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id || ':' || rating, ' ' ORDER BY pos) AS cells
+        FROM hist GROUP BY user_id, segment_no""",
     )
 )
 def history_reshape(spark, folder):
-    """Lists to rows and back."""
-    fields = ["item_id", "rating"]
-    flat = splits.flat_columns(splits.examples(history(spark, folder), "test", fields), fields)
-    lists = flat.select(
+    """Lists to rows and back, per segment."""
+    seqs = splits.segments(history(spark, folder), ["item_id", "rating"])
+    lists = seqs.select(
         "user_id",
-        F.sequence(F.lit(0), F.size("input_item_seq") - 1).alias("spot"),
-        "input_item_seq",
-        "input_rating_seq",
-    )
-    rows = splits.zip_columns(lists, ["spot", "input_item_seq", "input_rating_seq"])
-    back = splits.gather_columns(rows, ["user_id"], "spot", ["input_item_seq", "input_rating_seq"])
-    cells = F.zip_with(
-        "input_item_seq", "input_rating_seq", lambda a, b: F.concat(a, F.lit(":"), b.cast("string"))
+        "segment_no",
+        F.col("seq.pos").alias("spot"),
+        F.col("seq.item_id").alias("items"),
+        F.col("seq.rating").alias("ratings"),
     )
-    return back.select("user_id", F.array_join(cells, " ").alias("cells"))
+    rows = splits.zip_columns(lists, ["spot", "items", "ratings"])
+    back = splits.gather_columns(rows, ["user_id", "segment_no"], "spot", ["items", "ratings"])
+    cells = F.zip_with("items", "ratings", lambda a, b: F.concat(a, F.lit(":"), b.cast("string")))
+    return back.select("user_id", "segment_no", F.array_join(cells, " ").alias("cells"))
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, string_agg(item_id, ' ' ORDER BY pos) FILTER (pos >= 1 AND pos < 4) AS middle,
-          any_value(item_id) FILTER (pos = 1) AS second
-        FROM hist WHERE n >= 4 GROUP BY user_id""",
+        """SELECT user_id, pos // 4096 AS segment_no,
+          coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos % 4096 BETWEEN 1 AND 3), '') AS middle,
+          any_value(item_id) FILTER (pos % 4096 = 1) AS second FROM hist GROUP BY user_id, segment_no""",
     )
 )
 def history_subsequence(spark, folder):
-    rows = history(spark, folder).filter(F.col("n") >= 4)
-    seqs = splits.sequences(rows, ["item_id"]).select("user_id", F.col("seq.item_id").alias("ids"))
+    """Elements 1..3 and element 1 of every segment."""
+    seqs = splits.segments(history(spark, folder), ["item_id"])
+    ids = F.col("seq.item_id")
     return seqs.select(
         "user_id",
-        F.array_join(text.sub_sequence(F.col("ids"), F.lit(1), F.lit(3)), " ").alias("middle"),
-        text.element(F.col("ids"), F.lit(1)).alias("second"),
+        "segment_no",
+        F.array_join(text.sub_sequence(ids, F.lit(1), F.lit(3)), " ").alias("middle"),
+        text.element(ids, F.lit(1)).alias("second"),
     )
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, string_agg(item_id, ' ' ORDER BY pos) AS whole,
-          string_agg(item_id, ' ' ORDER BY pos) FILTER (pos <> 1) AS without_second
-        FROM hist WHERE n >= 2 GROUP BY user_id""",
+        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id, ' ' ORDER BY pos) || ' end' AS whole,
+          coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos % 4096 <> 1) || ' end', 'end') AS without_second
+        FROM hist GROUP BY user_id, segment_no HAVING count(*) > 1""",
     )
 )
 def history_append_remove(spark, folder):
-    rows = splits.examples(history(spark, folder), "test", ["item_id"])
-    whole = F.array_append(F.col("input.item_id"), F.col("target.item_id"))
-    return rows.select(
+    """An element appended to every segment, and its second element removed."""
+    seqs = splits.segments(history(spark, folder), ["item_id"]).filter(F.size("seq") > 1)
+    whole = F.array_append(F.col("seq.item_id"), F.lit("end"))
+    return seqs.select(
         "user_id",
+        "segment_no",
         F.array_join(whole, " ").alias("whole"),
         F.array_join(text.remove_at(whole, F.lit(1)), " ").alias("without_second"),
     )

@@ -28,7 +28,7 @@ from checks.base import (
     rounded,
     with_ctes,
 )
-from checks.prompts import base, example_rows
+from checks.prompts import base, whole
 
 VARIANTS = ("a", "b", "c")
 GROUP = ["task", "template_id"]
@@ -573,8 +573,7 @@ def popularity_topn(spark, folder):
     )
 )
 def predict_topn_pandas(spark, folder):
-    ex = example_rows(spark, folder, [tpl.P5_SEQUENTIAL_EVAL])
-    prompts = pr.build_prompts(ex, tpl.P5_SEQUENTIAL_EVAL, seed=SEED, force="2-3")
+    prompts = whole(spark, folder, [tpl.P5_SEQUENTIAL_EVAL]).filter(F.col("template_id") == "2-3")
     prompts = pr.check_evaluable(prompts)
 
     def load():

@@ -6,11 +6,10 @@ import string
 
 from pyspark.sql import functions as F
 
-from basketry.functions import draws, text
+from basketry.functions import draws
 from basketry.operators import history as hist_ops
 from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
-from basketry.operators.numbering import shuffled_index
 from basketry.plans import prompts as pr
 from basketry.plans import templates as tpl
 from basketry.sources import retail
@@ -28,23 +27,6 @@ def item_catalog(spark, folder) -> neg.Catalog:
     return neg.catalog(retail.items(spark, folder), "item_no")
 
 
-def example_rows(spark, folder, tasks, training=False, cat=None):
-    """Pinned examples with the fields of the tasks and the user columns."""
-    fields = pr.fields_of(tasks)
-    wanted = [f for f in fields if f in ("title", "categories", "item_idx")]
-    items = None
-    if wanted:
-        source = (cat or item_catalog(spark, folder)).items
-        items = source.select("item_id", *wanted)
-    rows = history(spark, folder, items)
-    ex = (
-        sampling.train_examples(rows, fields, EPOCHS, SEED)
-        if training
-        else splits.examples(rows, "test", fields)
-    )
-    return pin(hist_ops.add_users(ex, retail.users(spark, folder)), "examples")
-
-
 def example_pieces(spark, folder, task, training=False, cat=None):
     """Row form of the examples of users with more than ``PIECE`` rows."""
     fields = pr.FIELDS[task]
@@ -411,16 +393,25 @@ def one_role(parts: tuple[list[str], list[str]], index: int | None = None) -> st
 # ---- prompt queries ---------------------------------------------------------
 
 
-def prompts(spark, folder, task, training=False):
-    needs_catalog = "item_idx" in pr.FIELDS[task]
-    cat = item_catalog(spark, folder) if needs_catalog else None
-    ex = example_rows(spark, folder, [task], training, cat)
-    return pr.build_prompts(ex, task, seed=SEED, training=training, catalog=cat)
+def whole(spark, folder, tasks, training=False, strategy="all"):
+    """Prompts of all users (long histories as pieces)."""
+    cat = item_catalog(spark, folder)
+    fields = [f for f in pr.fields_of(tasks) if f in ("title", "categories", "item_idx")]
+    rows = history(spark, folder, cat.items.select("item_id", *fields) if fields else None)
+    return pr.whole_prompts(
+        rows,
+        retail.users(spark, folder),
+        tasks,
+        seed=SEED,
+        epochs=EPOCHS if training else None,
+        strategy=strategy,
+        catalog=cat,
+    )
 
 
 def register(name, sql, task, training=False, role=None):
     def run(spark, folder):
-        rows = prompts(spark, folder, task, training)
+        rows = whole(spark, folder, [task], training)
         return checked(rows if role is None else rows.filter(F.col("role") == role))
 
     run.__name__ = name
@@ -454,8 +445,7 @@ def register_pieces(name, sql, task, training=False):
         out = pr.build_prompt_pieces(rows, task, seed=SEED, training=training, catalog=cat, size=PIECE)
         cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
         names = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
-        whole = out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text"))
-        return checked(whole)
+        return checked(out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text")))
 
     run.__name__ = name
     long = f"(SELECT user_id FROM hist WHERE pos = 0 AND n > {PIECE})"

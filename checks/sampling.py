@@ -36,12 +36,12 @@ from checks.prompts import (
     checked,
     choose_sql,
     direct_parts,
-    example_rows,
     item_catalog,
     negative_ctes,
     p5_sequential_parts,
     sequential_parts,
     stars_sql,
+    whole,
     wrong_sql,
 )
 
@@ -63,6 +63,7 @@ def who():
     )
 )
 def train_window_sample(spark, folder):
+    """List form of the windows (users of up to 4096 rows; train_window_rows has all)."""
     ex = sampling.train_examples(history(spark, folder), ["item_id"], EPOCHS, SEED)
     return ex.select(
         "user_id", "epoch", F.array_join("input.item_id", " ").alias("input"), F.col("target.item_id").alias("target")
@@ -95,31 +96,35 @@ def train_window_rejects(spark, folder):
     return sampling.too_short(history(spark, folder)).agg(F.count(F.lit(1)).alias("n_dropped"))
 
 
-def negative_query(n: int, outside: bool, purpose: str):
-    def run(spark, folder):
-        cat = item_catalog(spark, folder)
-        ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-        drawn = ex.select(
-            "user_id",
-            "epoch",
-            neg.negative_indexes(cat, neg.excluded_indexes(outside), n, *who(), purpose).alias("idx"),
-        )
-        found = neg.look_up(drawn, "idx", cat, ["user_id", "epoch"], ["item_id"])
-        return found.select("user_id", F.col("ord").cast("bigint").alias("place"), "item_id")
+def indexed_history(spark, folder, cat):
+    """Test histories with catalog indexes, pinned."""
+    rows = history(spark, folder, cat.items.select("item_id", "item_idx"))
+    rows = rows.filter(F.col("n") >= 2).select("user_id", "pos", "n", "item_id", "item_idx")
+    return pin(rows, "indexed")
 
-    return run
 
+def excluded_rows(rows):
+    """Distinct (user_id, epoch, item_idx) of the histories."""
+    return rows.select("user_id", F.lit(0).cast("bigint").alias("epoch"), "item_idx").distinct()
 
-for _name, _n, _outside in (("negatives_4", 4, False), ("negatives_99", 99, True)):
-    _fn = negative_query(_n, _outside, "draw")
-    _fn.__name__ = _name
-    query(
-        with_ctes(
-            *base(False),
-            *negative_ctes("wrong", "draw", _n, _outside),
-            "SELECT user_id, rank - 1 AS place, item_id FROM wrong",
-        )
-    )(_fn)
+
+KEYS = ["user_id", "epoch"]
+
+
+@query(
+    with_ctes(
+        *base(False),
+        *negative_ctes("wrong", "draw", 4, False),
+        "SELECT user_id, rank - 1 AS place, item_id FROM wrong",
+    )
+)
+def negatives_4(spark, folder):
+    """Four items that are not the target: needs no history, only the target rows."""
+    cat = item_catalog(spark, folder)
+    ex = splits.targets(indexed_history(spark, folder, cat), "test", ["item_id", "item_idx"])
+    drawn = neg.negative_indexes(cat, neg.excluded_indexes(False), 4, *who(), "draw")
+    found = neg.look_up(ex.select(*KEYS, drawn.alias("idx")), "idx", cat, KEYS, ["item_id"])
+    return found.select("user_id", F.col("ord").cast("bigint").alias("place"), "item_id")
 
 
 @query(
@@ -129,20 +134,37 @@ for _name, _n, _outside in (("negatives_4", 4, False), ("negatives_99", 99, True
         "SELECT user_id, rank - 1 AS place, item_id FROM wrong",
     )
 )
-def negatives_join_form(spark, folder):
-    """The 99 negatives with the histories as rows and an anti join."""
+def negatives_99(spark, folder):
+    """99 items outside history and target: lists for short histories, rows for long ones."""
     cat = item_catalog(spark, folder)
-    rows = history(spark, folder, cat.items.select("item_id", "item_idx")).filter(F.col("n") >= 2)
-    rows = pin(rows.select("user_id", "pos", "item_idx"), "bought").withColumn(
-        "epoch", F.lit(0).cast("bigint")
+    rows = indexed_history(spark, folder, cat)
+    ex = splits.examples(rows, "test", ["item_id", "item_idx"])
+    drawn = neg.negative_indexes(cat, neg.excluded_indexes(True), 99, *who(), "draw")
+    found = neg.look_up(ex.select(*KEYS, drawn.alias("idx")), "idx", cat, KEYS, ["item_id"])
+    short = found.select("user_id", F.col("ord").cast("bigint").alias("place"), "item_id")
+    return short.unionByName(placed_negatives(splits.long_users(rows), cat))
+
+
+def placed_negatives(rows, cat):
+    """99 negatives by the anti join, numbered in the order of the walk."""
+    users = rows.filter(F.col("pos") == 0).select("user_id", F.lit(0).cast("bigint").alias("epoch"))
+    out = neg.negatives_by_join(users, excluded_rows(rows), cat, 99, KEYS, *who(), "draw")
+    place = F.row_number().over(W.partitionBy(*KEYS).orderBy("step")) - 1  # 99 rows a group
+    placed = out.select("user_id", "item_idx", place.cast("bigint").alias("place"))
+    return placed.join(cat.items.select("item_idx", "item_id"), "item_idx").drop("item_idx")
+
+
+@query(
+    with_ctes(
+        *base(False),
+        *negative_ctes("wrong", "draw", 99, True),
+        "SELECT user_id, rank - 1 AS place, item_id FROM wrong",
     )
-    keys = ["user_id", "epoch"]
-    users = rows.filter(F.col("pos") == 0).select(*keys)
-    excluded = rows.select(*keys, "item_idx").distinct()
-    out = neg.negatives_by_join(users, excluded, cat, 99, keys, *who(), "draw")
-    found = out.join(cat.items.select("item_idx", "item_id"), "item_idx")
-    place = F.row_number().over(W.partitionBy(*keys).orderBy("step")) - 1  # 99 rows a group
-    return found.select("user_id", place.cast("bigint").alias("place"), "item_id")
+)
+def negatives_join_form(spark, folder):
+    """The 99 negatives with all histories as rows and an anti join."""
+    cat = item_catalog(spark, folder)
+    return placed_negatives(indexed_history(spark, folder, cat), cat)
 
 
 @query(
@@ -156,8 +178,8 @@ def negatives_join_form(spark, folder):
 def negatives_rejects(spark, folder):
     """Rows whose pool is too small; here nearly the whole catalog is asked for."""
     cat = item_catalog(spark, folder)
-    ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-    return neg.short_pools(ex, cat, cat.size - 40, True).agg(F.count(F.lit(1)).alias("n_short"))
+    seen = excluded_rows(indexed_history(spark, folder, cat))
+    return neg.short_pools(seen, cat, cat.size - 40, KEYS).agg(F.count(F.lit(1)).alias("n_short"))
 
 
 @query(
@@ -169,9 +191,8 @@ def negatives_rejects(spark, folder):
 )
 def catalog_minus_history(spark, folder):
     """Size of each user's pool of unseen items (the pool itself is never listed)."""
-    total = retail.items(spark, folder).count()
     seen = retail.purchases(spark, folder).select("user_id", "item_id").distinct()
-    return seen.groupBy("user_id").agg((F.lit(total) - F.count(F.lit(1))).alias("pool_size"))
+    return neg.pool_sizes(seen, item_catalog(spark, folder), ["user_id"])
 
 
 @query(
@@ -234,16 +255,15 @@ def category_pick(spark, folder):
 @query(
     with_ctes(
         *base(True, target_purpose="pick"),
-        """SELECT user_id, epoch::BIGINT AS epoch, array_to_string(items, ' ') AS input, target_item AS target
-        FROM packed""",
+        """SELECT user_id, epoch::BIGINT AS epoch, spot, item_id,
+          CASE WHEN is_target THEN 'target' ELSE 'input' END AS part FROM ex""",
     )
 )
 def target_pick(spark, folder):
-    ex = example_rows(spark, folder, [tpl.P5_SEQUENTIAL_EVAL], training=True)
-    out = sampling.resample_target(ex, SEED, "pick")
-    return out.select(
-        "user_id", "epoch", F.array_join("input.item_id", " ").alias("input"), F.col("target.item_id").alias("target")
-    )
+    rows = pin(history(spark, folder).drop("rating"), "history")
+    windows = sampling.training_windows(rows, EPOCHS, SEED)
+    out = sampling.resample_rows(sampling.window_rows(rows, windows), windows, SEED, "pick")
+    return out.select("user_id", "epoch", "spot", "item_id", "part")
 
 
 def rated_rows(spark, folder):
@@ -290,8 +310,13 @@ def task_pick(spark, folder):
 )
 def candidate_shuffle(spark, folder):
     cat = item_catalog(spark, folder)
-    ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
-    lists = neg.add_candidates(ex, cat, 99, SEED, "draw", True)
+    rows = indexed_history(spark, folder, cat)
+    fields = ["item_id", "item_idx"]
+    short = neg.add_candidates(splits.examples(rows, "test", fields), cat, 99, SEED, "draw", True)
+    long = splits.long_users(rows)
+    ends = splits.targets(long, "test", fields).withColumn("segment_no", F.lit(0))
+    more = neg.candidates_by_join(ends, excluded_rows(long), cat, 99, SEED, "draw")
+    lists = short.select(*KEYS, "candidates").unionByName(more)
     return lists.select("user_id", F.array_join("candidates", " ").alias("candidates"))
 
 
@@ -380,7 +405,7 @@ def like_dislike(spark, folder):
 )
 def yes_no_label(spark, folder):
     cat = item_catalog(spark, folder)
-    ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
+    ex = splits.targets(indexed_history(spark, folder, cat), "test", ["item_id", "item_idx"])
     both = neg.add_other_item(ex, cat, SEED, "other")
     yes = draws.coin(*who(), "shown")
     return both.select(
@@ -437,30 +462,33 @@ def liked_categories(spark, folder):
 
 @query(
     with_ctes(
-        *base(False),
-        f"""SELECT user_id, 'History of ' || user_id || ': ' || CASE WHEN
-          {draw_sql(SEED, "epoch", "user_id", "'sep'")} % 2 = 1 THEN array_to_string(items, ' , ')
-          ELSE array_to_string(items, ' -> ') END AS line FROM packed""",
+        HISTORY,
+        f"""SELECT user_id, pos // 4096 AS segment_no, 'History of ' || user_id || ': ' || CASE WHEN
+          {draw_sql(SEED, "'0'", "user_id", "'sep'")} % 2 = 1 THEN string_agg(item_id, ' , ' ORDER BY pos)
+          ELSE string_agg(item_id, ' -> ' ORDER BY pos) END AS line FROM hist GROUP BY user_id, segment_no""",
     )
 )
 def history_text(spark, folder):
-    ex = example_rows(spark, folder, [tpl.P5_SEQUENTIAL_EVAL])
-    items = text.joined(F.col("input.item_id"), " , ", " -> ", draws.coin(*who(), "sep"))
+    """One line per segment of the history."""
+    seqs = splits.segments(history(spark, folder), ["item_id"])
+    first = draws.coin(SEED, 0, F.col("user_id"), "sep")
+    items = text.joined(F.col("seq.item_id"), " , ", " -> ", first)
     line = text.fill("History of {user_id}: {history}", {"user_id": F.col("user_id"), "history": items})
-    return ex.select("user_id", line.alias("line"))
+    return seqs.select("user_id", "segment_no", line.alias("line"))
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, string_agg(item_id || ' -> ' || rating, ' ; ' ORDER BY pos) AS line
-        FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id""",
+        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id || ' -> ' || rating, ' ; ' ORDER BY pos) AS line
+        FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id, segment_no""",
     )
 )
 def rating_history_text(spark, folder):
-    ex = splits.examples(history(spark, folder), "test", ["item_id", "rating"])
-    pairs = text.arrow_pairs(F.col("input.item_id"), F.col("input.rating").cast("array<string>"))
-    return ex.select("user_id", F.array_join(pairs, " ; ").alias("line"))
+    rows = splits.split_rows(history(spark, folder), "test").filter(F.col("part") == "input")
+    seqs = splits.segments(rows, ["item_id", "rating"])
+    pairs = text.arrow_pairs(F.col("seq.item_id"), F.col("seq.rating").cast("array<string>"))
+    return seqs.select("user_id", "segment_no", F.array_join(pairs, " ; ").alias("line"))
 
 
 @query(
@@ -474,7 +502,7 @@ def rating_history_text(spark, folder):
 )
 def bullet_candidates(spark, folder):
     cat = item_catalog(spark, folder)
-    ex = example_rows(spark, folder, [tpl.P5_DIRECT_EVAL], cat=cat)
+    ex = splits.targets(indexed_history(spark, folder, cat), "test", ["item_id", "item_idx"])
     lists = neg.add_candidates(ex, cat, 4, SEED, "bullets", False)
     marker = F.when(draws.coin(*who(), "marker"), F.lit("* ")).otherwise(F.lit("- "))
     return lists.select("user_id", text.bullets(F.col("candidates"), marker).alias("lines"))
@@ -524,9 +552,7 @@ def multitask_sql(task_filter: bool) -> str:
 
 
 def multitask(spark, folder, strategy):
-    cat = item_catalog(spark, folder)
-    ex = example_rows(spark, folder, MULTI, training=True, cat=cat)
-    return checked(pr.build_training_prompts(ex, MULTI, seed=SEED, strategy=strategy, catalog=cat))
+    return checked(whole(spark, folder, MULTI, True, strategy))
 
 
 @query(multitask_sql(False))
