@@ -51,18 +51,28 @@ def too_short(interactions: DataFrame) -> DataFrame:
     return interactions.filter((F.col("pos") == 0) & (F.col("n") - 2 < 2)).select("user_id", "n")
 
 
-def window_rows(interactions: DataFrame, windows: DataFrame) -> DataFrame:
-    """Row form of sampled windows: spot 0..size, the last one is the target.
+def window_rows(
+    interactions: DataFrame, windows: DataFrame, block: int = splits.SEGMENT
+) -> DataFrame:
+    """Row form of sampled windows: spot 0..input_len, the last one is the target.
 
-    No per-user list: used for users of any length.
+    No per-user list: used for users of any length.  The join key holds the position
+    block beside the user, so a very long user is spread over the tasks.
     """
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + F.col("size"))
+    last = F.col("start") + F.col("size")
+    spread = windows.withColumn(
+        "block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size) div {block}")))
+    )
+    rows = interactions.withColumn("block", F.expr(f"pos div {block}"))
+    inside = F.col("pos").between(F.col("start"), last)
+    spot = F.col("pos") - F.col("start")
     return (
-        interactions.join(windows, "user_id")
+        rows.join(spread, ["user_id", "block"])
         .filter(inside)
-        .withColumn("spot", F.col("pos") - F.col("start"))
-        .withColumn("part", F.when(F.col("spot") == F.col("size"), "target").otherwise("input"))
-        .drop("start", "size")
+        .withColumn("spot", spot)
+        .withColumn("part", F.when(spot == F.col("size"), "target").otherwise("input"))
+        .withColumnRenamed("size", "input_len")
+        .drop("start", "block")
     )
 
 
@@ -96,13 +106,10 @@ def resample_target(examples: DataFrame, seed: int, purpose: str) -> DataFrame:
     )
 
 
-def resample_rows(rows: DataFrame, windows: DataFrame, seed: int, purpose: str) -> DataFrame:
-    """Row form of :func:`resample_target` over sampled windows."""
-    keys = ["user_id", "epoch"]
-    at = draws.pick(F.col("size") + 1, seed, F.col("epoch"), F.col("user_id"), purpose)
-    places = windows.select(*keys, at.alias("at"))
-    part = F.when(F.col("spot") == F.col("at"), "target").otherwise("input")
-    return rows.join(places, keys).withColumn("part", part).drop("at")
+def resample_rows(rows: DataFrame, seed: int, purpose: str) -> DataFrame:
+    """Row form of :func:`resample_target`: another spot becomes the target."""
+    at = draws.pick(F.col("input_len") + 1, seed, F.col("epoch"), F.col("user_id"), purpose)
+    return rows.withColumn("part", F.when(F.col("spot") == at, "target").otherwise("input"))
 
 
 # Range of perturbed ratings around each star.

@@ -117,6 +117,17 @@ def targets(interactions: DataFrame, split: str, fields: list[str]) -> DataFrame
     )
 
 
+def example_spots(interactions: DataFrame, split: str) -> DataFrame:
+    """Row form of validation or test examples: epoch, spot 0..input_len, part."""
+    return split_rows(interactions, split).withColumns(
+        {
+            "epoch": F.lit(0).cast("bigint"),
+            "spot": F.col("pos"),
+            "input_len": split_size(split) - 1,
+        }
+    )
+
+
 def flat_columns(df: DataFrame, fields: list[str]) -> DataFrame:
     """``input`` / ``target`` structs as ``input_<field>_seq`` and one-element ``gt_<field>`` lists."""
     keep = [c for c in df.columns if c not in ("input", "target")]

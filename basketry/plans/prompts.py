@@ -389,19 +389,18 @@ def build_prompts(
     return BUILDERS[task](examples, Setup(task, seed, training, catalog, force)).select(*COLUMNS)
 
 
-def long_examples(rows: DataFrame, s: Setup, fields: list[str], size: int = splits.SEGMENT) -> DataFrame:
+def long_examples(
+    rows: DataFrame, users: DataFrame, s: Setup, fields: list[str], size: int = splits.SEGMENT
+) -> DataFrame:
     """Example rows in segments of at most ``size`` input items, for long histories.
 
-    ``rows`` is the row form (user_id, epoch, spot, part, fields, user columns).  All
-    facts about a whole history are aggregates that merge before the shuffle; the
-    segment number spreads a user over the tasks.
+    ``rows`` is the row form (user_id, epoch, spot, input_len, part, fields).  Facts
+    about a whole history are aggregates that merge before the shuffle; every join and
+    grouping of its rows has the segment number in the key, which spreads a user over
+    the tasks.
     """
-    who = (*KEYS, "user_name", "user_key")
-    lengths = rows.groupBy(*KEYS).agg(F.max("spot").alias("input_len"))  # the target is last
-    rows = rows.join(lengths, KEYS)
     if s.training and s.task == tpl.DIRECT:
-        at = draws.pick(F.col("input_len") + 1, *s.parts("target"))
-        rows = rows.withColumn("part", F.when(F.col("spot") == at, "target").otherwise("input"))
+        rows = sampling.resample_rows(rows, s.seed, f"{s.task}/target")
     is_input, cell = F.col("part") == "input", F.struct("pos", *fields)
     facts = [F.max_by(cell, F.when(~is_input, F.col("spot"))).alias("target")]
     if "rating" in fields:
@@ -412,7 +411,7 @@ def long_examples(rows: DataFrame, s: Setup, fields: list[str], size: int = spli
             F.max_by(cell, F.when(F.col("spot") == at, F.col("spot"))).alias("first"),
             F.max(F.when(F.col("spot") == at + 1, F.col("item_id"))).alias("following"),
         ]
-    per_user = rows.groupBy(*who, "input_len").agg(*facts)
+    per_user = add_users(rows.groupBy(*KEYS, "input_len").agg(*facts), users)
     inputs = rows.filter(is_input)
     if "categories" in fields:
         each = inputs.select(*KEYS, F.explode("categories").alias("category")).distinct()
@@ -423,11 +422,13 @@ def long_examples(rows: DataFrame, s: Setup, fields: list[str], size: int = spli
         .groupBy(*KEYS, "segment_no")
         .agg(F.sort_array(F.collect_list(cell)).alias("input"))
     )
-    return lists.join(per_user, KEYS)
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(input_len - 1) div {int(size)}"))
+    return lists.join(per_user.withColumn("segment_no", F.explode(numbers)), [*KEYS, "segment_no"])
 
 
 def build_prompt_pieces(
     rows: DataFrame,
+    users: DataFrame,
     task: str,
     *,
     seed: int,
@@ -444,7 +445,7 @@ def build_prompt_pieces(
     task = tpl.find_task(task)
     fields = FIELDS[task]
     s = Setup(task, seed, training, catalog, force, excluded=rows)
-    segments = long_examples(rows, s, fields, size)
+    segments = long_examples(rows, users, s, fields, size)
     if "item_idx" in fields:
         s = replace(s, excluded=rows.select(*KEYS, "item_idx").distinct())
     return BUILDERS[task](segments, s).select(*COLUMNS, "part_no", "segment_no")
@@ -513,16 +514,14 @@ def whole_prompts(
         windows = sampling.training_windows(rows, epochs, seed)
         spots = sampling.window_rows(rows.filter(splits.in_split("train")), windows)
     else:
-        spots = splits.split_rows(rows, split).withColumn("epoch", F.lit(0).cast("bigint"))
-        spots = spots.withColumn("spot", F.col("pos"))
-    spots = add_users(spots, users)
+        spots = splits.example_spots(rows, split)
     if strategy == "random":
         drawn = sampling.pick_task(names, seed, F.col("epoch"), F.col("user_id"))
         spots = spots.withColumn("drawn_task", drawn)
     for task in names:
         mine = spots.filter(F.col("drawn_task") == task) if strategy == "random" else spots
         more = build_prompt_pieces(
-            mine, task, seed=seed, training=training, catalog=catalog, size=size
+            mine, users, task, seed=seed, training=training, catalog=catalog, size=size
         )
         out = out.unionByName(more)
     return out

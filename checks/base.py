@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.operators import splits
 from basketry.sources import retail
 
 SEED = 42
@@ -119,3 +120,17 @@ def rounded(what, columns: list[str] | None = None, digits: int = 6):
         return what.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in doubles})
     replaced = ", ".join(f'round("{c}", {digits}) AS "{c}"' for c in columns)
     return f"SELECT * REPLACE ({replaced}) FROM ({what})"
+
+
+def segment_examples(spark, folder, fields):
+    """Each segment of at most 4,096 rows as input rows and a last row as target."""
+    seqs = splits.segments(history(spark, folder), fields).filter(F.size("seq") > 1)
+    rest = F.slice(F.col("seq"), F.lit(1), F.size("seq") - 1)
+    return seqs.select(
+        "user_id", "segment_no", rest.alias("input"), F.element_at("seq", -1).alias("target")
+    )
+
+
+SEGMENTED = """seg AS (
+  SELECT *, pos // 4096 AS segment_no, max(pos) OVER (PARTITION BY user_id, pos // 4096) AS last_pos,
+    count(*) OVER (PARTITION BY user_id, pos // 4096) AS seg_rows FROM hist)"""

@@ -11,7 +11,7 @@ from basketry.operators.numbering import dense_index, number_rows
 from basketry.operators.predict import item_popularity
 from basketry.sources import layout, raw, retail
 from basketry.storage import fresh_path, pin
-from checks.base import HISTORY, ITEMS, USERS, history, query, with_ctes
+from checks.base import HISTORY, SEGMENTED, USERS, history, query, segment_examples, with_ctes
 
 
 @query(
@@ -397,19 +397,20 @@ def dev_subset(spark, folder):
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, string_agg(item_id, ' ' ORDER BY pos) FILTER (pos < n - 1) AS input_item_seq,
-          string_agg(CAST(rating AS VARCHAR), ' ' ORDER BY pos) FILTER (pos < n - 1) AS input_rating_seq,
-          any_value(item_id) FILTER (pos = n - 1) AS gt_item, 1::BIGINT AS n_targets
-        FROM hist WHERE n >= 2 GROUP BY user_id""",
+        SEGMENTED,
+        """SELECT user_id, segment_no, string_agg(item_id, ' ' ORDER BY pos) FILTER (pos < last_pos) AS input_item_seq,
+          string_agg(CAST(rating AS VARCHAR), ' ' ORDER BY pos) FILTER (pos < last_pos) AS input_rating_seq,
+          any_value(item_id) FILTER (pos = last_pos) AS gt_item, 1::BIGINT AS n_targets
+        FROM seg WHERE seg_rows > 1 GROUP BY user_id, segment_no""",
     )
 )
 def split_columns(spark, folder):
     """List columns input_*_seq and one-element gt_* lists."""
-    flat = splits.flat_columns(
-        splits.examples(history(spark, folder), "test", ["item_id", "rating"]), ["item_id", "rating"]
-    )
+    fields = ["item_id", "rating"]
+    flat = splits.flat_columns(segment_examples(spark, folder, fields), fields)
     return flat.select(
         "user_id",
+        "segment_no",
         F.array_join("input_item_seq", " ").alias("input_item_seq"),
         F.array_join(F.col("input_rating_seq").cast("array<string>"), " ").alias("input_rating_seq"),
         F.get("gt_item", F.lit(0)).alias("gt_item"),

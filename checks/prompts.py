@@ -7,7 +7,6 @@ import string
 from pyspark.sql import functions as F
 
 from basketry.functions import draws
-from basketry.operators import history as hist_ops
 from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
 from basketry.plans import prompts as pr
@@ -35,11 +34,8 @@ def example_pieces(spark, folder, task, training=False, cat=None):
     rows = pin(splits.long_users(history(spark, folder, items), PIECE), "long-history")
     if training:
         train = rows.filter(splits.in_split("train"))
-        spots = sampling.window_rows(train, sampling.training_windows(rows, EPOCHS, SEED))
-    else:
-        spots = splits.split_rows(rows, "test").withColumn("epoch", F.lit(0).cast("bigint"))
-        spots = spots.withColumn("spot", F.col("pos"))
-    return hist_ops.add_users(spots, retail.users(spark, folder))
+        return sampling.window_rows(train, sampling.training_windows(rows, EPOCHS, SEED), PIECE)
+    return splits.example_spots(rows, "test")
 
 
 # ---- SQL fragments ----------------------------------------------------------
@@ -442,7 +438,10 @@ def register_pieces(name, sql, task, training=False):
     def run(spark, folder):
         cat = item_catalog(spark, folder)
         rows = example_pieces(spark, folder, task, training, cat)
-        out = pr.build_prompt_pieces(rows, task, seed=SEED, training=training, catalog=cat, size=PIECE)
+        users = retail.users(spark, folder)
+        out = pr.build_prompt_pieces(
+            rows, users, task, seed=SEED, training=training, catalog=cat, size=PIECE
+        )
         cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
         names = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
         return checked(out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text")))

@@ -58,15 +58,24 @@ def who():
         ITEMS,
         WINDOWS,
         EX_TRAIN,
-        """SELECT user_id, epoch::BIGINT AS epoch, string_agg(item_id, ' ' ORDER BY spot) FILTER (NOT is_target) AS input,
-          any_value(item_id) FILTER (is_target) AS target FROM ex GROUP BY user_id, epoch""",
+        """SELECT user_id, epoch::BIGINT AS epoch, spot // 4096 AS segment_no,
+          string_agg(ex.item_id, ' ' ORDER BY spot) AS input, any_value(t.item_id) AS target
+        FROM ex JOIN (SELECT user_id, epoch, item_id FROM ex WHERE is_target) t USING (user_id, epoch)
+        WHERE NOT is_target GROUP BY user_id, epoch, segment_no""",
     )
 )
 def train_window_sample(spark, folder):
-    """List form of the windows (users of up to 4096 rows; train_window_rows has all)."""
-    ex = sampling.train_examples(history(spark, folder), ["item_id"], EPOCHS, SEED)
-    return ex.select(
-        "user_id", "epoch", F.array_join("input.item_id", " ").alias("input"), F.col("target.item_id").alias("target")
+    """The windows as lists, in segments of 4,096 items."""
+    rows = pin(history(spark, folder).drop("rating"), "history")
+    spots = sampling.window_rows(rows, sampling.training_windows(rows, EPOCHS, SEED))
+    inputs = spots.filter(F.col("part") == "input").withColumn("segment_no", F.expr("spot div 4096"))
+    lists = inputs.groupBy("user_id", "epoch", "segment_no").agg(
+        F.sort_array(F.collect_list(F.struct("spot", "item_id"))).alias("seq")
+    )
+    ends = spots.filter(F.col("part") == "target").select("user_id", "epoch", F.col("item_id").alias("target"))
+    out = lists.join(ends, ["user_id", "epoch"])
+    return out.select(
+        "user_id", "epoch", "segment_no", F.array_join("seq.item_id", " ").alias("input"), "target"
     )
 
 
@@ -262,7 +271,7 @@ def category_pick(spark, folder):
 def target_pick(spark, folder):
     rows = pin(history(spark, folder).drop("rating"), "history")
     windows = sampling.training_windows(rows, EPOCHS, SEED)
-    out = sampling.resample_rows(sampling.window_rows(rows, windows), windows, SEED, "pick")
+    out = sampling.resample_rows(sampling.window_rows(rows, windows, block=16), SEED, "pick")
     return out.select("user_id", "epoch", "spot", "item_id", "part")
 
 
