@@ -95,3 +95,9 @@ def predict_topn(
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     return prompts.mapInPandas(run, f"{fields}, preds array<string>")
+
+
+def answer_texts(spark, texts: list[str], load, n: int) -> list[list[str]]:
+    """Answers for a few texts typed in by hand, in their order."""
+    asked = spark.createDataFrame(list(enumerate(texts)), "place long, input_text string")
+    return [r.preds for r in predict_topn(asked, load, n).orderBy("place").collect()]
