@@ -27,18 +27,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def purchases(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per purchased line, not numbered yet."""
-    lines = table(spark, folder, "lineitem")
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per purchased line with numeric item keys, not numbered yet."""
+    bought = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    return bought.join(orders, bought.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").cast("string").alias("user_id"),
-        F.col("l_partkey").cast("string").alias("item_id"),
         (F.lit(1) + (F.col("l_quantity").cast("bigint") - 1) % 5).alias("rating"),
         *LINE_ORDER,
     )
 
 
+def purchases(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`lines` with the text item id."""
+    return lines(spark, folder).withColumn("item_id", F.col("l_partkey").cast("string"))
+
+
 def row_bound(spark: SparkSession, folder: str) -> int:
     """Upper bound of the purchase rows, read from the Parquet footers."""
     return table(spark, folder, "lineitem").count()
@@ -49,18 +53,22 @@ def interactions(
     folder: str,
     items: DataFrame | None = None,
     lead: dict[str, str] | None = None,
-    keep_order: bool = False,
 ) -> DataFrame:
     """Numbered history rows: user_id, pos, n, item_id, rating and ``items`` columns.
 
     ``items`` (keyed by item_id) is joined before the numbering, so the shuffle by
-    user also serves the later grouping by user.
+    user also serves the later grouping by user.  Item ids cross the shuffle as the
+    numbers they are sorted by and become text after it.
     """
-    rows = purchases(spark, folder)
+    rows = lines(spark, folder)
     if items is not None:
-        rows = rows.join(items, "item_id")
+        keyed = items.withColumn("l_partkey", F.col("item_id").cast("bigint")).drop("item_id")
+        rows = rows.join(keyed, "l_partkey")
+    lead = {new: "l_partkey" if src == "item_id" else src for new, src in (lead or {}).items()}
     out = number_rows(rows, ["user_id"], LINE_ORDER, lead=lead, at_most=row_bound(spark, folder))
-    return out if keep_order else out.drop(*LINE_ORDER)
+    out = out.withColumn("item_id", F.col("l_partkey").cast("string"))
+    out = out.withColumns({new: F.col(new).cast("string") for new, src in lead.items() if src == "l_partkey"})
+    return out.drop(*LINE_ORDER)
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
