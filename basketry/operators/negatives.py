@@ -55,7 +55,10 @@ def walk_start(cat: Catalog, *parts) -> tuple[Column, Column]:
 
 
 def negative_indexes(cat: Catalog, excluded: Column, n: int, *parts) -> Column:
-    """First n item indexes of the walk outside ``excluded`` (an array), in walk order."""
+    """First n item indexes of the walk outside ``excluded`` (an array), in walk order.
+
+    Short when fewer than n items are left.
+    """
     a, b = walk_start(cat, *parts)
     steps = F.least(F.size(excluded) + (n + cat.prime - cat.size), F.lit(cat.prime))
     walk = let(
@@ -134,8 +137,10 @@ def add_candidates(
     """
     keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
-    negatives = negative_indexes(cat, excluded_indexes(outside_history), n, *parts)
-    drawn = rows.withColumn("negatives", negatives).filter(F.size("negatives") == n)
+    excluded = excluded_indexes(outside_history)
+    # filtering on the drawn list instead would draw it twice
+    enough = rows.filter(F.size(excluded) <= cat.size - n)
+    drawn = enough.withColumn("negatives", negative_indexes(cat, excluded, n, *parts))
 
     def order(item: Column) -> Column:
         return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
