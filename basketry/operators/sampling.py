@@ -46,6 +46,12 @@ def _with_window(rows: DataFrame, length: Column, seed: int) -> DataFrame:
     return sized.withColumn("start", window_start(length, F.col("size"), *who))
 
 
+def require_windows(interactions: DataFrame) -> DataFrame:
+    """The rows unchanged; the job fails at a user too short for a training window."""
+    message = F.concat(F.col("user_id"), F.lit(" has less than 2 training rows"))
+    return interactions.filter(F.when(F.col("n") - 2 < 2, F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def too_short(interactions: DataFrame) -> DataFrame:
     """Users with a training history that gives no window."""
     return interactions.filter((F.col("pos") == 0) & (F.col("n") - 2 < 2)).select("user_id", "n")

@@ -142,10 +142,10 @@ def pad_left(ids: Column, length: Column, pad: int) -> Column:
 
 
 def pad_batches(
-    rows: DataFrame, pads: dict[str, int], batch: str = "batch", left: bool = False
+    rows: DataFrame, pads: dict[str, int], batch: str | list[str] = "batch", left: bool = False
 ) -> DataFrame:
     """Pad each list column to its longest row of the batch (a group of batch size)."""
-    in_batch = W.partitionBy(batch)
+    in_batch = W.partitionBy(*([batch] if isinstance(batch, str) else batch))
     pad = pad_left if left else pad_right
     longest = rows.select(
         "*", *[F.max(F.size(c)).over(in_batch).alias(f"{c}_len") for c in pads]

@@ -36,6 +36,7 @@ FIELDS = {
     tpl.P5_DIRECT: ["item_id", "title", "item_idx"],
     tpl.P5_DIRECT_EVAL: ["item_id", "item_idx"],
 }
+WHOLE = -1  # part number of a prompt that is one text
 FEW, MANY = 4, 99  # wrong candidates of the short and the long lists
 
 
@@ -489,9 +490,9 @@ def whole_prompts(
     """Prompts of every user: whole texts, and pieces for histories longer than ``size``.
 
     ``epochs`` switches to training windows; otherwise one task of ``split`` is
-    expanded over its templates.  Whole texts have part_no = segment_no = 0.  The
-    longest history is observed while the examples are written, so the pieces cost
-    nothing when there are none.
+    expanded over its templates.  Whole texts have part_no = WHOLE.  The longest
+    history is observed while the examples are written, so the pieces cost nothing
+    when there are none.
     """
     names = [tpl.find_task(t) for t in tasks]
     training, fields = epochs is not None, fields_of(names)
@@ -506,7 +507,7 @@ def whole_prompts(
         out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog)
     else:
         out = build_prompts(ex, names[0], seed=seed, catalog=catalog)
-    out = out.withColumns({"part_no": F.lit(0), "segment_no": F.lit(0).cast("bigint")})
+    out = out.withColumns({"part_no": F.lit(WHOLE), "segment_no": F.lit(0).cast("bigint")})
     if (longest.get["n"] or 0) <= size:
         return out
     rows = pin(splits.long_users(interactions, size), "long-history")

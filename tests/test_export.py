@@ -8,6 +8,7 @@ from basketry.operators import predict, summary, tokens
 from basketry.operators.metricspec import metric
 from basketry.operators.ranking import ranking_metrics
 from basketry.plans import evaluation as ev
+from basketry.plans import export
 from basketry.sources import layout
 from basketry.streaming import running
 
@@ -97,6 +98,27 @@ def test_padding(spark):
     assert right == [(0, [5, 0]), (0, [7, 0]), (1, [9])] and left == [(0, [0, 7]), (0, [5, 0]), (1, [9])]
 
 
+@pytest.mark.parametrize("decoder", [False, True])
+def test_export(spark, decoder):
+    data = [(f"u{u}", e, "t", "inference", "0", "word " * (u + 1), f"i{u}") for e in (1, 2) for u in range(23)]
+    names = "user_id string, epoch long, task string, role string, template_id string, input_text string, target_text string"
+    prompts = spark.createDataFrame(data, names)
+    options = {"seed": 1, "batch_size": 5, "max_len": 16, "decoder": decoder}
+    out = export.export_batches(prompts, **options)
+    got = out.collect()
+    assert rows(out) == rows(export.export_batches(prompts.repartition(3), **options, hot_rows=4))
+    column = "total_ids" if decoder else "input_ids"
+    orders = {}
+    for epoch in (1, 2):
+        mine = sorted((r for r in got if r.epoch == epoch), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(23)) and max(r.batch for r in mine) == 4
+        for b in range(5):
+            lengths = {len(r[column]) for r in mine if r.batch == b}
+            assert len(lengths) == 1 and lengths.pop() <= 16
+        orders[epoch] = [r.user_id for r in mine]
+    assert orders[1] != orders[2]
+
+
 def test_own_tokenizer(spark):
     tok = tokens.Tokenizer(pieces=lambda w: F.array(w), ids=lambda t: F.length(t))
     row = spark.range(1).select(tok.encode(F.lit("a bcd")).alias("e")).first()

@@ -33,6 +33,12 @@ def test_short_histories(short):
     assert all([x.item_id for x in r.input] == ["d0"] and r.target.item_id == "d1" for r in d)
 
 
+def test_strict_mode_names_the_short_user(short):
+    with pytest.raises(Exception, match="less than 2 training rows"):
+        sampling.require_windows(short).collect()
+    assert sampling.require_windows(short.filter("user_id = 'd'")).count() == 4
+
+
 def test_split_partitions_the_history(short):
     parts = {s: splits.split_rows(short, s) for s in splits.SPLITS}
     train = rows(parts["train"].filter("user_id = 'd'"), "pos")

@@ -9,6 +9,7 @@ from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
 from basketry.operators.metricspec import ERROR
 from basketry.operators.numbering import number_rows
+from basketry.plans import export
 from basketry.plans import prompts as pr
 from basketry.plans import templates as tpl
 
@@ -191,6 +192,16 @@ def test_long_histories_give_the_same_texts(hist, users, cat, task, epochs):
     assert run(10) == run(4096)
 
 
+def test_export_of_pieces_equals_export_of_whole_texts(hist, users, cat):
+    def run(size):
+        out = pr.whole_prompts(hist, users, [tpl.SEQUENTIAL], seed=SEED, epochs=2, catalog=cat, size=size)
+        return rows(export.export_batches(out, seed=1, batch_size=4, max_len=9, size=size))
+
+    assert run(10) == run(4096)
+    with pytest.raises(ValueError):
+        export.cut_texts(hist, 20, 10)
+
+
 def test_single_target_guard(spark):
     df = spark.createDataFrame([(["a"],), (["a", "b"],)], "gt array<string>")
     with pytest.raises(Exception, match="exactly one"):
