@@ -19,9 +19,9 @@ PART = [
 
 
 def names():
-    import __spark_entry__ as entry
+    from checks import registry
 
-    return sorted(entry.queries()) if os.environ.get("BASKETRY_ALL") else PART
+    return sorted(registry.QUERIES) if os.environ.get("BASKETRY_ALL") else PART
 
 
 @pytest.fixture(scope="module")
@@ -41,9 +41,9 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    import __spark_entry__ as entry
+    from checks import registry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry(spark):
