@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fingerprints, host_rules, mixing, packing, perplexity, pii, simhash_dedup
+from basketry.llm import fingerprints, host_rules, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
 from basketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_differencing_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+@query()
+def op4_suffix_repeats(spark, folder):
+    return suffix_dedup.dedup(table(spark, folder, "documents"), keep="none")
+
+
 @query(host_rules.SQL)
 def op6_host_rules(spark, folder):
     return host_rules.apply_rules(table(spark, folder, "documents"))
