@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fingerprints, host_rules, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
+from basketry.llm import fingerprints, host_rules, html_extract, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
 from basketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op7_personal_data(spark, folder):
     return pii.find(table(spark, folder, "documents"))
 
 
+@query()
+def op8_main_text(spark, folder):
+    return html_extract.extract(table(spark, folder, "pages"))
+
+
 @query()
 def op9_simhash_blocks(spark, folder):
     return fingerprints.edited_report(table(spark, folder, "documents"))
