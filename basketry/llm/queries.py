@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import fingerprints, host_rules, html_extract, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
+from basketry.llm import chaining, fingerprints, host_rules, html_extract, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
 from basketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op4_suffix_repeats(spark, folder):
     return suffix_dedup.dedup(table(spark, folder, "documents"), keep="none")
 
 
+@query()
+def op5_chained_passages(spark, folder):
+    return chaining.passages(table(spark, folder, "documents"))
+
+
 @query(host_rules.SQL)
 def op6_host_rules(spark, folder):
     return host_rules.apply_rules(table(spark, folder, "documents"))
