@@ -49,22 +49,22 @@ def exponent(shares: DataFrame, target: float = ENTROPY, repeats: float = REPEAT
     With a smaller exponent the weights are more even (more entropy) and small sources are
     repeated more; the repetition limit wins.
     """
-    def search(good) -> float:
-        """The border between grid points where ``good`` holds (at 0) and does not (at 1)."""
+    def search(good) -> tuple[float, float]:
+        """Neighbours on the finest grid: ``good`` holds at the first and not at the second."""
         lo, hi = 0.0, 1.0
         for _ in range(ROUNDS):
             grid = [lo + (hi - lo) * i / GRID for i in range(GRID + 1)]
             held = [good(x) for x in _log_weights(shares, grid)]
             if all(held):
-                return hi
+                return hi, hi
             k = held.index(False)
             if k == 0:
-                return lo
+                return lo, lo
             lo, hi = grid[k - 1], grid[k]
-        return lo
+        return lo, hi
 
-    even = search(lambda x: x[1] >= target * math.log(x[2]) - 1e-12)
-    least = search(lambda x: budget * x[3] > repeats + 1e-12)
+    even, _ = search(lambda x: x[1] >= target * math.log(x[2]) - 1e-12)
+    _, least = search(lambda x: budget * x[3] > repeats + 1e-12)
     return max(even, least)
 
 

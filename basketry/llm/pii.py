@@ -7,6 +7,7 @@ a context word near it raise it, and spans under ``THRESHOLD`` are dropped.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -113,7 +114,7 @@ EXTRA = (
          0.1, _ssn, 0.2, _context("ssn", "social", "security"), 0.4),
     Kind("key", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), lambda t: "AKIA" in t,
          0.6, None, 0.0, _context("key", "aws", "secret"), 0.2),
-    Kind("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}["']?[^\s"']{8,200}["']?""", re.I),
+    Kind("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{8,200}["']?""", re.I),
          lambda t: "=" in t or ":" in t, 0.4, lambda m: _DIGIT.search(m.group()) is not None, 0.3, None, 0.0),
     Kind("local_phone", re.compile(r"(?<![0-9+])\(?[0-9]{3,5}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
          lambda t: _DIGIT.search(t) is not None, 0.2, None, 0.0, _context("call", "phone", "tel", "telefon", "mobile", "fax"), 0.4),
@@ -135,10 +136,16 @@ def extra(text: str, kind: Kind) -> Iterator[tuple[int, int, float]]:
             yield m.start(), m.end(), score
 
 
+def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a span overlaps any of the sorted ones; those may overlap each other a little."""
+    at = bisect.bisect_left(taken, (end, 0))
+    return any(e > start for _, e in taken[max(0, at - len(BASE)) : at])
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start.
 
-    A proposal of a further kind inside a base span is the same datum and is not repeated.
+    A proposal of a further kind that overlaps a span found before it is not added.
     """
     text = text or ""
     digits = _DIGIT.search(text) is not None
@@ -147,9 +154,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         found += [("ip", *s) for s in addresses(text)]
         found += [("card", *s) for s in cards(text)]
         found += [("phone", *s) for s in phones(text)] if "+" in text else []
-    base = list(found)
+    taken = sorted((s, e) for _, s, e in found)
     for kind in EXTRA:
-        found += [(kind.name, s, e) for s, e, _ in extra(text, kind) if not any(a < e and s < b for _, a, b in base)]
+        new = [(s, e) for s, e, _ in extra(text, kind) if not _overlaps(taken, s, e)]
+        found += [(kind.name, s, e) for s, e in new]
+        taken = sorted(taken + new)
     return found
 
 
