@@ -81,7 +81,7 @@ def ndcg(discount: Callable[[Column], Column] = F.log2, ideal: str = "retrieved"
 def _error(name: str, combine: Callable[[Column], Column]) -> Callable[..., Metric]:
     def build(k: int | None = None) -> Metric:
         if k is not None:
-            raise KeyError(f"{name}@{k} metric does not exist!")
+            raise KeyError(f"metric {name!r} takes no cutoff, got {k}")
         return Metric(name, ERROR, None, False, None, combine)
 
     return build
@@ -93,7 +93,7 @@ def _ranking(name: str, per_row) -> Callable[..., Metric]:
 
 def _loss(k: int | None = None) -> Metric:
     if k is not None:
-        raise KeyError(f"Loss@{k} metric does not exist!")
+        raise KeyError(f"the loss takes no cutoff, got {k}")
     return Metric("Loss", LOSS, None, False)
 
 
@@ -117,7 +117,7 @@ def find_metric(name: str) -> Callable[..., Metric]:
     for known, build in METRICS.items():
         if known.lower() == name.lower():
             return build
-    raise KeyError(f"Metric {name} does not exist!")
+    raise KeyError(f"no metric is registered as {name!r}")
 
 
 def metric_exists(text: str) -> bool:
@@ -130,7 +130,7 @@ def metric(text: str) -> Metric:
     """``ndcg@10`` -> Metric.  One ``@`` at most, digits after it, no cutoff on errors."""
     name, *cut = text.split("@")
     if len(cut) > 1 or (cut and not cut[0].isdigit()):
-        raise KeyError(f"{text} metric does not exist!")
+        raise KeyError(f"cannot read {text!r} as a metric")
     build = find_metric(name)
     return build(int(cut[0])) if cut else build()
 

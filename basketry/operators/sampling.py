@@ -48,7 +48,7 @@ def _with_window(rows: DataFrame, length: Column, seed: int) -> DataFrame:
 
 def require_windows(interactions: DataFrame) -> DataFrame:
     """The rows unchanged; the job fails at a user too short for a training window."""
-    message = F.concat(F.col("user_id"), F.lit(" has less than 2 training rows"))
+    message = F.concat(F.lit("no training window fits the history of user "), F.col("user_id"))
     return interactions.filter(F.when(F.col("n") - 2 < 2, F.raise_error(message).cast("boolean")).otherwise(True))
 
 

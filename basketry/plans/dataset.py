@@ -122,7 +122,7 @@ def find_dataset(name: str) -> Callable[..., Dataset]:
     for known, read in DATASETS.items():
         if known.lower() == name.lower():
             return read
-    raise KeyError(f"Dataset {name} does not exist!")
+    raise KeyError(f"no dataset is registered as {name!r}")
 
 
 def register_dataset(name: str, read: Callable[..., Dataset]) -> None:

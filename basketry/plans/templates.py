@@ -45,79 +45,80 @@ TASK_FAMILY = {
 ITEM, STARS, RATED = "{target_item}", "{star_rating}", "{target_rating}"
 YES_NO, LIKE = "{yes_no}", "{like_dislike}"
 
+# Our own wordings.  What is fixed by the task definitions is each id's role and slots.
 _WORDINGS: dict[str, list[tuple[str, str, str, str]]] = {
     RATING: [
-        ("0", "inference", "Rate for {user_id}.\nMean score so far: {avg_rating}\nScored purchases: {rated_history}\nWhich score comes next, for {item_id}?", RATED),
-        ("1", "inference", "Rate for {user_id}.\nMean score so far: {avg_rating}\nGuess the score of {item_id} from these scored purchases:\n{rated_history}", RATED),
-        ("2", "inference", "Rate for {user_id}.\nOn a scale of 1 to 5, how will {item_id} be scored?\nEarlier scores: {rated_history}\nTheir mean is {avg_rating}", RATED),
-        ("3", "inference", "Rate for {user_id}.\nPurchases and scores: {rated_history}\nMean score: {avg_rating}\nUse both to score {item_id} from 1 to 5", RATED),
-        ("4", "inference", "Rate for {user_id}.\nSomebody with a mean score of {avg_rating} bought {rated_history}\nScore {item_id} the same way, from 1 to 5", RATED),
+        ("0", "inference", "[{user_id}]\nscored: {rated_history}\naverage: {avg_rating}\nscore of {item_id}:", RATED),
+        ("1", "inference", "Shopper {user_id}, {avg_rating} on average. One more score is missing.\nItem: {item_id}\nKnown: {rated_history}", RATED),
+        ("2", "inference", "Fill in the blank with a whole number up to five.\n{rated_history} , {item_id} -> ___\n(shopper {user_id}, average {avg_rating})", RATED),
+        ("3", "inference", "Scores by {user_id}, oldest first:\n{rated_history}\nThey average {avg_rating}. Now {item_id} is being scored; the result will be", RATED),
+        ("4", "inference", "Item {item_id} has arrived at {user_id}, who is {avg_rating} satisfied on a five point scale, as {rated_history} shows. Points for the new arrival?", RATED),
     ],
     SEQUENTIAL: [
-        ("0", "inference", "Next purchase of {user_id}.\nContinue this list: {history}\nOne category per entry: {category_history}", ITEM),
-        ("1", "inference", "Next purchase of {user_id}.\nBought in this order: {history}\nCategories in the same order: {category_history}\nName the following item", ITEM),
-        ("2", "inference", "Next purchase of {user_id}.\nWhat should be offered after {history}?\nThese belong to {category_history}", ITEM),
-        ("3", "inference", "Next purchase of {user_id}.\nChoose from the whole catalog, given the orders {history}\nand their categories {category_history}", ITEM),
-        ("4", "inference", "Next purchase of {user_id}.\nOrders: {history}\nCategories: {category_history}\nOffer the item that will be bought next", ITEM),
-        ("5", "inference", "Next purchase of {user_id}.\nWhich item fits best after {history}\nwith categories {category_history}?", ITEM),
-        ("6", "qa", "Next purchase of {user_id}.\nOrders: {history}\nCategories: {category_history}\nOne of these follows, which?\n{candidates}", ITEM),
-        ("7", "qa", "Next purchase of {user_id}.\nAfter {history} from {category_history}, offer one entry of this list:\n{candidates}", ITEM),
-        ("8", "pair", "Next purchase of {user_id}.\n{previous_item} was bought a moment ago, filed under {previous_categories}\nWhat follows it?", ITEM),
-        ("9", "pair", "Next purchase of {user_id}.\nLast order: {previous_item}. Its categories: {previous_categories}. Name the next order", ITEM),
+        ("0", "inference", "[{user_id}] {history} | {category_history} | next:", ITEM),
+        ("1", "inference", "The basket log of {user_id} has two columns.\nItems:\n{history}\nKinds:\n{category_history}\nAppend one line to the first column.", ITEM),
+        ("2", "inference", "Kinds seen lately: {category_history}. Items behind them: {history}. {user_id} comes back tomorrow and takes", ITEM),
+        ("3", "inference", "Complete the row.\nshopper: {user_id}\nitems: {history}\nkinds: {category_history}\nnext item:", ITEM),
+        ("4", "inference", "Step by step {user_id} went through {category_history} by taking {history}. Where does the path lead now?", ITEM),
+        ("5", "inference", "Forecast for {user_id}: with {history} (of the kinds {category_history}) already at home, the coming parcel contains", ITEM),
+        ("6", "qa", "Exactly one line below is the coming parcel of {user_id}.\n{candidates}\nAlready delivered: {history}\nKinds: {category_history}", ITEM),
+        ("7", "qa", "Pick a line.\n{candidates}\nIt has to continue {history} | {category_history} for {user_id}", ITEM),
+        ("8", "pair", "{previous_item} ({previous_categories}) has just left the shop with {user_id}. Next through the till:", ITEM),
+        ("9", "pair", "[{user_id}] {previous_categories}: {previous_item}, then", ITEM),
     ],
     DIRECT: [
-        ("0", "inference", "Suggestion for {user_id}.\nTake one catalog item that suits these favourite categories: {liked_categories}", ITEM),
-        ("1", "inference", "Suggestion for {user_id}.\nPast purchases come from {liked_categories}\nSuggest one item", ITEM),
-        ("2", "inference", "Suggestion for {user_id}.\nGiven a taste for {liked_categories}, which item should be shown?", ITEM),
-        ("3", "inference", "Suggestion for {user_id}.\nFind an item to show to somebody who likes {liked_categories}", ITEM),
-        ("4", "inference", "Suggestion for {user_id}.\nCategories bought so far: {liked_categories}\nSuggest an item that will be bought", ITEM),
-        ("5", "inference", "Suggestion for {user_id}.\nWhich single item is the best one to suggest, if the liked categories are {liked_categories}", ITEM),
-        ("6", "qa", "Suggestion for {user_id}.\nLiked categories: {liked_categories}\nWhich entry is of interest?\n{candidates}", ITEM),
-        ("7", "qa", "Suggestion for {user_id}.\nBought so far from {liked_categories}.\nSuggest one entry of this list:\n{candidates}", ITEM),
-        ("8", "qa", "Suggestion for {user_id}.\nCategories of the purchases: {liked_categories}.\nGuess the right entry among:\n{candidates}", ITEM),
+        ("0", "inference", "[{user_id}] likes: {liked_categories}\noffer:", ITEM),
+        ("1", "inference", "All shelves that {user_id} visits: {liked_categories}. Put one thing into the window that makes this shopper stop.", ITEM),
+        ("2", "inference", "{liked_categories}\nWrite down an item number for the person behind this profile, {user_id}.", ITEM),
+        ("3", "inference", "One slot is free on the start page of {user_id}. Profile: {liked_categories}. Content of the slot:", ITEM),
+        ("4", "inference", "Profile of {user_id}\n{liked_categories}\nA gift that matches it:", ITEM),
+        ("5", "inference", "Match profile and stock: {user_id} = {liked_categories}, best match =", ITEM),
+        ("6", "qa", "{candidates}\nOnly one of the lines above belongs to the profile {liked_categories} of {user_id}:", ITEM),
+        ("7", "qa", "Profile: {liked_categories}\nShopper: {user_id}\nStock:\n{candidates}\nMatch:", ITEM),
+        ("8", "qa", "Sort out the strangers until one line is left for {user_id} ({liked_categories}).\n{candidates}", ITEM),
     ],
     P5_RATING: [
-        ("1-1", "inference", "How many stars does user_{user_id} give to item_{item_id}, from 1 (worst) to 5 (best)?", STARS),
-        ("1-2", "inference", "How many stars does user_{user_id} give to \"{item_title}\", from 1 (worst) to 5 (best)?", STARS),
-        ("1-3", "support", "Is {shown_rating} the number of stars user_{user_id} gives to item_{item_id}, from 1 (worst) to 5 (best)?", YES_NO),
-        ("1-4", "support", "Is item_{item_id} something user_{user_id} will like or dislike?", LIKE),
-        ("1-5", "inference", "Stars of user_{user_id} for item_{item_id}, called \"{item_title}\":\n1\n2\n3\n4\n5", STARS),
-        ("1-6", "inference", "{user_name} is about to rate item_{item_id}. How many stars, from 1 (worst) to 5 (best)?", STARS),
-        ("1-7", "inference", "{user_name} is about to rate \"{item_title}\". How many stars, from 1 (worst) to 5 (best)?", STARS),
-        ("1-8", "support", "Is {shown_rating} the number of stars {user_name} gives to \"{item_title}\", from 1 (worst) to 5 (best)?", YES_NO),
-        ("1-9", "support", "Is \"{item_title}\" something {user_name} will like or dislike?", LIKE),
+        ("1-1", "inference", "Review form\nauthor: user_{user_id}\nproduct: item_{item_id}\nstars (1-5):", STARS),
+        ("1-2", "inference", "\"{item_title}\", reviewed by user_{user_id}, ends up with this many stars out of five:", STARS),
+        ("1-3", "support", "Claim: item_{item_id} has {shown_rating} of five stars in the review of user_{user_id}. Is the claim right?", YES_NO),
+        ("1-4", "support", "Mood of user_{user_id} after unpacking item_{item_id}, in one word (like, dislike):", LIKE),
+        ("1-5", "inference", "Tick one box for item_{item_id}, \"{item_title}\", on behalf of user_{user_id}.\n( ) 1  ( ) 2  ( ) 3  ( ) 4  ( ) 5", STARS),
+        ("1-6", "inference", "item_{item_id} and {user_name}: stars out of five?", STARS),
+        ("1-7", "inference", "{user_name} writes a review. Product: \"{item_title}\". Stars out of five:", STARS),
+        ("1-8", "support", "{shown_rating} of five stars for \"{item_title}\", signed {user_name}. Is this review genuine?", YES_NO),
+        ("1-9", "support", "like or dislike, what does {user_name} say about \"{item_title}\"?", LIKE),
     ],
     P5_SEQUENTIAL: [
-        ("2-1", "inference", "user_{user_id} bought, in order:\n{history}\nWhich item is bought next?", ITEM),
-        ("2-2", "inference", "These are the orders of user_{user_id}:\n{history}\nHelp me to find the next item to offer.", ITEM),
-        ("2-3", "inference", "List of orders, user_{user_id}:\n{history}\nOffer one more item", ITEM),
-        ("2-4", "inference", "{user_name} bought, in order:\n{history}\nWhich item is bought next?", ITEM),
-        ("2-5", "inference", "Look at the orders of {user_name}:\n{history}\nWhich item is the likely next one?", ITEM),
-        ("2-6", "inference", "List of orders, {user_name}:\n{history}\nWhat should be offered next?", ITEM),
-        ("2-7", "qa", "List of orders, user_{user_id}:\n{history}\nOne of these is bought next, which?\n{candidates}", ITEM),
-        ("2-8", "qa", "{user_name} bought, in order:\n{history}\nOffer one of the following:\n{candidates}", ITEM),
-        ("2-9", "qa", "Look at the orders of user_{user_id}:\n{history}\nTake the likely next item out of:\n{candidates}", ITEM),
-        ("2-10", "qa", "These are the orders of {user_name}:\n{history}\nHelp me to choose the next item from:\n{candidates}", ITEM),
-        ("2-11", "pair", "user_{user_id} bought, in order:\n{history}\nIs {shown_item} the next order?", YES_NO),
-        ("2-12", "pair", "Look at the orders of {user_name}:\n{history}\nWill {shown_item} be bought next?", YES_NO),
+        ("2-1", "inference", "{history}\nThe line above is the account of user_{user_id}. Add an entry:", ITEM),
+        ("2-2", "inference", "account: user_{user_id}\nentries: {history}\nnew entry:", ITEM),
+        ("2-3", "inference", "With {history} on the account, user_{user_id} presses the order button once more for", ITEM),
+        ("2-4", "inference", "Name: {user_name}\nOrdered: {history}\nAbout to order:", ITEM),
+        ("2-5", "inference", "Guess what {user_name} will carry home after {history}", ITEM),
+        ("2-6", "inference", "{history} ... and then? ({user_name})", ITEM),
+        ("2-7", "qa", "Options: {candidates}\nAccount of user_{user_id}: {history}\nThe option that continues the account:", ITEM),
+        ("2-8", "qa", "Cross out all but one of {candidates} so that the rest continues {history} for {user_name}", ITEM),
+        ("2-9", "qa", "user_{user_id} stands before a shelf with {candidates}. The bag holds {history}. The hand reaches for", ITEM),
+        ("2-10", "qa", "Name: {user_name}\nOrdered: {history}\nOn offer: {candidates}\nTaken:", ITEM),
+        ("2-11", "pair", "Account of user_{user_id}: {history}\nProposed entry: {shown_item}\nCorrect?", YES_NO),
+        ("2-12", "pair", "{shown_item} directly after {history}: does this fit {user_name}?", YES_NO),
     ],
     P5_DIRECT: [
-        ("5-1", "support", "Is item_{shown_item} of interest to user_{user_id}?", YES_NO),
-        ("5-2", "support", "Should item_{shown_item} be offered to {user_name}?", YES_NO),
-        ("5-3", "support", "Is \"{shown_title}\" a good offer for {user_name}?", YES_NO),
-        ("5-4", "support", "user_{user_id} needs an offer. Does this one fit?\n{shown_title}", YES_NO),
-        ("5-5", "inference", "One of these should be offered to {user_name}, which?\n{candidates}", ITEM),
-        ("5-6", "inference", "Find the best offer for {user_name} among:\n{candidates}", ITEM),
-        ("5-7", "inference", "From this list, offer the most fitting item to user_{user_id}:\n{candidates}", ITEM),
+        ("5-1", "support", "user_{user_id} x item_{shown_item}: a match?", YES_NO),
+        ("5-2", "support", "The shop wants to mail {user_name} about item_{shown_item}. Send the mail?", YES_NO),
+        ("5-3", "support", "Would {user_name} open a page named \"{shown_title}\"?", YES_NO),
+        ("5-4", "support", "{shown_title}\nKeep this card in the deck of user_{user_id}?", YES_NO),
+        ("5-5", "inference", "Deck: {candidates}\nThe card that {user_name} draws and keeps:", ITEM),
+        ("5-6", "inference", "{user_name} may take a single thing away from {candidates} and takes", ITEM),
+        ("5-7", "inference", "Order these for user_{user_id} and write the top one only: {candidates}", ITEM),
     ],
 }
 
 # Evaluation tasks: one template that training has seen and one that it has not.
 _SEEN = {P5_RATING_EVAL: (P5_RATING, "1-6"), P5_SEQUENTIAL_EVAL: (P5_SEQUENTIAL, "2-3"), P5_DIRECT_EVAL: (P5_DIRECT, "5-5")}
 _UNSEEN = {
-    P5_RATING_EVAL: ("1-10", "Number of stars, 1 (worst) to 5 (best), that {user_name} has for \"{item_title}\":", STARS),
-    P5_SEQUENTIAL_EVAL: ("2-13", "Given what {user_name} ordered:\n{history}\nCan you name the next item to offer?", ITEM),
-    P5_DIRECT_EVAL: ("5-8", "user_{user_id} needs an offer. The best one of this list is:\n{candidates}", ITEM),
+    P5_RATING_EVAL: ("1-10", "Stars out of five\n\"{item_title}\" / {user_name} /", STARS),
+    P5_SEQUENTIAL_EVAL: ("2-13", "{user_name}: {history}; the shop should prepare", ITEM),
+    P5_DIRECT_EVAL: ("5-8", "{candidates}\nWhat stays when user_{user_id} has thrown the others out:", ITEM),
 }
 
 
@@ -145,7 +146,7 @@ def find_task(name: str) -> str:
     for known in TEMPLATES:
         if known.lower() == name.lower():
             return known
-    raise KeyError(f"Task {name} does not exist!")
+    raise KeyError(f"unknown task {name!r}; known: {', '.join(TEMPLATES)}")
 
 
 def register_task(name: str, family: str, templates: list[Template]) -> None:
@@ -161,7 +162,7 @@ def templates(task: str, role: str | None = None, force: str | None = None) -> l
     if force is not None:
         found = [t for t in found if t.template_id == str(force)]
         if not found:
-            raise KeyError(f"Template {force} for task {task} does not exist!")
+            raise KeyError(f"task {task!r} has no template with the id {force!r}")
     return [t for t in found if role is None or t.role == role]
 
 

@@ -34,7 +34,7 @@ def test_short_histories(short):
 
 
 def test_strict_mode_names_the_short_user(short):
-    with pytest.raises(Exception, match="less than 2 training rows"):
+    with pytest.raises(Exception, match="no training window"):
         sampling.require_windows(short).collect()
     assert sampling.require_windows(short.filter("user_id = 'd'")).count() == 4
 

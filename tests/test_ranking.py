@@ -17,9 +17,13 @@ from basketry.operators.metricspec import (
     safe_div,
 )
 
-P1 = [["i1", "i2", "i3"], ["i1", "i50", "i6"], ["i8", "i9", "i10"]]
-ONE = [["i3"], ["i8"], ["i8"]]
-SEVERAL = [["i3", "i1", "i80", "i90"], ["i8", "i3", "i4"], ["i8", "i2"]]
+# Five readers with four recommended books each.  Relevant places, by hand:
+# ann 2 and 4, bob 1, cleo none, dan 1 2 3, eve 4.
+SHOWN = [["atlas", "novel", "comic", "guide"], ["poems", "atlas", "diary", "novel"], ["comic", "poems", "guide", "diary"],
+         ["diary", "guide", "poems", "atlas"], ["novel", "comic", "atlas", "poems"]]
+READ = [["guide", "novel"], ["poems", "comic", "essay"], ["essay"], ["guide", "poems", "diary"], ["poems"]]
+# The same with a single book each: places 2, 1, none, 3, 4.
+READ_ONE = [["novel"], ["poems"], ["essay"], ["poems"], ["poems"]]
 
 
 def predictions(spark, preds, truths):
@@ -33,43 +37,43 @@ def score(spark, preds, truths, *names):
     return [row[str(m)] for m in metrics]
 
 
-def test_one_truth(spark):
-    hit, ap, rr, gain = score(spark, P1, ONE, "hit", "map", "mrr", "ndcg")
-    assert hit == pytest.approx(2 / 3)
-    assert ap == pytest.approx((1 / 3 + 0 + 1) / 3)
-    assert rr == pytest.approx((1 / 3 + 0 + 1) / 3)
-    assert gain == pytest.approx((0.5 + 0 + 1) / 3)
+def gain(*places):
+    return sum(1 / log2(p + 1) for p in places)
 
 
-def test_several_truths(spark):
-    hit, ap, rr, gain = score(spark, P1, SEVERAL, "hit", "map", "mrr", "ndcg")
-    assert hit == pytest.approx(2 / 3)
-    assert ap == pytest.approx(((1 + 2 / 3) / 2 + 0 + 1) / 3)
-    assert rr == pytest.approx(2 / 3)
-    assert gain == pytest.approx((1.5 / (1 + 1 / log2(3)) + 0 + 1) / 3)
+def test_single_relevant_item(spark):
+    hit, ap, rr, ndcg_ = score(spark, SHOWN, READ_ONE, "hit", "map", "mrr", "ndcg")
+    assert hit == pytest.approx(4 / 5)
+    assert ap == rr == pytest.approx((1 / 2 + 1 + 0 + 1 / 3 + 1 / 4) / 5)
+    assert ndcg_ == pytest.approx((gain(2) + 1 + 0 + gain(3) + gain(4)) / 5)
 
 
-def test_cutoffs(spark):
-    preds = [*P1[:2], ["i9", "i8", "i10"]]
-    hit, ap, gain = score(spark, preds, SEVERAL, "hit@1", "map@2", "ndcg@1")
-    assert hit == pytest.approx(1 / 3)
-    assert ap == pytest.approx((1 + 0 + 1 / 2) / 3)
-    assert gain == pytest.approx(1 / 3)
-    assert score(spark, [*P1[:2], ["i9", "i10", "i8"]], SEVERAL, "mrr@2") == [pytest.approx(1 / 3)]
+def test_sets_of_relevant_items(spark):
+    hit, ap, rr, ndcg_ = score(spark, SHOWN, READ, "hit", "map", "mrr", "ndcg")
+    assert hit == pytest.approx(4 / 5)
+    assert ap == pytest.approx(((1 / 2 + 2 / 4) / 2 + 1 + 0 + 1 + 1 / 4) / 5)
+    assert rr == pytest.approx((1 / 2 + 1 + 0 + 1 + 1 / 4) / 5)
+    assert ndcg_ == pytest.approx((gain(2, 4) / gain(1, 2) + 1 + 0 + 1 + gain(4)) / 5)
 
 
-def test_mixed_cutoffs_share_one_pass(spark):
-    preds = [*P1[:2], ["i9", "i8", "i2"]]
-    ap = pytest.approx(((1 + 2 / 3) / 2 + 0 + (1 / 2 + 2 / 3) / 2) / 3)
-    rr = pytest.approx((1 + 0 + 1 / 2) / 3)
-    assert score(spark, preds, SEVERAL, "hit", "mrr", "map") == [pytest.approx(2 / 3), rr, ap]
-    assert score(spark, preds, SEVERAL, "hit@1", "mrr@2", "map") == [pytest.approx(1 / 3), rr, ap]
-    assert score(spark, preds, SEVERAL, "hit@1", "mrr@1", "map@1") == [pytest.approx(1 / 3)] * 3
+@pytest.mark.parametrize("k, hit, ap, rr", [
+    (1, 2 / 5, (0 + 1 + 0 + 1 + 0) / 5, 2 / 5),
+    (2, 3 / 5, (1 / 2 + 1 + 0 + 1 + 0) / 5, (1 / 2 + 1 + 1) / 5),
+    (3, 3 / 5, (1 / 2 + 1 + 0 + 1 + 0) / 5, (1 / 2 + 1 + 1) / 5),
+    (4, 4 / 5, (1 / 2 + 1 + 0 + 1 + 1 / 4) / 5, (1 / 2 + 1 + 1 + 1 / 4) / 5),
+    (9, 4 / 5, (1 / 2 + 1 + 0 + 1 + 1 / 4) / 5, (1 / 2 + 1 + 1 + 1 / 4) / 5),
+])
+def test_every_cutoff(spark, k, hit, ap, rr):
+    assert score(spark, SHOWN, READ, f"hit@{k}", f"map@{k}", f"mrr@{k}") == pytest.approx([hit, ap, rr])
 
 
-def test_map_second_example(spark):
-    preds, truths = [["X", "Y", "Z"], ["A", "Z", "B"]], [["A", "B", "X"], ["A", "B", "Y"]]
-    assert score(spark, preds, truths, "map") == [pytest.approx((1 + (1 + 2 / 3) / 2) / 2)]
+def test_gain_within_a_cutoff(spark):
+    assert score(spark, SHOWN, READ, "ndcg@3") == pytest.approx([(gain(2) / gain(1) + 1 + 0 + 1 + 0) / 5])
+
+
+def test_different_cutoffs_in_one_pass(spark):
+    alone = [score(spark, SHOWN, READ, n)[0] for n in ("hit@1", "mrr@3", "map", "ndcg@2")]
+    assert score(spark, SHOWN, READ, "hit@1", "mrr@3", "map", "ndcg@2") == pytest.approx(alone)
 
 
 def test_no_hit_and_repeats(spark):
@@ -106,23 +110,23 @@ def test_reserved_token_fails(spark):
         score(spark, [["a", "b"]], [["<PAD>"]], "hit")
 
 
-def test_safe_division(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 0.0), (4.0, 10.0), (5.0, 0.0)], "a double, b double")
-    got = [r[0] for r in df.select(safe_div(F.col("a"), F.col("b"))).collect()]
-    assert got == [0.5, 0.5, 0, 0.4, 0]
+def test_division_by_zero_is_zero(spark):
+    df = spark.createDataFrame([(9.0, 6.0, 1.5), (-7.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 8.0, 0.0)], "a double, b double, want double")
+    assert all(r[0] == r[1] for r in df.select(safe_div(F.col("a"), F.col("b")), "want").collect())
 
 
 def test_names():
-    assert str(metric("hit")) == str(metric("hIT")) == "Hit"
-    assert str(metric("ndcg@10")) == "NDCG@10" and metric("hit@8").k == 8
-    assert str(metric("loss")) == "Loss" and not metric("loss").larger_is_better
-    for bad in ("loss@8", "rmse@3", "hit@x", "hit@1@2", "unknown", "hit@"):
+    for spelled, name, k in (("Ndcg@25", "NDCG@25", 25), ("MAP", "MAP", None), ("mRr@1", "MRR@1", 1), ("LOSS", "Loss", None), ("mae", "MAE", None)):
+        found = metric(spelled)
+        assert str(found) == name and found.k == k
+    assert metric("ndcg@7") == metric("NDCG@7") and metric("ndcg@7") != metric("ndcg@70")
+    assert not metric("mae").larger_is_better and metric("mrr").larger_is_better
+    for bad in ("mae@2", "loss@1", "map@", "map@k", "map@2@3", "recall", ""):
         with pytest.raises(KeyError):
             metric(bad)
-    assert metric_exists("map@3") and "MRR" in metric_names()
+    assert metric_exists("ndcg@4") and set(metric_names()) >= {"Hit", "RMSE"}
     with pytest.raises(KeyError):
-        metric_exists("nothing")
-    assert metric("hit@3") == metric("HIT@3") != metric("hit@4")
+        metric_exists("recall@4")
 
 
 def test_largest_cut_and_families():
@@ -147,10 +151,10 @@ def test_metrics_stay_in_range_and_grow_with_k(spark):
 
 
 def test_array_and_row_forms_agree(spark):
-    df = predictions(spark, P1, SEVERAL).withColumn("u", F.monotonically_increasing_id())
+    df = predictions(spark, SHOWN, READ).withColumn("u", F.monotonically_increasing_id())
     ranked = ranking.running_precision(ranking.ranked_rows(df, ["u"]), ["u"])
     ap = ranked.groupBy("u").agg(
         F.sum(F.when(F.col("relevant"), F.col("precision"))).alias("s"), F.count_if("relevant").alias("n")
     )
     value = ap.agg(F.avg(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0))).first()[0]
-    assert value == pytest.approx(score(spark, P1, SEVERAL, "map")[0])
+    assert value == pytest.approx(score(spark, SHOWN, READ, "map")[0])
