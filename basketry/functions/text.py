@@ -62,34 +62,34 @@ def title_label(title: Column) -> Column:
 
 
 def like_label(rating: Column) -> Column:
-    return F.when(rating >= 4, "like").otherwise("dislike")
+    """NULL for no rating."""
+    return F.when(rating >= 4, "like").when(rating < 4, "dislike")
 
 
 def yes_no(flag: Column) -> Column:
     return F.when(flag, "yes").otherwise("no")
 
 
-# Thousandths of an exact x.xx5 average that two-decimal formatting rounds up,
-# because the nearest double lies above the tie (or the tie rounds to even).
-# Made by rule, for averages of values in 0..10.
-_ROUNDS_UP = [
-    t for t in range(5, 10_000, 10) if round(float(f"{t / 1000:.2f}") * 100) * 10 > t
-]
-
-
 def two_decimals(total: Column, count: Column) -> Column:
-    """Average of integers in 0..10 as text with two decimals.
+    """``total / count`` of integers as text with two decimals; NULL without values.
 
-    Computed from the exact integer sum, with the ties decided as C-style formatting
-    of the double average decides them.
+    Rounded as C-style formatting rounds the double average.  The integers decide, except at
+    a tie x.xx5: there the double may lie above or below it, which shows in whole numbers
+    once both are multiplied by 200 and a power of two that makes the double whole.  A double
+    that is the tie itself goes to the even hundredth.
     """
-    total, count = total.cast("bigint"), count.cast("bigint")
-    scaled = total * 200 + count
+    total, count = total.cast("bigint"), F.nullif(count.cast("bigint"), F.lit(0).cast("bigint"))
+    size = F.abs(total)
+    scaled = size * 200 + count
     half_up = F.floor(scaled / (count * 2)).cast("bigint")
-    is_tie = scaled % (count * 2) == 0
-    thousandths = half_up * 10 - 5
-    cents = F.when(is_tie & ~thousandths.isin(_ROUNDS_UP), half_up - 1).otherwise(half_up)
+    mean = F.when(scaled % (count * 2) == 0, size / count)  # NULL but for a tie
+    power = F.lit(53) - F.floor(F.log2(mean))
+    unit = F.pow(F.lit(2.0), power)
+    above = (mean * unit).cast("bigint") * 200 - (half_up * 2 - 1) * unit.cast("bigint")
+    down = (above < 0) | ((above == 0) & (half_up % 2 == 1))
+    cents = F.when(down, half_up - 1).otherwise(half_up)
     return F.concat(
+        F.when(total < 0, F.lit("-")).otherwise(F.lit("")),
         F.floor(cents / 100).cast("string"),
         F.lit("."),
         F.lpad((cents % 100).cast("string"), 2, "0"),
@@ -99,7 +99,8 @@ def two_decimals(total: Column, count: Column) -> Column:
 def one_decimal(value: Column) -> Column:
     """Rounded to one decimal and clamped to 1..5."""
     rounded = F.floor(value * 10 + F.lit(0.5)) / F.lit(10.0)
-    return F.least(F.greatest(rounded, F.lit(1.0)), F.lit(5.0))
+    # least and greatest skip NULL
+    return F.when(value.isNotNull(), F.least(F.greatest(rounded, F.lit(1.0)), F.lit(5.0)))
 
 
 def remove_at(items: Column, index: Column) -> Column:

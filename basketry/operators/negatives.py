@@ -126,20 +126,30 @@ def fields_by_index(cat: Catalog, field: str) -> Column:
     return cat.items.agg(packed[field].alias(field)).scalar()
 
 
+def enough_left(rows: DataFrame, excluded: Column, cat: Catalog, n: int, strict: bool) -> DataFrame:
+    """Rows with at least n items to draw from; the strict mode fails the job at any other."""
+    holds = F.size(excluded) <= cat.size - n
+    if not strict:
+        return rows.filter(holds)
+    said = F.concat(F.lit(f"fewer than {n} of {cat.size} items are left to draw for user "), F.col("user_id"))
+    return rows.filter(F.when(holds, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def add_candidates(
-    rows: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, outside_history: bool
+    rows: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, outside_history: bool, strict: bool = True
 ) -> DataFrame:
     """Add ``candidates``: n negatives and the target, shuffled.
 
     ``outside_history`` excludes the input items too.  A row whose pool is smaller
-    than n is left out (see :func:`short_pools`).  A catalog within the broadcast
-    limit is looked up in place, without a shuffle; a larger one is joined.
+    than n fails the job, or is left out if not ``strict`` (see :func:`short_pools`).  A
+    catalog within the broadcast limit is looked up in place, without a shuffle; a larger
+    one is joined.
     """
     keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
     excluded = excluded_indexes(outside_history)
     # filtering on the drawn list instead would draw it twice
-    enough = rows.filter(F.size(excluded) <= cat.size - n)
+    enough = enough_left(rows, excluded, cat, n, strict)
     drawn = enough.withColumn("negatives", negative_indexes(cat, excluded, n, *parts))
 
     def order(item: Column) -> Column:
@@ -168,7 +178,7 @@ def _packed(shown: DataFrame, keys: list[str], order) -> DataFrame:
 
 
 def candidates_by_join(
-    rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, seed: int, purpose: str
+    rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, strict: bool = True
 ) -> DataFrame:
     """(user_id, epoch, candidates) with the exclusions as rows; see :func:`add_candidates`.
 
@@ -184,7 +194,11 @@ def candidates_by_join(
         return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
 
     lists = _packed(wrong.unionByName(one), keys, order)
-    return lists.filter(F.size("candidates") == n + 1)
+    full = F.size("candidates") == n + 1
+    if not strict:
+        return lists.filter(full)
+    said = F.concat(F.lit(f"fewer than {n} of {cat.size} items are left to draw for user "), F.col("user_id"))
+    return lists.filter(F.when(full, True).otherwise(F.raise_error(said).cast("boolean")))
 
 
 def excluded_indexes(outside_history: bool) -> Column:
@@ -202,8 +216,9 @@ def short_pools(excluded: DataFrame, cat: Catalog, n: int, keys: list[str]) -> D
     return pool_sizes(excluded, cat, keys).filter(F.col("pool_size") < n)
 
 
-def add_other_item(rows: DataFrame, cat: Catalog, seed: int, purpose: str) -> DataFrame:
+def add_other_item(rows: DataFrame, cat: Catalog, seed: int, purpose: str, strict: bool = True) -> DataFrame:
     """Add ``other_item`` and ``other_title`` of one random item that is not the target."""
+    rows = enough_left(rows, excluded_indexes(False), cat, 1, strict)
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
     drawn = negative_indexes(cat, excluded_indexes(False), 1, *parts)
     found = rows.withColumn("other_idx", F.get(drawn, F.lit(0)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import draws, text
@@ -36,6 +36,8 @@ FIELDS = {
     tpl.P5_DIRECT: ["item_id", "title", "item_idx"],
     tpl.P5_DIRECT_EVAL: ["item_id", "item_idx"],
 }
+# what a task needs to know about a whole input, beside its rows
+FACTS = {tpl.RATING: ["rating"], tpl.SEQUENTIAL: ["pair"], tpl.DIRECT: ["liked", "new_target"]}
 WHOLE = -1  # part number of a prompt that is one text
 FEW, MANY = 4, 99  # wrong candidates of the short and the long lists
 
@@ -51,7 +53,9 @@ class Setup:
     """What a builder needs beside the example rows.
 
     ``excluded`` is set for users in segments: their input items as rows
-    (user_id, epoch, item_idx).
+    (user_id, epoch, item_idx).  ``strict`` fails the job at an example without a rating
+    that its task needs and at a pool with too few other items; otherwise such examples
+    give no prompt (:func:`left_out` counts them).
     """
 
     task: str
@@ -60,6 +64,7 @@ class Setup:
     catalog: neg.Catalog | None = None
     force: str | None = None
     excluded: DataFrame | None = None
+    strict: bool = True
 
     def parts(self, purpose: str) -> tuple:
         return self.seed, F.col("epoch"), F.col("user_id"), f"{self.task}/{purpose}"
@@ -83,9 +88,10 @@ class ListSlot:
         return text.joined(self.items, self.first, self.second, self.use_first)
 
     def piece(self) -> Column:
-        """Text of one segment, led by the separator after the first segment."""
+        """Text of one segment, led by the separator if the list has begun in an earlier one."""
         lead = F.when(self.use_first, F.lit(self.first)).otherwise(F.lit(self.second))
-        return F.concat(F.when(F.col("segment_no") > 0, lead).otherwise(F.lit("")), self.text())
+        goes_on = F.col("begun") & (F.size(self.items) > 0)
+        return F.concat(F.when(goes_on, lead).otherwise(F.lit("")), self.text())
 
 
 Slots = dict[str, Column | ListSlot]
@@ -164,13 +170,19 @@ def with_facts(ex: DataFrame, s: Setup, *names: str) -> DataFrame:
     return ex
 
 
+def _is_rated(x: Column) -> Column:
+    return x["rating"].isNotNull()
+
+
 def _rating_facts(ex: DataFrame, s: Setup) -> DataFrame:
-    total = F.aggregate("input.rating", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return ex.withColumn("rating_sum", total).withColumn("input_len", F.size("input"))
+    rated = F.filter("input", _is_rated)["rating"]
+    total = F.aggregate(rated, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ex.withColumn("rating_sum", total).withColumn("n_rated", F.size(rated))
 
 
 def _liked_facts(ex: DataFrame, s: Setup) -> DataFrame:
-    return ex.withColumn("liked", F.sort_array(F.array_distinct(F.flatten("input.categories"))))
+    known = F.array_compact(F.flatten(F.array_compact("input.categories")))
+    return ex.withColumn("liked", F.sort_array(F.array_distinct(known)))
 
 
 def _pair_facts(ex: DataFrame, s: Setup) -> DataFrame:
@@ -195,12 +207,44 @@ def user_slots(rows: DataFrame) -> Slots:
     return slots
 
 
+def rated_only(ex: DataFrame, s: Setup) -> DataFrame:
+    """Examples whose target has a rating; the strict mode fails at any other."""
+    return guarded(ex, F.col("target.rating").isNotNull(), "the target of user {} has no rating", s.strict)
+
+
+def guarded(ex: DataFrame, holds: Column, message: str, strict: bool) -> DataFrame:
+    if not strict:
+        return ex.filter(holds)
+    before, _, after = message.partition("{}")
+    said = F.concat(F.lit(before), F.coalesce("user_id", F.lit("?")), F.lit(after))
+    return ex.filter(F.when(holds, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def left_out(ex: DataFrame, task: str, catalog: neg.Catalog | None = None) -> DataFrame:
+    """(reason, n) of the examples of whole histories that give no prompt without ``strict``."""
+    reasons = []
+    if task in (tpl.RATING, tpl.P5_RATING, tpl.P5_RATING_EVAL):
+        reasons.append(F.when(F.col("target.rating").isNull(), F.lit("target without rating")))
+    if task == tpl.RATING:
+        reasons.append(F.when(~F.exists("input", _is_rated), F.lit("history without rating")))
+    if task in (tpl.P5_DIRECT, tpl.P5_DIRECT_EVAL) and catalog is not None:
+        few = F.size(neg.excluded_indexes(True)) > catalog.size - MANY
+        reasons.append(F.when(few, F.lit("too few other items")))
+    why = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
+    return ex.select(why.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def rating_prompts(ex: DataFrame, s: Setup) -> DataFrame:
-    """History with ratings and their mean; the answer is the target's rating."""
-    average = text.two_decimals(F.col("rating_sum"), F.col("input_len"))
-    ratings = F.col("input.rating").cast("array<string>")
-    rows = with_facts(ex, s, "rating").withColumn("avg_rating", average)
-    rows = rows.withColumn("pairs", text.arrow_pairs(F.col("input.item_id"), ratings))
+    """History with ratings and their mean; the answer is the target's rating.
+
+    Positions without a rating are not part of the rated history.
+    """
+    average = text.two_decimals(F.col("rating_sum"), F.col("n_rated"))
+    rows = with_facts(rated_only(ex, s), s, "rating").withColumn("avg_rating", average)
+    rows = guarded(rows, F.col("n_rated") > 0, "no item in the history of user {} has a rating", s.strict)
+    rated_input = F.filter("input", _is_rated)
+    pairs = text.arrow_pairs(rated_input["item_id"], rated_input["rating"].cast("array<string>"))
+    rows = rows.withColumn("pairs", pairs)
     rows = with_template(rows, s, "inference")
     rated = F.col("target.rating").cast("string")
     slots = user_slots(rows) | {
@@ -236,9 +280,9 @@ def sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
 def with_candidates(ex: DataFrame, s: Setup, n: int, outside_history: bool) -> DataFrame:
     purpose = f"{s.task}/candidates"
     if s.excluded is not None and outside_history:
-        lists = neg.candidates_by_join(ex, s.excluded, s.catalog, n, s.seed, purpose)
+        lists = neg.candidates_by_join(ex, s.excluded, s.catalog, n, s.seed, purpose, s.strict)
         return ex.join(lists, KEYS)
-    return neg.add_candidates(ex, s.catalog, n, s.seed, purpose, outside_history)
+    return neg.add_candidates(ex, s.catalog, n, s.seed, purpose, outside_history, s.strict)
 
 
 def bullet_slot(s: Setup) -> Column:
@@ -284,6 +328,7 @@ def direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
 
 def p5_rating_prompts(ex: DataFrame, s: Setup) -> DataFrame:
     """Star, yes/no and like/dislike questions about the target; training perturbs stars."""
+    ex = rated_only(ex, s)
     rating, rated = F.col("target.rating"), F.col("target.rating").cast("string")
     roles = ["inference", "support"] if s.training else ["inference"]
     if s.training:
@@ -326,7 +371,7 @@ def p5_sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
 
 def with_shown(ex: DataFrame, s: Setup) -> DataFrame:
     """Add the item shown in a yes/no question: the target or one other item, by coin."""
-    both = neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other")
+    both = neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other", s.strict)
     return both.withColumn("is_true", draws.coin(*s.parts("shown")))
 
 
@@ -369,9 +414,16 @@ BUILDERS: dict[str, Callable[[DataFrame, Setup], DataFrame]] = {
 EVAL_ONLY = {tpl.P5_RATING_EVAL, tpl.P5_SEQUENTIAL_EVAL, tpl.P5_DIRECT_EVAL}
 
 
-def register_builder(task: str, fields: list[str], build: Callable[[DataFrame, Setup], DataFrame]) -> None:
-    """Add the builder of a task registered with ``templates.register_task``."""
-    BUILDERS[task], FIELDS[task] = build, fields
+def register_builder(
+    task: str, fields: list[str], build: Callable[[DataFrame, Setup], DataFrame], facts: list[str] | None = None
+) -> None:
+    """Add the builder of a task registered with ``templates.register_task``.
+
+    ``facts`` names what it reads beside its rows: ``rating`` (rating_sum, n_rated), ``pair``
+    (first, following), ``liked``; ``new_target`` draws the training target anew.  They are
+    there for histories of any length.
+    """
+    BUILDERS[task], FIELDS[task], FACTS[task] = build, fields, facts or []
 
 
 def build_prompts(
@@ -382,12 +434,13 @@ def build_prompts(
     training: bool = False,
     catalog: neg.Catalog | None = None,
     force: str | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Prompt rows of one task.  ``force`` restricts it to one template id."""
     task = tpl.find_task(task)
     if force is not None:
         tpl.templates(task, None, force)  # unknown id fails here
-    return BUILDERS[task](examples, Setup(task, seed, training, catalog, force)).select(*COLUMNS)
+    return BUILDERS[task](examples, Setup(task, seed, training, catalog, force, None, strict)).select(*COLUMNS)
 
 
 def long_examples(
@@ -400,13 +453,15 @@ def long_examples(
     grouping of its rows has the segment number in the key, which spreads a user over
     the tasks.
     """
-    if s.training and s.task == tpl.DIRECT:
+    needed = FACTS.get(s.task, [])
+    if s.training and "new_target" in needed:
         rows = sampling.resample_rows(rows, s.seed, f"{s.task}/target")
     is_input, cell = F.col("part") == "input", F.struct("pos", *fields)
     facts = [F.max_by(cell, F.when(~is_input, F.col("spot"))).alias("target")]
-    if "rating" in fields:
-        facts.append(F.sum(F.when(is_input, F.col("rating"))).alias("rating_sum"))
-    if s.training and s.task == tpl.SEQUENTIAL:
+    if "rating" in needed:
+        given = F.when(is_input, F.col("rating"))
+        facts += [F.coalesce(F.sum(given), F.lit(0)).alias("rating_sum"), F.count(given).alias("n_rated")]
+    if s.training and "pair" in needed:
         at = pair_place(F.col("input_len"), s)
         facts += [
             F.max_by(cell, F.when(F.col("spot") == at, F.col("spot"))).alias("first"),
@@ -414,17 +469,25 @@ def long_examples(
         ]
     per_user = add_users(rows.groupBy(*KEYS, "input_len").agg(*facts), users)
     inputs = rows.filter(is_input)
-    if "categories" in fields:
+    if "liked" in needed:
         each = inputs.select(*KEYS, F.explode("categories").alias("category")).distinct()
         liked = each.groupBy(*KEYS).agg(F.sort_array(F.collect_set("category")).alias("liked"))
-        per_user = per_user.join(liked, KEYS)
+        # a history without any category keeps its row
+        per_user = per_user.join(liked, KEYS, "left").withColumn(
+            "liked", F.coalesce("liked", F.array().cast("array<string>"))
+        )
     lists = (
         inputs.withColumn("segment_no", F.expr(f"spot div {int(size)}"))
         .groupBy(*KEYS, "segment_no")
         .agg(F.sort_array(F.collect_list(cell)).alias("input"))
     )
     numbers = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(input_len - 1) div {int(size)}"))
-    return lists.join(per_user.withColumn("segment_no", F.explode(numbers)), [*KEYS, "segment_no"])
+    spread = per_user.withColumn("segment_no", F.explode(numbers)).withColumn("begun", F.col("segment_no") > 0)
+    if "rating" in needed:
+        # the rated list begins at the first segment with a rated row
+        first = inputs.groupBy(*KEYS).agg(F.expr(f"min(CASE WHEN rating IS NOT NULL THEN spot END) div {int(size)}").alias("begin"))
+        spread = spread.join(first, KEYS).withColumn("begun", F.coalesce(F.col("segment_no") > F.col("begin"), F.lit(False))).drop("begin")
+    return lists.join(spread, [*KEYS, "segment_no"])
 
 
 def build_prompt_pieces(
@@ -437,6 +500,7 @@ def build_prompt_pieces(
     catalog: neg.Catalog | None = None,
     force: str | None = None,
     size: int = splits.SEGMENT,
+    strict: bool = True,
 ) -> DataFrame:
     """Prompts of long histories as ordered pieces.
 
@@ -445,7 +509,7 @@ def build_prompt_pieces(
     """
     task = tpl.find_task(task)
     fields = FIELDS[task]
-    s = Setup(task, seed, training, catalog, force, excluded=rows)
+    s = Setup(task, seed, training, catalog, force, rows, strict)
     segments = long_examples(rows, users, s, fields, size)
     if "item_idx" in fields:
         s = replace(s, excluded=rows.select(*KEYS, "item_idx").distinct())
@@ -459,8 +523,13 @@ def build_training_prompts(
     seed: int,
     strategy: str = "all",
     catalog: neg.Catalog | None = None,
+    force: dict[str, str] | None = None,
+    strict: bool = True,
 ) -> DataFrame:
-    """Several tasks per example row: every task (``all``) or one drawn task (``random``)."""
+    """Several tasks per example row: every task (``all``) or one drawn task (``random``).
+
+    ``force`` maps tasks to the one template id they are restricted to.
+    """
     if strategy not in ("all", "random"):
         raise ValueError("strategy is 'all' or 'random'")
     names = [tpl.find_task(t) for t in tasks]
@@ -470,7 +539,7 @@ def build_training_prompts(
     out = None
     for task in names:
         mine = examples if strategy == "all" else examples.filter(F.col("drawn_task") == task)
-        rows = build_prompts(mine, task, seed=seed, training=True, catalog=catalog)
+        rows = build_prompts(mine, task, seed=seed, training=True, catalog=catalog, force=(force or {}).get(task), strict=strict)
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -485,44 +554,47 @@ def whole_prompts(
     epochs: int | None = None,
     strategy: str = "all",
     catalog: neg.Catalog | None = None,
+    force: dict[str, str] | None = None,
+    strict: bool = True,
     size: int = splits.SEGMENT,
 ) -> DataFrame:
-    """Prompts of every user: whole texts, and pieces for histories longer than ``size``.
+    """Prompts of every user and task: whole texts, and pieces for histories longer than ``size``.
 
-    ``epochs`` switches to training windows; otherwise one task of ``split`` is
-    expanded over its templates.  Whole texts have part_no = WHOLE.  The longest
-    history is observed while the examples are written, so the pieces cost nothing
-    when there are none.
+    ``epochs`` switches to training windows; otherwise every task is expanded over its
+    templates for the examples of ``split``.  Whole texts have part_no = WHOLE.  Both forms
+    make up the same texts.  ``force`` maps tasks to the one template id they are restricted to.
     """
     names = [tpl.find_task(t) for t in tasks]
     training, fields = epochs is not None, fields_of(names)
-    longest = Observation()
-    seen = interactions.observe(longest, F.max("n").alias("n"))
+    force = {tpl.find_task(t): i for t, i in (force or {}).items()}
     if training:
-        ex = sampling.train_examples(seen, fields, epochs, seed, size)
+        ex = sampling.train_examples(splits.short_users(interactions, size), fields, epochs, seed, size)
     else:
-        ex = splits.examples(seen, split, fields, size)
+        ex = splits.examples(splits.short_users(interactions, size), split, fields, size)
     ex = pin(add_users(ex, users), "examples")
     if training:
-        out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog)
+        out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog, force=force, strict=strict)
     else:
-        out = build_prompts(ex, names[0], seed=seed, catalog=catalog)
+        out = None
+        for task in names:
+            rows = build_prompts(ex, task, seed=seed, catalog=catalog, force=force.get(task), strict=strict)
+            out = rows if out is None else out.unionByName(rows)
     out = out.withColumns({"part_no": F.lit(WHOLE), "segment_no": F.lit(0).cast("bigint")})
-    if (longest.get["n"] or 0) <= size:
-        return out
+    if interactions.filter((F.col("pos") == size) & (F.col("n") > size)).isEmpty():
+        return out  # no long history
     rows = pin(splits.long_users(interactions, size), "long-history")
     if training:
         windows = sampling.training_windows(rows, epochs, seed)
         spots = sampling.window_rows(rows.filter(splits.in_split("train")), windows)
     else:
         spots = splits.example_spots(rows, split)
-    if strategy == "random":
+    if training and strategy == "random":
         drawn = sampling.pick_task(names, seed, F.col("epoch"), F.col("user_id"))
         spots = spots.withColumn("drawn_task", drawn)
     for task in names:
-        mine = spots.filter(F.col("drawn_task") == task) if strategy == "random" else spots
+        mine = spots.filter(F.col("drawn_task") == task) if training and strategy == "random" else spots
         more = build_prompt_pieces(
-            mine, users, task, seed=seed, training=training, catalog=catalog, size=size
+            mine, users, task, seed=seed, training=training, catalog=catalog, force=force.get(task), size=size, strict=strict
         )
         out = out.unionByName(more)
     return out

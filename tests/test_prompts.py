@@ -88,7 +88,7 @@ def test_small_pools_are_left_out_and_counted(cat, hist):
     ex = splits.examples(hist, "test", ["item_id", "item_idx"])
     excluded = hist.select("user_id", "item_idx").distinct()
     want = cat.size - 15
-    kept = neg.add_candidates(ex, cat, want, SEED, "c", True)
+    kept = neg.add_candidates(ex, cat, want, SEED, "c", True, strict=False)
     short = neg.short_pools(excluded, cat, want, ["user_id"])
     assert {r.user_id for r in kept.collect()} | {r.user_id for r in short.collect()} == {f"u{i}" for i in range(6)}
     assert kept.count() + short.count() == 6 and short.count() > 0
@@ -134,9 +134,10 @@ def test_draws_are_uniform(spark):
 
 def test_two_decimals_match_text_formatting(spark):
     cases = [(s, n) for n in (1, 2, 3, 7, 8, 16, 40, 80, 200, 400) for s in range(n, 5 * n + 1)]
+    cases += [(s, n) for n in (8, 40, 200, 4096) for s in (*range(0, 3 * n, 7), 83 * n // 8, 10**9 + 5, -n // 8, -1)] + [(None, 3), (4, 0)]
     df = spark.createDataFrame(cases, "s long, n long")
     got = df.select("s", "n", text.two_decimals(F.col("s"), F.col("n")).alias("t")).collect()
-    assert [(r.s, r.n, r.t) for r in got if r.t != f"{r.s / r.n:.2f}"] == []
+    assert [(r.s, r.n, r.t) for r in got if r.t != (f"{r.s / r.n:.2f}" if r.s is not None and r.n else None)] == []
 
 
 def test_evaluation_prompts(hist, users, cat):
@@ -221,5 +222,102 @@ def test_new_task(spark, hist, users):
         out = pr.build_prompts(ex, "LAST_item", seed=SEED)
         assert out.count() == 6 and out.first().input_text.startswith("Ask u")
     finally:
-        for registry in (tpl.TEMPLATES, tpl.TASK_FAMILY, pr.BUILDERS, pr.FIELDS):
+        for registry in (tpl.TEMPLATES, tpl.TASK_FAMILY, pr.BUILDERS, pr.FIELDS, pr.FACTS):
             registry.pop("last_item")
+
+
+# ---- one path for histories of any length
+
+
+def whole_texts(out):
+    cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
+    keys = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
+    return rows(out.groupBy(*keys).agg(F.array_join(cells["input_text"], "").alias("text")))
+
+
+SIZES = [2, 10, 4096]  # every history is long, some are, none is
+
+
+def same_for_all_sizes(*args, **kw):
+    first, *others = [whole_texts(pr.whole_prompts(*args, size=n, **kw)) for n in SIZES]
+    assert first and all(first == other for other in others)
+    return first
+
+
+def test_every_task_is_evaluated_for_every_user(hist, users, cat):
+    tasks = [tpl.RATING, tpl.P5_RATING_EVAL, tpl.P5_DIRECT_EVAL]
+    got = same_for_all_sizes(hist, users, tasks, seed=SEED, catalog=cat)
+    assert len(got) == 6 * (5 + 2 + 2) and {r[2] for r in got} == set(tasks)
+
+
+def test_training_when_all_histories_are_long(hist, users, cat):
+    assert same_for_all_sizes(hist, users, [tpl.SEQUENTIAL, tpl.DIRECT], seed=SEED, epochs=2, catalog=cat, strategy="random")
+
+
+def test_items_without_categories(hist, users, cat):
+    bare = hist.withColumn("categories", F.when(F.col("user_id") > "u1", F.col("categories")))
+    got = same_for_all_sizes(bare, users, [tpl.DIRECT, tpl.SEQUENTIAL], seed=SEED, catalog=cat)
+    assert {r[0] for r in got} == {f"u{u}" for u in range(6)}
+
+
+def test_unrated_rows(hist, users):
+    some = hist.withColumn("rating", F.when(F.col("pos") % 3 == 1, F.col("rating")).cast("bigint"))
+    last = hist.withColumn("rating", F.when((F.col("pos") == F.col("n") - 1) | (F.col("pos") % 3 == 1), F.col("rating")))
+    got = same_for_all_sizes(last, users, [tpl.RATING], seed=SEED)
+    assert len(got) == 6 * 5
+    by_user = {(r.user_id, r.pos): r for r in last.collect()}
+    for r in got:
+        known = [(x.item_id, x.rating) for (u, _), x in sorted(by_user.items()) if u == r[0] and x.rating is not None][:-1]
+        pairs = [f"{i} -> {v}" for i, v in known]
+        assert any(sep.join(pairs) in r[-1] for sep in (" , ", " ; ")) and f"{sum(v for _, v in known) / len(known):.2f}" in r[-1]
+    tasks = [tpl.RATING, tpl.P5_RATING_EVAL]
+    kept = same_for_all_sizes(some, users, tasks, seed=SEED, strict=False)
+    rated = {r.user_id for r in some.filter("pos = n - 1 AND rating IS NOT NULL").collect()}
+    assert {r[0] for r in kept} == rated and all(r[5] is not None and r[6] != [None] for r in kept)
+    for size in SIZES:
+        with pytest.raises(Exception, match="has no rating"):
+            pr.whole_prompts(some, users, tasks, seed=SEED, size=size).collect()
+    ex = splits.examples(some, "test", ["item_id", "rating"])
+    assert rows(pr.left_out(ex, tpl.RATING)) == [("target without rating", 6 - len(rated))]
+
+
+def test_small_pools_fail_or_are_counted(spark, hist, users, cat):
+    few = neg.catalog(cat.items.filter("item_no < 120").drop("item_idx"), "item_no")
+    mine = hist.drop("item_idx", "title", "categories").join(few.items, "item_id")
+    mine = number_rows(mine.drop("pos", "n").withColumn("ts", F.col("item_no")), ["user_id"], ["ts"], at_most=200)
+    n = {r.user_id: r.n for r in mine.select("user_id", "n").distinct().collect()}
+    distinct = {r[0]: r[1] for r in mine.groupBy("user_id").agg(F.countDistinct("item_id")).collect()}
+    fits = {u for u in n if n[u] > 1 and 120 - distinct[u] >= 99}
+    assert fits and len(fits) < len(n)
+    got = same_for_all_sizes(mine, users, [tpl.P5_DIRECT_EVAL], seed=SEED, catalog=few, strict=False)
+    assert {r[0] for r in got} == fits
+    for size in SIZES:
+        with pytest.raises(Exception, match="items are left to draw"):
+            pr.whole_prompts(mine, users, [tpl.P5_DIRECT_EVAL], seed=SEED, catalog=few, size=size).collect()
+    ex = splits.examples(mine, "test", pr.FIELDS[tpl.P5_DIRECT_EVAL])
+    assert rows(pr.left_out(ex, tpl.P5_DIRECT_EVAL, few)) == [("too few other items", len(n) - len(fits))]
+
+
+def test_forced_templates(hist, users, cat):
+    got = same_for_all_sizes(hist, users, [tpl.RATING, tpl.SEQUENTIAL], seed=SEED, catalog=cat, force={"Rating_Prediction": "2", tpl.SEQUENTIAL: "4"})
+    assert {(r[2], r[3]) for r in got} == {(tpl.RATING, "2"), (tpl.SEQUENTIAL, "4")}
+    with pytest.raises(KeyError):
+        pr.whole_prompts(hist, users, [tpl.RATING], seed=SEED, force={tpl.RATING: "9"})
+
+
+def test_new_task_with_facts_for_any_length(hist, users):
+    def build(ex, s):
+        ex = pr.with_template(pr.with_facts(ex, s, "liked", "rating"), s, "inference")
+        slots = pr.user_slots(ex) | {
+            "kinds": F.concat_ws("+", "liked"), "total": F.col("rating_sum").cast("string"), "target_item": F.col("target.item_id"),
+            "history": pr.ListSlot(F.col("input.item_id"), "/", "|", s.coin("separator"))}
+        return pr.rendered(ex, s, ["inference"], slots, F.col("target.item_id"))
+
+    words = "{user_id}: {history} of {kinds}, {total} points"
+    tpl.register_task("summed", ERROR, [tpl.Template("summed", "0", "inference", words, "{target_item}")])
+    pr.register_builder("summed", ["item_id", "rating", "categories"], build, ["liked", "rating"])
+    try:
+        assert len(same_for_all_sizes(hist, users, ["summed"], seed=SEED)) == 6
+    finally:
+        for registry in (tpl.TEMPLATES, tpl.TASK_FAMILY, pr.BUILDERS, pr.FIELDS, pr.FACTS):
+            registry.pop("summed")
