@@ -78,6 +78,16 @@ def segments(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFra
     )
 
 
+def whole_texts(segs: DataFrame, keys: list[str], part: Column, separator: str, name: str) -> DataFrame:
+    """One text per key from the texts of its segments, joined in order.
+
+    Only the segments' texts meet, one per ``SEGMENT`` rows, and their sum is the value itself.
+    """
+    each = segs.select(*keys, "segment_no", part.alias("part"))
+    packed = F.sort_array(F.collect_list(F.struct("segment_no", "part")))
+    return each.groupBy(*keys).agg(F.array_join(packed["part"], separator).alias(name))
+
+
 def short_users(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     return rows.filter(F.col("n") <= size)
 

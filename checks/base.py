@@ -122,15 +122,10 @@ def rounded(what, columns: list[str] | None = None, digits: int = 6):
     return f"SELECT * REPLACE ({replaced}) FROM ({what})"
 
 
-def segment_examples(spark, folder, fields):
-    """Each segment of at most 4,096 rows as input rows and a last row as target."""
-    seqs = splits.segments(history(spark, folder), fields).filter(F.size("seq") > 1)
-    rest = F.slice(F.col("seq"), F.lit(1), F.size("seq") - 1)
-    return seqs.select(
-        "user_id", "segment_no", rest.alias("input"), F.element_at("seq", -1).alias("target")
-    )
-
-
-SEGMENTED = """seg AS (
-  SELECT *, pos // 4096 AS segment_no, max(pos) OVER (PARTITION BY user_id, pos // 4096) AS last_pos,
-    count(*) OVER (PARTITION BY user_id, pos // 4096) AS seg_rows FROM hist)"""
+def history_examples(spark, folder, item, separator):
+    """user_id, input (a text of all items but the last), target STRUCT, for users with two rows or more."""
+    rows = splits.split_rows(history(spark, folder), "test")
+    fields = ["item_id", "rating"]
+    segs = splits.segments(rows.filter(F.col("part") == "input"), fields)
+    inputs = splits.whole_texts(segs, ["user_id"], F.array_join(F.transform("seq", item), separator), separator, "input")
+    return inputs.join(splits.targets(rows, "test", fields).drop("epoch"), "user_id")

@@ -11,23 +11,16 @@ from basketry.operators.numbering import dense_index, number_rows
 from basketry.operators.predict import item_popularity
 from basketry.sources import layout, raw, retail
 from basketry.storage import fresh_path, pin
-from checks.base import HISTORY, SEGMENTED, USERS, history, query, segment_examples, with_ctes
+from checks.base import HISTORY, USERS, history, query, with_ctes
 
 
-@query(
-    with_ctes(
-        HISTORY,
-        """SELECT user_id || '/' || (pos // 1000) AS user_id, pos % 1000 AS pos,
-          count(*) OVER (PARTITION BY user_id, pos // 1000) AS n, item_id FROM hist""",
-    )
-)
+@query(with_ctes(HISTORY, "SELECT user_id, pos, n, item_id FROM hist"))
 def src_sequence_log(spark, folder):
-    """The log is written as text lines (1,000 items at most) and read by the log reader."""
-    seqs = splits.segments(history(spark, folder), ["item_id"], size=1000)
-    name = F.concat("user_id", F.lit("/"), F.col("segment_no").cast("string"))
-    line = F.concat_ws(" ", name, F.array_join(F.col("seq.item_id"), " "))
+    """The log is written as text, one line per user, and read by the log reader."""
+    segs = splits.segments(history(spark, folder), ["item_id"])
+    lines = splits.whole_texts(segs, ["user_id"], F.array_join("seq.item_id", " "), " ", "items")
     path = fresh_path(spark, "sequence-log")
-    seqs.select(line.alias("value")).write.text(path)
+    lines.select(F.concat_ws(" ", "user_id", "items").alias("value")).write.text(path)
     return raw.read_sequence_log(spark, path)
 
 
@@ -397,36 +390,36 @@ def dev_subset(spark, folder):
 @query(
     with_ctes(
         HISTORY,
-        SEGMENTED,
-        """SELECT user_id, segment_no, string_agg(item_id, ' ' ORDER BY pos) FILTER (pos < last_pos) AS input_item_seq,
-          string_agg(CAST(rating AS VARCHAR), ' ' ORDER BY pos) FILTER (pos < last_pos) AS input_rating_seq,
-          any_value(item_id) FILTER (pos = last_pos) AS gt_item, 1::BIGINT AS n_targets
-        FROM seg WHERE seg_rows > 1 GROUP BY user_id, segment_no""",
+        """SELECT user_id, string_agg(item_id, ' ' ORDER BY pos) FILTER (pos < n - 1) AS input_item_seq,
+          string_agg(CAST(rating AS VARCHAR), ' ' ORDER BY pos) FILTER (pos < n - 1) AS input_rating_seq,
+          any_value(item_id) FILTER (pos = n - 1) AS gt_item, 1::BIGINT AS n_targets
+        FROM hist WHERE n > 1 GROUP BY user_id""",
     )
 )
 def split_columns(spark, folder):
-    """List columns input_*_seq and one-element gt_* lists."""
+    """List columns input_*_seq and one-element gt_* lists; long lists are joined from segments."""
     fields = ["item_id", "rating"]
-    flat = splits.flat_columns(segment_examples(spark, folder, fields), fields)
-    return flat.select(
-        "user_id",
-        "segment_no",
-        F.array_join("input_item_seq", " ").alias("input_item_seq"),
-        F.array_join(F.col("input_rating_seq").cast("array<string>"), " ").alias("input_rating_seq"),
-        F.get("gt_item", F.lit(0)).alias("gt_item"),
-        F.size("gt_item").cast("bigint").alias("n_targets"),
+    rows = splits.split_rows(history(spark, folder), "test")
+    segs = splits.segments(rows.filter(F.col("part") == "input"), fields).withColumnRenamed("seq", "input")
+    ends = splits.targets(rows, "test", fields).drop("epoch")
+    flat = splits.flat_columns(segs.join(ends, "user_id"), fields)
+    keys = ["user_id", "gt_item"]
+    items = splits.whole_texts(flat, keys, F.array_join("input_item_seq", " "), " ", "input_item_seq")
+    ratings = splits.whole_texts(flat, keys, F.array_join(F.col("input_rating_seq").cast("array<string>"), " "), " ", "input_rating_seq")
+    return items.join(ratings, keys).select(
+        "user_id", "input_item_seq", "input_rating_seq",
+        F.get("gt_item", F.lit(0)).alias("gt_item"), F.size("gt_item").cast("bigint").alias("n_targets"),
     )
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id || ':' || rating, ' ' ORDER BY pos) AS cells
-        FROM hist GROUP BY user_id, segment_no""",
+        """SELECT user_id, string_agg(item_id || ':' || rating, ' ' ORDER BY pos) AS cells FROM hist GROUP BY user_id""",
     )
 )
 def history_reshape(spark, folder):
-    """Lists to rows and back, per segment."""
+    """Lists to rows and back; a long history is several lists."""
     seqs = splits.segments(history(spark, folder), ["item_id", "rating"])
     lists = seqs.select(
         "user_id",
@@ -438,24 +431,22 @@ def history_reshape(spark, folder):
     rows = splits.zip_columns(lists, ["spot", "items", "ratings"])
     back = splits.gather_columns(rows, ["user_id", "segment_no"], "spot", ["items", "ratings"])
     cells = F.zip_with("items", "ratings", lambda a, b: F.concat(a, F.lit(":"), b.cast("string")))
-    return back.select("user_id", "segment_no", F.array_join(cells, " ").alias("cells"))
+    return splits.whole_texts(back, ["user_id"], F.array_join(cells, " "), " ", "cells")
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, pos // 4096 AS segment_no,
-          coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos % 4096 BETWEEN 1 AND 3), '') AS middle,
-          any_value(item_id) FILTER (pos % 4096 = 1) AS second FROM hist GROUP BY user_id, segment_no""",
+        """SELECT user_id, coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos BETWEEN 1 AND 3), '') AS middle,
+          any_value(item_id) FILTER (pos = 1) AS second FROM hist GROUP BY user_id""",
     )
 )
 def history_subsequence(spark, folder):
-    """Elements 1..3 and element 1 of every segment."""
-    seqs = splits.segments(history(spark, folder), ["item_id"])
+    """Elements 1..3 and element 1 of every history; they are in its first segment."""
+    seqs = splits.segments(history(spark, folder), ["item_id"]).filter(F.col("segment_no") == 0)
     ids = F.col("seq.item_id")
     return seqs.select(
         "user_id",
-        "segment_no",
         F.array_join(text.sub_sequence(ids, F.lit(1), F.lit(3)), " ").alias("middle"),
         text.element(ids, F.lit(1)).alias("second"),
     )
@@ -464,20 +455,21 @@ def history_subsequence(spark, folder):
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id, ' ' ORDER BY pos) || ' end' AS whole,
-          coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos % 4096 <> 1) || ' end', 'end') AS without_second
-        FROM hist GROUP BY user_id, segment_no HAVING count(*) > 1""",
+        """SELECT user_id, string_agg(item_id, ' ' ORDER BY pos) || ' end' AS whole,
+          coalesce(string_agg(item_id, ' ' ORDER BY pos) FILTER (pos <> 1) || ' end', 'end') AS without_second
+        FROM hist WHERE n > 1 GROUP BY user_id""",
     )
 )
 def history_append_remove(spark, folder):
-    """An element appended to every segment, and its second element removed."""
-    seqs = splits.segments(history(spark, folder), ["item_id"]).filter(F.size("seq") > 1)
-    whole = F.array_append(F.col("seq.item_id"), F.lit("end"))
-    return seqs.select(
-        "user_id",
-        "segment_no",
-        F.array_join(whole, " ").alias("whole"),
-        F.array_join(text.remove_at(whole, F.lit(1)), " ").alias("without_second"),
+    """An element appended to every history (to its last segment), the second one removed (from its first)."""
+    rows = history(spark, folder).filter(F.col("n") > 1)
+    seqs = splits.segments(rows, ["item_id", "n"])
+    is_last = F.element_at("seq", -1)["pos"] == F.element_at("seq", -1)["n"] - 1
+    whole = F.when(is_last, F.array_append("seq.item_id", F.lit("end"))).otherwise(F.col("seq.item_id"))
+    less = F.when(F.col("segment_no") == 0, text.remove_at(whole, F.lit(1))).otherwise(whole)
+    parts = seqs.withColumns({"whole": F.array_join(whole, " "), "less": F.array_join(less, " ")})
+    return splits.whole_texts(parts, ["user_id"], F.col("whole"), " ", "whole").join(
+        splits.whole_texts(parts, ["user_id"], F.col("less"), " ", "without_second"), "user_id"
     )
 
 

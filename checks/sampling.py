@@ -58,14 +58,12 @@ def who():
         ITEMS,
         WINDOWS,
         EX_TRAIN,
-        """SELECT user_id, epoch::BIGINT AS epoch, spot // 4096 AS segment_no,
-          string_agg(ex.item_id, ' ' ORDER BY spot) AS input, any_value(t.item_id) AS target
-        FROM ex JOIN (SELECT user_id, epoch, item_id FROM ex WHERE is_target) t USING (user_id, epoch)
-        WHERE NOT is_target GROUP BY user_id, epoch, segment_no""",
+        """SELECT user_id, epoch::BIGINT AS epoch, string_agg(item_id, ' ' ORDER BY spot) FILTER (NOT is_target) AS input,
+          any_value(item_id) FILTER (is_target) AS target FROM ex GROUP BY user_id, epoch""",
     )
 )
 def train_window_sample(spark, folder):
-    """The windows as lists, in segments of 4,096 items."""
+    """The windows as texts; those of long windows are joined from segments."""
     rows = pin(history(spark, folder).drop("rating"), "history")
     spots = sampling.window_rows(rows, sampling.training_windows(rows, EPOCHS, SEED))
     inputs = spots.filter(F.col("part") == "input").withColumn("segment_no", F.expr("spot div 4096"))
@@ -73,10 +71,8 @@ def train_window_sample(spark, folder):
         F.sort_array(F.collect_list(F.struct("spot", "item_id"))).alias("seq")
     )
     ends = spots.filter(F.col("part") == "target").select("user_id", "epoch", F.col("item_id").alias("target"))
-    out = lists.join(ends, ["user_id", "epoch"])
-    return out.select(
-        "user_id", "epoch", "segment_no", F.array_join("seq.item_id", " ").alias("input"), "target"
-    )
+    inputs = splits.whole_texts(lists, ["user_id", "epoch"], F.array_join("seq.item_id", " "), " ", "input")
+    return inputs.join(ends, ["user_id", "epoch"]).select("user_id", "epoch", "input", "target")
 
 
 @query(
@@ -335,15 +331,17 @@ def candidate_shuffle(spark, folder):
         USER_EPOCHS,
         f"""SELECT user_id, epoch, place, place // 32 AS batch FROM (
           SELECT user_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY
-            {draw_sql(SEED, "epoch", "user_id", "'shuffle'")}, user_id) - 1 AS place FROM ue WHERE epoch = 1)""",
+            {draw_sql(SEED, "epoch", "user_id", "'shuffle'")}, user_id) - 1 AS place FROM ue)""",
     )
 )
 def train_shuffle(spark, folder):
-    """Rows of one epoch in seeded random order, cut into batches of 32."""
-    rows = user_epochs(spark, folder).filter(F.col("epoch") == 1)
-    mixed = rows.withColumn("draw", draws.draw(*who(), "shuffle"))
-    placed = shuffled_index(mixed, "draw", ["user_id"], "place", rows.count())
-    return batch_no(placed, "place", 32).select("user_id", "epoch", "place", "batch")
+    """Rows of every epoch in seeded random order, cut into batches of 32."""
+    mixed = pin(user_epochs(spark, folder).withColumn("draw", draws.draw(*who(), "shuffle")), "epochs")
+    out = None
+    for epoch, n in sorted((r.epoch, r["count"]) for r in mixed.groupBy("epoch").count().collect()):
+        placed = shuffled_index(mixed.filter(F.col("epoch") == epoch), "draw", ["user_id"], "place", n)
+        out = placed if out is None else out.unionByName(placed)
+    return batch_no(out, "place", 32).select("user_id", "epoch", "place", "batch")
 
 
 @query(
@@ -472,32 +470,33 @@ def liked_categories(spark, folder):
 @query(
     with_ctes(
         HISTORY,
-        f"""SELECT user_id, pos // 4096 AS segment_no, 'History of ' || user_id || ': ' || CASE WHEN
+        f"""SELECT user_id, 'History of ' || user_id || ': ' || CASE WHEN
           {draw_sql(SEED, "'0'", "user_id", "'sep'")} % 2 = 1 THEN string_agg(item_id, ' , ' ORDER BY pos)
-          ELSE string_agg(item_id, ' -> ' ORDER BY pos) END AS line FROM hist GROUP BY user_id, segment_no""",
+          ELSE string_agg(item_id, ' -> ' ORDER BY pos) END AS line FROM hist GROUP BY user_id""",
     )
 )
 def history_text(spark, folder):
-    """One line per segment of the history."""
+    """One line per history, its items joined by one of two separators."""
     seqs = splits.segments(history(spark, folder), ["item_id"])
     first = draws.coin(SEED, 0, F.col("user_id"), "sep")
-    items = text.joined(F.col("seq.item_id"), " , ", " -> ", first)
-    line = text.fill("History of {user_id}: {history}", {"user_id": F.col("user_id"), "history": items})
-    return seqs.select("user_id", "segment_no", line.alias("line"))
+    commas = splits.whole_texts(seqs.filter(first), ["user_id"], F.array_join("seq.item_id", " , "), " , ", "history")
+    arrows = splits.whole_texts(seqs.filter(~first), ["user_id"], F.array_join("seq.item_id", " -> "), " -> ", "history")
+    line = text.fill("History of {user_id}: {history}", {"user_id": F.col("user_id"), "history": F.col("history")})
+    return commas.unionByName(arrows).select("user_id", line.alias("line"))
 
 
 @query(
     with_ctes(
         HISTORY,
-        """SELECT user_id, pos // 4096 AS segment_no, string_agg(item_id || ' -> ' || rating, ' ; ' ORDER BY pos) AS line
-        FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id, segment_no""",
+        """SELECT user_id, string_agg(item_id || ' -> ' || rating, ' ; ' ORDER BY pos) AS line
+        FROM hist WHERE n >= 2 AND pos < n - 1 GROUP BY user_id""",
     )
 )
 def rating_history_text(spark, folder):
     rows = splits.split_rows(history(spark, folder), "test").filter(F.col("part") == "input")
     seqs = splits.segments(rows, ["item_id", "rating"])
     pairs = text.arrow_pairs(F.col("seq.item_id"), F.col("seq.rating").cast("array<string>"))
-    return seqs.select("user_id", "segment_no", F.array_join(pairs, " ; ").alias("line"))
+    return splits.whole_texts(seqs, ["user_id"], F.array_join(pairs, " ; "), " ; ", "line")
 
 
 @query(

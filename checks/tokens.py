@@ -8,29 +8,26 @@ from basketry.functions import draws
 from basketry.operators import tokens
 from basketry.operators.numbering import shuffled_index
 from basketry.storage import pin
-from checks.base import HISTORY, SEED, SEGMENTED, draw_sql, query, segment_examples, with_ctes
+from checks.base import HISTORY, SEED, draw_sql, history_examples, query, with_ctes
 
 MAX_LEN = 96
 
 
 def texts(spark, folder):
-    """A history line per user segment, its last item as the answer."""
-    ex = segment_examples(spark, folder, ["item_id", "rating"])
-    pairs = F.transform("input", lambda x: F.concat(x["item_id"], F.lit("->"), x["rating"].cast("string")))
+    """A line per history, its last item as the answer."""
+    ex = history_examples(spark, folder, lambda x: F.concat(x["item_id"], F.lit("->"), x["rating"].cast("string")), " , ")
     return ex.select(
         "user_id",
-        "segment_no",
-        F.concat(F.lit("What follows? "), F.array_join(pairs, " , ")).alias("input_text"),
+        F.concat(F.lit("What follows? "), "input").alias("input_text"),
         F.concat(F.lit("item "), F.col("target.item_id"), F.lit("!")).alias("target_text"),
     )
 
 
-TEXTS = SEGMENTED + """,
-texts AS (
-  SELECT user_id, segment_no, 'What follows? ' || string_agg(item_id || '->' || rating, ' , ' ORDER BY pos)
-      FILTER (pos < last_pos) AS input_text,
-    'item ' || any_value(item_id) FILTER (pos = last_pos) || '!' AS target_text
-  FROM seg WHERE seg_rows > 1 GROUP BY user_id, segment_no)"""
+TEXTS = """texts AS (
+  SELECT user_id, 'What follows? ' || string_agg(item_id || '->' || rating, ' , ' ORDER BY pos)
+      FILTER (pos < n - 1) AS input_text,
+    'item ' || any_value(item_id) FILTER (pos = n - 1) || '!' AS target_text
+  FROM hist WHERE n > 1 GROUP BY user_id)"""
 
 
 def encode_sql(text: str) -> str:
@@ -49,9 +46,9 @@ def ids_text(col: str) -> str:
     with_ctes(
         HISTORY,
         TEXTS,
-        f"""enc AS (SELECT user_id, segment_no, list_slice({encode_sql("input_text")}, 1, {MAX_LEN - 1}) AS e,
+        f"""enc AS (SELECT user_id, list_slice({encode_sql("input_text")}, 1, {MAX_LEN - 1}) AS e,
           {encode_sql("target_text")} AS t FROM texts)""",
-        f"""SELECT user_id, segment_no, {ids_text("e")} || ' 1' AS input_ids, {ids_text("t")} || ' 1' AS labels,
+        f"""SELECT user_id, {ids_text("e")} || ' 1' AS input_ids, {ids_text("t")} || ' 1' AS labels,
           array_to_string(list_transform(e, lambda x: x.word + 1), ' ') || ' 0' AS whole_word_ids,
           len(e) + 1 AS mask_sum FROM enc""",
     )
@@ -60,7 +57,6 @@ def whole_word_ids(spark, folder):
     out = tokens.encoder_rows(texts(spark, folder), MAX_LEN)
     return out.select(
         "user_id",
-        "segment_no",
         joined("input_ids"),
         joined("labels"),
         joined("whole_word_ids"),
@@ -75,7 +71,7 @@ def joined(col: str):
 BUDGET = [
     HISTORY,
     TEXTS,
-    f"""enc AS (SELECT user_id, segment_no, {encode_sql("'Input: ' || input_text || ' '")} AS full_e,
+    f"""enc AS (SELECT user_id, {encode_sql("'Input: ' || input_text || ' '")} AS full_e,
       {encode_sql("'Target: '")} AS p, {encode_sql("target_text")} AS t FROM texts)""",
     f"""cut AS (SELECT *, list_slice(full_e, 1, {MAX_LEN} - (len(p) + len(t) + 2)) AS e FROM enc)""",
     """offs AS (SELECT *, e[-1].word + 1 AS newline_word, e[-1].word + 2 AS prefix_from,
@@ -86,7 +82,7 @@ BUDGET = [
 @query(
     with_ctes(
         *BUDGET,
-        f"""SELECT user_id, segment_no, {ids_text("e")} || ' 2 ' || {ids_text("p")} AS prompt_ids,
+        f"""SELECT user_id, {ids_text("e")} || ' 2 ' || {ids_text("p")} AS prompt_ids,
           {ids_text("e")} || ' 2 ' || {ids_text("p")} || ' ' || {ids_text("t")} || ' 1' AS total_ids,
           array_to_string(list_concat(list_concat(list_transform(e, lambda x: x.word + 1), [newline_word + 1]),
             list_concat(list_transform(p, lambda x: x.word + prefix_from + 1),
@@ -98,7 +94,6 @@ def token_budget(spark, folder):
     out = tokens.decoder_rows(texts(spark, folder), MAX_LEN)
     return out.select(
         "user_id",
-        "segment_no",
         joined("prompt_ids"),
         joined("total_ids"),
         joined("total_word_ids"),
@@ -111,7 +106,7 @@ def token_budget(spark, folder):
     with_ctes(
         HISTORY,
         TEXTS,
-        """SELECT user_id, segment_no, 'Input: ' || input_text || ' ' || chr(10) || 'Target: ' AS asked,
+        """SELECT user_id, 'Input: ' || input_text || ' ' || chr(10) || 'Target: ' AS asked,
           'Input: ' || input_text || ' ' || chr(10) || 'Target: ' || target_text AS answered FROM texts""",
     )
 )
@@ -119,14 +114,14 @@ def dialog_text(spark, folder):
     rows = texts(spark, folder)
     asked = tokens.dialog_text(F.col("input_text"))
     answered = tokens.dialog_text(F.col("input_text"), F.col("target_text"))
-    return rows.select("user_id", "segment_no", asked.alias("asked"), answered.alias("answered"))
+    return rows.select("user_id", asked.alias("asked"), answered.alias("answered"))
 
 
 def padded(spark, folder, left: bool):
     """Encoder rows in seeded random order, batches of 16, padded to the batch maximum."""
     rows = tokens.encoder_rows(texts(spark, folder), MAX_LEN)
-    rows = pin(rows.withColumn("draw", draws.draw(SEED, F.col("user_id"), F.col("segment_no"), "order")), "encoded")
-    placed = shuffled_index(rows, "draw", ["user_id", "segment_no"], "place", rows.count())
+    rows = pin(rows.withColumn("draw", draws.draw(SEED, F.col("user_id"), "order")), "encoded")
+    placed = shuffled_index(rows, "draw", ["user_id"], "place", rows.count())
     batches = tokens.batch_no(placed, "place", 16)
     pads = {
         "input_ids": tokens.PAD_ID,
@@ -135,7 +130,7 @@ def padded(spark, folder, left: bool):
         "labels": tokens.LABEL_PAD,
     }
     out = tokens.pad_batches(batches, pads, left=left)
-    return out.select("user_id", "segment_no", "batch", *[joined(c) for c in pads])
+    return out.select("user_id", "batch", *[joined(c) for c in pads])
 
 
 def padded_sql(left: bool) -> str:
@@ -147,14 +142,14 @@ def padded_sql(left: bool) -> str:
     return with_ctes(
         HISTORY,
         TEXTS,
-        f"""enc AS (SELECT user_id, segment_no, list_slice({encode_sql("input_text")}, 1, {MAX_LEN - 1}) AS e,
+        f"""enc AS (SELECT user_id, list_slice({encode_sql("input_text")}, 1, {MAX_LEN - 1}) AS e,
           {encode_sql("target_text")} AS t FROM texts)""",
-        f"""cols AS (SELECT user_id, segment_no, list_append(list_transform(e, lambda x: x.id), 1) AS input_ids,
+        f"""cols AS (SELECT user_id, list_append(list_transform(e, lambda x: x.id), 1) AS input_ids,
           list_transform(list_append(e, e[1]), lambda x: 1::BIGINT) AS attention_mask,
           list_append(list_transform(e, lambda x: x.word + 1), 0) AS whole_word_ids,
           list_append(list_transform(t, lambda x: x.id), 1) AS labels,
-          (row_number() OVER (ORDER BY {draw_sql(SEED, "user_id", "segment_no", "'order'")}, user_id, segment_no) - 1) // 16 AS batch FROM enc)""",
-        f"""SELECT user_id, segment_no, batch, {pad("input_ids", 0)}, {pad("attention_mask", 0)}, {pad("whole_word_ids", 0)},
+          (row_number() OVER (ORDER BY {draw_sql(SEED, "user_id", "'order'")}, user_id) - 1) // 16 AS batch FROM enc)""",
+        f"""SELECT user_id, batch, {pad("input_ids", 0)}, {pad("attention_mask", 0)}, {pad("whole_word_ids", 0)},
           {pad("labels", -100)} FROM cols""",
     )
 
