@@ -43,8 +43,9 @@ class Catalog:
 
 def catalog(items: DataFrame, order: str) -> Catalog:
     """Index the items by ``order``."""
+    items = pin(items, "catalog")  # read by the count and by every task that draws from it
     size = items.count()
-    return Catalog(dense_index(items, [order], "item_idx"), size, next_prime(size))
+    return Catalog(dense_index(items, [order], "item_idx", rows=size), size, next_prime(size))
 
 
 def walk_start(cat: Catalog, *parts) -> tuple[Column, Column]:

@@ -44,18 +44,18 @@ def number_rows(
     """Number rows 0.. inside each key by ``order`` (which must be unique per key).
 
     ``total`` adds the key's row count, ``lead`` ({new: source}) the next row's
-    value.  ``at_most`` is a cheap upper bound of the row count of ``df`` (for
+    value.  ``at_most`` is a known upper bound of the rows of any key (or of all rows, for
     example from Parquet footers): when it is within ``hot_rows`` no key can be hot
     and the counting pass is skipped.
     """
     lead = lead or {}
     if at_most is not None and at_most <= hot_rows:
         return _number_plain(df, keys, order, pos, total, lead)
-    hot = pin(hot_keys(df, keys, hot_rows), "hot-keys")
-    found = hot.count()
-    if found == 0:
+    df = pin(df, "to-number")  # read by the count, and again by either way
+    hot = hot_keys(df, keys, hot_rows)
+    if hot.isEmpty():
         return _number_plain(df, keys, order, pos, total, lead)
-    hot = broadcast_if_small(hot, found)
+    hot = broadcast_if_small(pin(hot, "hot-keys"))
     cold_rows = df.join(hot, keys, "left_anti")
     hot_part = df.join(hot, keys, "left_semi")
     return _number_plain(cold_rows, keys, order, pos, total, lead).unionByName(
@@ -73,10 +73,16 @@ def _number_plain(df, keys, order, pos, total, lead) -> DataFrame:
     return df.select("*", *cols)
 
 
+def _range_count(df: DataFrame) -> int:
+    """Ranges of ``BLOCK_ROWS`` rows, however few shuffle partitions the session has."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1 << 20, -(-df.count() // BLOCK_ROWS)))
+
+
 def _number_ranges(df, keys, order, pos, total, lead) -> DataFrame:
     # The range ids must not move between the two passes below, so they are pinned.
     placed = pin(
-        df.repartitionByRange(*keys, *order).withColumn("range_no", F.spark_partition_id()),
+        df.repartitionByRange(_range_count(df), *keys, *order).withColumn("range_no", F.spark_partition_id()),
         "ranges",
     )
     spots = [*keys, "range_no"]
@@ -84,33 +90,44 @@ def _number_ranges(df, keys, order, pos, total, lead) -> DataFrame:
     before = W.partitionBy(*keys).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(
         *spots,
+        "range_rows",
         F.coalesce(F.sum("range_rows").over(before), F.lit(0)).alias("range_shift"),
         F.sum("range_rows").over(W.partitionBy(*keys)).alias("key_rows"),
     )
     inside = W.partitionBy(*spots).orderBy(*order)
+    numbered = placed.withColumn(pos, F.row_number().over(inside) - 1)
+    if lead:
+        # The next row is in the same range, but for a range's last row: there it is the
+        # first row of the key's next range, one row per key and range.
+        numbered = numbered.withColumns({new: F.lead(src).over(inside) for new, src in lead.items()})
+        first = F.min_by(F.struct(*[F.col(src).alias(new) for new, src in lead.items()]), F.struct(*order))
+        opening = placed.groupBy(*spots).agg(first.alias("own"))
+        after = F.lead("own").over(W.partitionBy(*keys).orderBy("range_no"))
+        shifts = shifts.join(opening.select(*spots, after.alias("opening")), spots)
     out = (
-        placed.withColumn(pos, F.row_number().over(inside) - 1)
-        .join(shifts, spots)
+        numbered.join(shifts, spots)
         .withColumn(pos, (F.col(pos) + F.col("range_shift")).cast("bigint"))
     )
     if total:
         out = out.withColumn(total, F.col("key_rows").cast("bigint"))
-    out = out.drop("range_no", "range_shift", "key_rows")
     if lead:
-        following = out.select(
-            *keys,
-            (F.col(pos) - 1).alias(pos),
-            *[F.col(src).alias(new) for new, src in lead.items()],
-        )
-        out = out.join(following, [*keys, pos], "left")
-    return out
+        is_last = F.col(pos) - F.col("range_shift") == F.col("range_rows") - 1
+        out = out.withColumns({new: F.when(is_last, F.col("opening")[new]).otherwise(F.col(new)) for new in lead})
+    out = out.drop("range_rows", "range_no", "range_shift", "key_rows")
+    return out.drop("opening") if lead else out
 
 
 def dense_index(
-    df: DataFrame, order: list[str], out: str, *, one_task_rows: int = HOT_ROWS
+    df: DataFrame, order: list[str], out: str, *, one_task_rows: int = HOT_ROWS, rows: int | None = None
 ) -> DataFrame:
-    """Number all rows 0..n-1 by ``order``; one task only when the count allows it."""
-    if df.count() <= one_task_rows:
+    """Number all rows 0..n-1 by ``order``; one task only when the count allows it.
+
+    ``rows`` is the count where it is known already.
+    """
+    if rows is None:
+        df = pin(df, "to-index")
+        rows = df.count()
+    if rows <= one_task_rows:
         spot = W.partitionBy(F.lit(0)).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(spot) - 1).cast("bigint"))
     whole = df.withColumn("whole_set", F.lit(0))

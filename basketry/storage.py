@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,39 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/basketry/{label}-{uuid.uuid4().hex}"
 
 
+# Paths of the pinned copies that were not dropped yet.
+_pinned: list[str] = []
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and gives the optimizer real sizes.
+    Cuts the lineage, survives lost executors, and gives the optimizer real sizes.  The
+    copy stays until :func:`drop_pinned` or the end of a :func:`pinned_scope`.
     """
     path = fresh_path(df.sparkSession, label)
+    _pinned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_pinned(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the pinned copies but the ``keep`` oldest ones; no plan on them may still be run."""
+    while len(_pinned) > keep:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def pinned_scope(spark: SparkSession):
+    """Copies pinned inside are deleted at the end: write or collect the result inside as well."""
+    before = len(_pinned)
+    try:
+        yield
+    finally:
+        drop_pinned(spark, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted rows are under ``limit``."""
     rows = df.count() if rows is None else rows

@@ -67,8 +67,9 @@ def rating_attach_occurrence(spark, folder):
     whole = pin(history(spark, folder), "history")
     rows = whole.select("user_id", "pos", "item_id")
     ratings = raw.union_ratings(rating_parts(whole))
-    bound = 2 * retail.row_bound(spark, folder)
-    return hist_ops.attach_ratings(rows, ratings, at_most=bound)
+    # a pair has no more rows than its user; the foreign item is one more pair
+    longest = whole.agg(F.max("n")).first()[0] or 0
+    return hist_ops.attach_ratings(rows, ratings, at_most=longest)
 
 
 @query(
