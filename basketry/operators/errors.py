@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketry.operators.metricspec import ERROR, Metric
@@ -83,3 +84,37 @@ def error_metrics(predictions: DataFrame, metrics: list[Metric], keys: list[str]
         .agg(*[m.combine(F.col("diff")).alias(str(m)) for m in metrics])
     )
     return bounds.select(*keys, "n_total", "n_ignored").join(values, keys, "left")
+
+
+def running_error_metrics(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """RMSE and MAE over all answers seen so far, at each percent of progress.
+
+    ``answers`` has preds, truths and ``percent``.  Answers are cut to the range of the truths
+    seen by then, so each step of that range (it only widens) sums the answers anew; the sums
+    are by percent, at most 100 a key, before they are added up.
+    """
+    point = [*keys, "percent"]
+    pairs = pin(answer_pairs(answers, point), "running-pairs")
+    upto = W.partitionBy(*keys).orderBy("percent").rowsBetween(W.unboundedPreceding, W.currentRow)
+    over = {"low": F.min, "high": F.max, "n_total": F.sum, "n_ignored": F.sum}
+    points = answer_bounds(pairs, point).select(*point, *[f(c).over(upto).alias(c) for c, f in over.items()])
+    steps = points.filter("low IS NOT NULL").groupBy(*keys, "low", "high").agg(F.max("percent").alias("until"))
+    valid = pairs.filter("pred IS NOT NULL").join(steps, keys).filter("percent <= until")
+    diff = clip(F.col("pred"), F.col("low"), F.col("high")) - F.col("truth")
+    sums = valid.withColumn("diff", diff).groupBy(*keys, "low", "high", F.col("percent").alias("at")).agg(
+        F.sum(F.col("diff") * F.col("diff")).alias("squares"), F.sum(F.abs("diff")).alias("sizes"), F.count("diff").alias("n"))
+    seen = points.join(sums, [*keys, "low", "high"]).filter("at <= percent").groupBy(*point).agg(
+        F.sqrt(F.sum("squares") / F.sum("n")).alias("RMSE"), (F.sum("sizes") / F.sum("n")).alias("MAE"))
+    return points.select(*point, "n_total", "n_ignored").join(seen, point, "left")
+
+
+def counted_errors(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """RMSE, MAE, n_total and n_ignored from answers counted by (keys, pred, truth)."""
+    n, valid = F.col("n"), F.col("pred").isNotNull()
+    bounds = counts.groupBy(*keys).agg(
+        F.min(F.when(valid, F.col("truth"))).alias("low"), F.max(F.when(valid, F.col("truth"))).alias("high"),
+        F.sum("n").alias("n_total"), F.coalesce(F.sum(F.when(~valid, n)), F.lit(0)).alias("n_ignored"))
+    diff = F.when(valid, clip(F.col("pred"), F.col("low"), F.col("high")) - F.col("truth"))
+    answered = F.sum(F.when(valid, n))
+    return counts.join(bounds, keys).withColumn("diff", diff).groupBy(*keys, "n_total", "n_ignored").agg(
+        F.sqrt(F.sum(n * F.col("diff") * F.col("diff")) / answered).alias("RMSE"), (F.sum(n * F.abs("diff")) / answered).alias("MAE"))

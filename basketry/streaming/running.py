@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from basketry.operators.errors import answer_pairs, counted_errors
 from basketry.operators.metricspec import Metric
 from basketry.operators.ranking import ranking_metrics
 
 
 def prediction_stream(
-    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Prediction files as a stream; new files are picked up by later triggers."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(path)
+    """Prediction files as a stream; new files are picked up by later triggers.
+
+    ``files_per_trigger`` makes updates come after so many files; without it one takes all
+    that are there.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def _updates(running: DataFrame, publish: Callable[[DataFrame, str], None], out_path: str, checkpoint: str) -> int:
+    done: list[int] = []
+
+    def each(result: DataFrame, batch_id: int) -> None:
+        publish(result, f"{out_path}/update={batch_id}")
+        done.append(batch_id)
+
+    query = (
+        running.writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(each)
+        .start()
     )
+    query.awaitTermination()
+    return len(set(done))  # a retried update counts once
 
 
 def run_metrics(
@@ -34,19 +59,24 @@ def run_metrics(
     the whole result is written to a folder of its own, ``update=<batch id>``.
     """
 
-    def publish(result: DataFrame, batch_id: int) -> None:
-        result.write.mode("overwrite").parquet(f"{out_path}/update={batch_id}")
+    def publish(result: DataFrame, path: str) -> None:
+        result.write.mode("overwrite").parquet(path)
 
-    query = (
-        ranking_metrics(predictions, metrics, keys)
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(publish)
-        .start()
-    )
-    query.awaitTermination()
-    return len([p for p in query.recentProgress if p["sink"] is not None])
+    return _updates(ranking_metrics(predictions, metrics, keys), publish, out_path, checkpoint)
+
+
+def run_errors(predictions: DataFrame, keys: list[str], out_path: str, checkpoint: str) -> int:
+    """Like :func:`run_metrics` for RMSE and MAE.
+
+    The range that cuts the answers widens as truths arrive, so the state counts equal
+    (answer, truth) pairs: few for ratings, and never more than the pairs seen.
+    """
+    counts = answer_pairs(predictions, keys).groupBy(*keys, "pred", "truth").agg(F.count(F.lit(1)).alias("n"))
+
+    def publish(result: DataFrame, path: str) -> None:
+        counted_errors(result, keys).write.mode("overwrite").parquet(path)
+
+    return _updates(counts, publish, out_path, checkpoint)
 
 
 def latest(spark: SparkSession, out_path: str) -> DataFrame:

@@ -551,6 +551,60 @@ def stream_running_metrics(spark, folder):
     return rounded(running.latest(spark, out))
 
 
+@query(
+    rounded(
+        with_ctes(
+            *RATED[:2],
+            """placed AS (SELECT *, greatest((200 * batch + 200 + batches) // (2 * batches), 1)::BIGINT AS percent FROM (
+          SELECT *, (dense_rank() OVER (ORDER BY user_id) - 1) // 16 AS batch,
+            ((SELECT count(DISTINCT user_id) FROM given) + 15) // 16 AS batches FROM given))""",
+            """points AS (SELECT DISTINCT task, template_id, percent FROM placed)""",
+            """so_far AS (SELECT p.task, p.template_id, p.percent, g.pred, g.truth,
+            min(CASE WHEN g.pred IS NOT NULL THEN g.truth END) OVER w AS low,
+            max(CASE WHEN g.pred IS NOT NULL THEN g.truth END) OVER w AS high
+          FROM points p JOIN placed g ON g.template_id = p.template_id AND g.percent <= p.percent
+          WINDOW w AS (PARTITION BY p.template_id, p.percent))""",
+            """SELECT task, template_id, percent, count(*) AS n_total, count(*) FILTER (pred IS NULL) AS n_ignored,
+          sqrt(avg(power(least(greatest(pred, low), high) - truth, 2)) FILTER (pred IS NOT NULL)) AS "RMSE",
+          avg(abs(least(greatest(pred, low), high) - truth)) FILTER (pred IS NOT NULL) AS "MAE"
+        FROM so_far GROUP BY 1, 2, 3""",
+        ),
+        ["RMSE", "MAE"],
+    )
+)
+def running_error_metrics(spark, folder):
+    """RMSE and MAE so far at every percent of the batches of 16 users."""
+    rows = rating_answers(spark, folder)
+    users = dense_index(rows.select("user_id").distinct(), ["user_id"], "user_idx")
+    batches = (users.count() + 15) // 16
+    placed = batch_no(rows.join(users, "user_id"), "user_idx", 16)
+    seen = placed.withColumn("percent", summary.progress_point(F.col("batch"), F.lit(batches)))
+    return rounded(errors.running_error_metrics(seen, GROUP))
+
+
+@query(
+    rounded(
+        with_ctes(
+            *RATED,
+            """SELECT task, template_id, n_total, n_ignored, "RMSE", "MAE" FROM
+        (SELECT task, template_id, count(*) AS n_total, count(*) FILTER (pred IS NULL) AS n_ignored
+          FROM given GROUP BY 1, 2) JOIN
+        (SELECT template_id, sqrt(avg(diff * diff)) AS "RMSE", avg(abs(diff)) AS "MAE" FROM diffs GROUP BY 1)
+        USING (template_id)""",
+        ),
+        ["RMSE", "MAE"],
+    )
+)
+def stream_running_errors(spark, folder):
+    """Rating answers consumed by a stream; the last update equals the batch result."""
+    rows = rating_answers(spark, folder).repartition(6)
+    source, out, state = (fresh_path(spark, f"stream-{p}") for p in ("in", "out", "state"))
+    rows.write.parquet(source)
+    stream = running.prediction_stream(spark, source, rows.schema, files_per_trigger=3)
+    running.run_errors(stream, GROUP, out, state)
+    return rounded(running.latest(spark, out))
+
+
 # ---- predictors -------------------------------------------------------------
 
 
