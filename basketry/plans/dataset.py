@@ -95,14 +95,18 @@ def from_files(
     folder: str,
     *,
     ratings_format: str = "json",
+    ratings_order: str | None = "ord",
     names_format: str = "json",
     **options,
 ) -> Dataset:
-    """Read sequential_data.txt, datamaps.json, meta.json.gz, ratings/{train,val,test}, user_names."""
+    """Read sequential_data.txt, datamaps.json, meta.json.gz, ratings/{train,val,test}, user_names.
+
+    ``ratings_order=None`` is for rating files whose line order is the order of the ratings.
+    """
     ratings = [f"{folder}/ratings/{part}" for part in ("train", "val", "test")]
     return from_tables(
         raw.read_sequence_log(spark, f"{folder}/sequential_data.txt"),
-        raw.read_ratings(spark, ratings, ratings_format),
+        raw.read_ratings(spark, ratings, ratings_format, ratings_order),
         raw.read_id_maps(spark, f"{folder}/datamaps.json"),
         raw.read_user_names(spark, f"{folder}/user_names", names_format),
         raw.clean_items(raw.read_item_metadata(spark, f"{folder}/meta.json.gz")),

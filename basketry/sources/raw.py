@@ -41,17 +41,29 @@ def union_ratings(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_ratings(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame:
-    """Rating records (ord, reviewerID, asin, overall) of several files, in file order.
+def read_ratings(spark: SparkSession, paths: list[str], fmt: str = "parquet", order: str | None = "ord") -> DataFrame:
+    """Rating records (reviewerID, asin, overall) of several lists, in order of occurrence.
 
-    ``ord`` is the record's place in its list; JSON, CSV and Parquet carry it as data
-    because a distributed reader does not keep line order.
+    ``order`` names the column with a record's place in its list; a record without a place
+    fails the job.  ``None`` takes the place in the files: name of the file, start of the
+    block, row in it.  ``ord`` is comparable in either case.
     """
-    schema = "ord bigint, reviewerID string, asin string, overall double"
+    schema = "reviewerID string, asin string, overall double" + (f", {order} bigint" if order else "")
+
+    def place() -> Column:
+        if order:
+            missing = F.raise_error(F.lit("a rating has no place in its list; read it with order=None"))
+            return F.when(F.col(order).isNull(), missing.cast("bigint")).otherwise(F.col(order))
+        return F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+
     return union_ratings(
         [
             spark.read.schema(schema).format(fmt).option("header", "true").load(p).select(
-                "ord",
+                place().alias("ord"),
                 F.col("reviewerID").alias("user_key"),
                 F.col("asin").alias("item_key"),
                 F.col("overall").cast("int").cast("bigint").alias("rating"),

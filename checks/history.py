@@ -72,6 +72,31 @@ def rating_attach_occurrence(spark, folder):
     return hist_ops.attach_ratings(rows, ratings, at_most=longest)
 
 
+@query(
+    with_ctes(
+        HISTORY,
+        RATED,
+        """a AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY pos) AS k FROM hist)""",
+        """b AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY part, ord) AS k
+        FROM rated)""",
+        """SELECT a.user_id, a.pos, a.item_id, b.rating FROM a
+        LEFT JOIN b ON a.user_id = b.user_id AND a.item_id = b.item_id AND a.k = b.k""",
+    )
+)
+def ratings_in_file_order(spark, folder):
+    """Rating files without a place column: the order of the lines counts."""
+    whole = pin(history(spark, folder), "history")
+    paths = []
+    for part in rating_parts(whole):
+        paths.append(fresh_path(spark, "ratings"))
+        lines = part.repartitionByRange("ord", "user_id").sortWithinPartitions("ord", "user_id")
+        record = F.struct(F.col("user_id").alias("reviewerID"), F.col("item_id").alias("asin"), F.col("rating").alias("overall"))
+        lines.select(F.to_json(record).alias("value")).write.text(paths[-1])
+    ratings = raw.read_ratings(spark, paths, "json", order=None)
+    ratings = ratings.withColumnsRenamed({"user_key": "user_id", "item_key": "item_id"})
+    return hist_ops.attach_ratings(whole.select("user_id", "pos", "item_id"), ratings)
+
+
 @query(
     """SELECT 'item_' || CAST(l_partkey + 1000 AS VARCHAR) AS item_id,
       'user_' || CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_raw,

@@ -51,6 +51,21 @@ def test_files_to_dataset(spark, folder, tmp_path):
         dataset.find_dataset("other")
 
 
+def test_ratings_in_line_order(spark, folder):
+    from pathlib import Path
+
+    for part in ("train", "val", "test"):
+        path = Path(folder) / "ratings" / part
+        plain = [{k: v for k, v in json.loads(x).items() if k != "ord"} for x in path.read_text().splitlines()]
+        if part == "train":
+            plain.append({"reviewerID": "UA", "asin": "IA", "overall": 4.0})
+        path.write_text("\n".join(map(json.dumps, plain)))
+    ds = dataset.from_files(spark, folder, prefix=False, ratings_order=None)
+    assert rows(ds.interactions, "user_id", "pos", "rating") == [("1", 0, 5), ("1", 1, None), ("1", 2, 4), ("2", 0, 3), ("2", 1, None)]
+    with pytest.raises(Exception, match="no place in its list"):
+        dataset.from_files(spark, folder).interactions.collect()
+
+
 def test_plain_ids(spark, folder):
     ds = dataset.from_files(spark, folder, prefix=False)
     assert rows(ds.interactions, "user_id", "item_id")[0] == ("1", "1")
