@@ -30,12 +30,13 @@ def with_epochs(rows: DataFrame, epochs: int) -> DataFrame:
     return rows.withColumn("epoch", F.explode(every))
 
 
-def training_windows(interactions: DataFrame, epochs: int, seed: int) -> DataFrame:
+def training_windows(interactions: DataFrame, epochs: int, seed: int, split: str = "train") -> DataFrame:
     """(user_id, epoch, size, start) for every user with two training rows or more.
 
-    The user list is the rows at position 0, so no grouping is needed.
+    ``split`` is "train" or "train_validation", the merged one.  The user list is the rows at
+    position 0, so no grouping is needed.
     """
-    length = F.col("n") - 2
+    length = splits.split_size(split)
     users = interactions.filter((F.col("pos") == 0) & (length >= 2)).select("user_id", "n")
     return _with_window(with_epochs(users, epochs), length, seed).drop("n")
 
@@ -46,15 +47,15 @@ def _with_window(rows: DataFrame, length: Column, seed: int) -> DataFrame:
     return sized.withColumn("start", window_start(length, F.col("size"), *who))
 
 
-def require_windows(interactions: DataFrame) -> DataFrame:
+def require_windows(interactions: DataFrame, split: str = "train") -> DataFrame:
     """The rows unchanged; the job fails at a user too short for a training window."""
     message = F.concat(F.lit("no training window fits the history of user "), F.col("user_id"))
-    return interactions.filter(F.when(F.col("n") - 2 < 2, F.raise_error(message).cast("boolean")).otherwise(True))
+    return interactions.filter(F.when(splits.split_size(split) < 2, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
-def too_short(interactions: DataFrame) -> DataFrame:
+def too_short(interactions: DataFrame, split: str = "train") -> DataFrame:
     """Users with a training history that gives no window."""
-    return interactions.filter((F.col("pos") == 0) & (F.col("n") - 2 < 2)).select("user_id", "n")
+    return interactions.filter((F.col("pos") == 0) & (splits.split_size(split) < 2)).select("user_id", "n")
 
 
 def window_rows(
@@ -83,15 +84,15 @@ def window_rows(
 
 
 def train_examples(
-    interactions: DataFrame, fields: list[str], epochs: int, seed: int, size: int = splits.SEGMENT
+    interactions: DataFrame, fields: list[str], epochs: int, seed: int, size: int = splits.SEGMENT, split: str = "train"
 ) -> DataFrame:
     """user_id, epoch, input ARRAY<STRUCT>, target STRUCT for each sampled window.
 
     One grouping by user serves all epochs; each epoch is a slice of the same array.
     """
-    rows = interactions.filter(splits.in_split("train") & (F.col("n") >= 4))
+    rows = interactions.filter(splits.in_split(split) & (splits.split_size(split) >= 2))
     seqs = with_epochs(splits.sequences(rows, fields, size), epochs)
-    return _with_window(seqs, F.col("n") - 2, seed).select(
+    return _with_window(seqs, splits.split_size(split), seed).select(
         "user_id",
         "epoch",
         sub_sequence(F.col("seq"), F.col("start"), F.col("size")).alias("input"),

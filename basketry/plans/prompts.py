@@ -552,6 +552,7 @@ def whole_prompts(
     seed: int,
     split: str = "test",
     epochs: int | None = None,
+    merged: bool = False,
     strategy: str = "all",
     catalog: neg.Catalog | None = None,
     force: dict[str, str] | None = None,
@@ -560,15 +561,17 @@ def whole_prompts(
 ) -> DataFrame:
     """Prompts of every user and task: whole texts, and pieces for histories longer than ``size``.
 
-    ``epochs`` switches to training windows; otherwise every task is expanded over its
+    ``epochs`` switches to training windows, of the merged train and validation rows if
+    ``merged``; otherwise every task is expanded over its
     templates for the examples of ``split``.  Whole texts have part_no = WHOLE.  Both forms
     make up the same texts.  ``force`` maps tasks to the one template id they are restricted to.
     """
     names = [tpl.find_task(t) for t in tasks]
     training, fields = epochs is not None, fields_of(names)
     force = {tpl.find_task(t): i for t, i in (force or {}).items()}
+    learned = "train_validation" if merged else "train"
     if training:
-        ex = sampling.train_examples(splits.short_users(interactions, size), fields, epochs, seed, size)
+        ex = sampling.train_examples(splits.short_users(interactions, size), fields, epochs, seed, size, learned)
     else:
         ex = splits.examples(splits.short_users(interactions, size), split, fields, size)
     ex = pin(add_users(ex, users), "examples")
@@ -584,8 +587,8 @@ def whole_prompts(
         return out  # no long history
     rows = pin(splits.long_users(interactions, size), "long-history")
     if training:
-        windows = sampling.training_windows(rows, epochs, seed)
-        spots = sampling.window_rows(rows.filter(splits.in_split("train")), windows)
+        windows = sampling.training_windows(rows, epochs, seed, learned)
+        spots = sampling.window_rows(rows.filter(splits.in_split(learned)), windows)
     else:
         spots = splits.example_spots(rows, split)
     if training and strategy == "random":

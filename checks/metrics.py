@@ -463,22 +463,23 @@ def report_rows(spark, folder):
 
 @query(
     rounded(
-        with_ctes(
-            *REPORT,
-            """SELECT label AS "Template ID", max(value) FILTER (metric = 'Hit@5') AS "Hit@5",
-          max(value) FILTER (metric = 'NDCG@10') AS "NDCG@10" FROM report WHERE task = 'next_item' GROUP BY label""",
-        ),
-        ["Hit@5", "NDCG@10"],
+        with_ctes(*REPORT, """SELECT task, label AS "Template ID", metric, value FROM report"""),
+        ["value"],
     )
 )
 def metrics_csv(spark, folder):
-    """The report of one task written as CSV and read back."""
-    names = SUITE["next_item"]
-    mine = suite_metrics(spark, folder).filter(F.col("task") == "next_item")
-    report = summary.report_wide(mine, names).drop("task")
-    path = layout.write_report(report, fresh_path(spark, "reports"), "next_item")
-    schema = "`Template ID` string, " + ", ".join(f"`{n}` double" for n in names)
-    return rounded(spark.read.schema(schema).option("header", True).csv(path))
+    """One CSV report per task, read back."""
+    scores, target = pin(suite_metrics(spark, folder), "scores"), fresh_path(spark, "reports")
+    out = None
+    for task, names in SUITE.items():
+        report = summary.report_wide(scores.filter(F.col("task") == task), names).drop("task")
+        path = layout.write_report(report, target, task)
+        schema = "`Template ID` string, " + ", ".join(f"`{n}` double" for n in names)
+        back = spark.read.schema(schema).option("header", True).csv(path)
+        cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names])
+        long = back.select(F.lit(task).alias("task"), "`Template ID`", F.inline(cells))
+        out = long if out is None else out.unionByName(long)
+    return rounded(out)
 
 
 @query(
@@ -622,13 +623,12 @@ def popularity_topn(spark, folder):
 @query(
     with_ctes(
         *base(False),
-        """SELECT user_id, array_to_string(list_resize(list_slice(list_reverse(items), 1, 10), 10, 'none'), ' ') AS preds,
-          target_item AS truth FROM packed""",
+        """SELECT user_id, template_id, array_to_string(list_resize(list_slice(list_reverse(items), 1, 10), 10, 'none'), ' ') AS preds,
+          target_item AS truth FROM packed, (VALUES ('2-3'), ('2-13')) t(template_id)""",
     )
 )
 def predict_topn_pandas(spark, folder):
-    prompts = whole(spark, folder, [tpl.P5_SEQUENTIAL_EVAL]).filter(F.col("template_id") == "2-3")
-    prompts = pr.check_evaluable(prompts)
+    prompts = pr.check_evaluable(whole(spark, folder, [tpl.P5_SEQUENTIAL_EVAL]))
 
     def load():
         import re
@@ -636,7 +636,8 @@ def predict_topn_pandas(spark, folder):
         def answer(texts, n):
             out = []
             for t in texts:
-                items = re.split(" , | -> ", t.split("\n")[1])[::-1][:n]
+                history = re.search("^With (.*) on the account,|: (.*); the shop", t)
+                items = re.split(" , | -> ", history[1] or history[2])[::-1][:n]
                 out.append(items + ["none"] * (n - len(items)))
             return out
 
@@ -644,7 +645,7 @@ def predict_topn_pandas(spark, folder):
 
     out = predict_topn(prompts, load, 10)
     return out.select(
-        "user_id", F.array_join("preds", " ").alias("preds"), F.get("ground_truth", F.lit(0)).alias("truth")
+        "user_id", "template_id", F.array_join("preds", " ").alias("preds"), F.get("ground_truth", F.lit(0)).alias("truth")
     )
 
 

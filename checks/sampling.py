@@ -75,6 +75,33 @@ def train_window_sample(spark, folder):
     return inputs.join(ends, ["user_id", "epoch"]).select("user_id", "epoch", "input", "target")
 
 
+MERGED = WINDOWS.replace("n - 2", "n - 1").replace("n >= 4", "n >= 3")
+
+
+@query(
+    with_ctes(
+        HISTORY,
+        ITEMS,
+        MERGED,
+        EX_TRAIN,
+        """SELECT user_id, epoch::BIGINT AS epoch, string_agg(item_id, ' ' ORDER BY spot) FILTER (NOT is_target) AS input,
+          any_value(item_id) FILTER (is_target) AS target FROM ex GROUP BY user_id, epoch""",
+    )
+)
+def train_window_merged(spark, folder):
+    """Windows over the merged train and validation rows."""
+    rows = pin(history(spark, folder).drop("rating"), "history")
+    windows = sampling.training_windows(rows, EPOCHS, SEED, "train_validation")
+    spots = sampling.window_rows(rows, windows)
+    inputs = spots.filter(F.col("part") == "input").withColumn("segment_no", F.expr("spot div 4096"))
+    lists = inputs.groupBy("user_id", "epoch", "segment_no").agg(
+        F.sort_array(F.collect_list(F.struct("spot", "item_id"))).alias("seq")
+    )
+    ends = spots.filter(F.col("part") == "target").select("user_id", "epoch", F.col("item_id").alias("target"))
+    texts = splits.whole_texts(lists, ["user_id", "epoch"], F.array_join("seq.item_id", " "), " ", "input")
+    return texts.join(ends, ["user_id", "epoch"]).select("user_id", "epoch", "input", "target")
+
+
 @query(
     with_ctes(
         HISTORY,
@@ -237,8 +264,9 @@ USER_EPOCHS = f"""ue AS (
 def template_pick(spark, folder):
     rows = user_epochs(spark, folder)
     picked = pr.with_template(rows, pr.Setup(tpl.SEQUENTIAL, SEED, True), "inference")
-    forced = tpl.templates(tpl.P5_SEQUENTIAL, force="2-12")[0].template_id
-    return picked.select("user_id", "epoch", "template_id", F.lit(forced).alias("forced_id"))
+    forced = pr.with_template(rows, pr.Setup(tpl.P5_SEQUENTIAL, SEED, True, force="2-12"), "pair")
+    forced = forced.withColumnRenamed("template_id", "forced_id")
+    return picked.join(forced, ["user_id", "epoch"]).select("user_id", "epoch", "template_id", "forced_id")
 
 
 @query(
@@ -374,13 +402,12 @@ def task_template_expand(spark, folder):
         USERS,
         """SELECT user_id, pos, CASE WHEN user_name = '' THEN user_key ELSE user_name END AS user_label,
           CASE WHEN title = '' THEN 'unknown title' ELSE title END AS title_label
-        FROM hist JOIN users USING (user_id) JOIN items USING (item_id) WHERE pos = n - 1""",
+        FROM hist JOIN users USING (user_id) JOIN items USING (item_id)""",
     )
 )
 def name_title_fallback(spark, folder):
     items = retail.items(spark, folder).select("item_id", "title")
-    last = history(spark, folder, items).filter(F.col("pos") == F.col("n") - 1)
-    named = last.join(retail.users(spark, folder), "user_id")
+    named = history(spark, folder, items).join(retail.users(spark, folder), "user_id")
     return named.select(
         "user_id",
         "pos",

@@ -254,6 +254,13 @@ def test_training_when_all_histories_are_long(hist, users, cat):
     assert same_for_all_sizes(hist, users, [tpl.SEQUENTIAL, tpl.DIRECT], seed=SEED, epochs=2, catalog=cat, strategy="random")
 
 
+def test_windows_on_merged_rows(hist, users):
+    got = same_for_all_sizes(hist, users, [tpl.P5_RATING_EVAL], seed=SEED, epochs=6, merged=True)
+    ex = sampling.train_examples(hist, ["item_id"], 30, SEED, split="train_validation").collect()
+    n = {r.user_id: r.n for r in hist.select("user_id", "n").distinct().collect()}
+    assert max(r.target.pos - n[r.user_id] for r in ex) == -2 and len(got) == 6 * 6
+
+
 def test_items_without_categories(hist, users, cat):
     bare = hist.withColumn("categories", F.when(F.col("user_id") > "u1", F.col("categories")))
     got = same_for_all_sizes(bare, users, [tpl.DIRECT, tpl.SEQUENTIAL], seed=SEED, catalog=cat)
