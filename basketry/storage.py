@@ -44,17 +44,28 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the optimizer real sizes.  The
     copy stays until :func:`drop_pinned` or the end of a :func:`pinned_scope`.
     """
-    path = fresh_path(df.sparkSession, label)
+    return pin_to(df, fresh_path(df.sparkSession, label))
+
+
+def pin_to(df: DataFrame, path: str) -> DataFrame:
+    """:func:`pin` to a given new path, which :func:`unpin` takes back."""
     _pinned.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unpin(spark: SparkSession, path: str) -> None:
+    """Delete one pinned copy; no plan on it may still be run."""
+    if path in _pinned:
+        _pinned.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_pinned(spark: SparkSession, keep: int = 0) -> None:
     """Delete the pinned copies but the ``keep`` oldest ones; no plan on them may still be run."""
     while len(_pinned) > keep:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_pinned.pop())
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        unpin(spark, _pinned[-1])
 
 
 @contextmanager
