@@ -34,10 +34,8 @@ class Scratch:
 
     def pin(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = storage.fresh_path(self.spark, self.label)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        return storage.pin_to(df, path), path
 
     def drop(self, path: str | None) -> None:
         if path:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            storage.unpin(self.spark, path)

@@ -138,7 +138,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag, end = m[2].lower(), bool(m[1])
         if hidden is not None:
-            if end and tag == hidden:
+            if end and tag == hidden or tag == "body":  # a head without its end tag
                 hidden = None
             continue
         if not end and tag in HIDDEN:
