@@ -204,6 +204,10 @@ def checked(df):
 
 
 def rating_sql() -> str:
+    return with_ctes(*base(False), rating_select())
+
+
+def rating_select(where: str = "") -> str:
     task = tpl.RATING
     pairs = "list_transform(list_zip(items, ratings), lambda z: z[1] || ' -> ' || CAST(z[2] AS VARCHAR))"
     slots = {
@@ -213,10 +217,7 @@ def rating_sql() -> str:
         "item_id": "target_item",
         "target_rating": "CAST(target_rating AS VARCHAR)",
     }
-    return with_ctes(
-        *base(False),
-        prompt_select("packed", task, ["inference"], slots, slots["target_rating"], False),
-    )
+    return prompt_select("packed" + where, task, ["inference"], slots, slots["target_rating"], False)
 
 
 def sequential_slots(training: bool) -> dict[str, str]:
@@ -304,6 +305,10 @@ def wrong_sql(task: str) -> str:
 
 
 def p5_rating_sql(task: str, training: bool) -> str:
+    return with_ctes(*base(training), p5_rating_select(task, training))
+
+
+def p5_rating_select(task: str, training: bool) -> str:
     rated = "CAST(target_rating AS VARCHAR)"
     shown = coin_sql(task, "shown", training)
     slots = {
@@ -318,9 +323,7 @@ def p5_rating_sql(task: str, training: bool) -> str:
     }
     roles = ["inference", "support"] if training else ["inference"]
     pick = "template" if training else None
-    return with_ctes(
-        *base(training), prompt_select("packed", task, roles, slots, rated, training, pick)
-    )
+    return prompt_select("packed", task, roles, slots, rated, training, pick)
 
 
 def shown_parts(task: str) -> tuple[list[str], str, dict[str, str]]:
@@ -389,11 +392,13 @@ def one_role(parts: tuple[list[str], list[str]], index: int | None = None) -> st
 # ---- prompt queries ---------------------------------------------------------
 
 
-def whole(spark, folder, tasks, training=False, strategy="all"):
-    """Prompts of all users (long histories as pieces)."""
+def whole(spark, folder, tasks, training=False, strategy="all", rating=None, **options):
+    """Prompts of all users (long histories as pieces); ``rating`` replaces the ratings."""
     cat = item_catalog(spark, folder)
     fields = [f for f in pr.fields_of(tasks) if f in ("title", "categories", "item_idx")]
     rows = history(spark, folder, cat.items.select("item_id", *fields) if fields else None)
+    if rating is not None:
+        rows = rows.withColumn("rating", rating)
     return pr.whole_prompts(
         rows,
         retail.users(spark, folder),
@@ -402,9 +407,17 @@ def whole(spark, folder, tasks, training=False, strategy="all"):
         epochs=EPOCHS if training else None,
         strategy=strategy,
         catalog=cat,
+        **options,
     )
 
 
+def joined_pieces(out):
+    """Whole texts again from the pieces."""
+    cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
+    names = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
+    return checked(out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text")))
+
+
 def register(name, sql, task, training=False, role=None):
     def run(spark, folder):
         rows = whole(spark, folder, [task], training)
@@ -442,9 +455,7 @@ def register_pieces(name, sql, task, training=False):
         out = pr.build_prompt_pieces(
             rows, users, task, seed=SEED, training=training, catalog=cat, size=PIECE
         )
-        cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))
-        names = ["user_id", "epoch", "task", "template_id", "role", "target_text", "ground_truth"]
-        return checked(out.groupBy(*names).agg(F.array_join(cells["input_text"], "").alias("input_text")))
+        return joined_pieces(out)
 
     run.__name__ = name
     long = f"(SELECT user_id FROM hist WHERE pos = 0 AND n > {PIECE})"
@@ -460,3 +471,40 @@ register_pieces("pieces_direct_train", one_role(direct_parts(True)), tpl.DIRECT,
 register_pieces("pieces_p5_rating_train", p5_rating_sql(tpl.P5_RATING, True), tpl.P5_RATING, True)
 register_pieces("pieces_p5_sequential_train", one_role(p5_sequential_parts(tpl.P5_SEQUENTIAL, True)), tpl.P5_SEQUENTIAL, True)
 register_pieces("pieces_p5_direct_train", one_role(p5_direct_parts(tpl.P5_DIRECT, True)), tpl.P5_DIRECT, True)
+
+
+# ---- several tasks, unrated rows ------------------------------------------------
+
+
+@query(
+    with_ctes(
+        *base(False),
+        "\nUNION ALL ".join(
+            [
+                rating_select(),
+                p5_rating_select(tpl.P5_RATING_EVAL, False),
+                *p5_sequential_parts(tpl.P5_SEQUENTIAL_EVAL, False)[1],
+            ]
+        ),
+    )
+)
+def prompt_eval_suite(spark, folder):
+    """Three tasks in one evaluation build; histories of more than 16 items come in pieces."""
+    tasks = [tpl.RATING, tpl.P5_RATING_EVAL, tpl.P5_SEQUENTIAL_EVAL]
+    return joined_pieces(whole(spark, folder, tasks, size=PIECE))
+
+
+RATED_PART = [
+    HISTORY,
+    ITEMS,
+    USERS,
+    EX_TEST.replace("h.rating", "CASE WHEN (CAST(h.user_id AS BIGINT) + h.pos) % 13 <> 0 THEN h.rating END AS rating"),
+    packed_rows().replace("FILTER (NOT is_target)", "FILTER (NOT is_target AND rating IS NOT NULL)"),
+]
+
+
+@query(with_ctes(*RATED_PART, rating_select(" WHERE target_rating IS NOT NULL AND len(items) > 0")))
+def prompt_unrated(spark, folder):
+    """Every 13th row has no rating: no part of a history, and no prompt as a target."""
+    rating = F.when((F.col("user_id").cast("bigint") + F.col("pos")) % 13 != 0, F.col("rating"))
+    return joined_pieces(whole(spark, folder, [tpl.RATING], rating=rating, strict=False, size=PIECE))
