@@ -2,7 +2,7 @@
 
 Each partition is read once, in order.  A document's tokens fill whole windows first; what
 is left over is cut into pieces of at most ``PIECE`` tokens and collected until a batch of
-``WINDOWS`` windows is almost full.  The batch is then split into that many near-equal
+``WINDOWS`` windows is almost full, the last of them into fine pieces.  The batch is then split into that many near-equal
 windows: every piece starts as a partial partition (itself and empty windows), and the two
 partial partitions with the largest imbalance are merged with opposing order until one is
 left.  If a window is over the capacity, the window count rises by one and the batch is
@@ -22,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 1024
-PIECE = 192
+PIECE = 256
 WINDOWS = 48
-SLACK = 3  # free tokens a window may have when a batch is closed
+SLACK = 2  # free tokens a window may have when a batch is closed
+# The last tokens of a batch are cut into pieces of these sizes in turn: small differences to
+# even out what the large pieces leave.
+FINE = (1, 2, 3, 5, 8, 13, 21)
+FINE_TOKENS = 1024
 CACHED_WORDS = 400_000
 
 
@@ -130,7 +134,11 @@ class Packer:
             self.next_id += 1
             at += self.window
         while at < n:
-            size = min(self.piece, n - at, self.room - self.tokens)
+            left = self.room - self.tokens
+            if left > FINE_TOKENS:
+                size = min(self.piece, n - at, left - FINE_TOKENS)
+            else:
+                size = min(FINE[len(self.waiting) % len(FINE)], n - at, left)
             self.waiting.append((doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n))
             self.tokens += size
             at += size
