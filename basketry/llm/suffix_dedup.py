@@ -33,9 +33,10 @@ from basketry.llm.common import Scratch
 
 DEPTH = 400
 GRAM = 32
-CROWD = 256
+CROWD = 5_000  # regions of an anchor that one task may sort, 4 MB at most
 BLOCK = 1 << 22  # positions hashed at a time
-BATCH = 4_000  # regions sorted at a time
+BATCH = 40_000  # suffixes sorted at a time, if an anchor has no more of them
+SORTED = 120_000  # suffixes compared byte by byte; more of one anchor by hashes of 128 bits
 _PLACE = 24  # bits of a position in a block
 
 
@@ -138,19 +139,26 @@ def suffix_runs(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarra
     """All suffixes of at least ``depth`` bytes in the order of their first ``depth`` bytes.
 
     Returns the string and the position of each, and the number of its run of neighbours that
-    agree in these bytes.
+    agree in these bytes.  More than ``SORTED`` suffixes are in the order of a hash of these
+    bytes, which has the same runs in other places.
     """
     buffer = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(x) for x in strings], np.int64)
     counts = np.maximum(sizes - depth + 1, 0)
     owner = np.repeat(np.arange(len(strings)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(owner):
+        return owner, place, owner
     begin = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-    # Text in UTF-8: comparing fixed strings of bytes compares all their bytes.
+    if len(owner) > SORTED:
+        one, two = (_mixed(_strings(_prefix(buffer, t), begin, begin + depth)) for t in (_LETTER, _LETTER2))
+        order = np.lexsort((two, one))
+        return owner[order], place[order], np.r_[0, np.cumsum((np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))]
+    # Fixed strings of bytes are compared over their whole length.
     rows = np.lib.stride_tricks.sliding_window_view(buffer, depth)[begin].view(f"S{depth}").ravel()
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    run = np.r_[0, np.cumsum(rows[1:] != rows[:-1])] if len(rows) else np.zeros(0, np.int64)
+    differs = [rows[order[i + 1 : i + 4097]] != rows[order[i : i + 4096]][: len(order) - i - 1] for i in range(0, len(order) - 1, 4096)]
+    run = np.cumsum(np.concatenate([[False], *differs]))
     return owner[order], place[order], run
 
 
@@ -202,13 +210,15 @@ def sorted_matches(regions: DataFrame, id_type: str, first_stays: bool, depth: i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "h", "s", "ranges"])
 
         rows: list[tuple] = []
+        suffixes = 0
         for b in batches:
             kinds = [b.schema.field(3).type, pa.int64(), pa.int64(), _RANGES]
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if len(rows) >= BATCH and r[0] != rows[-1][0]:
+            for r in (r for at in range(0, b.num_rows, 500) for r in zip(*(c.to_pylist() for c in b.slice(at, 500).columns))):
+                if suffixes >= BATCH and r[0] != rows[-1][0]:
                     yield flush(rows)
-                    rows = []
+                    rows, suffixes = [], 0
                 rows.append(r)
+                suffixes += r[6]
         if rows:
             yield flush(rows)
 
@@ -233,6 +243,7 @@ def counted_matches(regions: DataFrame, id_type: str, first_stays: bool, depth:
 
     rows = regions.select("n", "id", "h", "s", "bytes").distinct().mapInArrow(
         work, f"x bigint, y bigint, n bigint, id {id_type}, h bigint, s bigint, p bigint")
+    rows, _ = Scratch(regions.sparkSession, "suffix-crowd").pin(rows)
     place = F.struct(F.col("id").isNotNull().alias("k"), "id", "h", "s", "p")
     groups = rows.groupBy("x", "y").agg(F.sum("n").alias("total"), F.min(place).alias("least")).filter("total > 1")
     found = rows.join(groups, ["x", "y"])

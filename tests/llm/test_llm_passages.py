@@ -58,7 +58,7 @@ def repeated_corpus(seed):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("crowd", [256, 3])
+@pytest.mark.parametrize("crowd", [5_000, 3])
 def test_removal_matches_brute_force(spark, monkeypatch, keep, crowd):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rows = repeated_corpus(crowd)
@@ -92,6 +92,20 @@ def test_suffix_order(strings, depth):
     assert [a == b for a, b in zip(cut, cut[1:])] == [a == b for a, b in zip(run.tolist(), run.tolist()[1:])]
 
 
+def test_hashed_order_has_the_same_runs(monkeypatch):
+    rng = random.Random(8)
+    strings = [bytes(rng.choices(b"ab", k=rng.randrange(0, 60))) for _ in range(80)]
+    runs = []
+    for limit in (10**9, 0):
+        monkeypatch.setattr(suffix_dedup, "SORTED", limit)
+        owner, place, run = suffix_dedup.suffix_runs(strings, 12)
+        groups = collections.defaultdict(set)
+        for o, p, r in zip(owner.tolist(), place.tolist(), run.tolist()):
+            groups[r].add((o, p))
+        runs.append(set(map(frozenset, groups.values())))
+    assert runs[0] == runs[1]
+
+
 # passages
 
 
@@ -208,6 +222,11 @@ def test_blocks_references_and_broken_markup(forest):
         "Fish & chips!\nFirst line goes on and on, with enough words to count\nSecond <b> café paragraph, a long one as articles have them. New line."]
 
 
+def test_head_without_end_tag(forest):
+    page = "<head><title>x</title><style>p{}</style><body><article><p>Only these words are the article, all of them are.</p></article></body>"
+    assert html_extract.extract_batch([page], forest) == ["Only these words are the article, all of them are."]
+
+
 def test_extract_table(spark, forest):
     page = "<body><article><p>" + "One sentence of an article. " * 2_000 + "</p></article></body>"
     rows = [(1, "u", None, 3), (2, None, "", 3), (None, "v", page, 3), (4, "w", page, 3), (4, "w", page, 3), (5, "x", "<p", 3), (6, "y", "<div>" * 3_000, 3)]
