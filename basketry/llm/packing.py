@@ -37,7 +37,9 @@ class Encoder:
 
     No token of this vocabulary's splitting pattern reaches over the start of a run of white
     space, so a text cut there is encoded word by word, and the words are kept (a bounded
-    number).  Texts with two neighbouring spaces or line ends are encoded whole.
+    number).  Texts with two neighbouring spaces or line ends are encoded whole.  ``path`` is
+    the tokenizer's JSON file; if the same vocabulary lies beside it as ranks, new words are
+    merged from these, which gives the same ids in a quarter of the time.
     """
 
     _between = re.compile(r"\s[ \n]|^[ \n]")
@@ -51,6 +53,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are plain text
         self.known: dict[str, bytes] = {}
+        self.ranks = self._ranks(path.removesuffix(".json") + ".tiktoken")
+
+    @staticmethod
+    def _ranks(path: str):
+        import base64
+        import os
+
+        if not os.path.exists(path):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(word): int(no) for word, no in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def words(self, texts: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self.whole(texts)
+        return [np.asarray(self.ranks.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -71,7 +93,7 @@ class Encoder:
                 known.clear()
             new = [p for p in set(parts) if p not in known]
             full = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in new]
-            known.update(zip(new, self.whole(full)))
+            known.update(zip(new, self.words(full)))
             return b"".join(map(known.__getitem__, parts))
 
 

@@ -82,6 +82,15 @@ def test_encoder_equals_whole_text(text):
     assert encoder(text) == encoder.whole([text])[0]
 
 
+def test_words_by_ranks_equal_words_by_the_tokenizer():
+    encoder = packing.Encoder(PATH)
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefé漢ñ.,!'019-\n$🙂", k=rng.randrange(1, 14))) for _ in range(4_000)]
+    words += [" " + w for w in words] + ["<|endoftext|>", " <|endoftext|>x"]
+    assert encoder.ranks is not None and encoder.words(words) == encoder.whole(words)
+    assert packing.Encoder._ranks(PATH + ".none") is None
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 192), min_size=1, max_size=120), st.integers(1, 12))
 def test_differencing_is_a_balanced_partition(sizes, windows):
