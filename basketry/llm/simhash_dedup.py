@@ -114,8 +114,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     Rows without an id are kept only where no member of their group has one.  All columns
     are kept as they are.
     """
+    return one_of_each(docs, dedup(docs, doc_id, text, radius), doc_id, text)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with the first row of each ``root`` of ``found`` (doc_id, h, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    best = dedup(docs, doc_id, text, radius).groupBy("root").agg(F.min(order).alias("o"))
+    best = found.groupBy("root").agg(F.min(order).alias("o"))
     keys = best.select(F.col("o.doc_id").alias("__i"), F.col("o.h").alias("__x"))
     marked = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(text)})
     kept = marked.join(keys, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")), "left_semi")
