@@ -114,14 +114,15 @@ EXTRA = (
          0.1, _ssn, 0.2, _context("ssn", "social", "security"), 0.4),
     Kind("key", re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), lambda t: "AKIA" in t,
          0.6, None, 0.0, _context("key", "aws", "secret"), 0.2),
-    Kind("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{8,200}["']?""", re.I),
+    Kind("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}["']?(?P<value>[^\s"',;]{8,}+)["']?""", re.I),
          lambda t: "=" in t or ":" in t, 0.4, lambda m: _DIGIT.search(m.group()) is not None, 0.3, None, 0.0),
     Kind("local_phone", re.compile(r"(?<![0-9+])\(?[0-9]{3,5}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
          lambda t: _DIGIT.search(t) is not None, 0.2, None, 0.0, _context("call", "phone", "tel", "telefon", "mobile", "fax"), 0.4),
 )
 
 
-def extra(text: str, kind: Kind) -> Iterator[tuple[int, int, float]]:
+def extra(text: str, kind: Kind) -> Iterator[tuple[int, int, tuple[int, int] | None]]:
+    """Spans of a kind, with that of the value where its pattern names one."""
     if not kind.needs(text):
         return
     for m in kind.pattern.finditer(text):
@@ -133,7 +134,7 @@ def extra(text: str, kind: Kind) -> Iterator[tuple[int, int, float]]:
         if kind.words and kind.words.search(text[max(0, m.start() - NEAR) : m.start()] + "\n" + text[m.end() : m.end() + NEAR]):
             score += kind.near
         if score >= THRESHOLD:
-            yield m.start(), m.end(), score
+            yield m.start(), m.end(), m.span("value") if "value" in m.re.groupindex else None
 
 
 def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
@@ -142,10 +143,22 @@ def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     return any(e > start for _, e in taken[max(0, at - len(BASE)) : at])
 
 
+def _uncovered(taken: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a span that none of the sorted ones covers."""
+    first, last = bisect.bisect_left(taken, (start, 0)), bisect.bisect_left(taken, (end, 0))
+    for s, e in taken[max(0, first - len(BASE)) : last]:
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start.
 
-    A proposal of a further kind that overlaps a span found before it is not added.
+    A proposal of a further kind that overlaps a span found before it is not added; of a
+    secret that holds one within its value, what is left of the value on either side is.
     """
     text = text or ""
     digits = _DIGIT.search(text) is not None
@@ -156,7 +169,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         found += [("phone", *s) for s in phones(text)] if "+" in text else []
     taken = sorted((s, e) for _, s, e in found)
     for kind in EXTRA:
-        new = [(s, e) for s, e, _ in extra(text, kind) if not _overlaps(taken, s, e)]
+        new = []
+        for s, e, value in extra(text, kind):
+            if not _overlaps(taken, s, e):
+                new.append((s, e))
+            elif value:
+                new += [(a, b) for a, b in _uncovered(taken, s, e) if b > value[0] and a < value[1]]
         found += [(kind.name, s, e) for s, e in new]
         taken = sorted(taken + new)
     return found

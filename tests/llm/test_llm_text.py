@@ -143,6 +143,20 @@ def test_added_kinds_and_redaction():
     assert pii.redact(None) is None and pii.redact("") == ""
 
 
+def test_long_secrets_are_whole():
+    token = "eyJ1" + "aB3-_x." * 142 + "zz"  # 1,000 characters
+    assert len(token) == 1_000
+    text = f"see token={token} and more"
+    assert pii.spans(text) == [("secret", 4, 10 + 1_000)]
+    assert pii.redact(text) == "see <SECRET> and more"
+    # A base span inside the value takes its part, the rest of the value is still a secret.
+    inside = f"password='{'a1' * 150}|a@b.co|{'b2' * 300}' end"
+    assert pii.redact(inside) == "<SECRET><EMAIL><SECRET> end"
+    assert pii.redact("password=joe1@mail.com end") == "password=<EMAIL> end"
+    pii.spans("token=" + "x" * 300_000 + " secret:" + "token=1" * 50_000)
+    pii.spans("token=x" + "|a@b.co" * 50_000)
+
+
 def test_long_texts_stay_linear():
     for text in ("a" * 300_000 + "@", "9" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a@" * 100_000, "4 " * 100_000, "password=" * 20_000):
         pii.spans(text)
