@@ -69,7 +69,10 @@ def exponent(shares: DataFrame, target: float = ENTROPY, repeats: float = REPEAT
 
 
 def plan(items: DataFrame, target: float, repeats: float, budget: float) -> DataFrame:
-    """source, source_tokens, weight, epochs (tokens wanted over tokens there), blocks."""
+    """source, source_tokens, weight, epochs (tokens wanted over tokens there), blocks.
+
+    Sources without words have no weight and one epoch, unless no source has any.
+    """
     sums = items.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("rows"))
     total = items.agg(F.sum("tokens")).first()[0] or 0
     shares = sums.filter("source_tokens > 0").withColumn("share", F.col("source_tokens") / F.lit(float(total or 1)))
@@ -78,9 +81,10 @@ def plan(items: DataFrame, target: float, repeats: float, budget: float) -> Data
     e = exponent(shares, target, repeats, budget)
     z = math.exp(_log_weights(shares, [e])[0][0])
     weight = F.pow("share", F.lit(e)) / F.lit(z)
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
+    wordless = sums.filter("source_tokens = 0").select("source", "source_tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs"), blocks)
     return shares.select("source", "source_tokens", weight.alias("weight"),
-                         (weight * F.lit(budget) / F.col("share")).alias("epochs"),
-                         F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+                         (weight * F.lit(budget) / F.col("share")).alias("epochs"), blocks).unionByName(wordless)
 
 
 def _draw(*parts: Column) -> Column:
@@ -93,7 +97,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     Tokens are words.  ``budget`` is in units of all tokens there.  Rows equal in id, text and
     source are one item of ``rows`` rows, chosen together; rows without a source are a source
-    of their own; texts without words (null, empty) weigh nothing and go with every epoch.
+    of their own; texts without words (null, empty) weigh nothing and go with every epoch, those of a
+    source without any words once, at position 0; a table without any words gives an empty result.
     ``position`` in [0, 1) is how far the source's budget is used up: sorting by it gives
     the mixed order.  Other columns are not read; an empty table gives an empty result.
     """
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in of_block]
     inside = Window.partitionBy(*of_block).orderBy(_draw("epoch", "doc_id", "h"), "doc_id", "h")
     placed = copies.withColumn("within", F.sum("tokens").over(inside) - F.col("tokens")).join(before, same)
-    start = F.col("epoch") + (F.col("before") + F.col("within")) / F.col("source_tokens")
+    start = F.col("epoch") + (F.col("before") + F.col("within")) / F.greatest("source_tokens", F.lit(1))
     return placed.withColumn("position", start / F.col("epochs")).filter(start < F.col("epochs")).select(
         "doc_id", "h", "source", "rows", "tokens", F.col("epoch").cast("long").alias("epoch"), "position")
 

@@ -274,6 +274,14 @@ def test_mixing_edges(spark):
     assert mixing.mixed(docs(spark, EDGE)).count() == len(EDGE)
 
 
+def test_sources_without_words_are_kept(spark):
+    frame = docs(spark, [(1, "some words here"), (2, "and more")], "full").union(docs(spark, [(3, None), (4, ""), (5, " "), (5, " ")], "blank"))
+    frame = frame.union(docs(spark, [(6, None)], None))
+    blank = sorted(tuple(r)[:1] + tuple(r)[2:] for r in mixing.mix(frame).collect() if r.source != "full")
+    assert blank == [(3, "blank", 1, 0, 0, 0.0), (4, "blank", 1, 0, 0, 0.0), (5, "blank", 2, 0, 0, 0.0), (6, None, 1, 0, 0, 0.0)]
+    assert sorted(r.doc_id for r in mixing.mixed(frame).collect() if r.source != "full") == [3, 4, 5, 5, 6]
+
+
 # perplexity
 
 
