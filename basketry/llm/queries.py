@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import chaining, fingerprints, host_rules, html_extract, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
+from basketry.llm import chaining, cuckoo_dedup, fill_middle, fingerprints, hard_negatives, host_rules, html_extract, mixing, packing, perplexity, pii, simhash_dedup, suffix_dedup
 from basketry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,19 @@ def op9_simhash_blocks(spark, folder):
 def op10_temperature_mixing(spark, folder):
     chosen = mixing.mix(table(spark, folder, "documents"))
     return chosen.select("doc_id", "source", F.col("rows").cast("bigint").alias("rows"), "tokens", "epoch", "position")
+
+
+@query(fill_middle.SQL)
+def op11_fill_middle(spark, folder):
+    return fill_middle.report(table(spark, folder, "documents"))
+
+
+@query(cuckoo_dedup.SQL)
+def op12_cuckoo_dedup(spark, folder):
+    return cuckoo_dedup.dedup(table(spark, folder, "documents"))
+
+
+@query(hard_negatives.SQL)
+def op13_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
