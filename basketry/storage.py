@@ -47,9 +47,14 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return pin_to(df, fresh_path(df.sparkSession, label))
 
 
+def keep_track(path: str) -> None:
+    """Count what is written to ``path`` among the pinned copies."""
+    _pinned.append(path)
+
+
 def pin_to(df: DataFrame, path: str) -> DataFrame:
     """:func:`pin` to a given new path, which :func:`unpin` takes back."""
-    _pinned.append(path)
+    keep_track(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
