@@ -31,7 +31,8 @@ CHUNK_UNITS = 2048
 PLAIN_FROM = 50  # of 100: the share of documents that is transformed
 SPM_BELOW = 80  # of 100: the share of these with the suffix in front
 PACK_FROM = 512  # pieces from this many bytes on are compressed for the shuffle
-SPREAD = 4  # partitions of the shuffle for each partition of the input
+PARTITION_BYTES = 32 << 20  # text that a partition of the shuffle holds, about; the sum over all texts is read first
+ROW_BYTES = 200  # beside the text
 
 # Part numbers follow the text; each form lists its sentinels with the part after them.
 PREFIX, MIDDLE, SUFFIX = 0, 1, 2
@@ -139,7 +140,13 @@ def pieces(docs: DataFrame, doc_id: str, text: str, seed: int) -> RDD:
             for at, piece in cut(key, bytes(data), seed):
                 yield (h, g, at), piece
 
-    return _sorted(rows.mapPartitions(emit), SPREAD * rows.getNumPartitions())
+    return _sorted(rows.mapPartitions(emit), _partitions(docs, text))
+
+
+def _partitions(docs: DataFrame, text: str) -> int:
+    """Partitions of about ``PARTITION_BYTES`` of text each."""
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + ROW_BYTES)).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
 
 
 def _by_document(key: tuple) -> int:
