@@ -121,7 +121,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Da
     """``docs`` with the first row of each ``root`` of ``found`` (doc_id, h, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     best = found.groupBy("root").agg(F.min(order).alias("o"))
-    keys = best.select(F.col("o.doc_id").alias("__i"), F.col("o.h").alias("__x"))
-    marked = docs.withColumns({"__id": F.col(doc_id), "__h": F.xxhash64(text)})
-    kept = marked.join(keys, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__x")), "left_semi")
-    return kept.dropDuplicates(["__id", "__h"]).drop("__id", "__h")
+    keys = best.select(F.col("o.doc_id").alias("id"), F.col("o.h").alias("x"))
+    whole = docs.select(F.struct("*").alias("whole"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_h"))
+    kept = whole.join(keys, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("x")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_h"]).select("whole.*")
