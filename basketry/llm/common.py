@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,14 @@ class Scratch:
     def drop(self, path: str | None) -> None:
         if path:
             storage.unpin(self.spark, path)
+
+    def table(self, df: DataFrame, by: str, buckets: int) -> tuple[DataFrame, str, str]:
+        """Written as a table (and its name and path) in buckets of ``by``: joins on it shuffle the other side only."""
+        path, name = storage.fresh_path(self.spark, self.label), f"basketry_{uuid.uuid4().hex}"
+        storage.keep_track(path)
+        df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+        return self.spark.table(name), name, path
+
+    def drop_table(self, name: str, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.drop(path)

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from basketry.llm import host_rules, mixing, packing, perplexity, pii
 
@@ -285,34 +286,37 @@ def test_sources_without_words_are_kept(spark):
 # perplexity
 
 
-def plain_kn(train, test):
-    """Modified Kneser-Ney trigram log probabilities by dictionaries."""
-    grams = lambda x: [((x[i - 2] if i > 1 else 0), (x[i - 1] if i else 0), w) for i, w in enumerate(x)]
-    three = collections.Counter(g for x in train for g in grams(x))
-    two = collections.Counter(g[1:] for g in three)
-    one = collections.Counter(g[1:] for g in two)
+def plain_kn(train, test, order):
+    """Modified Kneser-Ney log probabilities by dictionaries; tokens before the first are 0."""
+    grams = lambda x: [(*([0] * (order - 1)), *x)[i : i + order] for i in range(len(x))]
+    counts = {order: collections.Counter(g for x in train for g in grams(x))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
 
-    def discounts(counts):
-        n1, n2, n3, n4 = (sum(v == k for v in counts.values()) for k in range(1, 5))
+    def discounts(found):
+        n1, n2, n3, n4 = (sum(v == k for v in found.values()) for k in range(1, 5))
         if min(n1, n2, n3) == 0:
             return [0, 0.5, 0.75, 1.0]
         y = n1 / (n1 + 2 * n2)
         raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
         return [0, *(min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw))]
 
-    d3, d2, d1 = discounts(three), discounts(two), discounts(one)
-
-    def level(counts, d, gram, lower):
-        inside = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
-        if not inside:
+    d = {k: discounts(c) for k, c in counts.items()}
+    inside = {k: collections.defaultdict(list) for k in counts}
+    for k, found in counts.items():
+        for g, v in found.items():
+            inside[k][g[:-1]].append(v)
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
+        here = inside[k].get(g[:-1])
+        if not here:
             return lower
-        total, c = sum(inside), counts.get(gram, 0)
-        return (c - d[min(c, 3)]) / total + sum(d[min(v, 3)] for v in inside) / total * lower
-
-    def log_p(g):
-        return math.log(level(three, d3, g, level(two, d2, g[1:], level(one, d1, g[2:], 1 / (len(one) + 1)))))
+        c = counts[k].get(g, 0)
+        return (c - d[k][min(c, 3)]) / sum(here) + sum(d[k][min(v, 3)] for v in here) / sum(here) * lower
 
-    return [sum(log_p(g) for g in grams(x)) for x in test]
+    return [sum(math.log(p(g)) for g in grams(x)) for x in test]
 
 
 def test_perplexity_matches_plain_model(spark):
@@ -324,13 +328,11 @@ def test_perplexity_matches_plain_model(spark):
     frame = docs(spark, rows)
     out = perplexity.classify(frame, labels).collect()
     assert len(out) == len(rows)
-    from pyspark.sql import functions as F
-
     held = {r.doc_id for r in labels.filter("doc_id is not null").filter(
         F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(perplexity.HELD_OUT)) == 0).collect()}
     good = {k for k in range(100) if k % 9} - held
-    ids = [(i, perplexity.numbered(t).tolist()) for i, t in rows]
-    nll = plain_kn([x for i, x in ids if i in good], [x for _, x in ids])
+    ids = [(i, list((t or "").strip(" \t\n\x0b\x0c\r").encode())) for i, t in rows]
+    nll = plain_kn([x for i, x in ids if i in good], [x for _, x in ids], perplexity.ORDER)
     want = sorted(((i, len(x), round(math.exp(-s / len(x)), 6) if x else None) for (i, x), s in zip(ids, nll)), key=repr)
     assert sorted(((r.doc_id, r.n_tokens, r.perplexity and round(r.perplexity, 6)) for r in out), key=repr) == want
     kept = {r.doc_id: r.kept for r in out}
@@ -346,8 +348,48 @@ def test_perplexity_without_labels_or_rows(spark):
     assert perplexity.classify(docs(spark, []), none).count() == 0
 
 
-def test_trigrams_stay_inside_documents():
-    ids = np.array([5, 6, 7, 8, 9], np.int32)
-    codes = perplexity.trigrams(ids, np.array([3, 0, 2]))
-    unpack = [((c >> 40), (c >> 20) & 0xFFFFF, c & 0xFFFFF) for c in codes.tolist()]
-    assert unpack == [(0, 0, 5), (0, 5, 6), (5, 6, 7), (0, 0, 8), (0, 8, 9)]
+@pytest.mark.parametrize("slice_bytes", [1, 3, 4, 1000])
+def test_grams_stay_inside_documents(monkeypatch, slice_bytes):
+    monkeypatch.setattr(perplexity, "SLICE", slice_bytes)
+    texts = [b"abcdefg", b"", b"xy", b"z" * 9, b"", b"q"]
+    want = collections.Counter()
+    for doc, t in enumerate(texts):
+        padded = b"\0" * 4 + t
+        want.update((padded[i : i + 5], doc) for i in range(len(t)))
+    got = collections.Counter()
+    lengths = np.array([len(t) for t in texts])
+    for codes, doc, times in perplexity.runs(np.frombuffer(b"".join(texts), np.uint8), lengths):
+        got.update({(int(c).to_bytes(5, "big"), int(d)): int(n) for c, d, n in zip(codes, doc, times)})
+        assert (np.diff(codes.astype(np.int64)) >= 0).all()
+    assert got == want
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
+    assert (perplexity._unsteps(perplexity._steps(codes)) == codes).all()
+
+
+def test_perplexity_sees_words(spark):
+    """Texts whose words are replaced by random letters are rejected, the texts themselves are not."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice(("ba", "to", "ne", "shi", "ra", "len", "ki")) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    prose = [" ".join(rng.choices(vocabulary, k=rng.randrange(60, 200))) + "." for _ in range(500)]
+    noise = [re.sub("[a-z]{3,}", lambda m: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=len(m[0]))), t) for t in prose[:200]]
+    frame = docs(spark, list(enumerate(prose + noise)))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in perplexity.classify(frame, labels).collect() if r.kept}
+    assert len([k for k in kept if k < 500]) >= 490 and not [k for k in kept if k >= 500]
+
+
+def test_text_is_not_shuffled_again(spark):
+    """The chunks' bucketed table meets the prices without an exchange of its own."""
+    import contextlib
+    import io
+
+    from basketry.llm.common import Scratch
+
+    plain, name, path = Scratch(spark, "test").table(perplexity.chunks(docs(spark, EDGE), "doc_id", "text", "lang"), "chunk", 8)
+    prices = spark.createDataFrame([(0, 0, b"")], "chunk bigint, shard bigint, logp binary")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        perplexity.scored(plain.withColumn("held", F.array().cast("array<int>")), prices, 8, "bigint").explain()
+    plan = shown.getvalue()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("FileScan")
+    Scratch(spark, "test").drop_table(name, path)
