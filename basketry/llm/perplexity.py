@@ -35,7 +35,7 @@ QUANTILE = 0.995
 CHUNK_BYTES = 8_000_000
 CHUNK_DOCS = 20_000  # below 2**DOC_BITS
 DOC_BITS = 64 - ORDER * BITS
-SLICE = 1 << 23  # bytes that are sorted at once
+SLICE = 1 << 21  # bytes that are sorted at once
 SHARDS = 4096  # at most; a shard holds its distinct 5-grams
 HELD_OUT = 5  # one trusted document in so many is left out of training and sets the thresholds
 LEAST_TRUSTED = 30  # held-out documents a language needs for a threshold of its own
