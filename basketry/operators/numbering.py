@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.functions.draws import DRAW_BITS
 from basketry.storage import broadcast_if_small, pin
@@ -20,14 +21,32 @@ HOT_ROWS = 1_000_000
 BLOCK_ROWS = 250_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows; at most rows/limit of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hot_count"))
-        .filter(F.col("hot_count") > limit)
-        .select(*keys)
-    )
+# keys a task's frequent-items sketch keeps apart
+SKETCH_KEYS = 1 << 17
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS, tracked: int = SKETCH_KEYS) -> DataFrame:
+    """Keys with more than ``limit`` rows; at most rows/limit of them.
+
+    One pass over the key columns fills a frequent-items sketch per task.  The merged sketch is
+    off by 3.5/tracked of all rows at most and names every key above twice that, so
+    with up to limit * tracked / 7 rows every hot key is among its items (the largest tracked/6
+    of them hold all that may be above the limit).  These few are counted exactly.  For
+    more rows all keys are counted.  No copy of the input is made in either case.
+    """
+    spark = df.sparkSession
+    names = {k: df.schema[k].dataType for k in keys}
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("key_hash"))
+    found = hashed.selectExpr("count(1) AS n", f"approx_top_k(key_hash, {tracked // 6 + 1}, {tracked}) AS top").first()
+    if 7 * found.n <= limit * tracked:
+        # an item's estimate is never below its count
+        likely = [(t["item"],) for t in found.top or [] if t["count"] > limit]
+        if not likely:
+            return spark.createDataFrame([], T.StructType([T.StructField(k, t) for k, t in names.items()]))
+        # at most tracked/6 rows
+        hashed = hashed.join(F.broadcast(spark.createDataFrame(likely, "key_hash bigint")), "key_hash", "left_semi")
+    counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_count"))
+    return counted.filter(F.col("hot_count") > limit).select(*keys)
 
 
 def number_rows(
@@ -46,16 +65,16 @@ def number_rows(
     ``total`` adds the key's row count, ``lead`` ({new: source}) the next row's
     value.  ``at_most`` is a known upper bound of the rows of any key (or of all rows, for
     example from Parquet footers): when it is within ``hot_rows`` no key can be hot
-    and the counting pass is skipped.
+    and the pass of :func:`hot_keys` is skipped.  ``df`` itself is not copied; only the rows of
+    hot keys are, when there are any.
     """
     lead = lead or {}
     if at_most is not None and at_most <= hot_rows:
         return _number_plain(df, keys, order, pos, total, lead)
-    df = pin(df, "to-number")  # read by the count, and again by either way
-    hot = hot_keys(df, keys, hot_rows)
+    hot = pin(hot_keys(df, keys, hot_rows), "hot-keys")
     if hot.isEmpty():
         return _number_plain(df, keys, order, pos, total, lead)
-    hot = broadcast_if_small(pin(hot, "hot-keys"))
+    hot = broadcast_if_small(hot)
     cold_rows = df.join(hot, keys, "left_anti")
     hot_part = df.join(hot, keys, "left_semi")
     return _number_plain(cold_rows, keys, order, pos, total, lead).unionByName(
@@ -165,23 +184,32 @@ def shuffled_index(
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], index: str, sums: dict[str, str], block: int = 4096
+    df: DataFrame, keys: list[str], index: str, sums: dict[str, str], block: int = 4096, longest: int | None = None
 ) -> DataFrame:
-    """Cumulative sums along an integer ``index`` in two levels of bounded windows."""
+    """Cumulative sums along an integer ``index`` >= 0, unique per key, in levels of blocks.
+
+    The rows of a block are summed in one window; the blocks' totals are the rows of the next level,
+    and so on until one block is left, so no window holds more than ``block`` rows however
+    long a key is.  ``longest`` is a known upper bound of the index; without it
+    the largest one is read first.
+    """
+    if longest is None:
+        longest = df.agg(F.max(index)).first()[0] or 0
+    return _scan(df, keys, index, sums, block, longest, W.currentRow)
+
+
+def _scan(df: DataFrame, keys: list[str], index: str, sums: dict[str, str], block: int, longest: int, upto: int) -> DataFrame:
+    """Sums up to each row (``upto`` 0) or the row before it (-1)."""
     blocks = df.withColumn("block_no", F.expr(f"{index} div {int(block)}"))
-    totals = blocks.groupBy(*keys, "block_no").agg(
-        *[F.sum(src).alias(f"block_{new}") for new, src in sums.items()]
-    )
-    before = W.partitionBy(*keys).orderBy("block_no").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "block_no",
-        *[F.coalesce(F.sum(f"block_{new}").over(before), F.lit(0)).alias(f"carry_{new}") for new in sums],
-    )
-    inside = (
-        W.partitionBy(*keys, "block_no").orderBy(index).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    out = blocks.select("*", *[F.sum(src).over(inside).alias(new) for new, src in sums.items()])
+    frame = W.partitionBy(*keys, "block_no").orderBy(index).rowsBetween(W.unboundedPreceding, upto)
+    zero = lambda c: F.coalesce(c, F.lit(0)) if upto < 0 else c
+    out = blocks.select("*", *[zero(F.sum(src).over(frame)).alias(new) for new, src in sums.items()])
+    if longest < block:
+        return out.drop("block_no")
+    totals = blocks.groupBy(*keys, "block_no").agg(*[F.sum(src).alias(f"total_{new}") for new, src in sums.items()])
+    carried = _scan(totals.withColumnRenamed("block_no", "index_no"), keys, "index_no",
+                    {f"carry_{new}": f"total_{new}" for new in sums}, block, longest // block, -1)
+    carried = carried.select(*keys, F.col("index_no").alias("block_no"), *[f"carry_{new}" for new in sums])
     out = out.join(carried, [*keys, "block_no"])
     for new in sums:
         out = out.withColumn(new, F.col(new) + F.col(f"carry_{new}")).drop(f"carry_{new}")

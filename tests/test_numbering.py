@@ -26,6 +26,18 @@ def test_hot_keys_are_numbered_alike(spark, events):
     assert rows(nb.hot_keys(events, ["user"], 50)) == [("hot",)]
 
 
+def test_sketch_finds_the_keys_that_counting_finds(spark, events, monkeypatch):
+    two = events.withColumn("odd", F.col("ts") % 2)
+    for keys, limit in ((["user"], 20), (["user", "odd"], 50), (["user", "odd"], 150), (["odd"], 0)):
+        counted = two.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+        assert rows(nb.hot_keys(two, keys, limit)) == rows(counted)
+        assert rows(nb.hot_keys(two, keys, limit, tracked=16)) == rows(counted)  # too few for the sketch: all are counted
+    pinned = []
+    monkeypatch.setattr(nb, "pin", lambda df, label: pinned.append((label, df.columns)) or df)
+    nb.number_rows(events, ["user"], ["ts"], hot_rows=50).collect()
+    assert dict(pinned)["hot-keys"] == ["user"] and "to-number" not in dict(pinned)
+
+
 def test_all_keys_hot(events):
     hot = nb.number_rows(events, ["user"], ["ts"], hot_rows=1)
     assert rows(hot, "user", "ts", "pos", "n") == rows(
@@ -58,6 +70,17 @@ def test_running_sums_cross_blocks(events):
         assert got[r.ts] == pytest.approx(sums[r.user])
 
 
+@pytest.mark.parametrize("block", [2, 4, 25, 600, 4096])
+def test_running_sums_of_many_levels(events, block):
+    out = nb.running_sums(events.withColumn("one", F.lit(1)), ["user"], "ts", {"so_far": "value", "rows": "one"}, block=block)
+    got = {r.ts: (r.so_far, r.rows) for r in out.collect()}
+    sums: dict[str, tuple] = {}
+    for r in sorted(events.collect(), key=lambda r: r.ts):
+        total, count = sums.get(r.user, (0.0, 0))
+        sums[r.user] = (total + r.value, count + 1)
+        assert got[r.ts] == (pytest.approx(sums[r.user][0]), sums[r.user][1])
+
+
 def test_partition_count_does_not_matter(spark, events):
     got = []
     for n in ("1", "4", "64"):
