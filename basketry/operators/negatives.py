@@ -3,8 +3,9 @@
 The catalog has a dense index 0..N-1 and P is the smallest prime >= N.  Per row the
 map j -> (a*j + b) mod P with drawn a, b is a permutation of 0..P-1, so walking j
 visits distinct items.  Values >= N and excluded items are skipped and the first n
-others are taken.  Walking n + |excluded| + (P - N) steps is always enough.  Each
-item has the same chance; the draw is not uniform over all subsets.
+others are taken.  Walking n + |excluded| + (P - N) steps is always enough, but few rows need
+them: all walk a first stretch of n + (P - N) + SPARE steps, and only those that come up short
+go on.  Each item has the same chance; the draw is not uniform over all subsets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from basketry.functions.text import let
 from basketry.operators.numbering import dense_index
 from basketry.storage import BROADCAST_ROWS, pin
 
+# steps of the first stretch for excluded items that are met on it
+SPARE = 8
 # steps of one task when the walk of a long history is spread
 WALK_BLOCK = 4096
 
@@ -61,16 +64,21 @@ def negative_indexes(cat: Catalog, excluded: Column, n: int, *parts) -> Column:
     Short when fewer than n items are left.
     """
     a, b = walk_start(cat, *parts)
-    steps = F.least(F.size(excluded) + (n + cat.prime - cat.size), F.lit(cat.prime))
-    walk = let(
-        F.struct(a.alias("a"), b.alias("b")),
-        lambda ab: F.transform(
+    least = min(n + cat.prime - cat.size + SPARE, cat.prime)
+
+    def found(ab: Column, steps: Column) -> Column:
+        walk = F.transform(
             F.sequence(F.lit(0).cast("bigint"), steps.cast("bigint") - 1),
             lambda j: (ab["a"] * j + ab["b"]) % cat.prime,
-        ),
-    )
-    inside = F.filter(walk, lambda c: c < cat.size)
-    return F.slice(F.array_except(inside, excluded), 1, n)
+        )
+        return F.slice(F.array_except(F.filter(walk, lambda c: c < cat.size), excluded), 1, n)
+
+    def walked(ab: Column) -> Column:
+        whole = F.least(F.size(excluded) + (n + cat.prime - cat.size), F.lit(cat.prime))
+        # a branch that is not taken is not computed
+        return let(found(ab, F.lit(least)), lambda f: F.when(F.size(f) == n, f).otherwise(found(ab, whole)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), walked)
 
 
 def negatives_by_join(
@@ -78,36 +86,60 @@ def negatives_by_join(
 ) -> DataFrame:
     """The same negatives with the excluded items as rows: (keys, step, item_idx).
 
-    For exclusion lists too long for one array.  The walk is cut into blocks that are
-    spread over the tasks, the anti join shuffles on (keys, item), and the top-n limit
-    is applied before its shuffle.  ``excluded`` holds distinct (keys, item_idx).
+    For exclusion lists too long for one array.  The walk goes in rounds: the first stretch for
+    all keys, then, for the keys that came up short, stretches that double each time until their
+    steps are used up, which is always enough.  Each stretch is cut into blocks that
+    are spread over the tasks, the anti join shuffles on (keys, item), and the top-n
+    limit is applied before its shuffle.  ``excluded`` holds distinct (keys, item_idx).
     """
     sizes = excluded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_excluded"))
     steps = F.least(
         F.coalesce("n_excluded", F.lit(0)) + (n + cat.prime - cat.size), F.lit(cat.prime)
     ).cast("bigint")
     a, b = walk_start(cat, *parts)
-    blocks = (
+    going = (
         rows.select(*keys, a.alias("a"), b.alias("b"))
         .join(sizes, keys, "left")
-        .withColumn("steps", steps)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(steps - 1) div {WALK_BLOCK}"))))
+        .select(*keys, "a", "b", steps.alias("steps"), F.lit(0).cast("bigint").alias("had"))
     )
-    spread = blocks.repartition(*keys, "block")
-    first = F.col("block") * WALK_BLOCK
-    last = F.least(first + WALK_BLOCK, F.col("steps")) - 1
-    walked = spread.select(*keys, "a", "b", F.explode(F.sequence(first, last)).alias("step"))
-    at = (F.col("a") * F.col("step") + F.col("b")) % cat.prime
-    candidates = walked.select(*keys, "step", at.alias("item_idx")).filter(
-        F.col("item_idx") < cat.size
-    )
-    free = candidates.join(excluded, [*keys, "item_idx"], "left_anti")
+    start, stretch, out = 0, min(n + cat.prime - cat.size + SPARE, cat.prime), None
     best = W.partitionBy(*keys).orderBy("step")
-    return (
-        free.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= n)
-        .select(*keys, "step", "item_idx")
+    while True:
+        last = start + stretch >= cat.prime
+        going = pin(going, "walking")
+        free = _stretch(going, start, start + stretch, cat, keys).join(excluded, [*keys, "item_idx"], "left_anti")
+        wanted = free.join(going.select(*keys, "had"), keys) if start else free.withColumn("had", F.lit(0).cast("bigint"))
+        kept = wanted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") + F.col("had") <= n)
+        kept = kept.select(*keys, "step", "item_idx")
+        kept = kept if last else pin(kept, "walked")
+        out = kept if out is None else out.unionByName(kept)
+        if last:
+            return out
+        got = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))
+        going = (
+            going.join(got, keys, "left")
+            .withColumn("had", F.col("had") + F.coalesce("got", F.lit(0)))
+            .filter((F.col("had") < n) & (F.col("steps") > start + stretch))
+            .drop("got")
+        )
+        if going.isEmpty():
+            return out
+        start, stretch = start + stretch, 2 * stretch
+
+
+def _stretch(going: DataFrame, start: int, end: int, cat: Catalog, keys: list[str]) -> DataFrame:
+    """(keys, step, item_idx) of the steps start .. end-1 of each walk, within its own steps."""
+    stop = F.least(F.lit(end).cast("bigint"), F.col("steps"))
+    numbers = F.sequence(F.lit(start // WALK_BLOCK).cast("bigint"), F.expr(f"(least({end}, steps) - 1) div {WALK_BLOCK}"))
+    spread = going.withColumn("block", F.explode(numbers))
+    if end - start > WALK_BLOCK:
+        spread = spread.repartition(*keys, "block")
+    first = F.greatest(F.lit(start).cast("bigint"), F.col("block") * WALK_BLOCK)
+    walked = spread.select(
+        *keys, "a", "b", F.explode(F.sequence(first, F.least(stop, (F.col("block") + 1) * WALK_BLOCK) - 1)).alias("step")
     )
+    at = (F.col("a") * F.col("step") + F.col("b")) % cat.prime
+    return walked.select(*keys, "step", at.alias("item_idx")).filter(F.col("item_idx") < cat.size)
 
 
 def look_up(rows: DataFrame, indexes: str, cat: Catalog, keys: list[str], fields: list[str]) -> DataFrame:
@@ -127,31 +159,52 @@ def fields_by_index(cat: Catalog, field: str) -> Column:
     return cat.items.agg(packed[field].alias(field)).scalar()
 
 
+def holds_enough(excluded: Column, cat: Catalog, n: int) -> Column:
+    return F.size(excluded) <= cat.size - n
+
+
+def too_few(cat: Catalog, n: int) -> str:
+    return f"fewer than {n} of {cat.size} items are left to draw for user {{}}"
+
+
 def enough_left(rows: DataFrame, excluded: Column, cat: Catalog, n: int, strict: bool) -> DataFrame:
     """Rows with at least n items to draw from; the strict mode fails the job at any other."""
-    holds = F.size(excluded) <= cat.size - n
+    holds = holds_enough(excluded, cat, n)
     if not strict:
         return rows.filter(holds)
-    said = F.concat(F.lit(f"fewer than {n} of {cat.size} items are left to draw for user "), F.col("user_id"))
+    said = F.concat(F.lit(too_few(cat, n).removesuffix("{}")), F.col("user_id"))
     return rows.filter(F.when(holds, True).otherwise(F.raise_error(said).cast("boolean")))
 
 
 def add_candidates(
-    rows: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, outside_history: bool, strict: bool = True
+    rows: DataFrame,
+    cat: Catalog,
+    n: int,
+    seed: int,
+    purpose: str,
+    outside_history: bool,
+    strict: bool = True,
+    *,
+    keep: bool = False,
+    history: Column | None = None,
+    target: Column | None = None,
+    out: str = "candidates",
 ) -> DataFrame:
-    """Add ``candidates``: n negatives and the target, shuffled.
+    """Add ``candidates`` (or ``out``): n negatives and the target, shuffled.
 
     ``outside_history`` excludes the input items too.  A row whose pool is smaller
-    than n fails the job, or is left out if not ``strict`` (see :func:`short_pools`).  A
+    than n fails the job, or is left out if not ``strict`` (see :func:`short_pools`), or stays, with
+    too short a list, if ``keep``.  ``history`` and ``target`` stand for the input and target columns.  A
     catalog within the broadcast limit is looked up in place, without a shuffle; a larger
     one is joined.
     """
     keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
-    excluded = excluded_indexes(outside_history)
+    target = F.col("target") if target is None else target
+    excluded = excluded_indexes(outside_history, history, target)
     # filtering on the drawn list instead would draw it twice
-    enough = enough_left(rows, excluded, cat, n, strict)
-    drawn = enough.withColumn("negatives", negative_indexes(cat, excluded, n, *parts))
+    able = rows if keep else enough_left(rows, excluded, cat, n, strict)
+    drawn = able.withColumn("negatives", negative_indexes(cat, excluded, n, *parts))
 
     def order(item: Column) -> Column:
         return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
@@ -161,15 +214,15 @@ def add_candidates(
         listed = drawn.withColumn("ids", fields_by_index(cat, "item_id"))
         found = F.transform("negatives", lambda i: F.get(F.col("ids"), i.cast("int")))
         shown = F.transform(
-            F.array_append(found, F.col("target.item_id")),
+            F.array_append(found, target["item_id"]),
             lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")),
         )
         mixed = F.sort_array(shown)["item_id"]
-        return listed.withColumn("candidates", mixed).drop("negatives", "ids")
+        return listed.withColumn(out, mixed).drop("negatives", "ids")
     drawn = pin(drawn, "drawn")
     found = look_up(drawn, "negatives", cat, keys, ["item_id"]).select(*keys, "item_id")
-    shown = found.unionByName(drawn.select(*keys, F.col("target.item_id").alias("item_id")))
-    return drawn.drop("negatives").join(_packed(shown, keys, order), keys)
+    shown = found.unionByName(drawn.select(*keys, target["item_id"].alias("item_id")))
+    return drawn.drop("negatives").join(_packed(shown, keys, order).withColumnRenamed("candidates", out), keys)
 
 
 def _packed(shown: DataFrame, keys: list[str], order) -> DataFrame:
@@ -198,13 +251,14 @@ def candidates_by_join(
     full = F.size("candidates") == n + 1
     if not strict:
         return lists.filter(full)
-    said = F.concat(F.lit(f"fewer than {n} of {cat.size} items are left to draw for user "), F.col("user_id"))
+    said = F.concat(F.lit(too_few(cat, n).removesuffix("{}")), F.col("user_id"))
     return lists.filter(F.when(full, True).otherwise(F.raise_error(said).cast("boolean")))
 
 
-def excluded_indexes(outside_history: bool) -> Column:
-    target = F.array(F.col("target.item_idx"))
-    return F.array_union(F.col("input.item_idx"), target) if outside_history else target
+def excluded_indexes(outside_history: bool, history: Column | None = None, target: Column | None = None) -> Column:
+    history = F.col("input") if history is None else history
+    own = F.array((F.col("target") if target is None else target)["item_idx"])
+    return F.array_union(history["item_idx"], own) if outside_history else own
 
 
 def pool_sizes(excluded: DataFrame, cat: Catalog, keys: list[str]) -> DataFrame:
@@ -217,16 +271,21 @@ def short_pools(excluded: DataFrame, cat: Catalog, n: int, keys: list[str]) -> D
     return pool_sizes(excluded, cat, keys).filter(F.col("pool_size") < n)
 
 
-def add_other_item(rows: DataFrame, cat: Catalog, seed: int, purpose: str, strict: bool = True) -> DataFrame:
-    """Add ``other_item`` and ``other_title`` of one random item that is not the target."""
-    rows = enough_left(rows, excluded_indexes(False), cat, 1, strict)
+def add_other_item(
+    rows: DataFrame, cat: Catalog, seed: int, purpose: str, strict: bool = True, *, keep: bool = False, target: Column | None = None, prefix: str = ""
+) -> DataFrame:
+    """Add ``other_item`` and ``other_title`` of one random item that is not the target.
+
+    ``keep`` leaves a row without another item as it is, with NULL; ``prefix`` leads the new names.
+    """
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
-    drawn = negative_indexes(cat, excluded_indexes(False), 1, *parts)
-    found = rows.withColumn("other_idx", F.get(drawn, F.lit(0)))
-    # no hint: Spark broadcasts the catalog below its size threshold
+    excluded = excluded_indexes(False, target=target)
+    able = rows if keep else enough_left(rows, excluded, cat, 1, strict)
+    found = able.withColumn("other_idx", F.get(negative_indexes(cat, excluded, 1, *parts), F.lit(0)))
     fields = cat.items.select(
         F.col("item_idx").alias("other_idx"),
-        F.col("item_id").alias("other_item"),
-        F.col("title").alias("other_title"),
+        F.col("item_id").alias(f"{prefix}other_item"),
+        F.col("title").alias(f"{prefix}other_title"),
     )
-    return found.join(fields, "other_idx").drop("other_idx")
+    # no hint: Spark broadcasts the catalog below its size threshold
+    return found.join(fields, "other_idx", "left" if keep else "inner").drop("other_idx")

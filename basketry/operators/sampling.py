@@ -88,7 +88,8 @@ def train_examples(
 ) -> DataFrame:
     """user_id, epoch, input ARRAY<STRUCT>, target STRUCT for each sampled window.
 
-    One grouping by user serves all epochs; each epoch is a slice of the same array.
+    One grouping by user serves all epochs; each epoch is a slice of the same array.  A user of more
+    than ``size`` rows fails the job; :func:`window_rows` is the form for any length.
     """
     rows = interactions.filter(splits.in_split(split) & (splits.split_size(split) >= 2))
     seqs = with_epochs(splits.sequences(rows, fields, size), epochs)
@@ -100,15 +101,16 @@ def train_examples(
     )
 
 
-def resample_target(examples: DataFrame, seed: int, purpose: str) -> DataFrame:
-    """Draw one position of input+target as the new target and take it out of the input."""
-    pool = F.array_append("input", F.col("target"))
-    drawn = examples.withColumn("pool", pool).withColumn(
+def resample_target(examples: DataFrame, seed: int, purpose: str, input: str = "input", target: str = "target") -> DataFrame:
+    """Draw one position of input+target as the new target and take it out of the input.
+
+    The results replace the two columns, or are added under the names given.
+    """
+    drawn = examples.withColumn("pool", F.array_append("input", F.col("target"))).withColumn(
         "at", draws.pick(F.size("pool"), seed, F.col("epoch"), F.col("user_id"), purpose)
     )
     return (
-        drawn.withColumn("target", F.get("pool", F.col("at").cast("int")))
-        .withColumn("input", remove_at(F.col("pool"), F.col("at")))
+        drawn.withColumns({target: F.get("pool", F.col("at").cast("int")), input: remove_at(F.col("pool"), F.col("at"))})
         .drop("pool", "at")
     )
 

@@ -54,14 +54,20 @@ def all_splits(interactions: DataFrame) -> DataFrame:
     return rows.withColumn("part", target)
 
 
-def split_by_join(interactions: DataFrame, split: str) -> DataFrame:
-    """The same examples as :func:`split_rows`, as input rows joined to their target."""
+def split_by_join(interactions: DataFrame, split: str, size: int = SEGMENT) -> DataFrame:
+    """The same examples as :func:`split_rows`, as input rows joined to their target.
+
+    The key is the user and the block of ``size`` positions: a target is repeated once per
+    block of its user, and a very long user is spread over the tasks.
+    """
     rows = split_rows(interactions, split)
-    keys = ["user_id"]
+    keys = ["user_id", "block"]
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"pos div {int(size)}"))
     targets = rows.filter(F.col("part") == "target").select(
-        *keys, F.col("item_id").alias("target_item"), F.col("rating").alias("target_rating")
+        "user_id", F.explode(blocks).alias("block"), F.col("item_id").alias("target_item"), F.col("rating").alias("target_rating")
     )
-    return rows.filter(F.col("part") == "input").drop("part").join(targets, keys)
+    inputs = rows.filter(F.col("part") == "input").drop("part").withColumn("block", F.expr(f"pos div {int(size)}"))
+    return inputs.join(targets, keys).drop("block")
 
 
 def segments(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFrame:
@@ -96,10 +102,19 @@ def long_users(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
     return rows.filter(F.col("n") > size)
 
 
+def only_short(rows: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """``rows`` unchanged; the job fails at a user of more than ``size`` rows."""
+    said = F.concat(F.lit(f"more than {size} rows; use the segment or row form for user "), F.col("user_id"))
+    return rows.filter(F.when(F.col("n") <= size, True).otherwise(F.raise_error(said).cast("boolean")))
+
+
 def sequences(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFrame:
-    """One ordered array per user, for users of at most ``size`` rows."""
+    """One ordered array per user, for users of at most ``size`` rows; a longer one fails the job.
+
+    Take :func:`short_users` and :func:`long_users` apart first, or use :func:`segments`.
+    """
     return (
-        short_users(rows, size)
+        only_short(rows, size)
         .groupBy("user_id", "n")
         .agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("seq"))
     )
@@ -108,7 +123,10 @@ def sequences(rows: DataFrame, fields: list[str], size: int = SEGMENT) -> DataFr
 def examples(
     interactions: DataFrame, split: str, fields: list[str], size: int = SEGMENT
 ) -> DataFrame:
-    """user_id, epoch, input ARRAY<STRUCT>, target STRUCT for validation or test."""
+    """user_id, epoch, input ARRAY<STRUCT>, target STRUCT for validation or test.
+
+    For users of at most ``size`` rows, as :func:`sequences`; :func:`example_spots` is the row form.
+    """
     rows = interactions.filter(in_split(split))
     seqs = sequences(rows, fields, size)
     return seqs.select(
@@ -158,8 +176,14 @@ def zip_columns(df: DataFrame, lists: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.arrays_zip(*lists)))
 
 
-def gather_columns(rows: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
-    """One row per element back to parallel lists in ``order`` (groups must be bounded)."""
-    packed = F.sort_array(F.collect_list(F.struct(order, *cols)))
+def gather_columns(rows: DataFrame, keys: list[str], order: str, cols: list[str], size: int = SEGMENT) -> DataFrame:
+    """One row per element back to parallel lists in the order of the 0-based place ``order``.
+
+    A group may have ``size`` elements; a place beyond that fails the job before the group is gathered.
+    """
+    place = F.when(F.col(order) < size, F.col(order)).otherwise(
+        F.raise_error(F.concat(F.lit(f"a list may hold {size} elements, there is one at place "), F.col(order).cast("string"))).cast("bigint")
+    )
+    packed = F.sort_array(F.collect_list(F.struct(place.alias(order), *cols)))
     grouped = rows.groupBy(*keys).agg(packed.alias("packed"))
     return grouped.select(*keys, *[F.col("packed")[c].alias(c) for c in cols])

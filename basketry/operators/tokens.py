@@ -1,18 +1,21 @@
 """Token-array export: truncation with a protected target, word ids, padded batches.
 
-The tokenizer is a pair of column functions.  The default splits on white space and
-then into word characters and single marks, and hashes tokens to ids.
+The tokenizer is a set of column functions, or a Python function over Arrow batches.  The default
+splits on white space and then into word characters and single marks, and hashes tokens to ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basketry.functions.text import let as text_let
+
 PAD_ID, END_ID, NEWLINE_ID, FIRST_ID = 0, 1, 2, 10  # reserved ids below FIRST_ID
 MASK_PAD, LABEL_PAD = 0, -100  # fixed values of the export format
 VOCABULARY = 32_000
@@ -35,21 +38,66 @@ def hashed_id(token: Column) -> Column:
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """``words`` text -> ARRAY<STRING>, ``pieces`` word -> ARRAY<STRING>, ``ids`` token -> INT."""
+    """``words`` text -> ARRAY<STRING>, ``pieces`` word -> ARRAY<STRING>, ``ids`` token -> INT.
+
+    ``word_has_token`` says that every word has a token at least, so that the first n words of a
+    text hold its first n tokens.
+    """
 
     words: Callable[[Column], Column] = word_list
     pieces: Callable[[Column], Column] = word_tokens
     ids: Callable[[Column], Column] = hashed_id
+    word_has_token: bool = True
+
+    def encode(self, text: Column, limit: int | None = None) -> Column:
+        """ARRAY<STRUCT<id, word>>: token ids with the 0-based number of their word.
+
+        With ``limit`` the first ``limit`` tokens: words are cut into tokens in runs of ``limit`` until
+        there are enough of them, and only these get ids.
+        """
+        if limit is None:
+            tokens = text_let(self.words(text), lambda words: self._tokens(words, F.lit(0)))
+        else:
+            tokens = text_let(self.words(text), lambda words: self._first(words, limit))
+        return F.transform(tokens, lambda t: F.struct(self.ids(t["token"]).alias("id"), t["word"].alias("word")))
+
+    def _tokens(self, words: Column, before: Column) -> Column:
+        """ARRAY<STRUCT<token, word>>; ``before`` words come in front of these."""
+        return F.flatten(F.transform(
+            words, lambda w, i: F.transform(self.pieces(w), lambda t: F.struct(t.alias("token"), (before + i).cast("int").alias("word")))))
+
+    def _first(self, words: Column, limit: int) -> Column:
+        if self.word_has_token:
+            return F.slice(self._tokens(F.slice(words, 1, limit), F.lit(0)), 1, limit)
+        empty = F.array().cast("array<struct<token:string,word:int>>")
+        runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / limit).cast("int") - 1, F.lit(0)))
+        found = F.aggregate(runs, empty, lambda had, i: F.when(F.size(had) >= limit, had).otherwise(
+            F.concat(had, self._tokens(F.slice(words, i * limit + 1, limit), i * limit))))
+        return F.slice(found, 1, limit)
+
+
+@dataclass(frozen=True)
+class BatchTokenizer:
+    """A tokenizer in Python that gets texts in Arrow batches.
+
+    ``load()`` runs once per task and returns ``encode(texts, limit)``, which gives each text's (id, word
+    number) pairs, all of them or the first ``limit``.
+    """
+
+    load: Callable[[], Callable[[list[str], int | None], list[list[tuple[int, int]]]]]
+    word_has_token: bool = False
+
+    def encode(self, text: Column, limit: int | None = None) -> Column:
+        load = self.load
+
+        @F.pandas_udf("array<struct<id:int,word:int>>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            answer = load()
+            for texts in batches:
+                found = answer(texts.tolist(), limit)
+                yield pd.Series([[{"id": i, "word": w} for i, w in (f if limit is None else f[:limit])] for f in found])
 
-    def encode(self, text: Column) -> Column:
-        """ARRAY<STRUCT<id, word>>: token ids with the 0-based number of their word."""
-        per_word = F.transform(
-            self.words(text),
-            lambda w, i: F.transform(
-                self.pieces(w), lambda t: F.struct(self.ids(t).alias("id"), i.alias("word"))
-            ),
-        )
-        return F.flatten(per_word)
+        return run(text)
 
 
 DEFAULT = Tokenizer()
@@ -66,8 +114,8 @@ def encoder_rows(
 
     Words count from 1; the end token has word 0.
     """
-    rows = prompts.withColumn("enc", F.slice(tok.encode(F.col(text)), 1, max_len - 1)).withColumn(
-        "tgt", F.slice(tok.encode(F.col(target)), 1, max_len - 1)
+    rows = prompts.withColumn("enc", tok.encode(F.col(text), max_len - 1)).withColumn(
+        "tgt", tok.encode(F.col(target), max_len - 1)
     )
     end = F.lit(END_ID)
     out = rows.withColumn("input_ids", F.array_append("enc.id", end)).withColumn(
@@ -91,7 +139,8 @@ def decoder_rows(
     """
     encoded = prompts.select(
         "*",
-        tok.encode(F.concat(F.lit(INPUT_PREFIX), F.col(text), F.lit(" "))).alias("enc"),
+        # the cut below leaves fewer
+        tok.encode(F.concat(F.lit(INPUT_PREFIX), F.col(text), F.lit(" ")), max_len).alias("enc"),
         tok.encode(F.lit(TARGET_PREFIX)).alias("pre"),
         tok.encode(F.col(target)).alias("tgt"),
     )

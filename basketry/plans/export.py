@@ -29,20 +29,20 @@ DECODER_PADS = {
 }
 
 
-def cut_texts(prompts: DataFrame, max_len: int, size: int = splits.SEGMENT) -> DataFrame:
+def cut_texts(prompts: DataFrame, max_len: int, size: int = splits.SEGMENT, tok: tokens.Tokenizer | tokens.BatchTokenizer = tokens.DEFAULT) -> DataFrame:
     """One text per prompt that has the same first ``max_len`` tokens as the whole one.
 
-    Whole texts stay.  Of a prompt in pieces the pieces of the first segment are
-    joined: a list of ``size`` items holds at least ``size`` tokens, so nothing the cut
-    would keep lies behind them.
+    Whole texts stay.  Of a prompt in pieces as many segments are joined as the cut can reach: a
+    segment's list of ``size`` items holds at least ``size`` tokens if every word has one.  For a
+    tokenizer that does not promise this all pieces are joined.
     """
-    if max_len > size:
-        raise ValueError(f"max_len may not exceed the segment size {size}")
     whole = prompts.filter(F.col("part_no") == WHOLE).select(*TEXT_COLUMNS)
-    first = prompts.filter((F.col("part_no") != WHOLE) & (F.col("segment_no") == 0))
-    parts = F.sort_array(F.collect_list(F.struct("part_no", "input_text")))  # parts of one template
+    pieces = prompts.filter(F.col("part_no") != WHOLE)
+    if tok.word_has_token:
+        pieces = pieces.filter(F.col("segment_no") < -(-max_len // size))
+    parts = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))  # the text itself
     keys = [c for c in TEXT_COLUMNS if c != "input_text"]
-    joined = first.groupBy(*keys).agg(F.array_join(parts["input_text"], "").alias("input_text"))
+    joined = pieces.groupBy(*keys).agg(F.array_join(parts["input_text"], "").alias("input_text"))
     return whole.unionByName(joined)
 
 
@@ -67,7 +67,7 @@ def export_batches(
     batch_size: int,
     max_len: int,
     decoder: bool = False,
-    tok: tokens.Tokenizer = tokens.DEFAULT,
+    tok: tokens.Tokenizer | tokens.BatchTokenizer = tokens.DEFAULT,
     hot_rows: int = HOT_ROWS,
     size: int = splits.SEGMENT,
 ) -> DataFrame:
@@ -77,7 +77,7 @@ def export_batches(
     the order; the arrays are made after it.
     """
     in_pieces = "part_no" in prompts.columns
-    texts = cut_texts(prompts, max_len, size) if in_pieces else prompts.select(*TEXT_COLUMNS)
+    texts = cut_texts(prompts, max_len, size, tok) if in_pieces else prompts.select(*TEXT_COLUMNS)
     placed = pin(epoch_batches(texts, seed, batch_size, hot_rows), "placed")
     if decoder:
         rows = tokens.decoder_rows(placed, max_len, tok).withColumn("total_labels", F.col("total_ids"))

@@ -4,6 +4,11 @@ Input is one row per (user, epoch) with ``input`` ARRAY<STRUCT> and ``target`` S
 (see ``splits.examples`` and ``sampling.train_examples``) plus user_name and user_key.
 Evaluation emits every inference template of the task; training emits one random
 inference template and the task's extra roles.
+
+All tasks and roles are built in one pass over the examples.  A task adds the columns it needs
+(facts, candidates) and describes its families: templates that share slots.  Each example is
+exploded into (family, template) choices, the templates come as a table of part arrays, and
+the slots of the row's family as one map from which the parts are filled.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from basketry.functions import draws, text
 from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
 from basketry.operators.history import add_users
+from basketry.operators.numbering import number_rows
 from basketry.plans import templates as tpl
 from basketry.storage import pin
 
@@ -37,7 +43,7 @@ FIELDS = {
     tpl.P5_DIRECT_EVAL: ["item_id", "item_idx"],
 }
 # what a task needs to know about a whole input, beside its rows
-FACTS = {tpl.RATING: ["rating"], tpl.SEQUENTIAL: ["pair"], tpl.DIRECT: ["liked", "new_target"]}
+FACTS = {tpl.RATING: ["rating"], tpl.SEQUENTIAL: ["pair"], tpl.DIRECT: ["liked_parts", "new_target"]}
 WHOLE = -1  # part number of a prompt that is one text
 FEW, MANY = 4, 99  # wrong candidates of the short and the long lists
 
@@ -97,6 +103,57 @@ class ListSlot:
 Slots = dict[str, Column | ListSlot]
 
 
+@dataclass(frozen=True)
+class View:
+    """The columns of one task's examples: input, target, and what the task has added to them."""
+
+    input: Column
+    target: Column
+    prefix: str = ""
+
+    def name(self, column: str) -> str:
+        return self.prefix + column
+
+    def __getitem__(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+
+def own_view() -> View:
+    """The examples' own columns, which segment rows carry."""
+    return View(F.col("input"), F.col("target"))
+
+
+@dataclass(frozen=True)
+class Family:
+    """Templates of a task that share slots.
+
+    ``roles`` are its templates, ``choice`` the purpose of the draw that takes one of them in
+    training.  An example gives prompts of the family if every condition of ``holds`` is met;
+    its message says what an example of a user ({}) that does not is missing.
+    """
+
+    roles: list[str]
+    slots: Slots
+    truth: Column | None = None
+    choice: str | None = None
+    holds: tuple[tuple[Column, str], ...] = ()
+
+    def templates(self, s: Setup) -> list[tpl.Template]:
+        return [t for role in self.roles for t in tpl.templates(s.task, role, s.force)]
+
+    def chosen(self, s: Setup, numbers: dict[tuple, int]) -> Column:
+        """ARRAY of the template numbers that an example gets."""
+        known = {t.template_id: numbers[t.task, t.template_id] for t in self.templates(s)}
+        if not known:
+            return F.array().cast("array<int>")
+        if not s.training:
+            return F.array(*[F.lit(i) for i in known.values()])
+        # the draw is among the ids in the order of their registration
+        ids = [t.template_id for t in tpl.templates(s.task, None if len(self.roles) > 1 else self.roles[0], s.force)]
+        purpose = self.choice or f"{self.roles[0]}/template"
+        return F.array(draws.choose([known[i] for i in ids], *s.parts(purpose)))
+
+
 def with_template(rows: DataFrame, s: Setup, role: str) -> DataFrame:
     """Add ``template_id``: one random template in training, every one in evaluation."""
     ids = [t.template_id for t in tpl.templates(s.task, role, s.force)]
@@ -113,60 +170,89 @@ def rendered(
     A row that is one segment of a long history gives its pieces of the text instead:
     list slots come from every segment, all other parts from the first one.
     """
-    known = [t for role in roles for t in tpl.templates(s.task, role, s.force)]
-
-    def chain(get: Callable[[tpl.Template], Column]) -> Column:
-        out = None
-        for t in known:
-            hit = F.col("template_id") == t.template_id
-            out = F.when(hit, get(t)) if out is None else out.when(hit, get(t))
+    family = Family(roles, slots, truth)
+    table = tpl.part_table(rows.sparkSession, family.templates(s)).filter(F.col("task") == s.task)
+    found = rows.join(F.broadcast(table), "template_id").withColumn("family", F.lit(0))
+    return filled(found, [family], s.excluded is None)
+
+
+def filled(rows: DataFrame, families: list[Family], whole: bool) -> DataFrame:
+    """Prompt rows from rows with ``family`` (a number) and the columns of ``templates.part_table``."""
+    for f in families:
+        f_slots = set(f.slots)
+        if not f_slots:
+            raise ValueError("a family needs slots")
+
+    def by_family(get: Callable[[Family], Column]) -> Column:
+        out = F.when(F.lit(False), get(families[0]))
+        for i, f in enumerate(families):
+            out = out.when(F.col("family") == i, get(f))
         return out
 
-    plain = {n: v.text() if isinstance(v, ListSlot) else v for n, v in slots.items()}
-    is_inference = chain(lambda t: F.lit(t.role)) == "inference"
-    gt = F.lit(None) if truth is None else F.when(is_inference, F.array(truth))
-    whole = s.excluded is None
-    body = chain(lambda t: text.fill(t.input_text, plain) if whole else pieces(t.input_text, slots))
+    def slot_map(f: Family) -> Column:
+        def value(v):
+            if isinstance(v, ListSlot):
+                return v.text() if whole else v.piece()
+            return v.cast("string")
+
+        return F.create_map(*[c for name, v in f.slots.items() for c in (F.lit(name), value(v))])
+
+    def fill(parts: str, m: Column) -> Column:
+        return F.aggregate(parts, F.lit(""), lambda a, p: F.concat(a, F.coalesce(p["text"], m[p["slot"]])))
+
+    def cells(m: Column) -> Column:
+        names = by_family(lambda f: F.array(*[F.lit(n) for n, v in f.slots.items() if isinstance(v, ListSlot)]).cast("array<string>"))
+        return F.transform("input_parts", lambda p, i: F.struct(
+            i.cast("int").alias("part_no"), F.coalesce(p["text"], m[p["slot"]]).alias("input_text"),
+            F.coalesce(F.array_contains(names, p["slot"]), F.lit(False)).alias("in_list")))
+
+    truth = by_family(lambda f: F.lit(None).cast("array<string>") if f.truth is None else F.array(f.truth.cast("string")))
+    body = (lambda m: fill("input_parts", m)) if whole else cells
+    texts = text.let(by_family(slot_map), lambda m: F.struct(body(m).alias("input_text"), fill("target_parts", m).alias("target_text")))
     out = rows.select(
-        *KEYS,
-        F.lit(s.task).alias("task"),
-        "template_id",
-        chain(lambda t: F.lit(t.role)).alias("role"),
-        body.alias("input_text"),
-        chain(lambda t: text.fill(t.target_text, plain)).alias("target_text"),
-        gt.cast("array<string>").alias("ground_truth"),
-        *([] if whole else ["segment_no"]),
-    )
+        *KEYS, "task", "template_id", "role", texts.alias("texts"),
+        F.when(F.col("role") == "inference", truth).alias("ground_truth"), *([] if whole else ["segment_no"]))
+    out = out.select(*KEYS, "task", "template_id", "role", "texts.input_text", "texts.target_text", "ground_truth", *([] if whole else ["segment_no"]))
     if whole:
         return out
-    each = out.select(
-        *[c for c in out.columns if c != "input_text"], F.inline("input_text")
-    )
+    each = out.select(*[c for c in out.columns if c != "input_text"], F.inline("input_text"))
     return each.filter(F.col("in_list") | (F.col("segment_no") == 0)).drop("in_list")
 
 
-def pieces(template: str, slots: Slots) -> Column:
-    """ARRAY<STRUCT<part_no, input_text, in_list>> of one segment."""
-    cells = []
-    for i, (name, part) in enumerate(text.parts(template)):
-        value = F.lit(part) if name is None else slots[name]
-        in_list = isinstance(value, ListSlot)
-        cells.append(
-            F.struct(
-                F.lit(i).alias("part_no"),
-                (value.piece() if in_list else value).alias("input_text"),
-                F.lit(in_list).alias("in_list"),
-            )
-        )
-    return F.array(*cells)
+def one_pass(ex: DataFrame, parts: list[tuple[Setup, Family]], drawn: bool = False) -> DataFrame:
+    """The prompts of all families, from one scan of the examples (or of segments).
+
+    ``drawn``: an example gives prompts of its ``drawn_task`` only.
+    """
+    known = {(t.task, t.template_id): t for s, f in parts for t in f.templates(s)}
+    numbers = {key: i for i, key in enumerate(known)}
+    kind = "array<struct<family:int,template_no:int>>"
 
+    def choices(no: int, s: Setup, f: Family) -> Column:
+        out = F.transform(f.chosen(s, numbers), lambda t: F.struct(F.lit(no).alias("family"), t.alias("template_no")))
+        for holds, message in reversed(f.holds):
+            other = failure(message).cast(kind) if s.strict else F.array().cast(kind)
+            out = F.when(holds, out).otherwise(other)
+        return F.when(F.col("drawn_task") == s.task, out).otherwise(F.array().cast(kind)) if drawn else out
 
-def with_facts(ex: DataFrame, s: Setup, *names: str) -> DataFrame:
+    every = F.concat(*[choices(i, s, f) for i, (s, f) in enumerate(parts)])
+    rows = ex.withColumn("choice", F.explode(every)).select("*", "choice.family", "choice.template_no").drop("choice")
+    table = tpl.part_table(ex.sparkSession, list(known.values()))
+    return filled(rows.join(F.broadcast(table), "template_no"), [f for _, f in parts], parts[0][0].excluded is None)
+
+
+def failure(message: str) -> Column:
+    before, _, after = message.partition("{}")
+    return F.raise_error(F.concat(F.lit(before), F.coalesce("user_id", F.lit("?")), F.lit(after)))
+
+
+def with_facts(ex: DataFrame, s: Setup, *names: str, view: View | None = None) -> DataFrame:
     """Add what a task needs to know about the whole input; segment rows carry it already."""
     if s.excluded is not None:
         return ex
+    view = view or own_view()
     for name in names:
-        ex = _FACTS[name](ex, s)
+        ex = ex.withColumns({view.name(c): v for c, v in _FACTS[name](s, view).items()})
     return ex
 
 
@@ -174,30 +260,28 @@ def _is_rated(x: Column) -> Column:
     return x["rating"].isNotNull()
 
 
-def _rating_facts(ex: DataFrame, s: Setup) -> DataFrame:
-    rated = F.filter("input", _is_rated)["rating"]
+def _rating_facts(s: Setup, v: View) -> dict[str, Column]:
+    rated = F.filter(v.input, _is_rated)["rating"]
     total = F.aggregate(rated, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return ex.withColumn("rating_sum", total).withColumn("n_rated", F.size(rated))
+    return {"rating_sum": total, "n_rated": F.size(rated)}
 
 
-def _liked_facts(ex: DataFrame, s: Setup) -> DataFrame:
-    known = F.array_compact(F.flatten(F.array_compact("input.categories")))
-    return ex.withColumn("liked", F.sort_array(F.array_distinct(known)))
+def _liked_facts(s: Setup, v: View) -> dict[str, Column]:
+    known = F.array_compact(F.flatten(F.array_compact(v.input["categories"])))
+    return {"liked": F.sort_array(F.array_distinct(known))}
 
 
-def _pair_facts(ex: DataFrame, s: Setup) -> DataFrame:
-    rows = ex.withColumn("at", pair_place(F.size("input"), s))
-    following = F.get("input", (F.col("at") + 1).cast("int"))["item_id"]
-    return rows.withColumn("first", F.get("input", F.col("at").cast("int"))).withColumn(
-        "following", F.coalesce(following, F.col("target.item_id"))
-    )
+def _pair_facts(s: Setup, v: View) -> dict[str, Column]:
+    at = pair_place(F.size(v.input), s)
+    following = F.get(v.input, (at + 1).cast("int"))["item_id"]
+    return {"first": F.get(v.input, at.cast("int")), "following": F.coalesce(following, v.target["item_id"])}
 
 
 def pair_place(length: Column, s: Setup) -> Column:
     return draws.pick(length, *s.parts("pair"))
 
 
-_FACTS = {"rating": _rating_facts, "liked": _liked_facts, "pair": _pair_facts}
+_FACTS = {"rating": _rating_facts, "liked": _liked_facts, "liked_parts": _liked_facts, "pair": _pair_facts}
 
 
 def user_slots(rows: DataFrame) -> Slots:
@@ -207,19 +291,6 @@ def user_slots(rows: DataFrame) -> Slots:
     return slots
 
 
-def rated_only(ex: DataFrame, s: Setup) -> DataFrame:
-    """Examples whose target has a rating; the strict mode fails at any other."""
-    return guarded(ex, F.col("target.rating").isNotNull(), "the target of user {} has no rating", s.strict)
-
-
-def guarded(ex: DataFrame, holds: Column, message: str, strict: bool) -> DataFrame:
-    if not strict:
-        return ex.filter(holds)
-    before, _, after = message.partition("{}")
-    said = F.concat(F.lit(before), F.coalesce("user_id", F.lit("?")), F.lit(after))
-    return ex.filter(F.when(holds, True).otherwise(F.raise_error(said).cast("boolean")))
-
-
 def left_out(ex: DataFrame, task: str, catalog: neg.Catalog | None = None) -> DataFrame:
     """(reason, n) of the examples of whole histories that give no prompt without ``strict``."""
     reasons = []
@@ -234,182 +305,193 @@ def left_out(ex: DataFrame, task: str, catalog: neg.Catalog | None = None) -> Da
     return ex.select(why.alias("reason")).filter("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rating_prompts(ex: DataFrame, s: Setup) -> DataFrame:
+def is_rated(v: View) -> tuple[Column, str]:
+    return v.target["rating"].isNotNull(), "the target of user {} has no rating"
+
+
+def rating_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    rated = F.filter(v.input, _is_rated)
+    pairs = text.arrow_pairs(rated["item_id"], rated["rating"].cast("array<string>"))
+    ex = with_facts(ex, s, "rating", view=v)
+    return ex.withColumns({v.name("avg_rating"): text.two_decimals(v["rating_sum"], v["n_rated"]), v.name("pairs"): pairs})
+
+
+def rating_families(s: Setup, v: View, names: Slots) -> list[Family]:
     """History with ratings and their mean; the answer is the target's rating.
 
     Positions without a rating are not part of the rated history.
     """
-    average = text.two_decimals(F.col("rating_sum"), F.col("n_rated"))
-    rows = with_facts(rated_only(ex, s), s, "rating").withColumn("avg_rating", average)
-    rows = guarded(rows, F.col("n_rated") > 0, "no item in the history of user {} has a rating", s.strict)
-    rated_input = F.filter("input", _is_rated)
-    pairs = text.arrow_pairs(rated_input["item_id"], rated_input["rating"].cast("array<string>"))
-    rows = rows.withColumn("pairs", pairs)
-    rows = with_template(rows, s, "inference")
-    rated = F.col("target.rating").cast("string")
-    slots = user_slots(rows) | {
-        "avg_rating": F.col("avg_rating"),
-        "rated_history": ListSlot(F.col("pairs"), " , ", " ; ", s.coin("separator")),
-        "item_id": F.col("target.item_id"),
+    rated = v.target["rating"].cast("string")
+    slots = names | {
+        "avg_rating": v["avg_rating"],
+        "rated_history": ListSlot(v["pairs"], " , ", " ; ", s.coin("separator")),
+        "item_id": v.target["item_id"],
         "target_rating": rated,
     }
-    return rendered(rows, s, ["inference"], slots, rated)
+    some = (v["n_rated"] > 0, "no item in the history of user {} has a rating")
+    return [Family(["inference"], slots, rated, holds=(is_rated(v), some))]
 
 
-def sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
-    """History and one random category per item; training adds a list and a pair row."""
+def sequential_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
     parts = s.parts("category")
-    picked = F.transform(
-        "input", lambda x: sampling.pick_category(x["categories"], *parts, x["pos"])
-    )
-    rows = with_template(ex.withColumn("picked", picked), s, "inference")
-    target = F.col("target.item_id")
-    slots = user_slots(rows) | {
-        "history": ListSlot(F.col("input.item_id"), " , ", " ; ", s.coin("separator")),
-        "category_history": ListSlot(F.col("picked"), " , ", " ; ", s.coin("separator")),
+    picked = F.transform(v.input, lambda x: sampling.pick_category(x["categories"], *parts, x["pos"]))
+    ex = ex.withColumn(v.name("picked"), picked)
+    if not s.training:
+        return ex
+    return with_candidates(with_facts(ex, s, "pair", view=v), s, v, FEW, False)
+
+
+def sequential_families(s: Setup, v: View, names: Slots) -> list[Family]:
+    """History and one random category per item; training adds a list and a pair row."""
+    target = v.target["item_id"]
+    slots = names | {
+        "history": ListSlot(v.input["item_id"], " , ", " ; ", s.coin("separator")),
+        "category_history": ListSlot(v["picked"], " , ", " ; ", s.coin("separator")),
         "target_item": target,
     }
-    out = rendered(rows, s, ["inference"], slots, target)
+    out = [Family(["inference"], slots, target)]
     if not s.training:
         return out
-    qa = with_template(with_candidates(ex, s, FEW, False).withColumn("picked", picked), s, "qa")
-    qa_rows = rendered(qa, s, ["qa"], slots | {"candidates": bullet_slot(s)}, None)
-    return out.unionByName(qa_rows).unionByName(pair_prompts(ex, s))
+    # a random adjacent pair of history + target, with all categories of its first item
+    pair = names | {
+        "previous_item": v["first"]["item_id"],
+        "previous_categories": text.joined(v["first"]["categories"], " , ", " ; ", s.coin("pair/separator")),
+        "target_item": v["following"],
+    }
+    few = (enough(s, v, FEW, False),)
+    return [*out, Family(["qa"], slots | {"candidates": bullet_slot(s, v)}, holds=few), Family(["pair"], pair)]
 
 
-def with_candidates(ex: DataFrame, s: Setup, n: int, outside_history: bool) -> DataFrame:
+def with_candidates(ex: DataFrame, s: Setup, v: View, n: int, outside_history: bool) -> DataFrame:
+    """Add the view's ``candidates``; an example whose pool is too small keeps its row."""
     purpose = f"{s.task}/candidates"
     if s.excluded is not None and outside_history:
         lists = neg.candidates_by_join(ex, s.excluded, s.catalog, n, s.seed, purpose, s.strict)
-        return ex.join(lists, KEYS)
-    return neg.add_candidates(ex, s.catalog, n, s.seed, purpose, outside_history, s.strict)
+        return ex.join(lists.withColumnRenamed("candidates", v.name("candidates")), KEYS, "left")
+    return neg.add_candidates(ex, s.catalog, n, s.seed, purpose, outside_history, keep=True,
+                              history=v.input, target=v.target, out=v.name("candidates"))
+
+
+def enough(s: Setup, v: View, n: int, outside_history: bool) -> tuple[Column, str]:
+    if s.excluded is not None and outside_history:
+        return v["candidates"].isNotNull(), neg.too_few(s.catalog, n)
+    return neg.holds_enough(neg.excluded_indexes(outside_history, v.input, v.target), s.catalog, n), neg.too_few(s.catalog, n)
 
 
-def bullet_slot(s: Setup) -> Column:
+def bullet_slot(s: Setup, v: View) -> Column:
     marker = F.when(s.coin("bullet"), F.lit("* ")).otherwise(F.lit("- "))
-    return text.bullets(F.col("candidates"), marker)
-
-
-def pair_prompts(ex: DataFrame, s: Setup) -> DataFrame:
-    """A random adjacent pair of history + target; all categories of its first item."""
-    rows = with_template(with_facts(ex, s, "pair"), s, "pair")
-    slots = user_slots(rows) | {
-        "previous_item": F.col("first.item_id"),
-        "previous_categories": text.joined(
-            F.col("first.categories"), " , ", " ; ", s.coin("pair/separator")
-        ),
-        "target_item": F.col("following"),
-    }
-    return rendered(rows, s, ["pair"], slots, None)
+    return text.bullets(v["candidates"], marker)
 
 
-def direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
+def direct_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    ex = with_facts(ex, s, "liked", view=v)
+    return with_candidates(ex, s, v, FEW, False) if s.training else ex
+
+
+def direct_families(s: Setup, v: View, names: Slots) -> list[Family]:
     """Unique categories of the history; training draws its target from history + target."""
-    if s.training and s.excluded is None:
-        ex = sampling.resample_target(ex, s.seed, f"{s.task}/target")
-    ex = with_facts(ex, s, "liked")
-    target = F.col("target.item_id")
-
-    def slots(rows: DataFrame) -> Slots:
-        return user_slots(rows) | {
-            "liked_categories": text.joined(F.col("liked"), " , ", " ; ", s.coin("separator")),
-            "target_item": target,
-        }
-
-    rows = with_template(ex, s, "inference")
-    out = rendered(rows, s, ["inference"], slots(rows), target)
+    target = v.target["item_id"]
+    slots = names | {
+        "liked_categories": ListSlot(v["liked"], " , ", " ; ", s.coin("separator")),
+        "target_item": target,
+    }
+    out = [Family(["inference"], slots, target)]
     if not s.training:
         return out
-    qa = with_template(with_candidates(ex, s, FEW, False), s, "qa")
-    return out.unionByName(
-        rendered(qa, s, ["qa"], slots(qa) | {"candidates": bullet_slot(s)}, None)
-    )
+    return [*out, Family(["qa"], slots | {"candidates": bullet_slot(s, v)}, holds=(enough(s, v, FEW, False),))]
 
 
-def p5_rating_prompts(ex: DataFrame, s: Setup) -> DataFrame:
+def p5_rating_families(s: Setup, v: View, names: Slots) -> list[Family]:
     """Star, yes/no and like/dislike questions about the target; training perturbs stars."""
-    ex = rated_only(ex, s)
-    rating, rated = F.col("target.rating"), F.col("target.rating").cast("string")
-    roles = ["inference", "support"] if s.training else ["inference"]
-    if s.training:
-        ids = [t.template_id for t in tpl.templates(s.task, None, s.force)]
-        rows = ex.withColumn("template_id", draws.choose(ids, *s.parts("template")))
-        stars = F.format_string("%.1f", sampling.perturbed_rating(rating, *s.parts("stars")))
-    else:
-        rows, stars = with_template(ex, s, "inference"), rated
+    rating = v.target["rating"]
+    rated = rating.cast("string")
+    stars = F.format_string("%.1f", sampling.perturbed_rating(rating, *s.parts("stars"))) if s.training else rated
     is_true = s.coin("shown")
     wrong = sampling.wrong_rating(rating, *s.parts("wrong")).cast("string")
-    slots = user_slots(rows) | {
-        "item_id": F.col("target.item_id"),
-        "item_title": text.title_label(F.col("target.title")),
+    slots = names | {
+        "item_id": v.target["item_id"],
+        "item_title": text.title_label(v.target["title"]),
         "star_rating": stars,
         "shown_rating": F.when(is_true, rated).otherwise(wrong),
         "yes_no": text.yes_no(is_true),
         "like_dislike": text.like_label(rating),
     }
-    return rendered(rows, s, roles, slots, rated)
+    roles = ["inference", "support"] if s.training else ["inference"]
+    return [Family(roles, slots, rated, "template", (is_rated(v),))]
+
+
+def p5_sequential_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    return with_shown(with_candidates(ex, s, v, MANY, True), s, v) if s.training else ex
 
 
-def p5_sequential_prompts(ex: DataFrame, s: Setup) -> DataFrame:
+def p5_sequential_families(s: Setup, v: View, names: Slots) -> list[Family]:
     """History questions; training adds a 100-item list and a yes/no pair question."""
-    rows = with_template(ex, s, "inference")
-    target, separator = F.col("target.item_id"), s.coin("separator")
-    slots = user_slots(rows) | {
-        "history": ListSlot(F.col("input.item_id"), " , ", " -> ", separator),
+    target, separator = v.target["item_id"], s.coin("separator")
+    slots = names | {
+        "history": ListSlot(v.input["item_id"], " , ", " -> ", separator),
         "target_item": target,
     }
-    out = rendered(rows, s, ["inference"], slots, target)
+    out = [Family(["inference"], slots, target)]
     if not s.training:
         return out
-    qa = with_template(with_candidates(ex, s, MANY, True), s, "qa")
-    candidates = text.joined(F.col("candidates"), " , ", " -> ", separator)
-    qa_rows = rendered(qa, s, ["qa"], slots | {"candidates": candidates}, None)
-    pair = with_template(with_shown(ex, s), s, "pair")
-    pair_rows = rendered(pair, s, ["pair"], slots | shown_slots(), None)
-    return out.unionByName(qa_rows).unionByName(pair_rows)
+    candidates = text.joined(v["candidates"], " , ", " -> ", separator)
+    qa = Family(["qa"], slots | {"candidates": candidates}, holds=(enough(s, v, MANY, True),))
+    return [*out, qa, Family(["pair"], slots | shown_slots(s, v), holds=(enough(s, v, 1, False),))]
 
 
-def with_shown(ex: DataFrame, s: Setup) -> DataFrame:
-    """Add the item shown in a yes/no question: the target or one other item, by coin."""
-    both = neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other", s.strict)
-    return both.withColumn("is_true", draws.coin(*s.parts("shown")))
+def with_shown(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    """Add ``other_item`` and ``other_title``: what a yes/no question may show instead of the target."""
+    return neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other", keep=True, target=v.target, prefix=v.prefix)
 
 
-def shown_slots() -> Slots:
+def shown_slots(s: Setup, v: View) -> Slots:
+    """The item shown in a yes/no question: the target or one other item, by coin."""
+    is_true = draws.coin(*s.parts("shown"))
     return {
-        "shown_item": F.when(F.col("is_true"), F.col("target.item_id")).otherwise(F.col("other_item")),
-        "yes_no": text.yes_no(F.col("is_true")),
+        "shown_item": F.when(is_true, v.target["item_id"]).otherwise(v["other_item"]),
+        "yes_no": text.yes_no(is_true),
     }
 
 
-def p5_direct_prompts(ex: DataFrame, s: Setup) -> DataFrame:
+def p5_direct_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    ex = with_candidates(ex, s, v, MANY, True)
+    return with_shown(ex, s, v) if s.training and s.task != tpl.P5_DIRECT_EVAL else ex
+
+
+def p5_direct_families(s: Setup, v: View, names: Slots) -> list[Family]:
     """Choose among the target and 99 other items; training adds a yes/no question."""
-    rows = with_template(with_candidates(ex, s, MANY, True), s, "inference")
-    target = F.col("target.item_id")
-    slots = user_slots(rows) | {
-        "candidates": F.array_join("candidates", " , "),
+    target = v.target["item_id"]
+    slots = names | {
+        "candidates": F.array_join(v["candidates"], " , "),
         "target_item": target,
     }
-    out = rendered(rows, s, ["inference"], slots, target)
+    out = [Family(["inference"], slots, target, holds=(enough(s, v, MANY, True),))]
     if not s.training or s.task == tpl.P5_DIRECT_EVAL:
         return out
-    support = with_template(with_shown(ex, s), s, "support")
-    title = F.when(F.col("is_true"), F.col("target.title")).otherwise(F.col("other_title"))
-    slots = user_slots(support) | shown_slots() | {"shown_title": text.title_label(title)}
-    return out.unionByName(rendered(support, s, ["support"], slots, None))
-
-
-BUILDERS: dict[str, Callable[[DataFrame, Setup], DataFrame]] = {
-    tpl.RATING: rating_prompts,
-    tpl.SEQUENTIAL: sequential_prompts,
-    tpl.DIRECT: direct_prompts,
-    tpl.P5_RATING: p5_rating_prompts,
-    tpl.P5_RATING_EVAL: p5_rating_prompts,
-    tpl.P5_SEQUENTIAL: p5_sequential_prompts,
-    tpl.P5_SEQUENTIAL_EVAL: p5_sequential_prompts,
-    tpl.P5_DIRECT: p5_direct_prompts,
-    tpl.P5_DIRECT_EVAL: p5_direct_prompts,
+    is_true = draws.coin(*s.parts("shown"))
+    title = F.when(is_true, v.target["title"]).otherwise(v["other_title"])
+    support = names | shown_slots(s, v) | {"shown_title": text.title_label(title)}
+    return [*out, Family(["support"], support, holds=(enough(s, v, 1, False),))]
+
+
+def no_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
+    return ex
+
+
+# per task: the columns it adds to its examples, and its families
+FAMILIES: dict[str, tuple[Callable[[DataFrame, Setup, View], DataFrame], Callable[[Setup, View, Slots], list[Family]]]] = {
+    tpl.RATING: (rating_columns, rating_families),
+    tpl.SEQUENTIAL: (sequential_columns, sequential_families),
+    tpl.DIRECT: (direct_columns, direct_families),
+    tpl.P5_RATING: (no_columns, p5_rating_families),
+    tpl.P5_RATING_EVAL: (no_columns, p5_rating_families),
+    tpl.P5_SEQUENTIAL: (p5_sequential_columns, p5_sequential_families),
+    tpl.P5_SEQUENTIAL_EVAL: (no_columns, p5_sequential_families),
+    tpl.P5_DIRECT: (p5_direct_columns, p5_direct_families),
+    tpl.P5_DIRECT_EVAL: (p5_direct_columns, p5_direct_families),
 }
+# builders of tasks registered from outside
+BUILDERS: dict[str, Callable[[DataFrame, Setup], DataFrame]] = {}
 # Tasks that exist for evaluation only; in training they still show one template.
 EVAL_ONLY = {tpl.P5_RATING_EVAL, tpl.P5_SEQUENTIAL_EVAL, tpl.P5_DIRECT_EVAL}
 
@@ -420,12 +502,33 @@ def register_builder(
     """Add the builder of a task registered with ``templates.register_task``.
 
     ``facts`` names what it reads beside its rows: ``rating`` (rating_sum, n_rated), ``pair``
-    (first, following), ``liked``; ``new_target`` draws the training target anew.  They are
+    (first, following), ``liked`` (all of it in one array) or ``liked_parts`` (in pieces of a segment
+    each, for a list slot); ``new_target`` draws the training target anew.  They are
     there for histories of any length.
     """
     BUILDERS[task], FIELDS[task], FACTS[task] = build, fields, facts or []
 
 
+def _whole(examples: DataFrame, setups: list[Setup], drawn: bool = False) -> DataFrame:
+    """Prompt rows of whole examples for all tasks of ``setups``."""
+    ex, parts, out = examples, [], None
+    for s in (s for s in setups if s.task in FAMILIES):
+        v = View(F.col("input"), F.col("target"), f"{s.task}__")
+        if s.training and "new_target" in FACTS.get(s.task, []):
+            ex = sampling.resample_target(ex, s.seed, f"{s.task}/target", v.name("input"), v.name("target"))
+            v = View(v["input"], v["target"], v.prefix)
+        columns, families = FAMILIES[s.task]
+        ex = columns(ex, s, v)
+        parts += [(s, f) for f in families(s, v, user_slots(examples))]
+    if parts:
+        out = one_pass(ex, parts, drawn).select(*COLUMNS)
+    for s in (s for s in setups if s.task not in FAMILIES):
+        mine = examples.filter(F.col("drawn_task") == s.task) if drawn else examples
+        rows = BUILDERS[s.task](mine, s).select(*COLUMNS)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def build_prompts(
     examples: DataFrame,
     task: str,
@@ -437,10 +540,30 @@ def build_prompts(
     strict: bool = True,
 ) -> DataFrame:
     """Prompt rows of one task.  ``force`` restricts it to one template id."""
-    task = tpl.find_task(task)
-    if force is not None:
-        tpl.templates(task, None, force)  # unknown id fails here
-    return BUILDERS[task](examples, Setup(task, seed, training, catalog, force, None, strict)).select(*COLUMNS)
+    return build_evaluation_prompts(
+        examples, [task], seed=seed, training=training, catalog=catalog, force=None if force is None else {task: force}, strict=strict
+    )
+
+
+def build_evaluation_prompts(
+    examples: DataFrame,
+    tasks: list[str],
+    *,
+    seed: int,
+    training: bool = False,
+    catalog: neg.Catalog | None = None,
+    force: dict[str, str] | None = None,
+    strict: bool = True,
+) -> DataFrame:
+    """Prompt rows of several tasks from one scan of the examples."""
+    return _whole(examples, _setups(tasks, seed, training, catalog, force, strict))
+
+
+def _setups(tasks, seed, training, catalog, force, strict) -> list[Setup]:
+    only = {tpl.find_task(t): i for t, i in (force or {}).items()}
+    for t, i in only.items():
+        tpl.templates(t, None, i)  # an unknown id fails here
+    return [Setup(t, seed, training, catalog, only.get(t), None, strict) for t in map(tpl.find_task, tasks)]
 
 
 def long_examples(
@@ -481,13 +604,38 @@ def long_examples(
         .groupBy(*KEYS, "segment_no")
         .agg(F.sort_array(F.collect_list(cell)).alias("input"))
     )
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(input_len - 1) div {int(size)}"))
+    last = F.expr(f"(input_len - 1) div {int(size)}")
+    parts = None
+    if "liked_parts" in needed:
+        parts = liked_parts(inputs, size)
+        counts = parts.groupBy(*KEYS).agg(F.max("segment_no").alias("last_liked"))
+        per_user = per_user.join(counts, KEYS, "left")
+        last = F.greatest(last, F.coalesce("last_liked", F.lit(0)))  # a history may have more categories than rows
+    numbers = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
     spread = per_user.withColumn("segment_no", F.explode(numbers)).withColumn("begun", F.col("segment_no") > 0)
     if "rating" in needed:
         # the rated list begins at the first segment with a rated row
         first = inputs.groupBy(*KEYS).agg(F.expr(f"min(CASE WHEN rating IS NOT NULL THEN spot END) div {int(size)}").alias("begin"))
         spread = spread.join(first, KEYS).withColumn("begun", F.coalesce(F.col("segment_no") > F.col("begin"), F.lit(False))).drop("begin")
-    return lists.join(spread, [*KEYS, "segment_no"])
+    if parts is None:
+        return lists.join(spread, [*KEYS, "segment_no"])
+    whole = spread.drop("last_liked").join(lists, [*KEYS, "segment_no"], "left").join(parts, [*KEYS, "segment_no"], "left")
+    kinds = dict(whole.dtypes)
+    return whole.withColumns({c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("input", "liked")})
+
+
+def liked_parts(inputs: DataFrame, size: int) -> DataFrame:
+    """(user_id, epoch, segment_no, liked): the distinct categories of each input in order, at most ``size`` a row.
+
+    They are numbered like any rows of a key, so a set of any size is spread over the tasks.
+    """
+    each = inputs.select(*KEYS, F.explode("categories").alias("category")).filter("category IS NOT NULL").distinct()
+    numbered = number_rows(each, KEYS, ["category"], pos="place", total=None)
+    return (
+        numbered.withColumn("segment_no", F.expr(f"place div {int(size)}"))
+        .groupBy(*KEYS, "segment_no")
+        .agg(F.sort_array(F.collect_list("category")).alias("liked"))
+    )
 
 
 def build_prompt_pieces(
@@ -513,7 +661,12 @@ def build_prompt_pieces(
     segments = long_examples(rows, users, s, fields, size)
     if "item_idx" in fields:
         s = replace(s, excluded=rows.select(*KEYS, "item_idx").distinct())
-    return BUILDERS[task](segments, s).select(*COLUMNS, "part_no", "segment_no")
+    columns = [*COLUMNS, "part_no", "segment_no"]
+    if task not in FAMILIES:
+        return BUILDERS[task](segments, s).select(*columns)
+    prepare, families = FAMILIES[task]
+    v = own_view()
+    return one_pass(prepare(segments, s, v), [(s, f) for f in families(s, v, user_slots(segments))]).select(*columns)
 
 
 def build_training_prompts(
@@ -532,16 +685,11 @@ def build_training_prompts(
     """
     if strategy not in ("all", "random"):
         raise ValueError("strategy is 'all' or 'random'")
-    names = [tpl.find_task(t) for t in tasks]
+    setups = _setups(tasks, seed, True, catalog, force, strict)
     if strategy == "random":
-        drawn = sampling.pick_task(names, seed, F.col("epoch"), F.col("user_id"))
+        drawn = sampling.pick_task([s.task for s in setups], seed, F.col("epoch"), F.col("user_id"))
         examples = examples.withColumn("drawn_task", drawn)
-    out = None
-    for task in names:
-        mine = examples if strategy == "all" else examples.filter(F.col("drawn_task") == task)
-        rows = build_prompts(mine, task, seed=seed, training=True, catalog=catalog, force=(force or {}).get(task), strict=strict)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _whole(examples, setups, strategy == "random")
 
 
 def whole_prompts(
@@ -578,10 +726,7 @@ def whole_prompts(
     if training:
         out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog, force=force, strict=strict)
     else:
-        out = None
-        for task in names:
-            rows = build_prompts(ex, task, seed=seed, catalog=catalog, force=force.get(task), strict=strict)
-            out = rows if out is None else out.unionByName(rows)
+        out = build_evaluation_prompts(ex, names, seed=seed, catalog=catalog, force=force, strict=strict)
     out = out.withColumns({"part_no": F.lit(WHOLE), "segment_no": F.lit(0).cast("bigint")})
     if interactions.filter((F.col("pos") == size) & (F.col("n") > size)).isEmpty():
         return out  # no long history
@@ -603,6 +748,25 @@ def whole_prompts(
     return out
 
 
+def join_pieces(prompts: DataFrame) -> DataFrame:
+    """The prompts of :func:`whole_prompts` with one whole text each.
+
+    Whole texts stay as they are; the pieces of a long history meet in the row that is their text.
+    """
+    keys = [c for c in prompts.columns if c not in ("part_no", "segment_no", "input_text")]
+    whole = prompts.filter(F.col("part_no") == WHOLE).select(*keys, "input_text")
+    cells = F.sort_array(F.collect_list(F.struct("part_no", "segment_no", "input_text")))  # the text itself
+    pieces = prompts.filter(F.col("part_no") != WHOLE).groupBy(*keys).agg(F.array_join(cells["input_text"], "").alias("input_text"))
+    return whole.unionByName(pieces)
+
+
+def evaluable(prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prompts with a ground truth, and the counts (task, template_id, n) of those without."""
+    has = F.col("ground_truth").isNotNull()
+    rejects = prompts.filter(~has).groupBy("task", "template_id").agg(F.count(F.lit(1)).alias("n"))
+    return prompts.filter(has), rejects
+
+
 def check_evaluable(prompts: DataFrame) -> DataFrame:
     """Fails the job when a row to be evaluated has no ground truth."""
     missing = F.col("ground_truth").isNull()

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.functions.text import parts
 from basketry.operators.metricspec import ERROR, RANKING
 
 
@@ -174,6 +175,19 @@ def template_rows(tasks: list[str] | None = None, role: str | None = None) -> li
     ]
 
 
+def part_table(spark: SparkSession, wanted: list[Template]) -> DataFrame:
+    """Templates with their texts cut into parts: a part is a literal text or the name of a slot."""
+
+    def cut(words: str) -> list[tuple]:
+        return [(None, slot) if slot else (literal, None) for slot, literal in parts(words)]
+
+    kind = "array<struct<text:string,slot:string>>"
+    return spark.createDataFrame(
+        [(i, t.task, t.template_id, t.role, cut(t.input_text), cut(t.target_text)) for i, t in enumerate(wanted)],
+        f"template_no int, task string, template_id string, role string, input_parts {kind}, target_parts {kind}",
+    )
+
+
 def template_table(spark: SparkSession, tasks: list[str] | None = None, role: str | None = None) -> DataFrame:
     """Registry table of the templates in use."""
     return spark.createDataFrame(

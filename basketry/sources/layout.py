@@ -45,7 +45,12 @@ def write_report(report: DataFrame, folder: str, task: str, order: str = "row_no
 
 
 def append_history(metrics: DataFrame, path: str, exp_name: str) -> None:
-    """Append long metric rows of one run (template, epoch, ...) under its name."""
-    metrics.withColumn("exp_name", F.lit(exp_name)).write.mode("append").partitionBy(
-        "exp_name"
-    ).parquet(path)
+    """Put long metric rows of one run (template, epoch, ...) under its name.
+
+    Rows go to the partition of their run, or of their (run, epoch) if there is an ``epoch``,
+    and replace what it holds; other partitions stay.  So a run that is written again, by a
+    retry or a restart, is there once.
+    """
+    own = ["exp_name", "epoch"] if "epoch" in metrics.columns else ["exp_name"]
+    named = metrics.withColumn("exp_name", F.lit(exp_name))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*own).parquet(path)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basketry.storage import broadcast_if_small
+
 ID_MAPS = ("user2id", "item2id", "id2user", "id2item")
 ITEM_FIELDS = "asin string, title string, description string, categories array<string>, price string, imUrl string, brand string"
 
@@ -80,8 +83,66 @@ def parse_id_maps(docs: DataFrame, value: str = "value") -> dict[str, DataFrame]
     return {m: parsed.select(F.explode(f"maps.{m}").alias("key", "id")) for m in ID_MAPS}
 
 
+# An entry that opens a section ("name": {...), and the braces that close one.
+_OPENS = r'^[\s{]*"((?:[^"\\\\]|\\\\.)*)"\s*:\s*\{'
+_CLOSES = r"\}[\s}]*$"
+
+
+def scan_object(spark: SparkSession, path: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The members of the objects in one large JSON object: (section, place, entry).
+
+    ``names`` are the sections wanted; without it all are read.
+
+    ``{"a": {"k": "v", ...}, "b": {...}}`` gives ``"k": "v"`` with section ``a``.  The file is
+    split like any text, with the comma as the record separator, so many tasks read
+    it.  What a record cannot know by itself is added by sums over the file's splits: whether
+    it begins inside a string (the quotes before it are odd), in which case it is joined to
+    the record before, and which section was opened last.
+    """
+    text = spark.read.option("lineSep", ",").text(path).select(
+        F.col("value").alias("piece"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    bare = F.regexp_replace("piece", r"\\\\.", "")  # without escaped characters
+    quotes = F.char_length(bare) - F.char_length(F.translate(bare, '"', ""))
+    marked = text.withColumn("odd", quotes % 2)
+    before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per split
+    splits = marked.groupBy("block").agg(F.sum("odd").alias("odds")).select("block", F.coalesce(F.sum("odds").over(before), F.lit(0)).alias("odd_before"))
+    inside = W.partitionBy("block").orderBy("row").rowsBetween(W.unboundedPreceding, -1)  # a split's records
+    opened = (F.coalesce(F.sum("odd").over(inside), F.lit(0)) + F.col("odd_before")) % 2 == 0
+    placed = marked.join(splits, "block").select("piece", "block", "row", opened.alias("opens"))
+    # A record that begins inside a string belongs to the last one that does not, maybe of an earlier split.
+    start = F.when(F.col("opens"), F.struct("block", "row"))
+    last = placed.groupBy("block").agg(F.max(start).alias("last_start"))
+    carried = last.select("block", F.last("last_start", ignorenulls=True).over(before).alias("carried"))
+    upto = W.partitionBy("block").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    owned = placed.join(carried, "block").select(
+        "piece", F.struct("block", "row").alias("at"), F.coalesce(F.last(start, ignorenulls=True).over(upto), F.col("carried")).alias("place"))
+    whole = F.array_join(F.sort_array(F.collect_list(F.struct("at", "piece")))["piece"], ",")  # the pieces of one entry
+    entries = owned.groupBy("place").agg(whole.alias("entry"))
+    found = entries.select(
+        "place", F.regexp_extract("entry", _OPENS, 1).alias("name"), F.col("entry").rlike(_OPENS).alias("heads"),
+        F.col("entry").rlike(_CLOSES).alias("ends"), F.trim(F.regexp_replace(F.regexp_replace("entry", _OPENS, ""), _CLOSES, "")).alias("entry"))
+    # One row per section, with the places of its first and its last entry.
+    edges = found.filter("heads OR ends").select("place", "heads", "ends", "name")
+    order = W.orderBy("place")
+    sections = edges.filter("heads").select(F.col("place").alias("first_place"), F.lead("place").over(order).alias("next_place"), F.col("name").alias("section"))
+    ends = edges.filter("ends").select(F.col("place").alias("end_place"))
+    sections = sections.join(ends, (F.col("end_place") >= F.col("first_place")) & (F.col("next_place").isNull() | (F.col("end_place") < F.col("next_place"))), "left")
+    sections = sections.groupBy("first_place", "next_place", "section").agg(F.min("end_place").alias("end_place"))
+    within = (F.col("place") >= F.col("first_place")) & (F.col("end_place").isNull() | (F.col("place") <= F.col("end_place"))) & (
+        F.col("next_place").isNull() | (F.col("place") < F.col("next_place")))
+    if names is not None:
+        sections = sections.filter(F.col("section").isin(*names))
+    # as many rows as the object has sections
+    return found.join(broadcast_if_small(sections), within).filter("entry != ''").select("section", "place", "entry")
+
+
 def read_id_maps(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return parse_id_maps(spark.read.text(path, wholetext=True))
+    """The four maps of one JSON object, however large, as (key, id) tables."""
+    entries = scan_object(spark, path, ID_MAPS)
+    parsed = F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), "map<string,string>")
+    said = F.raise_error(F.concat(F.lit("not a member of an id map: "), F.col("entry")))
+    pairs = entries.select("section", F.explode(F.coalesce(parsed, said.cast("map<string,string>"))).alias("key", "id"))
+    return {m: pairs.filter(F.col("section") == m).select("key", "id") for m in ID_MAPS}
 
 
 def read_user_names(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from basketry.operators.errors import answer_pairs, counted_errors
+from basketry.operators.errors import answer_pairs, counted_errors, zone_errors, zone_sums
 from basketry.operators.metricspec import Metric
 from basketry.operators.ranking import ranking_metrics
 
@@ -65,18 +65,27 @@ def run_metrics(
     return _updates(ranking_metrics(predictions, metrics, keys), publish, out_path, checkpoint)
 
 
-def run_errors(predictions: DataFrame, keys: list[str], out_path: str, checkpoint: str) -> int:
+def run_errors(
+    predictions: DataFrame, keys: list[str], out_path: str, checkpoint: str, scale: tuple[float, float, float] | None = None
+) -> int:
     """Like :func:`run_metrics` for RMSE and MAE.
 
-    The range that cuts the answers widens as truths arrive, so the state counts equal
-    (answer, truth) pairs: few for ratings, and never more than the pairs seen.
+    The range that cuts the answers widens as truths arrive.  With the ``scale`` of the truths (low,
+    high, step) the state is a few sums per zone of it (``errors.zone_sums``), however long the
+    stream is.  Without one the state counts equal (answer, truth) pairs, which grows with the
+    distinct answers.
     """
-    counts = answer_pairs(predictions, keys).groupBy(*keys, "pred", "truth").agg(F.count(F.lit(1)).alias("n"))
+    pairs = answer_pairs(predictions, keys)
+    if scale is None:
+        kept = pairs.groupBy(*keys, "pred", "truth").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        kept = zone_sums(pairs, keys, scale)
 
     def publish(result: DataFrame, path: str) -> None:
-        counted_errors(result, keys).write.mode("overwrite").parquet(path)
+        found = counted_errors(result, keys) if scale is None else zone_errors(result, keys, scale)
+        found.write.mode("overwrite").parquet(path)
 
-    return _updates(counts, publish, out_path, checkpoint)
+    return _updates(kept, publish, out_path, checkpoint)
 
 
 def latest(spark: SparkSession, out_path: str) -> DataFrame:

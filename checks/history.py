@@ -160,9 +160,10 @@ for _name, _split in {
 @query(
     with_ctes(
         HISTORY,
-        """SELECT a.user_id, a.pos, a.item_id, b.item_id AS target_item, b.rating AS target_rating
-        FROM hist a JOIN hist b ON a.user_id = b.user_id AND b.pos = b.n - 1
-        WHERE a.pos < a.n - 1""",
+        """SELECT user_id, pos, item_id, target_item, target_rating FROM (
+          SELECT *, last_value(item_id) OVER w AS target_item, last_value(rating) OVER w AS target_rating
+          FROM hist WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+        WHERE pos < n - 1""",
     )
 )
 def loo_split_join_form(spark, folder):
@@ -274,12 +275,21 @@ def id_map_join(spark, folder):
         F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("key"),
         F.col("c_custkey").cast("string").alias("id"),
     )
-    # one JSON object per map row, merged by the exploding reader
+    # one object with both maps, a line per member; the members are written in one task, and read by many
     path = fresh_path(spark, "id-maps")
-    user_docs = user_map.select(F.to_json(F.struct(F.create_map("key", "id").alias("user2id"))).alias("value"))
-    item_docs = item_map.select(F.to_json(F.struct(F.create_map("key", "id").alias("item2id"))).alias("value"))
-    user_docs.unionByName(item_docs).write.text(path)
-    maps = raw.parse_id_maps(spark.read.text(path))
+    sections = [("user2id", user_map), ("item2id", item_map)]
+    members = None
+    for no, (name, pairs) in enumerate(sections):
+        head = spark.range(1).select(F.lit(3 * no).alias("part"), F.lit("").alias("key"), F.lit(("{" if no == 0 else ",") + f'"{name}": {{').alias("value"))
+        least = pairs.agg(F.min("key").alias("least")).scalar()
+        body = pairs.select(
+            F.lit(3 * no + 1).alias("part"), "key",
+            F.concat(F.when(F.col("key") == least, "").otherwise(","), F.regexp_extract(F.to_json(F.create_map("key", "id")), r"^\{(.*)\}$", 1)).alias("value"))
+        foot = spark.range(1).select(F.lit(3 * no + 2).alias("part"), F.lit("").alias("key"), F.lit("}" if no == 0 else "}}").alias("value"))
+        part = head.unionByName(body).unionByName(foot)
+        members = part if members is None else members.unionByName(part)
+    members.coalesce(1).sortWithinPartitions("part", "key").select("value").write.text(path)
+    maps = raw.read_id_maps(spark, path)
     rows = hist_ops.map_ids(lines, "user_key", maps["user2id"], "user_id", strict=True)
     rows = hist_ops.map_ids(rows, "item_key", maps["item2id"], "item_id")
     return rows.select("order_no", "line_no", "item_id", "user_id", "supplier")

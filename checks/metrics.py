@@ -13,6 +13,7 @@ from basketry.operators.predict import predict_topn, top_answers
 from basketry.operators.tokens import batch_no
 from basketry.plans import evaluation as ev
 from basketry.plans import prompts as pr
+from basketry.plans import runs
 from basketry.plans import templates as tpl
 from basketry.sources import layout, retail
 from basketry.storage import fresh_path, pin
@@ -28,7 +29,7 @@ from checks.base import (
     rounded,
     with_ctes,
 )
-from checks.prompts import base, whole
+from checks.prompts import PIECE, base, whole
 
 VARIANTS = ("a", "b", "c")
 GROUP = ["task", "template_id"]
@@ -493,10 +494,11 @@ def metrics_csv(spark, folder):
     )
 )
 def metric_history(spark, folder):
-    """Two runs appended to the history table and read back."""
+    """Two runs in the history table, one of them written twice, read back."""
     rows = suite_metrics(spark, folder).drop("template_no")
     path = fresh_path(spark, "metric-history")
     layout.append_history(rows, path, "first")
+    layout.append_history(rows, path, "first")
     layout.append_history(rows.filter(F.col("task") == "rating"), path, "second")
     return rounded(spark.read.parquet(path))
 
@@ -597,12 +599,15 @@ def running_error_metrics(spark, folder):
     )
 )
 def stream_running_errors(spark, folder):
-    """Rating answers consumed by a stream; the last update equals the batch result."""
+    """Rating answers consumed by a stream; the last update equals the batch result.
+
+    The truths are whole stars from 1 to 5, so the state is a few sums per zone of that scale.
+    """
     rows = rating_answers(spark, folder).repartition(6)
     source, out, state = (fresh_path(spark, f"stream-{p}") for p in ("in", "out", "state"))
     rows.write.parquet(source)
     stream = running.prediction_stream(spark, source, rows.schema, files_per_trigger=3)
-    running.run_errors(stream, GROUP, out, state)
+    running.run_errors(stream, GROUP, out, state, scale=(1, 5, 1))
     return rounded(running.latest(spark, out))
 
 
@@ -668,3 +673,58 @@ def answers_per_prompt(spark, folder):
         (F.col("user_id").cast("bigint") % 2 == 0).alias("is_ranking"),
     )
     return top_answers(rows, ["user_id"], "score", 10).select("user_id", "item_id", "rank")
+
+
+# ---- whole runs ---------------------------------------------------------------
+
+
+def text_answers():
+    """A predictor that reads the prompt: the average of a rating prompt, the last items of a sequence."""
+    import re
+
+    def answer(texts, n):
+        out = []
+        for t in texts:
+            average = re.search(r"[0-9]\.[0-9][0-9]", t)
+            history = re.search("^With (.*) on the account,|: (.*); the shop", t)
+            items = [average[0]] if average else re.split(" , | -> ", history[1] or history[2])[::-1][:n]
+            out.append(items + ["none"] * (n - len(items)))
+        return out
+
+    return answer
+
+
+RUN_TASKS = {tpl.RATING: ["RMSE", "MAE"], tpl.P5_SEQUENTIAL_EVAL: ["Hit@5", "NDCG@10"]}
+
+
+@query(
+    rounded(
+        with_ctes(
+            *base(False),
+            """guesses AS (
+          SELECT target_rating AS truth, CAST(printf('%.2f', CAST(list_sum(ratings) AS DOUBLE) / len(ratings)) AS DOUBLE) AS pred FROM packed)""",
+            """cut AS (
+          SELECT least(greatest(pred, (SELECT min(truth) FROM guesses)), (SELECT max(truth) FROM guesses)) - truth AS diff FROM guesses)""",
+            """places AS (SELECT list_position(list_slice(list_reverse(items), 1, 10), target_item) AS first,
+            list_filter(list_transform(list_slice(list_reverse(items), 1, 10), lambda x, i: CASE WHEN x = target_item THEN i END),
+              lambda x: x IS NOT NULL) AS hits FROM packed)""",
+            """scores AS (
+          SELECT 'rating_prediction' AS task, unnest(['0', '1', '2', '3', '4']) AS id, 'RMSE' AS metric, sqrt(avg(diff * diff)) AS value FROM cut GROUP BY 2
+          UNION ALL SELECT 'rating_prediction', unnest(['0', '1', '2', '3', '4']), 'MAE', avg(abs(diff)) FROM cut GROUP BY 2
+          UNION ALL SELECT 'p5_sequential_eval', unnest(['2-3', '2-13']), 'Hit@5', avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END) FROM places GROUP BY 2
+          UNION ALL SELECT 'p5_sequential_eval', unnest(['2-3', '2-13']), 'NDCG@10', avg(CASE WHEN len(hits) = 0 THEN 0.0 ELSE
+            list_sum(list_transform(hits, lambda r: 1 / log2(r + 1))) / list_sum(list_transform(range(1, len(hits) + 1), lambda r: 1 / log2(r + 1))) END)
+          FROM places GROUP BY 2)""",
+            """SELECT task, id AS "Template ID", metric, value FROM scores
+          UNION ALL SELECT task, 'mean', metric, avg(value) FROM scores GROUP BY task, metric
+          UNION ALL SELECT task, 'best', metric, CASE WHEN metric IN ('RMSE', 'MAE') THEN min(value) ELSE max(value) END FROM scores GROUP BY task, metric""",
+        ),
+        ["value"],
+    )
+)
+def evaluation_run(spark, folder):
+    """Prompts of two tasks to answers, metrics, CSV reports and history; the reports read back."""
+    wanted = {t: [metric(m) for m in names] for t, names in RUN_TASKS.items()}
+    prompts = whole(spark, folder, list(wanted), size=PIECE)
+    run = runs.evaluate_run(prompts, text_answers, wanted, fresh_path(spark, "run"), "first")
+    return rounded(runs.read_reports(spark, run.reports, wanted))

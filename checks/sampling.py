@@ -106,9 +106,8 @@ def train_window_merged(spark, folder):
     with_ctes(
         HISTORY,
         WINDOWS,
-        """SELECT w.user_id, w.epoch::BIGINT AS epoch, h.pos - w.start AS spot, h.item_id,
-          CASE WHEN h.pos - w.start = w.size THEN 'target' ELSE 'input' END AS part
-        FROM hist h JOIN win w USING (user_id) WHERE h.pos BETWEEN w.start AND w.start + w.size""",
+        """SELECT w.user_id, w.epoch::BIGINT AS epoch, w.spot, h.item_id, CASE WHEN w.spot = w.size THEN 'target' ELSE 'input' END AS part
+        FROM (SELECT *, unnest(range(0, size + 1)) AS spot FROM win) w JOIN hist h ON h.user_id = w.user_id AND h.pos = w.start + w.spot""",
     )
 )
 def train_window_rows(spark, folder):

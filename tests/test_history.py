@@ -1,6 +1,7 @@
 """Splits, rating attachment, id handling, raw readers."""
 
 import gzip
+import json
 
 import pytest
 from conftest import rows
@@ -151,3 +152,68 @@ def test_id_map_and_rating_files(spark, tmp_path):
     assert rows(got, "user_key", "rating", "part") == [("U0", 4, 0), ("U1", 4, 1)]
     (tmp_path / "names.json").write_text('{"user_id": "1", "user_name": "Ada"}\n')
     assert rows(raw.read_user_names(spark, str(tmp_path / "names.json"), "json")) == [("1", "Ada")]
+
+
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_one_large_json_object(spark, tmp_path, split):
+    """Commas, quotes, braces and backslashes in keys and values; splits of a few bytes to all of it."""
+    odd = ["a,b", 'q"u,o"te', "{x},{y}", "back\\", "\\,\\", "ü,漢", "", ",", '",', "tail}"]
+    whole = {
+        "user2id": {f"U{i}" + odd[i % len(odd)]: odd[i % 7] + str(i) for i in range(60)},
+        "item2id": {},
+        "other": {"user2id": "not a section"},
+        "id2user": {str(i): f"U{i}" for i in range(40)},
+        "id2item": {"1": "I,1"},
+    }
+    for indent in (None, 2):
+        path = tmp_path / f"maps{indent}.json"
+        path.write_text(json.dumps(whole, indent=indent, ensure_ascii=indent is None))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            maps = raw.read_id_maps(spark, str(path))
+            got = {m: dict(map(tuple, maps[m].collect())) for m in raw.ID_MAPS}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == {m: whole.get(m, {}) for m in raw.ID_MAPS}
+
+
+def test_a_member_that_is_no_pair_fails(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"user2id": {"a": "1", b: 2}}')
+    with pytest.raises(Exception, match="not a member"):
+        raw.read_id_maps(spark, str(tmp_path / "m.json"))["user2id"].collect()
+
+
+def test_long_users_are_never_dropped_unseen(short):
+    assert splits.sequences(short, ["item_id"], 4).count() == 4
+    with pytest.raises(Exception, match="more than 3 rows.*d"):
+        splits.sequences(short, ["item_id"], 3).collect()
+    with pytest.raises(Exception, match="more than 3 rows"):
+        sampling.train_examples(short, ["item_id"], 1, 1, size=3).collect()
+    apart = splits.sequences(splits.short_users(short, 3), ["item_id"], 3).count() + splits.long_users(short, 3).select("user_id").distinct().count()
+    assert apart == 4
+
+
+@pytest.mark.parametrize("size", [1, 2, 4096])
+def test_split_by_join_spreads_users(short, size):
+    cols = ["user_id", "pos", "item_id", "target_item", "target_rating"]
+    got = rows(splits.split_by_join(short, "test", size), *cols)
+    assert got == rows(splits.split_by_join(short, "test"), *cols) and len(got) == 1 + 2 + 3
+
+
+def test_gathered_lists_are_bounded(short):
+    got = rows(splits.gather_columns(short, ["user_id"], "pos", ["item_id"]), "user_id", "item_id")
+    assert got == [(u, [f"{u}{i}" for i in range(n)]) for n, u in enumerate("abcd", 1)]
+    with pytest.raises(Exception, match="a list may hold 3"):
+        splits.gather_columns(short, ["user_id"], "pos", ["item_id"], size=3).collect()
+
+
+def test_a_run_written_twice_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    one = spark.createDataFrame([("t", "m", 1.0, 1), ("t", "m", 2.0, 2)], "task string, metric string, value double, epoch long")
+    layout.append_history(one, path, "first")
+    layout.append_history(one.filter("epoch = 2").withColumn("value", F.lit(5.0)), path, "first")
+    layout.append_history(one.filter("epoch = 1"), path, "second")
+    got = sorted(map(tuple, spark.read.parquet(path).select("exp_name", "epoch", "value").collect()))
+    assert got == [("first", 1, 1.0), ("first", 2, 5.0), ("second", 1, 1.0)]

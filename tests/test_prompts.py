@@ -12,6 +12,7 @@ from basketry.operators.numbering import number_rows
 from basketry.plans import export
 from basketry.plans import prompts as pr
 from basketry.plans import templates as tpl
+from basketry.storage import pin
 
 SEED = 9
 
@@ -84,6 +85,18 @@ def test_candidate_ways_agree(spark, cat, hist, monkeypatch):
     assert rows(neg.add_candidates(ex, cat, 20, SEED, "c", True), *cols) == small
 
 
+def test_a_long_exclusion_list_takes_several_rounds(spark, cat):
+    """All but a few items are excluded, so the walk goes on to its last steps."""
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(8)], "k string")
+    for left in (12, 40, cat.size):
+        excluded = keys.join(cat.items.filter(F.pmod(F.xxhash64("item_idx"), F.lit(cat.size)) >= 0).select("item_idx").filter(F.col("item_idx") < cat.size - left))
+        got = neg.negatives_by_join(keys, excluded, cat, 10, ["k"], SEED, F.col("k")).groupBy("k").agg(
+            F.array_sort(F.collect_list(F.struct("step", "item_idx")))["item_idx"].alias("i"))
+        lists = excluded.groupBy("k").agg(F.collect_list("item_idx").alias("e"))
+        same = keys.join(lists, "k", "left").select("k", neg.negative_indexes(cat, F.coalesce("e", F.array().cast("array<bigint>")), 10, SEED, F.col("k")).alias("i"))
+        assert rows(got) == rows(same) and all(len(i) == 10 for _, i in rows(got))
+
+
 def test_small_pools_are_left_out_and_counted(cat, hist):
     ex = splits.examples(hist, "test", ["item_id", "item_idx"])
     excluded = hist.select("user_id", "item_idx").distinct()
@@ -193,14 +206,39 @@ def test_long_histories_give_the_same_texts(hist, users, cat, task, epochs):
     assert run(10) == run(4096)
 
 
-def test_export_of_pieces_equals_export_of_whole_texts(hist, users, cat):
+@pytest.mark.parametrize("max_len", [9, 25, 400])
+def test_export_of_pieces_equals_export_of_whole_texts(hist, users, cat, max_len):
     def run(size):
         out = pr.whole_prompts(hist, users, [tpl.SEQUENTIAL], seed=SEED, epochs=2, catalog=cat, size=size)
-        return rows(export.export_batches(out, seed=1, batch_size=4, max_len=9, size=size))
+        return rows(export.export_batches(out, seed=1, batch_size=4, max_len=max_len, size=size))
 
     assert run(10) == run(4096)
-    with pytest.raises(ValueError):
-        export.cut_texts(hist, 20, 10)
+
+
+def test_many_categories_come_in_pieces(spark, users, cat):
+    """A set of categories that is longer than the history and than a segment."""
+    data = [("u0", i, 4, str(i), i, [f"c{(i * 700 + k) * 7919 % 100_003:06d}" for k in range(1400)], "t", 1, i) for i in range(4)]
+    one = spark.createDataFrame(data, "user_id string, pos long, n long, item_id string, item_idx long, categories array<string>, title string, rating long, ts long")
+
+    def run(size):
+        out = pr.whole_prompts(one, users, [tpl.DIRECT], seed=SEED, catalog=cat, size=size)
+        assert size > 4 or out.agg(F.max(F.length("input_text"))).first()[0] < 2_000
+        return rows(pr.join_pieces(out), "user_id", "template_id", "input_text", "target_text")
+
+    whole = run(4096)
+    assert len(whole) == 6 and all(r[2].count("c0") + r[2].count("c1") > 2_000 for r in whole)
+    assert run(3) == whole
+
+
+def test_one_scan_serves_all_tasks(hist, users, cat):
+    fields = pr.fields_of(list(pr.FIELDS))
+    ex = pin(sampling.train_examples(hist, fields, 1, SEED).join(users, "user_id"), "examples")
+    tasks = [tpl.RATING, tpl.SEQUENTIAL, tpl.DIRECT, tpl.P5_RATING, tpl.P5_SEQUENTIAL]
+    out = pr.build_training_prompts(ex, tasks, seed=SEED, catalog=cat)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/examples-") == 1
+    apart = [rows(pr.build_prompts(ex, t, seed=SEED, training=True, catalog=cat)) for t in tasks]
+    assert rows(out) == sorted((r for part in apart for r in part), key=repr)
 
 
 def test_single_target_guard(spark):
