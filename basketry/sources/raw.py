@@ -84,7 +84,7 @@ def parse_id_maps(docs: DataFrame, value: str = "value") -> dict[str, DataFrame]
 
 
 # An entry that opens a section ("name": {...), and the braces that close one.
-_OPENS = r'^[\s{]*"((?:[^"\\\\]|\\\\.)*)"\s*:\s*\{'
+_OPENS = r'^[\s{]*"((?:[^"\\]|\\.)*)"\s*:\s*\{'
 _CLOSES = r"\}[\s}]*$"
 
 
@@ -101,7 +101,7 @@ def scan_object(spark: SparkSession, path: str, names: tuple[str, ...] | None =
     """
     text = spark.read.option("lineSep", ",").text(path).select(
         F.col("value").alias("piece"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    bare = F.regexp_replace("piece", r"\\\\.", "")  # without escaped characters
+    bare = F.regexp_replace("piece", r"\\.", "")  # without escaped characters
     quotes = F.char_length(bare) - F.char_length(F.translate(bare, '"', ""))
     marked = text.withColumn("odd", quotes % 2)
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row per split
