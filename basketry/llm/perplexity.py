@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import SPACES, Scratch
+from basketry.llm.packed import by_shard, pack, steps, unpack, unsteps
 
 ORDER = 5
 BITS = 8
@@ -94,37 +95,6 @@ def distinct_grams(data: np.ndarray, lengths: np.ndarray, trusted: np.ndarray) -
     return parts[0] if len(parts) == 1 else summed(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
-    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(shards)
-
-
-def by_shard(codes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first, shard): places of sorted codes by (shard, code), and where each shard begins."""
-    shard = shard_of(codes, shards)
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
-    return order, first, shard[first].astype(np.int64)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 3)
-
-
-def _steps(codes: np.ndarray) -> bytes:
-    """Ascending codes as compressed differences."""
-    return _pack(np.diff(codes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy())
-
-
-def _unpack(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
-
-
-def _unsteps(blob: bytes) -> np.ndarray:
-    planes = _unpack(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(planes.T.copy().view("<u8").ravel(), dtype=np.uint64)
-
-
 CHUNK = "chunk bigint, keys array<struct<id:{id},h:bigint>>, langs array<string>, lengths array<int>, data binary"
 
 
@@ -161,7 +131,7 @@ def chunks(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
 
 def _text_of(blob: bytes) -> np.ndarray:
-    return _unpack(blob, np.uint8)
+    return unpack(blob, np.uint8)
 
 
 def chunk_grams(parts: DataFrame, shards: int) -> DataFrame:
@@ -174,7 +144,7 @@ def chunk_grams(parts: DataFrame, shards: int) -> DataFrame:
                 good[trusted or []] = 1
                 codes, counts = distinct_grams(_text_of(blob), np.asarray(lengths, np.int64), good)
                 order, first, shard = by_shard(codes, shards)
-                cells = [(s, chunk, _steps(codes[o]), _pack(counts[o].astype("<i8"))) for s, o in zip(shard.tolist(), np.split(order, first[1:]))]
+                cells = [(s, chunk, steps(codes[o]), pack(counts[o].astype("<i8"))) for s, o in zip(shard.tolist(), np.split(order, first[1:]))]
                 if cells:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])],
                                                      ["shard", "chunk", "codes", "counts"])
@@ -201,8 +171,8 @@ def shard_counts(packed: DataFrame, shards: int, held: int = 1 << 21) -> DataFra
                     if codes:
                         yield rows()
                     shard, codes, counts, waiting = s, [], [], 0
-                codes.append(_unsteps(c))
-                counts.append(_unpack(n, "<i8"))
+                codes.append(unsteps(c))
+                counts.append(unpack(n, "<i8"))
                 waiting += len(codes[-1])
                 if waiting > held:
                     one = added()
@@ -276,7 +246,7 @@ def chunk_prices(packed: DataFrame, priced: DataFrame, shards: int) -> DataFrame
                     continue
                 if isinstance(codes, list):  # all prices of the shard are here
                     codes, logp = np.array(codes, np.uint64), np.array(logp, np.float64)
-                cells.append((chunk, s, _pack(logp[np.searchsorted(codes, _unsteps(blob))])))
+                cells.append((chunk, s, pack(logp[np.searchsorted(codes, unsteps(blob))])))
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), [pa.int64(), pa.int64(), pa.binary()])], ["chunk", "shard", "logp"])
 
@@ -291,7 +261,7 @@ def scored(parts: DataFrame, prices: DataFrame, shards: int, id_type: str) -> Da
     """(doc_id, h, lang, n_tokens, nll, held) per row, from chunks and their prices."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {s: _unpack(p, "<f8") for s, p in zip(right.column("shard").to_pylist(), right.column("logp").to_pylist())}
+        found = {s: unpack(p, "<f8") for s, p in zip(right.column("shard").to_pylist(), right.column("logp").to_pylist())}
         out = []
         for row in left.to_pylist():
             lengths, data = np.asarray(row["lengths"], np.int64), _text_of(row["data"])

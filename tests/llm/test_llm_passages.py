@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from basketry.llm import chaining, html_extract, html_training, suffix_dedup
+from basketry.llm.packed import unsteps
 
 SCHEMA = "doc_id bigint, text string, id string, h int, key string, d string"
 
@@ -164,13 +165,74 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
     assert chaining.passages(docs(spark, [])).count() == 0
 
 
-def test_seeds_do_not_depend_on_blocks():
+def test_seeds_depend_on_their_words_alone():
     w = np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)
     keys, pos = chaining.seeds(w)
-    again, at = chaining.seeds(w, block=64)
-    assert pos.tolist() == at.tolist() and keys.tolist() == again.tolist()
-    assert max(np.diff(pos)) <= chaining.SPAN
-    assert len(chaining.seeds(w[:5])[0]) == 0 and len(chaining.seeds(w[:6])[0]) == 1
+    again, at = chaining.seeds(w[100:300])
+    inside = (pos >= 100) & (pos <= 300 - chaining.K)
+    assert keys[inside].tolist() == again.tolist() and pos[inside].tolist() == (at + 100).tolist() and 200 < len(keys) < 300
+    assert len(chaining.seeds(w[:5])[0]) == 0 and len(chaining.seeds(w[:6])[0]) <= 1
+
+
+def found_pairs(spark, texts):
+    """Pairs of documents that share a passage, directly or through its representative's same words."""
+    found = chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return {frozenset((r.doc_id, r.rep_doc_id)) for r in found if r.doc_id != r.rep_doc_id}, {r.doc_id for r in found}
+
+
+def replaced(rng, words, count):
+    """``count`` of the words changed, none of them at the ends."""
+    words = list(words)
+    for at in rng.sample(range(1, len(words) - 1), count):
+        words[at] = "".join(rng.choices("xyzuvw", k=7))
+    return words
+
+
+@pytest.mark.parametrize("changed", [0, 4, 6, 9])
+def test_edited_passages_are_found(spark, monkeypatch, changed):
+    """Passages of 60 words of which 0, 6, 10 or 15 % are changed in one of two documents."""
+    monkeypatch.setattr(chaining, "CHUNK_DOCS", 17)
+    rng, texts = random.Random(changed), []
+    for _ in range(60):
+        passage = prose(rng, 60).split()
+        for some in (passage, replaced(rng, passage, changed)):
+            texts.append(" ".join([prose(rng, rng.randrange(5, 60)), *some, prose(rng, rng.randrange(5, 60))]))
+    pairs, _ = found_pairs(spark, texts)
+    assert len(pairs & {frozenset((2 * i, 2 * i + 1)) for i in range(60)}) >= 57 and len(pairs) <= 60
+
+
+@pytest.mark.parametrize("overlap", [0, 8, 20])
+def test_a_third_document_does_not_hide_a_passage(spark, overlap):
+    """A and B share 60 words; C1 has the first part of them and C2 the last, each too short to count."""
+    rng, texts = random.Random(3), []
+    for _ in range(40):
+        passage = prose(rng, 60).split()
+        half = (60 - overlap) // 2
+        parts = [passage[: half + overlap][:39], passage[-(half + overlap) :][-39:], passage, passage]
+        texts += [" ".join([prose(rng, 30), *p, prose(rng, 30)]) for p in parts]
+    rng.shuffle(texts)
+    whole = [i for i, t in enumerate(texts) if len(t.split()) == 120]
+    pairs, seen = found_pairs(spark, texts)
+    assert sum(i in seen for i in whole) >= 78 and not seen - set(whole)
+
+
+def test_hot_seeds_cost_one_answer_a_chunk(spark, monkeypatch):
+    """A line that all documents have is offered and answered once by each chunk."""
+    monkeypatch.setattr(chaining, "CHUNK_DOCS", 50)
+    rng = random.Random(8)
+    line = prose(rng, 12)
+    frame = spark.createDataFrame([(i, f"{prose(rng, 20)} {line} {prose(rng, 20)}") for i in range(400)], "doc_id bigint, text string").coalesce(1)
+    sizes = []
+    plain = chaining.by_shards
+
+    def counted(sent, shards, answer):
+        if answer is chaining.least:
+            sizes.append(sum(len(unsteps(r["keys"])) for r in sent.collect()))
+        return plain(sent, shards, answer)
+
+    monkeypatch.setattr(chaining, "by_shards", counted)
+    assert chaining.passages(frame).count() == 0
+    assert sizes and all(0 < n <= 100 for n in sizes)  # of some 1,500 occurrences
 
 
 # pages

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from basketry.llm import host_rules, mixing, packing, perplexity, pii
+from basketry.llm import host_rules, mixing, packed, packing, perplexity, pii
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, h string, position string"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -363,7 +363,7 @@ def test_grams_stay_inside_documents(monkeypatch, slice_bytes):
         assert (np.diff(codes.astype(np.int64)) >= 0).all()
     assert got == want
     codes = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000).astype(np.uint64))
-    assert (perplexity._unsteps(perplexity._steps(codes)) == codes).all()
+    assert (packed.unsteps(packed.steps(codes)) == codes).all()
 
 
 def test_perplexity_sees_words(spark):
