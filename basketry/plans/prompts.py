@@ -50,7 +50,7 @@ FEW, MANY = 4, 99  # wrong candidates of the short and the long lists
 
 def fields_of(tasks: list[str]) -> list[str]:
     """Union of the fields the tasks read, in a fixed order."""
-    wanted = {f for t in tasks for f in FIELDS[t]}
+    wanted = {f for t in tasks for f in FIELDS[tpl.find_task(t)]}
     return [f for f in ("item_id", "rating", "title", "categories", "item_idx") if f in wanted]
 
 
@@ -718,11 +718,13 @@ def whole_prompts(
     training, fields = epochs is not None, fields_of(names)
     force = {tpl.find_task(t): i for t, i in (force or {}).items()}
     learned = "train_validation" if merged else "train"
+    # the history is numbered once; the examples, the test for long users and their rows read the copy
+    interactions = pin(interactions.select("user_id", "pos", "n", *fields), "interactions")
     if training:
         ex = sampling.train_examples(splits.short_users(interactions, size), fields, epochs, seed, size, learned)
     else:
         ex = splits.examples(splits.short_users(interactions, size), split, fields, size)
-    ex = pin(add_users(ex, users), "examples")
+    ex = add_users(ex, users)
     if training:
         out = build_training_prompts(ex, names, seed=seed, strategy=strategy, catalog=catalog, force=force, strict=strict)
     else:
@@ -730,7 +732,7 @@ def whole_prompts(
     out = out.withColumns({"part_no": F.lit(WHOLE), "segment_no": F.lit(0).cast("bigint")})
     if interactions.filter((F.col("pos") == size) & (F.col("n") > size)).isEmpty():
         return out  # no long history
-    rows = pin(splits.long_users(interactions, size), "long-history")
+    rows = splits.long_users(interactions, size)
     if training:
         windows = sampling.training_windows(rows, epochs, seed, learned)
         spots = sampling.window_rows(rows.filter(splits.in_split(learned)), windows)
@@ -777,9 +779,27 @@ def check_evaluable(prompts: DataFrame) -> DataFrame:
     )
 
 
-def check_single_target(examples: DataFrame) -> DataFrame:
-    """List-valued targets (``gt``) must hold exactly one element."""
+def check_single_target(examples: DataFrame, gt: str = "gt") -> DataFrame:
+    """List-valued targets must hold exactly one element."""
     message = F.lit("exactly one target per row is expected")
-    return examples.withColumn(
-        "gt", F.when(F.size("gt") == 1, F.col("gt")).otherwise(F.raise_error(message))
-    )
+    return examples.withColumn(gt, F.when(F.size(gt) == 1, F.col(gt)).otherwise(F.raise_error(message)))
+
+
+def from_columns(flat: DataFrame, fields: list[str]) -> DataFrame:
+    """Examples again from the published list columns (``splits.flat_columns``).
+
+    Each target list must hold one element and each input list as many as the others.
+    """
+    short = {f: f.removesuffix("_id") for f in fields}
+    for f in fields:
+        flat = check_single_target(flat, f"gt_{short[f]}")
+    lists = [F.col(f"input_{short[f]}_seq") for f in fields]
+    same = F.lit(True)
+    for other in lists[1:]:
+        same = same & (F.size(other) == F.size(lists[0]))
+    zipped = F.arrays_zip(*[c.alias(f) for c, f in zip(lists, fields)])
+    whole = F.when(same, zipped).otherwise(F.raise_error(F.lit("the input lists of a row differ in length")))
+    placed = F.transform(whole, lambda x, i: F.struct(i.cast("bigint").alias("pos"), *[x[f].alias(f) for f in fields]))
+    target = F.struct(F.size(lists[0]).cast("bigint").alias("pos"), *[F.get(f"gt_{short[f]}", F.lit(0)).alias(f) for f in fields])
+    keep = [c for c in flat.columns if not c.startswith(("input_", "gt_"))]
+    return flat.select(*keep, placed.alias("input"), target.alias("target"))

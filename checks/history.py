@@ -9,6 +9,7 @@ from basketry.operators import history as hist_ops
 from basketry.operators import splits
 from basketry.operators.numbering import dense_index, number_rows
 from basketry.operators.predict import item_popularity
+from basketry.plans import dataset
 from basketry.sources import layout, raw, retail
 from basketry.storage import fresh_path, pin
 from checks.base import HISTORY, USERS, history, query, with_ctes
@@ -305,14 +306,17 @@ def id_map_join(spark, folder):
     )
 )
 def user_name_lookup(spark, folder):
-    """Every fifth user is missing in the name table."""
+    """Every fifth user is missing in the name table, which is written as a JSON file and read back."""
     counts = (
         retail.table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").cast("string").alias("user_id"))
         .agg(F.count(F.lit(1)).alias("n_orders"))
     )
     known = retail.users(spark, folder).filter(F.col("user_id").cast("bigint") % 5 != 0)
-    return hist_ops.add_users(counts, known)
+    path = fresh_path(spark, "user-names")
+    known.select("user_id", "user_name").write.json(path)
+    names = raw.read_user_names(spark, path, "json").join(known.select("user_id", "user_key"), "user_id")
+    return hist_ops.add_users(counts, names)
 
 
 def dict_lines(spark, folder):
@@ -552,3 +556,30 @@ def event_history(spark, folder):
         "event_id",
     )
     return number_rows(rows, ["user_id"], ["ts", "event_id"]).drop("ts", "event_id")
+
+
+@query(
+    """SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS item_id,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+      count(*) OVER (PARTITION BY user_id) AS n,
+      dense_rank() OVER (ORDER BY event_type) - 1 AS item_idx FROM events"""
+)
+def registered_dataset(spark, folder):
+    """A dataset of events is registered, found by name in any letter case, and saved and loaded."""
+
+    def read(spark, path):
+        items = retail.table(spark, path, "events").select(F.col("event_type").alias("item_id")).distinct()
+        rows = event_history(spark, path).withColumn("rating", F.lit(None).cast("bigint"))
+        empty = {c: F.lit("") for c in ("title", "description", "price", "imurl", "brand")}
+        users = rows.select("user_id").distinct().withColumns({"user_name": F.lit(""), "user_key": F.col("user_id")})
+        return dataset.Dataset(rows, items.withColumns(empty).withColumn("categories", F.array("item_id")), users)
+
+    dataset.register_dataset("Events", read)
+    try:
+        path = fresh_path(spark, "dataset")
+        dataset.find_dataset("EVENTS")(spark, folder).save(path)
+        found = dataset.find_dataset("saved")(spark, path)
+        rows = found.interactions.join(found.all_items(), "item_id")
+        return rows.select("user_id", "item_id", "pos", "n", F.col("item_idx").cast("bigint").alias("item_idx"))
+    finally:
+        dataset.DATASETS.pop("Events")

@@ -7,12 +7,14 @@ import string
 from pyspark.sql import functions as F
 
 from basketry.functions import draws
+from basketry.operators import history as hist_ops
 from basketry.operators import negatives as neg
 from basketry.operators import sampling, splits
+from basketry.operators.metricspec import RANKING
 from basketry.plans import prompts as pr
 from basketry.plans import templates as tpl
 from basketry.sources import retail
-from basketry.storage import pin
+from basketry.storage import fresh_path, pin
 from checks.base import HISTORY, ITEMS, SEED, USERS, draw_sql, history, query, text_sql, with_ctes
 
 EPOCHS = 2
@@ -508,3 +510,49 @@ def prompt_unrated(spark, folder):
     """Every 13th row has no rating: no part of a history, and no prompt as a target."""
     rating = F.when((F.col("user_id").cast("bigint") + F.col("pos")) % 13 != 0, F.col("rating"))
     return joined_pieces(whole(spark, folder, [tpl.RATING], rating=rating, strict=False, size=PIECE))
+
+
+# ---- tasks and layouts from outside ------------------------------------------------
+
+
+@query(
+    with_ctes(
+        *base(False),
+        """SELECT user_id, template_id, CASE template_id WHEN '0' THEN user_id || ' saw ' || CAST(len(items) AS VARCHAR) || ' items, last ' || items[len(items)]
+          ELSE items[len(items)] || ' -> ?' END AS input_text, target_item AS target_text
+        FROM (SELECT *, unnest(['0', '1']) AS template_id FROM packed)""",
+    )
+)
+def registered_task(spark, folder):
+    """A task with a builder of its own, registered, found in any letter case, and built for all users."""
+    name = "last_item"
+
+    def build(ex, s):
+        ex = pr.with_template(ex, s, "inference")
+        slots = pr.user_slots(ex) | {
+            "count": F.size("input").cast("string"),
+            "last": F.element_at("input", -1)["item_id"],
+            "target_item": F.col("target.item_id"),
+        }
+        return pr.rendered(ex, s, ["inference"], slots, F.col("target.item_id"))
+
+    words = [("0", "{user_id} saw {count} items, last {last}"), ("1", "{last} -> ?")]
+    tpl.register_task(name, RANKING, [tpl.Template(name, i, "inference", w, tpl.ITEM) for i, w in words])
+    pr.register_builder(name, ["item_id"], build)
+    try:
+        out = whole(spark, folder, ["LAST_item"])
+        return out.select("user_id", "template_id", "input_text", "target_text")
+    finally:
+        for registry in (tpl.TEMPLATES, tpl.TASK_FAMILY, pr.BUILDERS, pr.FIELDS, pr.FACTS):
+            registry.pop(name)
+
+
+@query(with_ctes(*base(False), rating_select()))
+def prompt_from_columns(spark, folder):
+    """Examples go through the published list columns, with one target each, and become prompts."""
+    fields = pr.FIELDS[tpl.RATING]
+    flat = splits.flat_columns(splits.examples(history(spark, folder), "test", fields), fields)
+    path = fresh_path(spark, "flat")
+    flat.write.parquet(path)
+    back = hist_ops.add_users(pr.from_columns(spark.read.parquet(path), fields), retail.users(spark, folder))
+    return checked(pr.build_prompts(back, tpl.RATING, seed=SEED))
