@@ -106,7 +106,7 @@ def negatives_by_join(
     best = W.partitionBy(*keys).orderBy("step")
     while True:
         last = start + stretch >= cat.prime
-        going = pin(going, "walking")
+        going = pin(going, "walking") if start else going  # the first draw is cheap to repeat
         free = _stretch(going, start, start + stretch, cat, keys).join(excluded, [*keys, "item_idx"], "left_anti")
         wanted = free.join(going.select(*keys, "had"), keys) if start else free.withColumn("had", F.lit(0).cast("bigint"))
         kept = wanted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") + F.col("had") <= n)
