@@ -141,6 +141,15 @@ class Family:
     def templates(self, s: Setup) -> list[tpl.Template]:
         return [t for role in self.roles for t in tpl.templates(s.task, role, s.force)]
 
+    def checked(self, s: Setup) -> list[tpl.Template]:
+        """Its templates; fails when the plan is built at a slot that the family does not fill."""
+        known = self.templates(s)
+        for t in known:
+            unknown = {*text.slot_names(t.input_text), *text.slot_names(t.target_text)} - set(self.slots)
+            if unknown:
+                raise KeyError(f"template {t.template_id!r} of {t.task!r} has slots that are not filled: {', '.join(sorted(unknown))}")
+        return known
+
     def chosen(self, s: Setup, numbers: dict[tuple, int]) -> Column:
         """ARRAY of the template numbers that an example gets."""
         known = {t.template_id: numbers[t.task, t.template_id] for t in self.templates(s)}
@@ -171,18 +180,13 @@ def rendered(
     list slots come from every segment, all other parts from the first one.
     """
     family = Family(roles, slots, truth)
-    table = tpl.part_table(rows.sparkSession, family.templates(s)).filter(F.col("task") == s.task)
+    table = tpl.part_table(rows.sparkSession, family.checked(s))
     found = rows.join(F.broadcast(table), "template_id").withColumn("family", F.lit(0))
     return filled(found, [family], s.excluded is None)
 
 
 def filled(rows: DataFrame, families: list[Family], whole: bool) -> DataFrame:
     """Prompt rows from rows with ``family`` (a number) and the columns of ``templates.part_table``."""
-    for f in families:
-        f_slots = set(f.slots)
-        if not f_slots:
-            raise ValueError("a family needs slots")
-
     def by_family(get: Callable[[Family], Column]) -> Column:
         out = F.when(F.lit(False), get(families[0]))
         for i, f in enumerate(families):
@@ -224,7 +228,7 @@ def one_pass(ex: DataFrame, parts: list[tuple[Setup, Family]], drawn: bool = Fal
 
     ``drawn``: an example gives prompts of its ``drawn_task`` only.
     """
-    known = {(t.task, t.template_id): t for s, f in parts for t in f.templates(s)}
+    known = {(t.task, t.template_id): t for s, f in parts for t in f.checked(s)}
     numbers = {key: i for i, key in enumerate(known)}
     kind = "array<struct<family:int,template_no:int>>"
 

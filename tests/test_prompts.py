@@ -185,6 +185,11 @@ def test_training_roles(hist, users, cat):
         pr.check_evaluable(pr.build_prompts(ex, tpl.P5_DIRECT, seed=SEED, training=True, catalog=cat)).collect()
 
 
+def test_a_slot_that_is_not_filled_fails_at_once(hist):
+    with pytest.raises(KeyError, match="user_name"):
+        pr.build_prompts(splits.examples(hist, "test", ["item_id", "rating", "title"]), tpl.P5_RATING, seed=SEED)
+
+
 def test_name_and_title_fallbacks(hist, users):
     ex = splits.examples(hist, "test", ["item_id", "rating", "title"]).join(users, "user_id")
     out = pr.build_prompts(ex, tpl.P5_RATING, seed=SEED, force="1-7").collect()
