@@ -138,7 +138,9 @@ def test_edits(a, b):
     assert chaining.edits(np.array(a, int), np.array(b, int)) == table[-1][-1]
 
 
-def test_passages_are_found_and_clean_texts_left_alone(spark):
+@pytest.mark.parametrize("chains", [2000, 3])
+def test_passages_are_found_and_clean_texts_left_alone(spark, monkeypatch, chains):
+    monkeypatch.setattr(chaining, "CHAINS_PER_TASK", chains)
     rng = random.Random(9)
     passage = prose(rng, 60).split()
     rows, planted = [], set()
