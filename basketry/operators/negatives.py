@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import draws
 from basketry.functions.text import let
+from basketry.operators.lookup import with_fields
 from basketry.operators.numbering import dense_index
 from basketry.storage import BROADCAST_ROWS, pin
 
@@ -196,33 +197,49 @@ def add_candidates(
     than n fails the job, or is left out if not ``strict`` (see :func:`short_pools`), or stays, with
     too short a list, if ``keep``.  ``history`` and ``target`` stand for the input and target columns.  A
     catalog within the broadcast limit is looked up in place, without a shuffle; a larger
-    one is joined.
+    one by :func:`named_draws`, unless its names are in ``rows`` already.
     """
-    keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
     target = F.col("target") if target is None else target
     excluded = excluded_indexes(outside_history, history, target)
-    # filtering on the drawn list instead would draw it twice
-    able = rows if keep else enough_left(rows, excluded, cat, n, strict)
-    drawn = able.withColumn("negatives", negative_indexes(cat, excluded, n, *parts))
+    large = cat.size > BROADCAST_ROWS
+    if drawn_name(out) in rows.columns:
+        named = rows
+    else:
+        # filtering on the drawn list instead would draw it twice
+        able = rows if keep else enough_left(rows, excluded, cat, n, strict)
+        indexes = negative_indexes(cat, excluded, n, *parts)
+        if large:
+            named = named_draws(able.withColumn(drawn_name(out), indexes), {drawn_name(out): ["item_id"]}, cat)
+        else:
+            named = able.withColumn("negatives", indexes)
 
     def order(item: Column) -> Column:
         return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
 
-    if cat.size <= BROADCAST_ROWS:
+    if large:
+        found = F.col(drawn_name(out))["item_id"]
+    else:
         # the projections collapse, so the array is one shared value, not a row column
-        listed = drawn.withColumn("ids", fields_by_index(cat, "item_id"))
+        named = named.withColumn("ids", fields_by_index(cat, "item_id"))
         found = F.transform("negatives", lambda i: F.get(F.col("ids"), i.cast("int")))
-        shown = F.transform(
-            F.array_append(found, target["item_id"]),
-            lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")),
-        )
-        mixed = F.sort_array(shown)["item_id"]
-        return listed.withColumn(out, mixed).drop("negatives", "ids")
-    drawn = pin(drawn, "drawn")
-    found = look_up(drawn, "negatives", cat, keys, ["item_id"]).select(*keys, "item_id")
-    shown = found.unionByName(drawn.select(*keys, target["item_id"].alias("item_id")))
-    return drawn.drop("negatives").join(_packed(shown, keys, order).withColumnRenamed("candidates", out), keys)
+    shown = F.transform(
+        F.array_append(found, target["item_id"]),
+        lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")),
+    )
+    return named.withColumn(out, F.sort_array(shown)["item_id"]).drop("negatives", "ids", drawn_name(out))
+
+
+def drawn_name(out: str) -> str:
+    """The column that holds what is drawn for ``out``: indexes, then their catalog fields."""
+    return f"{out}__drawn"
+
+
+def named_draws(rows: DataFrame, lists: dict[str, list[str]], cat: Catalog) -> DataFrame:
+    """``rows`` with the index arrays of ``lists`` replaced by arrays of the catalog fields they name."""
+    if cat.prime < 1 << 31:
+        rows = rows.withColumns({name: F.col(name).cast("array<int>") for name in lists})
+    return with_fields(rows, lists, cat.items, cat.size)
 
 
 def _packed(shown: DataFrame, keys: list[str], order) -> DataFrame:
@@ -279,13 +296,20 @@ def add_other_item(
     ``keep`` leaves a row without another item as it is, with NULL; ``prefix`` leads the new names.
     """
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
+    drawn = drawn_name(f"{prefix}other")
     excluded = excluded_indexes(False, target=target)
-    able = rows if keep else enough_left(rows, excluded, cat, 1, strict)
-    found = able.withColumn("other_idx", F.get(negative_indexes(cat, excluded, 1, *parts), F.lit(0)))
-    fields = cat.items.select(
-        F.col("item_idx").alias("other_idx"),
-        F.col("item_id").alias(f"{prefix}other_item"),
-        F.col("title").alias(f"{prefix}other_title"),
-    )
-    # no hint: Spark broadcasts the catalog below its size threshold
-    return found.join(fields, "other_idx", "left" if keep else "inner").drop("other_idx")
+    if drawn not in rows.columns:
+        able = rows if keep else enough_left(rows, excluded, cat, 1, strict)
+        indexes = negative_indexes(cat, excluded, 1, *parts)
+        if cat.size <= BROADCAST_ROWS:
+            found = able.withColumn("other_idx", F.get(indexes, F.lit(0)))
+            fields = cat.items.select(
+                F.col("item_idx").alias("other_idx"),
+                F.col("item_id").alias(f"{prefix}other_item"),
+                F.col("title").alias(f"{prefix}other_title"),
+            )
+            # no hint: Spark broadcasts the catalog below its size threshold
+            return found.join(fields, "other_idx", "left" if keep else "inner").drop("other_idx")
+        rows = named_draws(able.withColumn(drawn, indexes), {drawn: ["item_id", "title"]}, cat)
+    one = F.get(drawn, F.lit(0))
+    return rows.withColumns({f"{prefix}other_item": one["item_id"], f"{prefix}other_title": one["title"]}).drop(drawn)

@@ -513,14 +513,50 @@ def register_builder(
     BUILDERS[task], FIELDS[task], FACTS[task] = build, fields, facts or []
 
 
+def _viewed(ex: DataFrame, s: Setup) -> tuple[DataFrame, View]:
+    v = View(F.col("input"), F.col("target"), f"{s.task}__")
+    if s.training and "new_target" in FACTS.get(s.task, []):
+        ex = sampling.resample_target(ex, s.seed, f"{s.task}/target", v.name("input"), v.name("target"))
+        v = View(v["input"], v["target"], v.prefix)
+    return ex, v
+
+
+def _named(examples: DataFrame, setups: list[Setup], drawn: bool) -> DataFrame:
+    """The examples with the names of all items that the tasks draw, where the catalog is not looked up in place.
+
+    One look-up serves all tasks and takes the examples as they are: what the tasks add to them comes later.
+    """
+    ex, lists = examples, {}
+    for s in (s for s in setups if s.catalog is not None and s.catalog.size > neg.BROADCAST_ROWS):
+        ex, v = _viewed(ex, s)
+        for out, fields, indexes in _drawn_items(s, v):
+            name = neg.drawn_name(v.name(out))
+            ex = ex.withColumn(name, F.when(F.col("drawn_task") == s.task, indexes) if drawn else indexes)
+            lists[name] = fields
+    if not lists:
+        return examples
+    return neg.named_draws(ex.select(*examples.columns, *lists), lists, setups[0].catalog)
+
+
+def _drawn_items(s: Setup, v: View) -> list[tuple[str, list[str], Column]]:
+    """(column, catalog fields, indexes) of what the task draws from the catalog for its examples."""
+    def indexes(purpose: str, n: int, outside_history: bool) -> Column:
+        excluded = neg.excluded_indexes(outside_history, v.input, v.target)
+        return neg.negative_indexes(s.catalog, excluded, n, *s.parts(purpose))
+
+    few = [("candidates", ["item_id"], indexes("candidates", FEW, False))] if s.task in (tpl.SEQUENTIAL, tpl.DIRECT) and s.training else []
+    many = s.task in (tpl.P5_DIRECT, tpl.P5_DIRECT_EVAL) or (s.task == tpl.P5_SEQUENTIAL and s.training)
+    found = few + ([("candidates", ["item_id"], indexes("candidates", MANY, True))] if many else [])
+    if s.training and s.task in (tpl.P5_SEQUENTIAL, tpl.P5_DIRECT):
+        found.append(("other", ["item_id", "title"], indexes("other", 1, False)))
+    return found
+
+
 def _whole(examples: DataFrame, setups: list[Setup], drawn: bool = False) -> DataFrame:
     """Prompt rows of whole examples for all tasks of ``setups``."""
-    ex, parts, out = examples, [], None
+    ex, parts, out = _named(examples, [s for s in setups if s.task in FAMILIES], drawn), [], None
     for s in (s for s in setups if s.task in FAMILIES):
-        v = View(F.col("input"), F.col("target"), f"{s.task}__")
-        if s.training and "new_target" in FACTS.get(s.task, []):
-            ex = sampling.resample_target(ex, s.seed, f"{s.task}/target", v.name("input"), v.name("target"))
-            v = View(v["input"], v["target"], v.prefix)
+        ex, v = _viewed(ex, s)
         columns, families = FAMILIES[s.task]
         ex = columns(ex, s, v)
         parts += [(s, f) for f in families(s, v, user_slots(examples))]

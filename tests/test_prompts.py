@@ -371,3 +371,22 @@ def test_new_task_with_facts_for_any_length(hist, users):
     finally:
         for registry in (tpl.TEMPLATES, tpl.TASK_FAMILY, pr.BUILDERS, pr.FIELDS, pr.FACTS):
             registry.pop("summed")
+
+
+def test_a_large_catalog_gives_the_same_prompts_from_one_lookup(spark, cat, hist, users, monkeypatch):
+    """Drawn items cross the shuffle packed: no row per drawn item, and one look-up for all tasks."""
+    from basketry.operators import lookup
+
+    tasks = [tpl.SEQUENTIAL, tpl.DIRECT, tpl.P5_SEQUENTIAL, tpl.P5_DIRECT]
+    ex = pr.add_users(sampling.train_examples(hist, pr.fields_of(tasks), 2, SEED), users)
+    for strategy in ("all", "random"):
+        build = lambda: pr.build_training_prompts(ex, tasks, seed=SEED, strategy=strategy, catalog=cat)
+        small = rows(build())
+        monkeypatch.setattr(neg, "BROADCAST_ROWS", 10)
+        monkeypatch.setattr(lookup, "CHUNK_BITS", 1)
+        monkeypatch.setattr(lookup, "RANGE_ITEMS", 7)
+        large = build()
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        assert rows(large) == small and len(small) > 0
+        monkeypatch.undo()
+        assert plan.count("FlatMapCoGroupsInArrow") == 2 and "posexplode" not in plan
