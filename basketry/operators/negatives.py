@@ -20,7 +20,7 @@ from basketry.functions import draws
 from basketry.functions.text import let
 from basketry.operators.lookup import with_fields
 from basketry.operators.numbering import dense_index
-from basketry.storage import BROADCAST_ROWS, pin
+from basketry.storage import BROADCAST_ROWS, broadcast_if_small, pin
 
 # steps of the first stretch for excluded items that are met on it
 SPARE = 8
@@ -82,12 +82,62 @@ def negative_indexes(cat: Catalog, excluded: Column, n: int, *parts) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), walked)
 
 
+def inverse(a: Column, prime: int) -> Column:
+    """The number that a is to be multiplied by to give 1 modulo ``prime``, for 0 < a < prime: a ** (prime - 2)."""
+    bits = F.lit([int(bit) for bit in bin(prime - 2)[2:]])
+    square = lambda x: x * x % prime
+    return let(a, lambda one: F.aggregate(
+        bits, F.lit(1).cast("bigint"), lambda x, bit: F.when(bit == 1, square(x) * one % prime).otherwise(square(x))))
+
+
 def negatives_by_join(
     rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, keys: list[str], *parts
 ) -> DataFrame:
-    """The same negatives with the excluded items as rows: (keys, step, item_idx).
+    """The same negatives with the excluded items as rows: (keys, step, item_idx)."""
+    return negative_lists(rows, excluded, cat, n, keys, *parts).select(*keys, F.inline("found"))
+
+
+def negative_lists(
+    rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, keys: list[str], *parts
+) -> DataFrame:
+    """``rows`` with ``found`` ARRAY<STRUCT<step, item_idx>>: the same negatives, for exclusion lists too long for one array.
+
+    An excluded item says itself at which step its key's walk meets it.  Only those met on the first
+    stretch are gathered, at most one a step, and the stretch is walked without them.  The few keys that come
+    up short walk on in rounds (see :func:`_walked_rows`).  ``excluded`` holds distinct (keys, item_idx).
+    """
+    least = min(n + cat.prime - cat.size + SPARE, cat.prime)
+    a, b = walk_start(cat, *parts)
+    met_at = F.pmod(F.pmod(F.col("item_idx") - b, F.lit(cat.prime)) * inverse(a, cat.prime), F.lit(cat.prime))
+    hits = excluded.select(*keys, met_at.alias("met_at")).filter(F.col("met_at") < least)
+    met = pin(hits.groupBy(*keys).agg(F.collect_set("met_at").alias("met")), "met")
+
+    def walked(who: DataFrame) -> DataFrame:
+        steps = F.sequence(F.lit(0).cast("bigint"), F.lit(least - 1).cast("bigint"))
+        free = let(F.struct(a.alias("a"), b.alias("b"), F.coalesce("met", F.array().cast("array<bigint>")).alias("met")), lambda w: F.filter(
+            F.transform(steps, lambda j: F.struct(j.alias("step"), ((w["a"] * j + w["b"]) % cat.prime).alias("item_idx"))),
+            lambda x: (x["item_idx"] < cat.size) & ~F.array_contains(w["met"], x["step"])))
+        return who.withColumn("found", F.slice(free, 1, n)).drop("met")
+
+    first = walked(rows.join(met, keys, "left"))
+    if least == cat.prime:
+        return first.filter(F.size("found") > 0)
+    # the stretch holds n free items but for those met beyond SPARE
+    short = pin(walked(rows.join(met.filter(F.size("met") > SPARE), keys)).filter(F.size("found") < n).select(*keys), "short")
+    if short.isEmpty():
+        return first
+    held = broadcast_if_small(short)
+    more = _walked_rows(short, excluded.join(held, keys, "left_semi"), cat, n, keys, *parts)
+    more = more.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "item_idx"))).alias("found"))  # n at most
+    return first.join(held, keys, "left_anti").unionByName(rows.join(more, keys))
+
+
+def _walked_rows(
+    rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, keys: list[str], *parts
+) -> DataFrame:
+    """(keys, step, item_idx) of the negatives by an anti join with the excluded items.
 
-    For exclusion lists too long for one array.  The walk goes in rounds: the first stretch for
+    The walk goes in rounds: the first stretch for
     all keys, then, for the keys that came up short, stretches that double each time until their
     steps are used up, which is always enough.  Each stretch is cut into blocks that
     are spread over the tasks, the anti join shuffles on (keys, item), and the top-n
@@ -145,8 +195,11 @@ def _stretch(going: DataFrame, start: int, end: int, cat: Catalog, keys: list[st
 
 def look_up(rows: DataFrame, indexes: str, cat: Catalog, keys: list[str], fields: list[str]) -> DataFrame:
     """Explode an index array and attach catalog fields: (keys, ord, fields)."""
+    if cat.size > BROADCAST_ROWS:
+        named = named_draws(rows.select(*keys, indexes), {indexes: fields}, cat)
+        return named.select(*keys, F.posexplode(indexes).alias("ord", "item")).select(*keys, "ord", "item.*")
     exploded = rows.select(*keys, F.posexplode(indexes).alias("ord", "item_idx"))
-    return exploded.join(cat.items.select("item_idx", *fields), "item_idx")
+    return exploded.join(cat.items.select("item_idx", *fields), "item_idx").drop("item_idx")
 
 
 def fields_by_index(cat: Catalog, field: str) -> Column:
@@ -242,12 +295,6 @@ def named_draws(rows: DataFrame, lists: dict[str, list[str]], cat: Catalog) -> D
     return with_fields(rows, lists, cat.items, cat.size)
 
 
-def _packed(shown: DataFrame, keys: list[str], order) -> DataFrame:
-    """n + 1 shown items per key as one array in shuffled order."""
-    items = F.collect_list(F.struct(order(F.col("item_id")).alias("draw"), "item_id"))
-    return shown.groupBy(*keys).agg(F.sort_array(items)["item_id"].alias("candidates"))
-
-
 def candidates_by_join(
     rows: DataFrame, excluded: DataFrame, cat: Catalog, n: int, seed: int, purpose: str, strict: bool = True
 ) -> DataFrame:
@@ -258,13 +305,22 @@ def candidates_by_join(
     keys = ["user_id", "epoch"]
     parts = (seed, F.col("epoch"), F.col("user_id"), purpose)
     one = rows.filter(F.col("segment_no") == 0).select(*keys, F.col("target.item_id").alias("item_id"))
-    found = negatives_by_join(one.select(*keys), excluded, cat, n, keys, *parts)
-    wrong = found.join(cat.items.select("item_idx", "item_id"), "item_idx").select(*keys, "item_id")
+    # the rows are narrow and their walks long: a fixed number of tasks, and one copy of what they draw
+    one = one.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    found = negative_lists(one, excluded, cat, n, keys, *parts)
+    given = found.withColumn("negatives", F.col("found")["item_idx"]).drop("found")
 
     def order(item: Column) -> Column:
         return draws.draw(*parts, F.concat(F.lit("shuffle/"), item))
 
-    lists = _packed(wrong.unionByName(one), keys, order)
+    if cat.size <= BROADCAST_ROWS:
+        given = given.withColumn("ids", fields_by_index(cat, "item_id"))
+        names = F.transform("negatives", lambda i: F.get(F.col("ids"), i.cast("int")))
+    else:
+        given = named_draws(given, {"negatives": ["item_id"]}, cat)
+        names = F.col("negatives")["item_id"]
+    shown = F.transform(F.array_append(names, F.col("item_id")), lambda x: F.struct(order(x).alias("draw"), x.alias("item_id")))
+    lists = pin(given.select(*keys, F.sort_array(shown)["item_id"].alias("candidates")), "candidates")
     full = F.size("candidates") == n + 1
     if not strict:
         return lists.filter(full)

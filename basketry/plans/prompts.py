@@ -237,6 +237,8 @@ def one_pass(ex: DataFrame, parts: list[tuple[Setup, Family]], drawn: bool = Fal
         for holds, message in reversed(f.holds):
             other = failure(message).cast(kind) if s.strict else F.array().cast(kind)
             out = F.when(holds, out).otherwise(other)
+        if s.excluded is not None and not any(isinstance(v, ListSlot) for v in f.slots.values()):
+            out = F.when(F.col("segment_no") == 0, out).otherwise(F.array().cast(kind))  # later segments add nothing
         return F.when(F.col("drawn_task") == s.task, out).otherwise(F.array().cast(kind)) if drawn else out
 
     every = F.concat(*[choices(i, s, f) for i, (s, f) in enumerate(parts)])
@@ -445,7 +447,12 @@ def p5_sequential_families(s: Setup, v: View, names: Slots) -> list[Family]:
 
 def with_shown(ex: DataFrame, s: Setup, v: View) -> DataFrame:
     """Add ``other_item`` and ``other_title``: what a yes/no question may show instead of the target."""
-    return neg.add_other_item(ex, s.catalog, s.seed, f"{s.task}/other", keep=True, target=v.target, prefix=v.prefix)
+    purpose = f"{s.task}/other"
+    if s.excluded is None:
+        return neg.add_other_item(ex, s.catalog, s.seed, purpose, keep=True, target=v.target, prefix=v.prefix)
+    # one item for all segments of an example
+    one = ex.filter(F.col("segment_no") == 0).select(*KEYS, "target")
+    return ex.join(neg.add_other_item(one, s.catalog, s.seed, purpose, keep=True).drop("target"), KEYS, "left")
 
 
 def shown_slots(s: Setup, v: View) -> Slots:
@@ -697,6 +704,8 @@ def build_prompt_pieces(
     """
     task = tpl.find_task(task)
     fields = FIELDS[task]
+    # the facts, the segments and the exclusions read one copy of the rows
+    rows = pin(rows.select(*KEYS, *dict.fromkeys(["spot", "pos", "input_len", "part", *fields])), "spots")
     s = Setup(task, seed, training, catalog, force, rows, strict)
     segments = long_examples(rows, users, s, fields, size)
     if "item_idx" in fields:

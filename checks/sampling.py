@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketry.functions import draws, text
@@ -179,10 +178,10 @@ def negatives_99(spark, folder):
 def placed_negatives(rows, cat):
     """99 negatives by the anti join, numbered in the order of the walk."""
     users = rows.filter(F.col("pos") == 0).select("user_id", F.lit(0).cast("bigint").alias("epoch"))
-    out = neg.negatives_by_join(users, excluded_rows(rows), cat, 99, KEYS, *who(), "draw")
-    place = F.row_number().over(W.partitionBy(*KEYS).orderBy("step")) - 1  # 99 rows a group
-    placed = out.select("user_id", "item_idx", place.cast("bigint").alias("place"))
-    return placed.join(cat.items.select("item_idx", "item_id"), "item_idx").drop("item_idx")
+    drawn = neg.negative_lists(users, excluded_rows(rows), cat, 99, KEYS, *who(), "draw")
+    drawn = drawn.select(*KEYS, F.col("found")["item_idx"].alias("idx"))
+    found = neg.look_up(drawn, "idx", cat, KEYS, ["item_id"])
+    return found.select("user_id", F.col("ord").cast("bigint").alias("place"), "item_id")
 
 
 @query(

@@ -390,3 +390,16 @@ def test_a_large_catalog_gives_the_same_prompts_from_one_lookup(spark, cat, hist
         assert rows(large) == small and len(small) > 0
         monkeypatch.undo()
         assert plan.count("FlatMapCoGroupsInArrow") == 2 and "posexplode" not in plan
+
+
+def test_excluded_items_say_their_step(spark, cat):
+    """The first stretch is walked without a row per step: only excluded items that lie on it are gathered."""
+    a = spark.range(1, cat.prime).select(((F.col("id") * neg.inverse(F.col("id"), cat.prime)) % cat.prime).alias("one"))
+    assert {r.one for r in a.collect()} == {1}
+    keys = spark.createDataFrame([(f"k{i}", i) for i in range(4)] + [(None, 9)], "k string, more int")
+    excluded = keys.filter("k IS NOT NULL").select("k").join(cat.items.select("item_idx").filter("item_idx % 9 = 0"))
+    got = neg.negative_lists(keys, excluded, cat, 10, ["k"], SEED, F.col("k"))
+    assert "BatchEvalPython" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    gone = F.when(F.col("k").isNotNull(), F.lit(list(range(0, cat.size, 9))).cast("array<bigint>")).otherwise(F.array().cast("array<bigint>"))
+    want = keys.select("k", "more", neg.negative_indexes(cat, gone, 10, SEED, F.col("k")).alias("i"))
+    assert rows(got.select("k", "more", F.col("found")["item_idx"].alias("i"))) == rows(want)
