@@ -1,10 +1,12 @@
 """Near copies by shingle similarity: Jaccard of the sets of 5-word shingles, 0.8 or more.
 
-Candidates come from banded MinHash: a document's set gives ``BANDS`` keys, each the hash of
-``ROWS`` minima, and sets that share a key are compared.  A pair of similarity s shares one
-with the chance 1 - (1 - s**5)**20: 99.96 % at 0.8, more above.  A SimHash radius that reaches
-0.8 (about ten of 64 bits) has no block that is both likely equal and rare; a key of minima is
-as rare as the shingles are.  Every candidate is verified with the exact similarity.
+Candidates come from SimHash: the sets' fingerprints are grouped through operator 1's pivot tables
+(:func:`simhash_dedup.pivot_groups`), and a group is a bucket whose sets are compared.  A SimHash
+radius that reaches 0.8 (about ten of 64 bits) has no block that is both likely equal and rare, so
+banded MinHash brings the pairs outside the radius: a document's set gives ``BANDS`` further
+keys, each the hash of ``ROWS`` minima, which is as rare as the shingles are, and sets that share a
+key are compared too.  A pair of similarity s shares one with the chance 1 - (1 - s**5)**20: 99.96 % at
+0.8, more above.  Every candidate of either kind is verified with the exact similarity.
 
 A bucket never lists its pairs.  Its members are compared with its smallest and largest first
 and the links contracted.  Where several groups are left, the bucket's centre follows: the member
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from basketry.llm.common import Scratch
 from basketry.llm.components import components
 from basketry.llm.hamming import signed
-from basketry.llm.simhash_dedup import one_of_each
+from basketry.llm.simhash_dedup import majority, one_of_each, pivot_groups
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -92,19 +94,20 @@ def sketch(shingles: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, h, node, n, keys, bits): a row per input row; h identifies the text, node its shingle set."""
+    """(doc_id, h, node, n, f, keys, bits): a row per input row; h identifies the text, node its shingle set, f is its SimHash."""
 
     def work(batches):
         for b in batches:
             sets = [shingle_set(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "h", "node", "n", "keys", "bits"])
+                 pa.array([majority(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                 pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))],
+                ["doc_id", "h", "node", "n", "f", "keys", "bits"])
 
     ids = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        work, f"doc_id {ids}, h bigint, node bigint, n bigint, keys array<bigint>, bits array<bigint>")
+        work, f"doc_id {ids}, h bigint, node bigint, n bigint, f bigint, keys array<bigint>, bits array<bigint>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -209,8 +212,11 @@ def _pairs(rows: DataFrame, least: float) -> DataFrame:
 def linked_sets(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, least: float) -> DataFrame:
     """(node, root) for every shingle set whose single-linkage group has a smaller member."""
     scratch = Scratch(docs.sparkSession, "near_copies")
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("keys").alias("keys"))
+    near = pivot_groups(rows.select("f").distinct()).withColumnRenamed("f", "__f")
+    prints = nodes.select("node", "n", "f").join(near, F.col("f") == F.col("__f"), "left")
+    prints = prints.select("node", "n", F.xxhash64(F.coalesce("root", "f"), F.lit(10)).alias("key"))
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key")).unionByName(prints)
     end = F.struct("node", "n")
     shared = buckets.groupBy("key").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).filter("lo.node != hi.node")
     crowd, crowd_path = scratch.pin(buckets.join(shared, "key"))

@@ -45,12 +45,16 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
         return 0
     n = max(1, len(found) - size + 1)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(size)))) if len(found) >= size else iter([b" ".join(found)])
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8", n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the 64-bit hashes have, as a signed number."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, _SLICE):
+    for at in range(0, len(hashes), _SLICE):
         part = hashes[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
 
@@ -73,9 +77,8 @@ def pivots(seed: int = PIVOT_SEED, count: int = PIVOTS) -> list[int]:
     return [signed(rng.getrandbits(64)) for _ in range(count)]
 
 
-def near_groups(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Fingerprint rows (doc_id, f, ...) with ``root``, the smallest fingerprint of their
-    single-linkage group, and ``component_id``, the smallest doc_id in it."""
+def pivot_groups(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(f, root) for every one of the distinct fingerprints ``f`` whose single-linkage group has a smaller member."""
     references = pivots()
 
     def coordinates(f: Column) -> Column:
@@ -87,8 +90,14 @@ def near_groups(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
             test = test & (F.abs(F.col(f"{a}.d{i}") - F.col(f"{b}.d{i}")) <= radius)
         return test
 
+    return linked_groups(prints.select("f"), radius, blocks, 64, coordinates, close)
+
+
+def near_groups(rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Fingerprint rows (doc_id, f, ...) with ``root``, the smallest fingerprint of their
+    single-linkage group, and ``component_id``, the smallest doc_id in it."""
     firsts = rows.groupBy("f").agg(F.min("doc_id").alias("first"))
-    groups = linked_groups(firsts.select("f"), radius, blocks, 64, coordinates, close)
+    groups = pivot_groups(firsts, radius, blocks)
     rooted = firsts.join(groups, "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.join(least, "root").select("f", "root", "component_id"), "f")

@@ -151,3 +151,17 @@ def test_clashing_names_and_long_texts(spark):
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, __h string, node string, key string"))
     assert kept.columns == ["doc_id", "text", "__h", "node", "key"]
     assert sorted((r.doc_id, r["__h"]) for r in kept.collect()) == [(1, "a"), (3, "a"), (4, "a"), (5, "a")]
+
+
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """Without any common MinHash key, sets within operator 1's radius are still compared, and verified."""
+    plain = near_copies.sketches
+    monkeypatch.setattr(near_copies, "sketches", lambda *args: plain(*args).withColumn("keys", F.array("node")))
+    rng, rows = random.Random(5), []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [r.doc_id for r in near_copies.keep_one(docs).collect()]
+    assert set(range(0, 40, 2)) <= set(kept) and len(kept) <= 24
+    assert near_copies.keep_one(docs, least=1.0).count() == 40
