@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.numbering import number_rows
+from basketry.operators.numbering import HOT_ROWS, number_rows
 
 LINE_ORDER = ["o_orderdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 
@@ -43,9 +45,21 @@ def purchases(spark: SparkSession, folder: str) -> DataFrame:
     return lines(spark, folder).withColumn("item_id", F.col("l_partkey").cast("string"))
 
 
-def row_bound(spark: SparkSession, folder: str) -> int:
-    """Upper bound of the purchase rows, read from the Parquet footers."""
-    return table(spark, folder, "lineitem").count()
+def row_bound(spark: SparkSession, folder: str, keyed: DataFrame | None = None) -> int:
+    """Upper bound of any user's history rows, also after a join with ``keyed`` (by l_partkey).
+
+    All purchase rows, read from the Parquet footers, where these are few; else the most orders of a user
+    times the most lines of an order times the most rows of an item.  Each is counted over its key alone,
+    so the joined rows are not formed for it.
+    """
+    bought = table(spark, folder, "lineitem")
+    rows = bought.count()
+    if rows <= HOT_ROWS:
+        return rows
+    counted = [(table(spark, folder, "orders"), "o_custkey"), (bought, "l_orderkey")]
+    counted += [(keyed, "l_partkey")] if keyed is not None else []
+    most = [df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for df, key in counted]
+    return math.prod(most)
 
 
 def interactions(
@@ -60,12 +74,12 @@ def interactions(
     user also serves the later grouping by user.  Item ids cross the shuffle as the
     numbers they are sorted by and become text after it.
     """
-    rows = lines(spark, folder)
+    rows, keyed = lines(spark, folder), None
     if items is not None:
         keyed = items.withColumn("l_partkey", F.col("item_id").cast("bigint")).drop("item_id")
         rows = rows.join(keyed, "l_partkey")
     lead = {new: "l_partkey" if src == "item_id" else src for new, src in (lead or {}).items()}
-    out = number_rows(rows, ["user_id"], LINE_ORDER, lead=lead, at_most=row_bound(spark, folder))
+    out = number_rows(rows, ["user_id"], LINE_ORDER, lead=lead, at_most=row_bound(spark, folder, keyed))
     out = out.withColumn("item_id", F.col("l_partkey").cast("string"))
     out = out.withColumns({new: F.col(new).cast("string") for new, src in lead.items() if src == "l_partkey"})
     return out.drop(*LINE_ORDER)

@@ -126,11 +126,15 @@ def train_window_rejects(spark, folder):
     return sampling.too_short(history(spark, folder)).agg(F.count(F.lit(1)).alias("n_dropped"))
 
 
-def indexed_history(spark, folder, cat):
-    """Test histories with catalog indexes, pinned."""
+def histories_with_index(spark, folder, cat):
+    """Test histories with catalog indexes."""
     rows = history(spark, folder, cat.items.select("item_id", "item_idx"))
-    rows = rows.filter(F.col("n") >= 2).select("user_id", "pos", "n", "item_id", "item_idx")
-    return pin(rows, "indexed")
+    return rows.filter(F.col("n") >= 2).select("user_id", "pos", "n", "item_id", "item_idx")
+
+
+def indexed_history(spark, folder, cat):
+    """:func:`histories_with_index`, pinned."""
+    return pin(histories_with_index(spark, folder, cat), "indexed")
 
 
 def excluded_rows(rows):
@@ -151,7 +155,7 @@ KEYS = ["user_id", "epoch"]
 def negatives_4(spark, folder):
     """Four items that are not the target: needs no history, only the target rows."""
     cat = item_catalog(spark, folder)
-    ex = splits.targets(indexed_history(spark, folder, cat), "test", ["item_id", "item_idx"])
+    ex = pin(splits.targets(histories_with_index(spark, folder, cat), "test", ["item_id", "item_idx"]), "targets")
     drawn = neg.negative_indexes(cat, neg.excluded_indexes(False), 4, *who(), "draw")
     found = neg.look_up(ex.select(*KEYS, drawn.alias("idx")), "idx", cat, KEYS, ["item_id"])
     return found.select("user_id", F.col("ord").cast("bigint").alias("place"), "item_id")
