@@ -7,8 +7,8 @@ inference template and the task's extra roles.
 
 All tasks and roles are built in one pass over the examples.  A task adds the columns it needs
 (facts, candidates) and describes its families: templates that share slots.  Each example is
-exploded into (family, template) choices, the templates come as a table of part arrays, and
-the slots of the row's family as one map from which the parts are filled.
+exploded into (family, template) choices, the slots of the row's family become columns, and the
+templates come as a table of part arrays that are filled from them.
 """
 
 from __future__ import annotations
@@ -42,6 +42,13 @@ FIELDS = {
     tpl.P5_DIRECT: ["item_id", "title", "item_idx"],
     tpl.P5_DIRECT_EVAL: ["item_id", "item_idx"],
 }
+# of these, what a segment of a long history holds of each input item ("picked" is drawn before the segments are formed)
+LISTED = {
+    tpl.RATING: ["item_id", "rating"],
+    tpl.SEQUENTIAL: ["item_id", "picked"],
+    tpl.P5_SEQUENTIAL: ["item_id"],
+    tpl.P5_SEQUENTIAL_EVAL: ["item_id"],
+}
 # what a task needs to know about a whole input, beside its rows
 FACTS = {tpl.RATING: ["rating"], tpl.SEQUENTIAL: ["pair"], tpl.DIRECT: ["liked_parts", "new_target"]}
 WHOLE = -1  # part number of a prompt that is one text
@@ -95,9 +102,12 @@ class ListSlot:
 
     def piece(self) -> Column:
         """Text of one segment, led by the separator if the list has begun in an earlier one."""
-        lead = F.when(self.use_first, F.lit(self.first)).otherwise(F.lit(self.second))
         goes_on = F.col("begun") & (F.size(self.items) > 0)
-        return F.concat(F.when(goes_on, lead).otherwise(F.lit("")), self.text())
+
+        def led(separator: str) -> Column:
+            return F.concat(F.when(goes_on, F.lit(separator)).otherwise(F.lit("")), F.array_join(self.items, separator))
+
+        return F.when(self.use_first, led(self.first)).otherwise(led(self.second))  # one draw
 
 
 Slots = dict[str, Column | ListSlot]
@@ -141,6 +151,10 @@ class Family:
     def templates(self, s: Setup) -> list[tpl.Template]:
         return [t for role in self.roles for t in tpl.templates(s.task, role, s.force)]
 
+    def lists(self) -> set[str]:
+        """Slots whose text grows with the history."""
+        return {name for name, v in self.slots.items() if isinstance(v, ListSlot)}
+
     def checked(self, s: Setup) -> list[tpl.Template]:
         """Its templates; fails when the plan is built at a slot that the family does not fill."""
         known = self.templates(s)
@@ -150,17 +164,17 @@ class Family:
                 raise KeyError(f"template {t.template_id!r} of {t.task!r} has slots that are not filled: {', '.join(sorted(unknown))}")
         return known
 
-    def chosen(self, s: Setup, numbers: dict[tuple, int]) -> Column:
-        """ARRAY of the template numbers that an example gets."""
+    def chosen(self, s: Setup, numbers: dict[tuple, int]) -> list[tuple[Column, str | None]]:
+        """The number of each template that an example gets, and its id where it is fixed (not drawn)."""
         known = {t.template_id: numbers[t.task, t.template_id] for t in self.templates(s)}
         if not known:
-            return F.array().cast("array<int>")
+            return []
         if not s.training:
-            return F.array(*[F.lit(i) for i in known.values()])
+            return [(F.lit(no), i) for i, no in known.items()]
         # the draw is among the ids in the order of their registration
         ids = [t.template_id for t in tpl.templates(s.task, None if len(self.roles) > 1 else self.roles[0], s.force)]
         purpose = self.choice or f"{self.roles[0]}/template"
-        return F.array(draws.choose([known[i] for i in ids], *s.parts(purpose)))
+        return [(draws.choose([known[i] for i in ids], *s.parts(purpose)), None)]
 
 
 def with_template(rows: DataFrame, s: Setup, role: str) -> DataFrame:
@@ -180,47 +194,64 @@ def rendered(
     list slots come from every segment, all other parts from the first one.
     """
     family = Family(roles, slots, truth)
-    table = tpl.part_table(rows.sparkSession, family.checked(s))
-    found = rows.join(F.broadcast(table), "template_id").withColumn("family", F.lit(0))
-    return filled(found, [family], s.excluded is None)
+    wanted = family.checked(s)
+    return filled(rows.withColumn("family", F.lit(0)), [family], wanted, [0] * len(wanted), "template_id", s.excluded is None)
 
 
-def filled(rows: DataFrame, families: list[Family], whole: bool) -> DataFrame:
-    """Prompt rows from rows with ``family`` (a number) and the columns of ``templates.part_table``."""
-    def by_family(get: Callable[[Family], Column]) -> Column:
-        out = F.when(F.lit(False), get(families[0]))
+def filled(rows: DataFrame, families: list[Family], wanted: list[tpl.Template], owners: list[int], on: str, whole: bool) -> DataFrame:
+    """Prompt rows from rows with ``family`` (a number) and ``on``, which finds a row's template among ``wanted``.
+
+    ``owners`` are the templates' families.  The slots become columns before the templates come to the rows: there
+    they are compiled code, and only their texts go on.
+    """
+    names = sorted({n for t in wanted for words in (t.input_text, t.target_text) for n in text.slot_names(words)})
+
+    def by_family(kind: str, get: Callable[[Family], Column | None]) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast(kind))
         for i, f in enumerate(families):
-            out = out.when(F.col("family") == i, get(f))
+            found = get(f)
+            out = out if found is None else out.when(F.col("family") == i, found)
         return out
 
-    def slot_map(f: Family) -> Column:
-        def value(v):
+    def slot(name: str) -> Callable[[Family], Column | None]:
+        def value(f: Family) -> Column | None:
+            v = f.slots.get(name)
             if isinstance(v, ListSlot):
                 return v.text() if whole else v.piece()
-            return v.cast("string")
-
-        return F.create_map(*[c for name, v in f.slots.items() for c in (F.lit(name), value(v))])
-
-    def fill(parts: str, m: Column) -> Column:
-        return F.aggregate(parts, F.lit(""), lambda a, p: F.concat(a, F.coalesce(p["text"], m[p["slot"]])))
-
-    def cells(m: Column) -> Column:
-        names = by_family(lambda f: F.array(*[F.lit(n) for n, v in f.slots.items() if isinstance(v, ListSlot)]).cast("array<string>"))
-        return F.transform("input_parts", lambda p, i: F.struct(
-            i.cast("int").alias("part_no"), F.coalesce(p["text"], m[p["slot"]]).alias("input_text"),
-            F.coalesce(F.array_contains(names, p["slot"]), F.lit(False)).alias("in_list")))
-
-    truth = by_family(lambda f: F.lit(None).cast("array<string>") if f.truth is None else F.array(f.truth.cast("string")))
-    body = (lambda m: fill("input_parts", m)) if whole else cells
-    texts = text.let(by_family(slot_map), lambda m: F.struct(body(m).alias("input_text"), fill("target_parts", m).alias("target_text")))
-    out = rows.select(
-        *KEYS, "task", "template_id", "role", texts.alias("texts"),
-        F.when(F.col("role") == "inference", truth).alias("ground_truth"), *([] if whole else ["segment_no"]))
-    out = out.select(*KEYS, "task", "template_id", "role", "texts.input_text", "texts.target_text", "ground_truth", *([] if whole else ["segment_no"]))
+            return None if v is None else v.cast("string")
+
+        return value
+
+    def fill(parts: str, values: Column) -> Column:
+        return F.aggregate(parts, F.lit(""), lambda a, p: F.concat(a, F.coalesce(p["text"], F.get(values, p["slot"]))))
+
+    def cells(values: Column) -> Column:
+        opening = F.col("segment_no") == 0
+        mine = F.filter("input_cells", lambda c: opening | c["in_list"])
+        # a slot without a value adds nothing
+        text_of = lambda c: F.array_join(F.transform(
+            F.when(opening, c["parts"]).otherwise(F.slice(c["parts"], -1, 1)), lambda p: F.coalesce(p["text"], F.get(values, p["slot"]))), "")
+        return F.transform(mine, lambda c: F.struct(c["part_no"].alias("part_no"), text_of(c).alias("input_text")))
+
+    segment = [] if whole else ["segment_no"]
+    truth = by_family("array<string>", lambda f: None if f.truth is None else F.array(f.truth.cast("string")))
+    # the lambda keeps the slots of many families out of one method that would be too long to be compiled
+    slotted = rows.select(
+        *KEYS, *segment, text.let(F.col(on), lambda x: x).alias(on), truth.alias("truth"),
+        *[by_family("string", slot(name)).alias(f"slot_{i}") for i, name in enumerate(names)])
+    table = tpl.part_table(rows.sparkSession, wanted, names, [families[i].lists() for i in owners])
+    found = slotted.join(F.broadcast(table), on)
+    body = (lambda values: fill("input_parts", values)) if whole else cells
+    values = F.array(*[F.col(f"slot_{i}") for i in range(len(names))]).cast("array<string>")
+    texts = text.let(values, lambda v: F.struct(body(v).alias("input_text"), fill("target_parts", v).alias("target_text")))
+    out = found.select(
+        *KEYS, "task", "template_id", "role", texts.alias("texts"), F.when(F.col("role") == "inference", F.col("truth")).alias("ground_truth"), *segment)
+    out = out.select(*KEYS, "task", "template_id", "role", "texts.input_text", "texts.target_text", "ground_truth", *segment)
     if whole:
         return out
-    each = out.select(*[c for c in out.columns if c != "input_text"], F.inline("input_text"))
-    return each.filter(F.col("in_list") | (F.col("segment_no") == 0)).drop("in_list")
+    # a plain inline would be given a filter that makes all texts once more, to see whether there are any
+    each = out.select(*[c for c in out.columns if c != "input_text"], F.inline_outer("input_text"))
+    return each.filter(F.col("part_no").isNotNull())
 
 
 def one_pass(ex: DataFrame, parts: list[tuple[Setup, Family]], drawn: bool = False) -> DataFrame:
@@ -229,22 +260,22 @@ def one_pass(ex: DataFrame, parts: list[tuple[Setup, Family]], drawn: bool = Fal
     ``drawn``: an example gives prompts of its ``drawn_task`` only.
     """
     known = {(t.task, t.template_id): t for s, f in parts for t in f.checked(s)}
+    owners = {(t.task, t.template_id): i for i, (s, f) in enumerate(parts) for t in f.templates(s)}
     numbers = {key: i for i, key in enumerate(known)}
-    kind = "array<struct<family:int,template_no:int>>"
+    kind = "array<struct<family:int,template_no:int,template_id:string>>"
 
     def choices(no: int, s: Setup, f: Family) -> Column:
-        out = F.transform(f.chosen(s, numbers), lambda t: F.struct(F.lit(no).alias("family"), t.alias("template_no")))
+        out = F.array(*[F.struct(F.lit(no), number, F.lit(i).cast("string")) for number, i in f.chosen(s, numbers)]).cast(kind)
         for holds, message in reversed(f.holds):
             other = failure(message).cast(kind) if s.strict else F.array().cast(kind)
             out = F.when(holds, out).otherwise(other)
-        if s.excluded is not None and not any(isinstance(v, ListSlot) for v in f.slots.values()):
+        if s.excluded is not None and not f.lists():
             out = F.when(F.col("segment_no") == 0, out).otherwise(F.array().cast(kind))  # later segments add nothing
         return F.when(F.col("drawn_task") == s.task, out).otherwise(F.array().cast(kind)) if drawn else out
 
     every = F.concat(*[choices(i, s, f) for i, (s, f) in enumerate(parts)])
-    rows = ex.withColumn("choice", F.explode(every)).select("*", "choice.family", "choice.template_no").drop("choice")
-    table = tpl.part_table(ex.sparkSession, list(known.values()))
-    return filled(rows.join(F.broadcast(table), "template_no"), [f for _, f in parts], parts[0][0].excluded is None)
+    rows = ex.withColumn("choice", F.explode(every)).select("*", "choice.*").drop("choice")
+    return filled(rows, [f for _, f in parts], list(known.values()), [owners[key] for key in known], "template_no", parts[0][0].excluded is None)
 
 
 def failure(message: str) -> Column:
@@ -338,9 +369,15 @@ def rating_families(s: Setup, v: View, names: Slots) -> list[Family]:
     return [Family(["inference"], slots, rated, holds=(is_rated(v), some))]
 
 
+def picked_category(s: Setup, categories: Column, pos: Column) -> Column:
+    return sampling.pick_category(categories, *s.parts("category"), pos)
+
+
 def sequential_columns(ex: DataFrame, s: Setup, v: View) -> DataFrame:
-    parts = s.parts("category")
-    picked = F.transform(v.input, lambda x: sampling.pick_category(x["categories"], *parts, x["pos"]))
+    if s.excluded is None:
+        picked = F.transform(v.input, lambda x: picked_category(s, x["categories"], x["pos"]))
+    else:
+        picked = v.input["picked"]
     ex = ex.withColumn(v.name("picked"), picked)
     if not s.training:
         return ex
@@ -614,12 +651,12 @@ def _setups(tasks, seed, training, catalog, force, strict) -> list[Setup]:
 
 
 def long_examples(
-    rows: DataFrame, users: DataFrame, s: Setup, fields: list[str], size: int = splits.SEGMENT
+    rows: DataFrame, users: DataFrame, s: Setup, fields: list[str], size: int = splits.SEGMENT, listed: list[str] | None = None
 ) -> DataFrame:
     """Example rows in segments of at most ``size`` input items, for long histories.
 
-    ``rows`` is the row form (user_id, epoch, spot, input_len, part, fields).  Facts
-    about a whole history are aggregates that merge before the shuffle; every join and
+    ``rows`` is the row form (user_id, epoch, spot, input_len, part, fields); the input items hold
+    the fields ``listed``, by default all.  Facts about a whole history are aggregates that merge before the shuffle; every join and
     grouping of its rows has the segment number in the key, which spreads a user over
     the tasks.
     """
@@ -631,6 +668,8 @@ def long_examples(
     if "rating" in needed:
         given = F.when(is_input, F.col("rating"))
         facts += [F.coalesce(F.sum(given), F.lit(0)).alias("rating_sum"), F.count(given).alias("n_rated")]
+        # the rated list begins at the first segment with a rated row
+        facts.append(F.expr(f"min(CASE WHEN part = 'input' AND rating IS NOT NULL THEN spot END) div {int(size)}").alias("begin"))
     if s.training and "pair" in needed:
         at = pair_place(F.col("input_len"), s)
         facts += [
@@ -649,7 +688,7 @@ def long_examples(
     lists = (
         inputs.withColumn("segment_no", F.expr(f"spot div {int(size)}"))
         .groupBy(*KEYS, "segment_no")
-        .agg(F.sort_array(F.collect_list(cell)).alias("input"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", *(listed or fields)))).alias("input"))
     )
     last = F.expr(f"(input_len - 1) div {int(size)}")
     parts = None
@@ -661,9 +700,7 @@ def long_examples(
     numbers = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
     spread = per_user.withColumn("segment_no", F.explode(numbers)).withColumn("begun", F.col("segment_no") > 0)
     if "rating" in needed:
-        # the rated list begins at the first segment with a rated row
-        first = inputs.groupBy(*KEYS).agg(F.expr(f"min(CASE WHEN rating IS NOT NULL THEN spot END) div {int(size)}").alias("begin"))
-        spread = spread.join(first, KEYS).withColumn("begun", F.coalesce(F.col("segment_no") > F.col("begin"), F.lit(False))).drop("begin")
+        spread = spread.withColumn("begun", F.coalesce(F.col("segment_no") > F.col("begin"), F.lit(False))).drop("begin")
     if parts is None:
         return lists.join(spread, [*KEYS, "segment_no"])
     whole = spread.drop("last_liked").join(lists, [*KEYS, "segment_no"], "left").join(parts, [*KEYS, "segment_no"], "left")
@@ -696,18 +733,26 @@ def build_prompt_pieces(
     force: str | None = None,
     size: int = splits.SEGMENT,
     strict: bool = True,
+    copied: bool = False,
 ) -> DataFrame:
     """Prompts of long histories as ordered pieces.
 
     Columns of :func:`build_prompts` with ``part_no`` and ``segment_no``; the texts of
-    one prompt in the order (part_no, segment_no) make up the whole input text.
+    one prompt in the order (part_no, segment_no) make up the whole input text.  ``copied`` says that
+    the rows are read from a pinned copy as they are.
     """
     task = tpl.find_task(task)
-    fields = FIELDS[task]
-    # the facts, the segments and the exclusions read one copy of the rows
-    rows = pin(rows.select(*KEYS, *dict.fromkeys(["spot", "pos", "input_len", "part", *fields])), "spots")
+    fields, listed = FIELDS[task], LISTED.get(task)
     s = Setup(task, seed, training, catalog, force, rows, strict)
-    segments = long_examples(rows, users, s, fields, size)
+    if task == tpl.SEQUENTIAL:
+        rows = rows.withColumn("picked", picked_category(s, F.col("categories"), F.col("pos")))
+        if not training:
+            fields = ["item_id"]  # the rest serves the training lists and pairs
+    rows = rows.select(*KEYS, *dict.fromkeys(["spot", "pos", "input_len", "part", *fields, *(listed or [])]))
+    if not copied:
+        rows = pin(rows, "spots")  # the facts, the segments and the exclusions read one copy of the rows
+    s = replace(s, excluded=rows)
+    segments = long_examples(rows, users, s, fields, size, listed)
     if "item_idx" in fields:
         s = replace(s, excluded=rows.select(*KEYS, "item_idx").distinct())
     columns = [*COLUMNS, "part_no", "segment_no"]
@@ -715,7 +760,10 @@ def build_prompt_pieces(
         return BUILDERS[task](segments, s).select(*columns)
     prepare, families = FAMILIES[task]
     v = own_view()
-    return one_pass(prepare(segments, s, v), [(s, f) for f in families(s, v, user_slots(segments))]).select(*columns)
+    parts = [(s, f) for f in families(s, v, user_slots(segments))]
+    if not any(f.lists() for _, f in parts):
+        segments = segments.filter(F.col("segment_no") == 0)  # the others add nothing
+    return one_pass(prepare(segments, s, v), parts).select(*columns)
 
 
 def build_training_prompts(
@@ -793,7 +841,8 @@ def whole_prompts(
     for task in names:
         mine = spots.filter(F.col("drawn_task") == task) if training and strategy == "random" else spots
         more = build_prompt_pieces(
-            mine, users, task, seed=seed, training=training, catalog=catalog, force=force.get(task), size=size, strict=strict
+            mine, users, task, seed=seed, training=training, catalog=catalog, force=force.get(task), size=size, strict=strict,
+            copied=not training,  # filters of the pinned history
         )
         out = out.unionByName(more)
     return out

@@ -33,8 +33,9 @@ def example_pieces(spark, folder, task, training=False, cat=None):
     fields = pr.FIELDS[task]
     wanted = [f for f in fields if f in ("title", "categories", "item_idx")]
     items = cat.items.select("item_id", *wanted) if wanted else None
-    rows = pin(splits.long_users(history(spark, folder, items), PIECE), "long-history")
+    rows = splits.long_users(history(spark, folder, items), PIECE)
     if training:
+        rows = pin(rows, "long-history")  # read by the windows and their rows
         train = rows.filter(splits.in_split("train"))
         return sampling.window_rows(train, sampling.training_windows(rows, EPOCHS, SEED), PIECE)
     return splits.example_spots(rows, "test")

@@ -403,3 +403,12 @@ def test_excluded_items_say_their_step(spark, cat):
     gone = F.when(F.col("k").isNotNull(), F.lit(list(range(0, cat.size, 9))).cast("array<bigint>")).otherwise(F.array().cast("array<bigint>"))
     want = keys.select("k", "more", neg.negative_indexes(cat, gone, 10, SEED, F.col("k")).alias("i"))
     assert rows(got.select("k", "more", F.col("found")["item_idx"].alias("i"))) == rows(want)
+
+
+def test_pieces_make_no_row_per_part_and_no_text_twice(hist, users):
+    """A segment gives a piece for each list of its template, the first one the end of the text too."""
+    out = pr.whole_prompts(hist, users, [tpl.RATING], seed=SEED, size=10).filter(F.col("part_no") != pr.WHOLE)
+    keys = ["user_id", "template_id"]
+    found = out.groupBy(*keys, "segment_no").count().collect()
+    assert {r["count"] for r in found if r.segment_no > 0} == {1} and all(r["count"] <= 2 for r in found)
+    assert "(size(transform(" not in out._jdf.queryExecution().executedPlan().toString()
