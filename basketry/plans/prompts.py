@@ -226,12 +226,9 @@ def filled(rows: DataFrame, families: list[Family], wanted: list[tpl.Template],
         return F.aggregate(parts, F.lit(""), lambda a, p: F.concat(a, F.coalesce(p["text"], F.get(values, p["slot"]))))
 
     def cells(values: Column) -> Column:
-        opening = F.col("segment_no") == 0
-        mine = F.filter("input_cells", lambda c: opening | c["in_list"])
-        # a slot without a value adds nothing
-        text_of = lambda c: F.array_join(F.transform(
-            F.when(opening, c["parts"]).otherwise(F.slice(c["parts"], -1, 1)), lambda p: F.coalesce(p["text"], F.get(values, p["slot"]))), "")
-        return F.transform(mine, lambda c: F.struct(c["part_no"].alias("part_no"), text_of(c).alias("input_text")))
+        mine = F.filter("input_cells", lambda c: c["in_list"] | (F.col("segment_no") == 0))
+        return F.transform(mine, lambda c: F.struct(
+            c["part_no"].alias("part_no"), F.coalesce(c["text"], F.get(values, c["slot"])).alias("input_text")))
 
     segment = [] if whole else ["segment_no"]
     truth = by_family("array<string>", lambda f: None if f.truth is None else F.array(f.truth.cast("string")))

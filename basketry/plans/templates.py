@@ -178,28 +178,22 @@ def template_rows(tasks: list[str] | None = None, role: str | None = None) -> li
 def part_table(spark: SparkSession, wanted: list[Template], names: list[str], lists: list[set[str]]) -> DataFrame:
     """Templates with their texts cut into parts: a part is a literal text or the place of a slot in ``names``.
 
-    ``input_cells`` are the input's parts as pieces of a long history: each ends with one of the template's
-    list slots (``lists``), the last one may be what follows the last of them.
+    ``input_cells`` are the input's parts with their number, and whether they are one of the template's list
+    slots (``lists``).
     """
 
     def cut(words: str) -> list[tuple]:
         return [(None, names.index(slot)) if slot else (literal, None) for slot, literal in parts(words)]
 
     def cells(found: list[tuple], growing: set[str]) -> list[tuple]:
-        out, begin = [], 0
-        for i, (_, slot) in enumerate(found):
-            in_list = slot is not None and names[slot] in growing
-            if in_list or i == len(found) - 1:
-                out.append((begin, found[begin : i + 1], in_list))
-                begin = i + 1
-        return out
+        return [(i, words, slot, slot is not None and names[slot] in growing) for i, (words, slot) in enumerate(found)]
 
     kind = "array<struct<text:string,slot:int>>"
     cuts = [(cut(t.input_text), cut(t.target_text)) for t in wanted]
     return spark.createDataFrame(
         [(i, t.task, t.template_id, t.role, a, b, cells(a, g)) for i, (t, (a, b), g) in enumerate(zip(wanted, cuts, lists))],
         f"template_no int, task string, template_id string, role string, input_parts {kind}, target_parts {kind}, "
-        f"input_cells array<struct<part_no:int,parts:{kind},in_list:boolean>>",
+        f"input_cells array<struct<part_no:int,text:string,slot:int,in_list:boolean>>",
     )
 
 
