@@ -12,8 +12,12 @@
    partner's positions holds the best chain ends.
 4. Chains are aligned: on one diagonal word by word, elsewhere by edit distance, and extended at
    both ends; passages with too few equal words or too low a share of them are dropped.
-5. Seeds that no passage covers are linked once more, to the smallest document but the first
-   representative: two documents may share a passage whose parts all have a third one in front.
+5. A representative may hide a passage: two documents may share one whose parts all have a third
+   document in front.  So all pairs of documents that have two different seeds in common, in the same order
+   and at most ``REACH`` words apart, neither of them covered by a passage in one of the two, are
+   compared.  Groups of such a pair of seeds are dealt in blocks; the words around the seeds bound the
+   equal words of a passage that begins and ends with them, and only pairs that can reach
+   ``MIN_WORDS`` are chained and aligned.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ MARGIN = 32  # words searched beyond a chain's ends
 MERGE = 16  # matches on one diagonal at most so many words apart are one run
 CHUNK_BYTES = 8_000_000
 CHUNK_DOCS = 20_000
-ROUNDS = 2
+REACH = 64  # words from one seed of a pair to the other
+BLOCK = 1024  # occurrences of a pair of seeds that are compared with as many others at once
 CHAINS_PER_TASK = 2000  # chains to one document that a task aligns
 KEY_BITS = 48
 CACHED_WORDS = 300_000
@@ -199,8 +204,7 @@ def repeated(shard: int, rows: list[dict]) -> list[tuple]:
     every = np.sort(np.concatenate(keys))
     again = every[1:][every[1:] == every[:-1]]
     marked = np.concatenate([k[unpack(r["a"], bool)] for k, r in zip(keys, rows)])
-    wanted = np.unique(np.concatenate([again, marked]))
-    return [(shard, r["chunk"], steps(k), None, None) for r, k in ((r, np.intersect1d(k, wanted, assume_unique=True)) for r, k in zip(rows, keys)) if len(k)]
+    return _wanted(shard, rows, keys, np.unique(np.concatenate([again, marked])))
 
 
 def least(shard: int, rows: list[dict]) -> list[tuple]:
@@ -254,7 +258,7 @@ _TOLD = "chunk bigint, kind int, keys binary, a binary, b binary, d bigint, star
 
 
 def _told(df: DataFrame, kind: int) -> DataFrame:
-    """Rows of one ``kind`` for the chunks: 0 wanted seeds, 1 first answers, 2 passages, 3 second answers."""
+    """Rows of one ``kind`` for the chunks: 0 wanted seeds, 1 answers, 2 passages, 3 wanted pairs of seeds."""
     have = set(df.columns)
     cells = [F.lit(kind).alias("kind") if f.split()[0] == "kind" else F.col(f.split()[0]) if f.split()[0] in have
              else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _TOLD.split(", ")]
@@ -276,18 +280,12 @@ def with_chunks(parts: DataFrame, told: DataFrame, work, schema: str) -> DataFra
 
 
 def offers(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
-    """Each chunk's smallest occurrence of its wanted seeds, or of those that are still open."""
+    """Each chunk's smallest occurrence of its wanted seeds."""
 
     def work(no, c, kinds):
         out = []
-        if kinds.get(0) or kinds.get(1):
-            if 1 in kinds:
-                keys, d, _ = _answers(kinds[1])
-                known, at = _place(c, keys)
-                able = known & (c.ds[c.doc] != d[at] if len(d) else known) & ~covered(c, kinds.get(2, []))
-            else:
-                keys = np.sort(np.concatenate([unsteps(r["keys"]) for r in kinds[0]]))
-                able, _ = _place(c, keys)
+        if kinds.get(0):
+            able, _ = _place(c, _keys(kinds[0]))
             key, doc, pos = c.key[able], c.doc[able], c.pos[able]
             if len(key):
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -297,6 +295,207 @@ def offers(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
     return with_chunks(parts, told, work, SENT)
 
 
+def _keys(rows: list[dict]) -> np.ndarray:
+    return np.sort(np.concatenate([unsteps(r["keys"]) for r in rows]))
+
+
+def bare_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
+    """The wanted seeds of each chunk, marked where no passage covers one of their occurrences."""
+
+    def work(no, c, kinds):
+        out = []
+        if kinds.get(0):
+            able, _ = _place(c, _keys(kinds[0]))
+            key, bare = c.key[able], ~covered(c, kinds.get(2, []))[able]
+            if len(key):
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                out = _sent(no, key[first], shards, np.logical_or.reduceat(bare, first))
+        return _cells(out, _SENT, _SENT_KINDS)
+
+    return with_chunks(parts, told, work, SENT)
+
+
+def bare_somewhere(shard: int, rows: list[dict]) -> list[tuple]:
+    """The seeds of each chunk that lie outside all passages in some chunk."""
+    keys = [unsteps(r["keys"]) for r in rows]
+    wanted = np.unique(np.concatenate([k[unpack(r["a"], bool)] for k, r in zip(keys, rows)]))
+    return _wanted(shard, rows, keys, wanted)
+
+
+def _wanted(shard: int, rows: list[dict], keys: list[np.ndarray], wanted: np.ndarray) -> list[tuple]:
+    return [(shard, r["chunk"], steps(k), None, None) for r, k in ((r, np.intersect1d(k, wanted, assume_unique=True)) for r, k in zip(rows, keys)) if len(k)]
+
+
+def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]) -> tuple[np.ndarray, ...]:
+    """(pair, document, position, words to the second seed, outside all passages), sorted, of the pairs of different seeds
+    among ``keys``; of the places of a second seed the nearest."""
+    able, _ = _place(c, keys)
+    at = np.flatnonzero(able)
+    at = at[np.lexsort((c.pos[at], c.doc[at]))]
+    key, doc, pos, bare = c.key[at], c.doc[at], c.pos[at], ~covered(c, passages)[at]
+    found = []
+    for lag in range(1, REACH + 1):
+        near = (doc[lag:] == doc[:-lag]) & (pos[lag:] - pos[:-lag] <= REACH)
+        if not near.any():
+            break
+        i = np.flatnonzero(near & (key[lag:] != key[:-lag]))
+        pair = (key[i] * _FACTORS[0] + key[i + lag] * _FACTORS[1]) * np.uint64(0x9FB21C651E98DF25)
+        found.append((pair ^ (pair >> np.uint64(32)), doc[i], pos[i], pos[i + lag] - pos[i], bare[i] & bare[i + lag]))
+    if not found:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
+    pair, doc, pos, far, bare = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((far, pos, doc, pair))
+    pair, doc, pos, far, bare = (x[order] for x in (pair, doc, pos, far, bare))
+    new = np.flatnonzero(np.r_[True, (np.diff(pair) != 0) | (np.diff(doc) != 0) | (np.diff(pos) != 0)][: len(pair)])
+    return pair[new], doc[new], pos[new], far[new], bare[new]
+
+
+def pair_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
+    """The distinct pairs of seeds of each chunk, marked where several documents have them, and where one has them bare."""
+
+    def work(no, c, kinds):
+        out = []
+        if kinds.get(0):
+            pair, doc, _, _, bare = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
+            if len(pair):
+                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                last = np.r_[first[1:], len(pair)] - 1
+                out = _sent(no, pair[first], shards, c.ds[doc[first]] != c.ds[doc[last]], np.logical_or.reduceat(bare, first))
+        return _cells(out, _SENT, _SENT_KINDS)
+
+    return with_chunks(parts, told, work, SENT)
+
+
+def repeated_bare(shard: int, rows: list[dict]) -> list[tuple]:
+    """The pairs of seeds of each chunk that several documents or chunks have, one of them bare."""
+    keys = [unsteps(r["keys"]) for r in rows]
+    every = np.sort(np.concatenate(keys))
+    again = every[1:][every[1:] == every[:-1]]
+    several, bare = (np.concatenate([k[unpack(r[n], bool)] for k, r in zip(keys, rows)]) for n in ("a", "b"))
+    return _wanted(shard, rows, keys, np.intersect1d(np.concatenate([again, several]), bare))
+
+
+def around(c: Chunk, doc: np.ndarray, pos: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8 bits of the ``MARGIN`` words before and after each pair of seeds, 0 beyond the text, and how many lie beyond."""
+    begin, end = c.begins[doc], c.ends[doc]
+    left, right = (begin + pos)[:, None] - np.arange(MARGIN, 0, -1), (begin + pos + far + K)[:, None] + np.arange(MARGIN)
+    at = np.hstack([left, right])
+    inside = (at >= begin[:, None]) & (at < end[:, None])
+    words = np.where(inside, c.words[np.where(inside, at, 0)] & 0xFF, 0).astype(np.uint8)
+    beyond = (~inside).reshape(len(at), 2, MARGIN).sum(2)
+    return words, beyond[:, 0], beyond[:, 1]
+
+
+PLACED = "pair bigint, d bigint, pos int, far int, bare boolean, words binary, before int, after int"
+
+
+def pair_rows(parts: DataFrame, told: DataFrame) -> DataFrame:
+    """The occurrences of the wanted pairs of seeds; in a document those with the same words around are one."""
+    kinds_of_columns = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
+
+    def work(no, c, kinds):
+        rows: dict[tuple, tuple] = {}
+        if kinds.get(3):
+            pair, doc, pos, far, bare = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
+            asked = np.isin(pair, _keys(kinds[3]))
+            pair, doc, pos, far, bare = (x[asked] for x in (pair, doc, pos, far, bare))
+            words, before, after = around(c, doc, pos, far)
+            cells = [pair.view(np.int64), c.ds[doc], pos, far, bare, map(bytes, words), before, after]
+            for row in zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in cells)):
+                rows.setdefault((*row[:2], *row[3:]), row)
+        return _cells(list(rows.values()), [f.split()[0] for f in PLACED.split(", ")], kinds_of_columns)
+
+    return with_chunks(parts, told, work, PLACED)
+
+
+def whole_groups(batches, names: list[str]):
+    """Tables of whole groups of rows equal in ``names``, for batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(n).to_numpy() for n in names]
+        new = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+        if held and any(held[-1].column(n)[-1].as_py() != b.column(n)[0].as_py() for n in names):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(new):
+            yield pa.Table.from_batches([*held, b.slice(0, int(new[-1]))])
+            held = []
+            b = b.slice(int(new[-1]))
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meeting(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``left`` and ``right`` whose pairs of seeds may begin and end one passage."""
+    u, v = t["words"][left], t["words"][right]
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    for i in range(2 * MARGIN):
+        equal += u[:, i, None] == v[None, :, i]
+    for n in ("before", "after"):  # nothing on both sides is not an equal word
+        equal -= np.minimum(t[n][left, None], t[n][None, right])
+    able = equal + np.minimum(t["far"][left, None], t["far"][None, right]) >= MIN_WORDS - K
+    able &= (t["bare"][left, None] | t["bare"][None, right]) & (t["d"][left, None] != t["d"][None, right])
+    if same:
+        able &= np.arange(len(left))[:, None] < np.arange(len(right))
+    i, j = np.nonzero(able)
+    return left[i], right[j]
+
+
+def matches(placed: DataFrame) -> DataFrame:
+    """(d, r, pos, rpos) of the seeds of pairs that two documents share, the smaller one as ``r``.
+
+    The occurrences of a pair of seeds are dealt in blocks of some ``BLOCK``; each two blocks meet in a group of their own.
+    """
+    counts = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    crowded = broadcast_if_small(counts.select("pair", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = placed.join(crowded, "pair", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "pos", F.lit(22)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("pair", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
+                       "d", "pos", "far", "bare", "words", "before", "after")
+
+    def work(batches):
+        for table in whole_groups(batches, ["pair", "x", "y"]):
+            t = {n: table.column(n).to_numpy() for n in ("pair", "x", "y", "block", "d", "pos", "far", "bare")}
+            t |= {n: table.column(n).to_numpy().astype(np.uint8) for n in ("before", "after")}
+            t["far"] = t["far"].astype(np.int16)
+            t["words"] = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, 2 * MARGIN)
+            new = np.flatnonzero(np.diff(t["pair"]) | np.diff(t["x"]) | np.diff(t["y"])) + 1
+            found = []
+            for at in np.split(np.arange(len(t["pair"])), new):
+                x, y = t["x"][at[0]], t["y"][at[0]]
+                left, right = (at, at) if x == y else (at[t["block"][at] == x], at[t["block"][at] == y])
+                for lo in range(0, len(left), BLOCK):  # a block may be a little larger than the others
+                    for to in range(lo if x == y else 0, len(right), BLOCK):
+                        found.append(_meeting(t, left[lo : lo + BLOCK], right[to : to + BLOCK], x == y and lo == to))
+            i, j = (np.concatenate(side) for side in zip(*found))
+            i, j = np.where(t["d"][i] > t["d"][j], i, j), np.where(t["d"][i] > t["d"][j], j, i)
+            for more in (0, 1):
+                cells = [t["d"][i], t["d"][j], t["pos"][i] + more * t["far"][i], t["pos"][j] + more * t["far"][j]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cells], ["d", "r", "pos", "rpos"])
+
+    dealt = rows.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y")
+    return dealt.mapInArrow(work, "d bigint, r bigint, pos bigint, rpos bigint").distinct()
+
+
+def chained_matches(found: DataFrame) -> DataFrame:
+    """Chains of the matches of each two documents."""
+    places, names = pa.list_(pa.int32()), ["chunk", "d", "r", "at", "rat", "a", "b", "ra", "rb"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), places, places, *[pa.int32()] * 4]
+
+    def work(batches):
+        for table in whole_groups(batches, ["d", "r"]):
+            runs = match_runs(*(table.column(n).to_numpy() for n in ("d", "r", "pos", "rpos")))
+            out = [(0, d, r, *_span(chain)) for d, r, chain in _run_chains(runs) if _roomy(chain)]
+            yield _cells(out, names, kinds)
+
+    schema = "chunk bigint, d bigint, r bigint, at array<int>, rat array<int>, a int, b int, ra int, rb int"
+    return found.repartition("d", "r").sortWithinPartitions("d", "r").mapInArrow(work, schema)
+
+
 def word_rows(parts: DataFrame, id_type: DataType) -> DataFrame:
     """(d, doc_id, words) of the documents of all chunks."""
     kinds = [pa.int64(), to_arrow_type(id_type), pa.binary()]
@@ -381,24 +580,17 @@ _CHAINS = ["chunk", "d", "doc_id", "r", "at", "rat", "a", "ra", "rb", "x"]
 
 
 def chain_table(parts: DataFrame, told: DataFrame, id_type: DataType) -> DataFrame:
-    """Chains of the links to the documents that the last answers name, with the words of their own side."""
+    """Chains of the links to the documents that the answers name, with the words of their own side."""
 
     def work(no, c, kinds):
         out = []
-        keys, d, rpos = _answers(kinds.get(3) or kinds.get(1) or [])
+        keys, d, rpos = _answers(kinds.get(1) or [])
         if c is not None and len(keys):
             known, at = _place(c, keys)
             linked = np.flatnonzero(known & (c.ds[c.doc] != d[at]))
-            if 3 in kinds and len(linked):
-                linked = linked[~covered(c, kinds.get(2, []))[linked]]
             if len(linked):
                 runs = match_runs(c.doc[linked], d[at[linked]], c.pos[linked], rpos[at[linked]])
-                cut = np.flatnonzero((np.diff(runs[0]) != 0) | (np.diff(runs[1]) != 0)) + 1
-                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(runs[0])]):
-                    doc, r = int(runs[0][lo]), int(runs[1][lo])
-                    p0, r0, p1, r1 = (x[lo:hi].tolist() for x in runs[2:6])
-                    for chain in chain_runs(p0, r0, p1, r1, runs[6][lo:hi].tolist()):
-                        out.extend(_chain_row(no, c, doc, r, [(p0[i], r0[i], p1[i], r1[i]) for i in chain]))
+                out = [_chain_row(no, c, doc, r, chain) for doc, r, chain in _run_chains(runs) if _roomy(chain)]
         return _cells(out, _CHAINS, kinds_of_columns)
 
     places = pa.list_(pa.int32())
@@ -406,13 +598,29 @@ def chain_table(parts: DataFrame, told: DataFrame, id_type: DataType) -> DataFra
     return with_chunks(parts, told, work, f"chunk bigint, d bigint, doc_id {id_type.simpleString()}, r bigint, at array<int>, rat array<int>, a int, ra int, rb int, x binary")
 
 
-def _chain_row(no: int, c: Chunk, doc: int, r: int, runs: list[tuple]) -> list[tuple]:
-    """The row of a chain that may hold a passage: one that has a second match, and room for it."""
-    if len(runs) == 1 and runs[0][0] == runs[0][2]:
-        return []
+def _run_chains(runs: tuple[np.ndarray, ...]):
+    """(doc, r, runs of the chain) for the chains of each two documents."""
+    cut = np.flatnonzero((np.diff(runs[0]) != 0) | (np.diff(runs[1]) != 0)) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(runs[0])]):
+        p0, r0, p1, r1 = (x[lo:hi].tolist() for x in runs[2:6])
+        for chain in chain_runs(p0, r0, p1, r1, runs[6][lo:hi].tolist()):
+            yield int(runs[0][lo]), int(runs[1][lo]), [(p0[i], r0[i], p1[i], r1[i]) for i in chain]
+
+
+def _roomy(runs: list[tuple]) -> bool:
+    """Whether a chain may hold a passage: one that has a second match."""
+    return len(runs) > 1 or runs[0][0] != runs[0][2]
+
+
+def _span(runs: list[tuple]) -> tuple:
+    """Seeds on both sides, and the begin and end of the words to align, of a chain."""
     at, rat = ([v for run in runs for v in ((run[i], run[i + 2]) if run[0] != run[2] else (run[i],))] for i in (0, 1))
-    a, b = max(0, at[0] - MARGIN), at[-1] + K + MARGIN
-    return [(no, int(c.ds[doc]), c.ids[doc], r, at, rat, a, max(0, rat[0] - MARGIN), rat[-1] + K + MARGIN, c.slice(doc, a, b))]
+    return at, rat, max(0, at[0] - MARGIN), at[-1] + K + MARGIN, max(0, rat[0] - MARGIN), rat[-1] + K + MARGIN
+
+
+def _chain_row(no: int, c: Chunk, doc: int, r: int, runs: list[tuple]) -> tuple:
+    at, rat, a, b, ra, rb = _span(runs)
+    return no, int(c.ds[doc]), c.ids[doc], r, at, rat, a, ra, rb, c.slice(doc, a, b)
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> int:
@@ -465,34 +673,54 @@ def aligned(pairs: DataFrame, id_type: str) -> DataFrame:
     def work(batches):
         for b in batches:
             out = []
-            for chunk, d, doc, rep, at, rat, a, ra, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            for chunk, d, doc, r, rep, at, rat, a, ra, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
                 s, e, rs, re_, n = align(x, y, [i - a for i in at], [i - ra for i in rat])
                 share = n / max(e - s, re_ - rs, 1)
                 if n >= MIN_WORDS and share >= IDENTITY:
-                    out.append((chunk, d, doc, s + a, e + a, rep, rs + ra, re_ + ra, n, share))
-            kinds = [pa.int64(), pa.int64(), b.schema.field(2).type, pa.int64(), pa.int64(), b.schema.field(3).type, *[pa.int64()] * 3, pa.float64()]
-            yield _cells(out, ["chunk", "d", "doc_id", "start", "end", "rep_doc_id", "rep_start", "rep_end", "equal_words", "identity"], kinds)
+                    out.append((chunk, d, doc, s + a, e + a, r, rep, rs + ra, re_ + ra, n, share))
+            kinds = [pa.int64(), pa.int64(), b.schema.field(2).type, *[pa.int64()] * 3, b.schema.field(4).type, *[pa.int64()] * 3, pa.float64()]
+            yield _cells(out, ["chunk", "d", "doc_id", "start", "end", "r", "rep_doc_id", "rep_start", "rep_end", "equal_words", "identity"], kinds)
 
-    return pairs.mapInArrow(work, f"chunk bigint, d bigint, doc_id {id_type}, start bigint, end bigint, rep_doc_id {id_type}, rep_start bigint, "
+    return pairs.mapInArrow(work, f"chunk bigint, d bigint, doc_id {id_type}, start bigint, end bigint, r bigint, rep_doc_id {id_type}, rep_start bigint, "
                                   "rep_end bigint, equal_words bigint, identity double")
 
 
-def beside(chained: DataFrame, words: DataFrame) -> DataFrame:
-    """Chains with the words ``y`` of their representative's side.
+def beside(chained: DataFrame, words: DataFrame, key: str = "r", doc: str = "rep_doc_id", begin: str = "ra", end: str = "rb", out: str = "y") -> DataFrame:
+    """Chains with the id ``doc`` and the words ``out`` of the document ``key``, their representative.
 
-    The words of a document that represents many chains are sent to one task for each
+    The words of a document that has many chains are sent to one task for each
     ``CHAINS_PER_TASK`` of them.
     """
-    counts = chained.groupBy("r").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHAINS_PER_TASK)
-    crowded = counts.select("r", F.ceil(F.col("n") / CHAINS_PER_TASK).cast("int").alias("tasks"))
+    counts = chained.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHAINS_PER_TASK)
+    crowded = counts.select(key, F.ceil(F.col("n") / CHAINS_PER_TASK).cast("int").alias("tasks"))
     crowded = broadcast_if_small(crowded)  # a row for each CHAINS_PER_TASK chains at most
-    other = words.select(F.col("d").alias("r"), F.col("doc_id").alias("rep_doc_id"), "words").join(crowded, "r", "left")
+    other = words.select(F.col("d").alias(key), F.col("doc_id").alias(doc), "words").join(crowded, key, "left")
     other = other.withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
-    mine = chained.join(crowded, "r", "left")
-    mine = mine.withColumn("task", F.coalesce(F.pmod(F.xxhash64("d", F.lit(21)), F.col("tasks")), F.lit(0)).cast("int")).drop("tasks")
-    y = F.substring("words", (2 * F.col("ra") + 1).cast("int"), (2 * (F.col("rb") - F.col("ra"))).cast("int"))
-    return mine.join(other, ["r", "task"]).select("chunk", "d", "doc_id", "rep_doc_id", "at", "rat", "a", "ra", "x", y.alias("y"))
+    mine = chained.join(crowded, key, "left")
+    spread = F.xxhash64("d", "r", F.lit(21)) if key == "d" else F.xxhash64("d", F.lit(21))
+    mine = mine.withColumn("task", F.coalesce(F.pmod(spread, F.col("tasks")), F.lit(0)).cast("int")).drop("tasks")
+    slice_ = F.substring("words", (2 * F.col(begin) + 1).cast("int"), (2 * (F.col(end) - F.col(begin))).cast("int"))
+    return mine.join(other, [key, "task"]).withColumn(out, slice_).drop("words", "task")
+
+
+_PAIRS = ["chunk", "d", "doc_id", "r", "rep_doc_id", "at", "rat", "a", "ra", "x", "y"]
+
+
+def hidden(scratch: Scratch, parts: DataFrame, words: DataFrame, wanted: DataFrame, found: DataFrame, shards: int, id_type: str) -> DataFrame:
+    """Passages of documents whose seeds have representatives that share no passage with them: all pairs are compared."""
+    where = parts.select("chunk", F.explode("ds").alias("d"))
+    ends = found.select(F.col("r").alias("d"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end")).distinct().join(where, "d")
+    known = _told(found, 2).unionByName(_told(ends, 2))
+    bare, _ = scratch.pin(by_shards(bare_keys(parts, _told(wanted, 0).unionByName(known), shards), shards, bare_somewhere))
+    told = _told(bare, 0).unionByName(known)
+    pairs, _ = scratch.pin(by_shards(pair_keys(parts, told, shards), shards, repeated_bare))
+    placed, _ = scratch.pin(pair_rows(parts, told.unionByName(_told(pairs, 3))))
+    chained, _ = scratch.pin(chained_matches(matches(placed)))
+    named = chained.select("d").union(chained.select("r")).distinct()
+    words, _ = scratch.pin(words.join(broadcast_if_small(named), "d", "left_semi"))
+    both = beside(beside(chained, words, "d", "doc_id", "a", "b", "x"), words)
+    return scratch.pin(aligned(both.select(*_PAIRS), id_type).distinct())[0]
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -514,18 +742,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     wanted, wanted_path = scratch.pin(by_shards(chunk_keys(parts, shards), shards, repeated))
     # rows equal in id and text are one document
     words = word_rows(parts, docs.schema[doc_id].dataType).dropDuplicates(["d"])
-    told, out = _told(wanted, 0), None
-    for no in range(ROUNDS):
-        answers, _ = scratch.pin(by_shards(offers(parts, told, shards), shards, least))
-        seen = _told(answers, 1 if no == 0 else 3)
-        seen = seen if out is None else seen.unionByName(_told(out, 2))
-        chained, _ = scratch.pin(chain_table(parts, seen, docs.schema[doc_id].dataType))
-        found, _ = scratch.pin(aligned(beside(chained, words), id_type).distinct())
-        out = found if out is None else out.unionByName(found)
-        told = _told(answers, 1).unionByName(_told(out, 2))
+    answers, _ = scratch.pin(by_shards(offers(parts, _told(wanted, 0), shards), shards, least))
+    chained, _ = scratch.pin(chain_table(parts, _told(answers, 1), docs.schema[doc_id].dataType))
+    found, _ = scratch.pin(aligned(beside(chained, words).select(*_PAIRS), id_type).distinct())
+    out = found.unionByName(hidden(scratch, parts, words, wanted, found, shards, id_type))
     scratch.drop(wanted_path)
     scratch.drop_table(name, path)
-    rows = out.drop("chunk", "d").distinct()
+    rows = out.drop("chunk", "d", "r").distinct()
     own = rows.select(F.col("rep_doc_id").alias("doc_id"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end"), "rep_doc_id",
                       "rep_start", "rep_end", (F.col("rep_end") - F.col("rep_start")).alias("equal_words"), F.lit(1.0).alias("identity"))
     return rows.unionByName(own.distinct())
