@@ -47,7 +47,8 @@ MERGE = 16  # matches on one diagonal at most so many words apart are one run
 CHUNK_BYTES = 8_000_000
 CHUNK_DOCS = 20_000
 REACH = 64  # words from one seed of a pair to the other
-BLOCK = 1024  # occurrences of a pair of seeds that are compared with as many others at once
+BLOCK = 8192  # occurrences of a pair of seeds that meet as many others in one group
+TILE = 1024  # and are compared with as many of them at once
 CHAINS_PER_TASK = 2000  # chains to one document that a task aligns
 KEY_BITS = 48
 CACHED_WORDS = 300_000
@@ -327,12 +328,18 @@ def _wanted(shard: int, rows: list[dict], keys: list[np.ndarray], wanted: np.nda
 
 
 def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]) -> tuple[np.ndarray, ...]:
-    """(pair, document, position, words to the second seed, outside all passages), sorted, of the pairs of different seeds
-    among ``keys``; of the places of a second seed the nearest."""
+    """(pair, document, position, words to the second seed, outside all passages, prior, later), sorted, of the pairs of
+    different seeds among ``keys``; of the places of a second seed the nearest.  ``prior`` and ``later`` name the seed before
+    and behind with its distance, or are 0 where it makes no longer pair within one run (``MERGE`` words) with the other end."""
     able, _ = _place(c, keys)
     at = np.flatnonzero(able)
     at = at[np.lexsort((c.pos[at], c.doc[at]))]
     key, doc, pos, bare = c.key[at], c.doc[at], c.pos[at], ~covered(c, passages)[at]
+    once = np.zeros(len(at), bool)
+    order = np.lexsort((doc, key))
+    new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(doc[order]) != 0), True]
+    once[order] = new[:-1] & new[1:] if len(at) else False
+    step = np.r_[np.where(np.diff(doc) == 0, np.diff(pos), 2 * REACH), 2 * REACH] if len(at) else np.zeros(0, np.int64)  # words to the next seed
     found = []
     for lag in range(1, REACH + 1):
         near = (doc[lag:] == doc[:-lag]) & (pos[lag:] - pos[:-lag] <= REACH)
@@ -340,14 +347,26 @@ def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]) -> tuple[np.nda
             break
         i = np.flatnonzero(near & (key[lag:] != key[:-lag]))
         pair = (key[i] * _FACTORS[0] + key[i + lag] * _FACTORS[1]) * np.uint64(0x9FB21C651E98DF25)
-        found.append((pair ^ (pair >> np.uint64(32)), doc[i], pos[i], pos[i + lag] - pos[i], bare[i] & bare[i + lag]))
+        far, both = pos[i + lag] - pos[i], bare[i] & bare[i + lag]
+        before, behind = np.maximum(i - 1, 0), np.minimum(i + lag + 1, len(key) - 1)
+        gap, gap_behind = np.where(i > 0, step[before], 2 * REACH), step[i + lag]
+        longer = (far + gap <= MERGE) & (bare[before] | ~both) & (key[before] != key[i + lag])
+        prior = np.where(longer, _named(key[before], gap), 0)
+        longer = (far + gap_behind <= MERGE) & (bare[behind] | ~both) & (key[behind] != key[i]) & once[behind]
+        later = np.where(longer, _named(key[behind], gap_behind), 0)
+        found.append((pair ^ (pair >> np.uint64(32)), doc[i], pos[i], far, both, prior, later))
     if not found:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool)
-    pair, doc, pos, far, bare = (np.concatenate(x) for x in zip(*found))
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), *[np.zeros(0, np.int64)] * 2
+    pair, doc, pos, far, bare, prior, later = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((far, pos, doc, pair))
-    pair, doc, pos, far, bare = (x[order] for x in (pair, doc, pos, far, bare))
+    pair, doc, pos, far, bare, prior, later = (x[order] for x in (pair, doc, pos, far, bare, prior, later))
     new = np.flatnonzero(np.r_[True, (np.diff(pair) != 0) | (np.diff(doc) != 0) | (np.diff(pos) != 0)][: len(pair)])
-    return pair[new], doc[new], pos[new], far[new], bare[new]
+    return pair[new], doc[new], pos[new], far[new], bare[new], prior[new], later[new]
+
+
+def _named(key: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """A seed and its distance as one number over 0."""
+    return (key.astype(np.int64) << 8 | gap) + 1
 
 
 def pair_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
@@ -356,7 +375,7 @@ def pair_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
     def work(no, c, kinds):
         out = []
         if kinds.get(0):
-            pair, doc, _, _, bare = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
+            pair, doc, _, _, bare, *_ = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
             if len(pair):
                 first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
                 last = np.r_[first[1:], len(pair)] - 1
@@ -386,21 +405,21 @@ def around(c: Chunk, doc: np.ndarray, pos: np.ndarray, far: np.ndarray) -> tuple
     return words, beyond[:, 0], beyond[:, 1]
 
 
-PLACED = "pair bigint, d bigint, pos int, far int, bare boolean, words binary, before int, after int"
+PLACED = "pair bigint, d bigint, pos int, far int, bare boolean, prior bigint, later bigint, words binary, before int, after int"
 
 
 def pair_rows(parts: DataFrame, told: DataFrame) -> DataFrame:
     """The occurrences of the wanted pairs of seeds; in a document those with the same words around are one."""
-    kinds_of_columns = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
+    kinds_of_columns = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
 
     def work(no, c, kinds):
         rows: dict[tuple, tuple] = {}
         if kinds.get(3):
-            pair, doc, pos, far, bare = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
-            asked = np.isin(pair, _keys(kinds[3]))
-            pair, doc, pos, far, bare = (x[asked] for x in (pair, doc, pos, far, bare))
+            found = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
+            asked = np.isin(found[0], _keys(kinds[3]))
+            pair, doc, pos, far, bare, prior, later = (x[asked] for x in found)
             words, before, after = around(c, doc, pos, far)
-            cells = [pair.view(np.int64), c.ds[doc], pos, far, bare, map(bytes, words), before, after]
+            cells = [pair.view(np.int64), c.ds[doc], pos, far, bare, prior, later, map(bytes, words), before, after]
             for row in zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in cells)):
                 rows.setdefault((*row[:2], *row[3:]), row)
         return _cells(list(rows.values()), [f.split()[0] for f in PLACED.split(", ")], kinds_of_columns)
@@ -429,7 +448,7 @@ def whole_groups(batches, names: list[str]):
 
 
 def _meeting(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``left`` and ``right`` whose pairs of seeds may begin and end one passage."""
+    """Rows of ``left`` and ``right`` whose pairs of seeds may begin and end one passage, and make no longer pair with the seed beside."""
     u, v = t["words"][left], t["words"][right]
     equal = np.zeros((len(left), len(right)), np.uint8)
     for i in range(2 * MARGIN):
@@ -438,12 +457,27 @@ def _meeting(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same
         equal -= np.minimum(t[n][left, None], t[n][None, right])
     able = equal + np.minimum(t["far"][left, None], t["far"][None, right]) >= MIN_WORDS - K
     able &= (t["bare"][left, None] | t["bare"][None, right]) & (t["d"][left, None] != t["d"][None, right])
+    for n in ("prior", "later"):
+        able &= (t[n][left, None] != t[n][None, right]) | (t[n][left, None] == 0)
     if same:
         able &= np.arange(len(left))[:, None] < np.arange(len(right))
     i, j = np.nonzero(able)
     return left[i], right[j]
 
 
+def _most(t: dict[str, np.ndarray], at: np.ndarray):
+    """Tells which rows have the seed before, or behind, that most rows of ``at`` have."""
+    if len(at) <= 32:
+        return lambda rows: np.zeros(len(rows), bool)
+    best = (0, "prior", 0)
+    for n in ("prior", "later"):
+        names, count = np.unique(t[n][at], return_counts=True)
+        count[names == 0] = 0
+        best = max(best, (int(count.max()), n, int(names[count.argmax()])))
+    _, name, value = best
+    return lambda rows: (t[name][rows] == value) & (value != 0)
+
+
 def matches(placed: DataFrame) -> DataFrame:
     """(d, r, pos, rpos) of the seeds of pairs that two documents share, the smaller one as ``r``.
 
@@ -455,11 +489,11 @@ def matches(placed: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "pos", F.lit(22)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("pair", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
-                       "d", "pos", "far", "bare", "words", "before", "after")
+                       "d", "pos", "far", "bare", "prior", "later", "words", "before", "after")
 
     def work(batches):
         for table in whole_groups(batches, ["pair", "x", "y"]):
-            t = {n: table.column(n).to_numpy() for n in ("pair", "x", "y", "block", "d", "pos", "far", "bare")}
+            t = {n: table.column(n).to_numpy() for n in ("pair", "x", "y", "block", "d", "pos", "far", "bare", "prior", "later")}
             t |= {n: table.column(n).to_numpy().astype(np.uint8) for n in ("before", "after")}
             t["far"] = t["far"].astype(np.int16)
             t["words"] = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, 2 * MARGIN)
@@ -467,10 +501,18 @@ def matches(placed: DataFrame) -> DataFrame:
             found = []
             for at in np.split(np.arange(len(t["pair"])), new):
                 x, y = t["x"][at[0]], t["y"][at[0]]
-                left, right = (at, at) if x == y else (at[t["block"][at] == x], at[t["block"][at] == y])
-                for lo in range(0, len(left), BLOCK):  # a block may be a little larger than the others
-                    for to in range(lo if x == y else 0, len(right), BLOCK):
-                        found.append(_meeting(t, left[lo : lo + BLOCK], right[to : to + BLOCK], x == y and lo == to))
+                most = _most(t, at)  # rows that need not meet each other
+                sides = [at] if x == y else [at[t["block"][at] == x], at[t["block"][at] == y]]
+                left, right = ((side[~most(side)], side[most(side)]) for side in (sides[0], sides[-1]))
+                meet = [(left[0], left[0], True), (left[0], left[1], False)]
+                if x != y:
+                    meet = [(left[0], right[0], False), (left[0], right[1], False), (left[1], right[0], False)]
+                for one, other, same in meet:
+                    for lo in range(0, len(one), TILE):
+                        for to in range(lo if same else 0, len(other), TILE):
+                            found.append(_meeting(t, one[lo : lo + TILE], other[to : to + TILE], same and lo == to))
+            if not found:
+                continue
             i, j = (np.concatenate(side) for side in zip(*found))
             i, j = np.where(t["d"][i] > t["d"][j], i, j), np.where(t["d"][i] > t["d"][j], j, i)
             for more in (0, 1):
