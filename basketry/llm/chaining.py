@@ -47,8 +47,11 @@ MERGE = 16  # matches on one diagonal at most so many words apart are one run
 CHUNK_BYTES = 8_000_000
 CHUNK_DOCS = 20_000
 REACH = 64  # words from one seed of a pair to the other
-BLOCK = 8192  # occurrences of a pair of seeds that meet as many others in one group
-TILE = 1024  # and are compared with as many of them at once
+BLOCK = 32768  # occurrences of a pair of seeds that meet as many others in one group
+TILE = 64, 4096  # of them, so many are compared with so many at once
+SMALL = 32  # occurrences in a group up to which all pairs of them are listed
+LISTED = 65_536  # pairs of occurrences listed, or matches sent, at once
+SLICE = 4096  # seeds of a chunk whose pairs are formed at once
 CHAINS_PER_TASK = 2000  # chains to one document that a task aligns
 KEY_BITS = 48
 CACHED_WORDS = 300_000
@@ -221,19 +224,19 @@ def least(shard: int, rows: list[dict]) -> list[tuple]:
 
 def covered(c: Chunk, passages: list[dict]) -> np.ndarray:
     """Which of the chunk's seeds lie in a passage (d, start, end) that is known already."""
-    inside = np.zeros(len(c.key), bool)
-    if not passages:
-        return inside
+    if not passages or not len(c.key):
+        return np.zeros(len(c.key), bool)
+    ds, of = np.unique(c.ds, return_inverse=True)
     d, start, end = (np.array([p[n] for p in passages], np.int64) for n in ("d", "start", "end"))
-    own = np.argsort(d, kind="stable")
-    d, start, end = d[own], start[own], end[own]
-    by_doc = np.argsort(c.doc, kind="stable")
-    docs_, begin = np.unique(c.doc[by_doc], return_index=True)
-    for doc, some in zip(docs_.tolist(), np.split(by_doc, begin[1:])):
-        lo, hi = np.searchsorted(d, [c.ds[doc], c.ds[doc] + 1])
-        for s, e in zip(start[lo:hi].tolist(), end[lo:hi].tolist()):
-            inside[some] |= (c.pos[some] >= s) & (c.pos[some] + K <= e)
-    return inside
+    at = np.minimum(np.searchsorted(ds, d), len(ds) - 1)
+    known = ds[at] == d
+    far = max(int(end.max()), int(c.pos.max()) + K) + 1  # the documents' words follow each other at this distance
+    begin, until = (at * far + start)[known], (at * far + end)[known]
+    order = np.argsort(begin)
+    begin, until = begin[order], np.maximum.accumulate(until[order])
+    place = of[c.doc] * far + c.pos
+    last = np.searchsorted(begin, place, side="right")
+    return np.r_[-1, until][last] >= place + K
 
 
 def _answers(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -327,10 +330,11 @@ def _wanted(shard: int, rows: list[dict], keys: list[np.ndarray], wanted: np.nda
     return [(shard, r["chunk"], steps(k), None, None) for r, k in ((r, np.intersect1d(k, wanted, assume_unique=True)) for r, k in zip(rows, keys)) if len(k)]
 
 
-def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]) -> tuple[np.ndarray, ...]:
+def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]):
     """(pair, document, position, words to the second seed, outside all passages, prior, later), sorted, of the pairs of
-    different seeds among ``keys``; of the places of a second seed the nearest.  ``prior`` and ``later`` name the seed before
-    and behind with its distance, or are 0 where it makes no longer pair within one run (``MERGE`` words) with the other end."""
+    different seeds among ``keys``, for ``SLICE`` first seeds at a time; of the places of a second seed the nearest.  ``prior``
+    and ``later`` name the seed before and behind with its distance, or are 0 where it makes no longer pair within one run
+    (``MERGE`` words) with the other end."""
     able, _ = _place(c, keys)
     at = np.flatnonzero(able)
     at = at[np.lexsort((c.pos[at], c.doc[at]))]
@@ -340,28 +344,34 @@ def seed_pairs(c: Chunk, keys: np.ndarray, passages: list[dict]) -> tuple[np.nda
     new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(doc[order]) != 0), True]
     once[order] = new[:-1] & new[1:] if len(at) else False
     step = np.r_[np.where(np.diff(doc) == 0, np.diff(pos), 2 * REACH), 2 * REACH] if len(at) else np.zeros(0, np.int64)  # words to the next seed
-    found = []
-    for lag in range(1, REACH + 1):
-        near = (doc[lag:] == doc[:-lag]) & (pos[lag:] - pos[:-lag] <= REACH)
-        if not near.any():
-            break
-        i = np.flatnonzero(near & (key[lag:] != key[:-lag]))
-        pair = (key[i] * _FACTORS[0] + key[i + lag] * _FACTORS[1]) * np.uint64(0x9FB21C651E98DF25)
-        far, both = pos[i + lag] - pos[i], bare[i] & bare[i + lag]
-        before, behind = np.maximum(i - 1, 0), np.minimum(i + lag + 1, len(key) - 1)
-        gap, gap_behind = np.where(i > 0, step[before], 2 * REACH), step[i + lag]
-        longer = (far + gap <= MERGE) & (bare[before] | ~both) & (key[before] != key[i + lag])
-        prior = np.where(longer, _named(key[before], gap), 0)
-        longer = (far + gap_behind <= MERGE) & (bare[behind] | ~both) & (key[behind] != key[i]) & once[behind]
-        later = np.where(longer, _named(key[behind], gap_behind), 0)
-        found.append((pair ^ (pair >> np.uint64(32)), doc[i], pos[i], far, both, prior, later))
-    if not found:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, bool), *[np.zeros(0, np.int64)] * 2
-    pair, doc, pos, far, bare, prior, later = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((far, pos, doc, pair))
-    pair, doc, pos, far, bare, prior, later = (x[order] for x in (pair, doc, pos, far, bare, prior, later))
-    new = np.flatnonzero(np.r_[True, (np.diff(pair) != 0) | (np.diff(doc) != 0) | (np.diff(pos) != 0)][: len(pair)])
-    return pair[new], doc[new], pos[new], far[new], bare[new], prior[new], later[new]
+    for lo in range(0, len(at), SLICE):
+        found = []
+        for lag in range(1, REACH + 1):
+            i = np.arange(lo, min(lo + SLICE, len(at) - lag))
+            i = i[(doc[i + lag] == doc[i]) & (pos[i + lag] - pos[i] <= REACH)]
+            if not len(i):
+                break
+            i = i[key[i + lag] != key[i]]
+            pair = (key[i] * _FACTORS[0] + key[i + lag] * _FACTORS[1]) * np.uint64(0x9FB21C651E98DF25)
+            far, both = pos[i + lag] - pos[i], bare[i] & bare[i + lag]
+            before, behind = np.maximum(i - 1, 0), np.minimum(i + lag + 1, len(key) - 1)
+            gap, gap_behind = np.where(i > 0, step[before], 2 * REACH), step[i + lag]
+            longer = (far + gap <= MERGE) & (bare[before] | ~both) & (key[before] != key[i + lag])
+            prior = np.where(longer, _named(key[before], gap), 0)
+            longer = (far + gap_behind <= MERGE) & (bare[behind] | ~both) & (key[behind] != key[i]) & once[behind]
+            later = np.where(longer, _named(key[behind], gap_behind), 0)
+            found.append((pair ^ (pair >> np.uint64(32)), doc[i], pos[i], far, both, prior, later))
+        if not found:
+            continue
+        pair, doc_, pos_, far, both, prior, later = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((far, pos_, doc_, pair))
+        new = np.flatnonzero(_changes(pair[order], doc_[order], pos_[order]))
+        yield tuple(x[order][new] for x in (pair, doc_, pos_, far, both, prior, later))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    return np.r_[True, np.any([np.diff(x) != 0 for x in columns], axis=0)][: len(columns[0])]
 
 
 def _named(key: np.ndarray, gap: np.ndarray) -> np.ndarray:
@@ -373,13 +383,19 @@ def pair_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
     """The distinct pairs of seeds of each chunk, marked where several documents have them, and where one has them bare."""
 
     def work(no, c, kinds):
-        out = []
-        if kinds.get(0):
-            pair, doc, _, _, bare, *_ = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
+        out, some = [], []
+        for pair, doc, _, _, bare, *_ in seed_pairs(c, _keys(kinds[0]), kinds.get(2, [])) if kinds.get(0) else ():
+            first = np.flatnonzero(_changes(pair))
+            last = np.r_[first[1:], len(pair)] - 1
             if len(pair):
-                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                last = np.r_[first[1:], len(pair)] - 1
-                out = _sent(no, pair[first], shards, c.ds[doc[first]] != c.ds[doc[last]], np.logical_or.reduceat(bare, first))
+                some.append((pair[first], doc[first], doc[last], np.logical_or.reduceat(bare, first)))
+        if some:
+            pair, low, high, bare = (np.concatenate(x) for x in zip(*some))
+            order = np.argsort(pair, kind="stable")
+            pair, low, high, bare = pair[order], low[order], high[order], bare[order]
+            first = np.flatnonzero(_changes(pair))
+            last = np.r_[first[1:], len(pair)] - 1
+            out = _sent(no, pair[first], shards, c.ds[low[first]] != c.ds[high[last]], np.logical_or.reduceat(bare, first))
         return _cells(out, _SENT, _SENT_KINDS)
 
     return with_chunks(parts, told, work, SENT)
@@ -408,25 +424,43 @@ def around(c: Chunk, doc: np.ndarray, pos: np.ndarray, far: np.ndarray) -> tuple
 PLACED = "pair bigint, d bigint, pos int, far int, bare boolean, prior bigint, later bigint, words binary, before int, after int"
 
 
+_PLACED = np.dtype([("pair", "<i8"), ("d", "<i8"), ("far", "<i4"), ("bare", "?"), ("prior", "<i8"), ("later", "<i8"), ("words", f"V{2 * MARGIN}"),
+                    ("before", "<i4"), ("after", "<i4"), ("pos", "<i4")])
+
+
 def pair_rows(parts: DataFrame, told: DataFrame) -> DataFrame:
     """The occurrences of the wanted pairs of seeds; in a document those with the same words around are one."""
-    kinds_of_columns = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
 
     def work(no, c, kinds):
-        rows: dict[tuple, tuple] = {}
+        some = [np.zeros(0, _PLACED)]
         if kinds.get(3):
-            found = seed_pairs(c, _keys(kinds[0]), kinds.get(2, []))
-            asked = np.isin(found[0], _keys(kinds[3]))
-            pair, doc, pos, far, bare, prior, later = (x[asked] for x in found)
-            words, before, after = around(c, doc, pos, far)
-            cells = [pair.view(np.int64), c.ds[doc], pos, far, bare, prior, later, map(bytes, words), before, after]
-            for row in zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in cells)):
-                rows.setdefault((*row[:2], *row[3:]), row)
-        return _cells(list(rows.values()), [f.split()[0] for f in PLACED.split(", ")], kinds_of_columns)
+            asked = _keys(kinds[3])
+            for found in seed_pairs(c, _keys(kinds[0]), kinds.get(2, [])):
+                wanted = np.flatnonzero(np.isin(found[0], asked))
+                for at in np.split(wanted, range(LISTED // 16, len(wanted), LISTED // 16)):
+                    pair, doc, pos, far, bare, prior, later = (x[at] for x in found)
+                    words, before, after = around(c, doc, pos, far)
+                    rows = np.zeros(len(at), _PLACED)
+                    cells = [pair.view(np.int64), c.ds[doc], far, bare, prior, later, words.view(f"V{2 * MARGIN}").ravel(), before, after, pos]
+                    for name, x in zip(_PLACED.names, cells):
+                        rows[name] = x
+                    some.append(_distinct(rows))
+        rows = _distinct(np.concatenate(some))
+        words = pa.Array.from_buffers(pa.binary(), len(rows), [None, *map(pa.py_buffer, (np.arange(len(rows) + 1, dtype=np.int32) * 2 * MARGIN, rows["words"].tobytes()))])
+        names = [f.split()[0] for f in PLACED.split(", ")]
+        return pa.RecordBatch.from_arrays([words if n == "words" else pa.array(np.ascontiguousarray(rows[n])) for n in names], names)
 
     return with_chunks(parts, told, work, PLACED)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Of rows that agree in all but ``pos``, which comes last, the one with the smallest."""
+    wide = rows.dtype.itemsize - 4
+    same = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), wide + 4)[:, :wide]).view(f"V{wide}").ravel()
+    order = np.argsort(rows["pos"], kind="stable")
+    return rows[order[np.unique(same[order], return_index=True)[1]]]
+
+
 def whole_groups(batches, names: list[str]):
     """Tables of whole groups of rows equal in ``names``, for batches sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -447,28 +481,54 @@ def whole_groups(batches, names: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _meeting(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``left`` and ``right`` whose pairs of seeds may begin and end one passage, and make no longer pair with the seed beside."""
-    u, v = t["words"][left], t["words"][right]
-    equal = np.zeros((len(left), len(right)), np.uint8)
-    for i in range(2 * MARGIN):
-        equal += u[:, i, None] == v[None, :, i]
-    for n in ("before", "after"):  # nothing on both sides is not an equal word
-        equal -= np.minimum(t[n][left, None], t[n][None, right])
-    able = equal + np.minimum(t["far"][left, None], t["far"][None, right]) >= MIN_WORDS - K
-    able &= (t["bare"][left, None] | t["bare"][None, right]) & (t["d"][left, None] != t["d"][None, right])
+def _meet(t: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows (i, j) with enough equal words those of two documents, one of them outside all passages, that make no
+    longer pair with the seed beside."""
+    able = (t["bare"][i] | t["bare"][j]) & (t["d"][i] != t["d"][j])
     for n in ("prior", "later"):
-        able &= (t[n][left, None] != t[n][None, right]) | (t[n][left, None] == 0)
-    if same:
-        able &= np.arange(len(left))[:, None] < np.arange(len(right))
-    i, j = np.nonzero(able)
-    return left[i], right[j]
+        able &= (t[n][i] != t[n][j]) | (t[n][i] == 0)
+    return i[able], j[able]
+
+
+def _meeting(t: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, same: bool):
+    """Rows of ``left`` and ``right`` whose pairs of seeds may begin and end one passage, a tile at a time; ``same`` if they are the same rows."""
+    rows, columns = TILE
+    for to in range(0, len(right), columns):
+        other = right[to : to + columns]
+        v = np.ascontiguousarray(t["words"][other].T)
+        for lo in range(0, min(len(left), to + columns) if same else len(left), rows):
+            one = left[lo : lo + rows]
+            u = t["words"][one]
+            equal, hit = np.zeros((len(one), len(other)), np.uint8), np.empty((len(one), len(other)), bool)
+            for k in range(2 * MARGIN):
+                np.equal(u[:, k, None], v[k], out=hit)
+                equal += hit.view(np.uint8)
+            for n in ("before", "after"):  # nothing on both sides is not an equal word
+                equal -= np.minimum(t[n][one, None], t[n][None, other])
+            equal += np.minimum(t["far"][one, None], t["far"][None, other])
+            i, j = np.nonzero(equal >= MIN_WORDS - K)
+            if same:
+                i, j = i[lo + i < to + j], j[lo + i < to + j]
+            if len(i):
+                yield _meet(t, one[i], other[j])
+
+
+def _listed(t: dict[str, np.ndarray], at: np.ndarray, ends: np.ndarray):
+    """What :func:`_meeting` gives, of all pairs of rows in each of many small groups; ``ends`` are those of the rows' groups."""
+    behind = ends - at - 1  # rows of the group that follow
+    for lo in range(0, len(at), LISTED // SMALL):
+        few = slice(lo, lo + LISTED // SMALL)
+        i = np.repeat(at[few], behind[few])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind[few]) - behind[few], behind[few])
+        equal = (t["words"][i] == t["words"][j]).sum(1, dtype=np.uint8)
+        for n in ("before", "after"):
+            equal -= np.minimum(t[n][i], t[n][j])
+        able = equal + np.minimum(t["far"][i], t["far"][j]) >= MIN_WORDS - K
+        yield _meet(t, i[able], j[able])
 
 
 def _most(t: dict[str, np.ndarray], at: np.ndarray):
     """Tells which rows have the seed before, or behind, that most rows of ``at`` have."""
-    if len(at) <= 32:
-        return lambda rows: np.zeros(len(rows), bool)
     best = (0, "prior", 0)
     for n in ("prior", "later"):
         names, count = np.unique(t[n][at], return_counts=True)
@@ -478,10 +538,30 @@ def _most(t: dict[str, np.ndarray], at: np.ndarray):
     return lambda rows: (t[name][rows] == value) & (value != 0)
 
 
+def _met(t: dict[str, np.ndarray]):
+    """Pairs of rows that meet in their groups (pair, x, y), in pieces."""
+    first = np.flatnonzero(_changes(t["pair"], t["x"], t["y"]))
+    sizes = np.diff(np.r_[first, len(t["pair"])])
+    small = (sizes <= SMALL) & (t["x"][first] == t["y"][first])
+    listed = np.flatnonzero(np.repeat(small, sizes))
+    yield from _listed(t, listed, np.repeat(first + sizes, sizes)[listed])
+    for at in (f + np.arange(n) for f, n in zip(first[~small].tolist(), sizes[~small].tolist())):
+        x, y = t["x"][at[0]], t["y"][at[0]]
+        most = _most(t, at)  # rows that need not meet each other
+        sides = [at] if x == y else [at[t["block"][at] == x], at[t["block"][at] == y]]
+        left, right = ((side[~most(side)], side[most(side)]) for side in (sides[0], sides[-1]))
+        meet = [(left[0], left[0], True), (left[0], left[1], False)]
+        if x != y:
+            meet = [(left[0], right[0], False), (left[0], right[1], False), (left[1], right[0], False)]
+        for one, other, same in meet:
+            yield from _meeting(t, one, other, same)
+
+
 def matches(placed: DataFrame) -> DataFrame:
-    """(d, r, pos, rpos) of the seeds of pairs that two documents share, the smaller one as ``r``.
+    """(d, r, pos, rpos) of the seeds of pairs that two documents share, the smaller one as ``r``; several times if in several pairs.
 
     The occurrences of a pair of seeds are dealt in blocks of some ``BLOCK``; each two blocks meet in a group of their own.
+    What meets is sent in pieces, so that a task holds its groups' occurrences but not all that meet.
     """
     counts = placed.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
     crowded = broadcast_if_small(counts.select("pair", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
@@ -491,36 +571,32 @@ def matches(placed: DataFrame) -> DataFrame:
     rows = rows.select("pair", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
                        "d", "pos", "far", "bare", "prior", "later", "words", "before", "after")
 
+    def sent(t, pieces):
+        i, j = (np.concatenate(side) for side in zip(*pieces))
+        i, j = np.where(t["d"][i] > t["d"][j], i, j), np.where(t["d"][i] > t["d"][j], j, i)
+        for lo in range(0, len(i), LISTED):
+            a, b = i[lo : lo + LISTED], j[lo : lo + LISTED]
+            for more in (0, 1):
+                cells = [t["d"][a], t["d"][b], t["pos"][a] + more * t["far"][a], t["pos"][b] + more * t["far"][b]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cells], ["d", "r", "pos", "rpos"])
+
     def work(batches):
         for table in whole_groups(batches, ["pair", "x", "y"]):
             t = {n: table.column(n).to_numpy() for n in ("pair", "x", "y", "block", "d", "pos", "far", "bare", "prior", "later")}
-            t |= {n: table.column(n).to_numpy().astype(np.uint8) for n in ("before", "after")}
-            t["far"] = t["far"].astype(np.int16)
+            t |= {n: t[n].astype(np.uint8) if n in t else table.column(n).to_numpy().astype(np.uint8) for n in ("far", "before", "after")}
             t["words"] = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint8).reshape(-1, 2 * MARGIN)
-            new = np.flatnonzero(np.diff(t["pair"]) | np.diff(t["x"]) | np.diff(t["y"])) + 1
-            found = []
-            for at in np.split(np.arange(len(t["pair"])), new):
-                x, y = t["x"][at[0]], t["y"][at[0]]
-                most = _most(t, at)  # rows that need not meet each other
-                sides = [at] if x == y else [at[t["block"][at] == x], at[t["block"][at] == y]]
-                left, right = ((side[~most(side)], side[most(side)]) for side in (sides[0], sides[-1]))
-                meet = [(left[0], left[0], True), (left[0], left[1], False)]
-                if x != y:
-                    meet = [(left[0], right[0], False), (left[0], right[1], False), (left[1], right[0], False)]
-                for one, other, same in meet:
-                    for lo in range(0, len(one), TILE):
-                        for to in range(lo if same else 0, len(other), TILE):
-                            found.append(_meeting(t, one[lo : lo + TILE], other[to : to + TILE], same and lo == to))
-            if not found:
-                continue
-            i, j = (np.concatenate(side) for side in zip(*found))
-            i, j = np.where(t["d"][i] > t["d"][j], i, j), np.where(t["d"][i] > t["d"][j], j, i)
-            for more in (0, 1):
-                cells = [t["d"][i], t["d"][j], t["pos"][i] + more * t["far"][i], t["pos"][j] + more * t["far"][j]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cells], ["d", "r", "pos", "rpos"])
+            pieces, held = [], 0
+            for piece in _met(t):
+                pieces.append(piece)
+                held += len(piece[0])
+                if held >= LISTED:
+                    yield from sent(t, pieces)
+                    pieces, held = [], 0
+            if held:
+                yield from sent(t, pieces)
 
     dealt = rows.repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y")
-    return dealt.mapInArrow(work, "d bigint, r bigint, pos bigint, rpos bigint").distinct()
+    return dealt.mapInArrow(work, "d bigint, r bigint, pos bigint, rpos bigint")
 
 
 def chained_matches(found: DataFrame) -> DataFrame:
@@ -608,6 +684,7 @@ def chains(pos: list[int], rep: list[int]) -> list[list[int]]:
 def match_runs(doc: np.ndarray, r: np.ndarray, pos: np.ndarray, rpos: np.ndarray) -> tuple[np.ndarray, ...]:
     """(doc, r, p0, r0, p1, r1, worth) of the runs of matches on one diagonal, sorted by (doc, r, p0)."""
     order = np.lexsort((pos, rpos - pos, r, doc))
+    order = order[_changes(doc[order], r[order], pos[order], rpos[order])]  # a match counts once
     doc, r, pos, rpos = doc[order], r[order], pos[order], rpos[order]
     new = (np.diff(doc) != 0) | (np.diff(r) != 0) | (np.diff(rpos - pos) != 0) | (np.diff(pos) > MERGE)
     first = np.flatnonzero(np.r_[True, new])

@@ -3,14 +3,16 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from basketry.llm import chaining, html_extract, html_training, suffix_dedup
-from basketry.llm.packed import unsteps
+from basketry.llm.packed import steps, unsteps
 
 SCHEMA = "doc_id bigint, text string, id string, h int, key string, d string"
 
@@ -233,6 +235,46 @@ def test_no_number_of_other_documents_hides_a_passage(spark, monkeypatch, block)
     assert len(whole) == 8 and seen == set(whole) and len(pairs) == 4
 
 
+def most_held(step) -> tuple[float, int]:
+    """MB of memory held at most while the batches of ``step()`` are made and dropped, and their rows."""
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in step())
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_does_not_hold_all_that_meet(spark, monkeypatch):
+    """2,000 occurrences of a pair of seeds with the same words around them all meet: 1,999,000 pairs."""
+    tasks = []
+    plain = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, work, *a: tasks.append(work) or plain(self, work, *a))
+    chaining.matches(spark.createDataFrame([], chaining.PLACED))
+    n = 2000
+    cells = {"pair": [7] * n, "x": [0] * n, "y": [0] * n, "block": [0] * n, "d": list(range(n)), "pos": [40] * n, "far": [20] * n, "bare": [True] * n,
+             "prior": [0] * n, "later": [0] * n, "words": [bytes(range(1, 65))] * n, "before": [0] * n, "after": [0] * n}
+    kinds = dict(f.split() for f in chaining.PLACED.split(", ")) | {"x": "int", "y": "int", "block": "int"}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    batch = pa.RecordBatch.from_arrays([pa.array(v, types[kinds[k]]) for k, v in cells.items()], list(cells))
+    held, rows = most_held(lambda: tasks[0](iter([batch])))
+    assert rows == n * (n - 1) and held < 40
+
+
+def test_a_chunk_does_not_hold_the_words_around_all_pairs(spark, monkeypatch):
+    """The pairs of seeds of a text of 6,000 words, all of them wanted."""
+    works = []
+    monkeypatch.setattr(chaining, "with_chunks", lambda parts, told, work, schema: works.append(work))
+    chaining.pair_keys(None, None, 3)
+    chaining.pair_rows(None, None)
+    rows = spark.createDataFrame([(1, 1, bytearray(prose(random.Random(5), 6000).encode()))], "d bigint, doc_id bigint, bytes binary")
+    c = chaining.Chunk(chaining.chunks(rows, "bigint").collect()[0].asDict())
+    seeds = [{"keys": steps(c.codes)}]
+    pairs = works[0](0, c, {0: seeds}).to_pylist()
+    held, n = most_held(lambda: [works[1](0, c, {0: seeds, 3: pairs})])
+    assert n > 80_000 and held < 120
+
+
 def test_hot_seeds_cost_one_answer_a_chunk(spark, monkeypatch):
     """A line that all documents have is offered and answered once by each chunk."""
     monkeypatch.setattr(chaining, "CHUNK_DOCS", 50)
