@@ -44,7 +44,8 @@ MIN_WORDS = 40
 IDENTITY = 0.8
 MARGIN = 32  # words searched beyond a chain's ends
 MERGE = 16  # matches on one diagonal at most so many words apart are one run
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+CHUNKS_PER_SHARD = 4
 CHUNK_DOCS = 20_000
 REACH = 64  # words from one seed of a pair to the other
 BLOCK = 32768  # occurrences of a pair of seeds that meet as many others in one group
@@ -54,7 +55,7 @@ LISTED = 65_536  # pairs of occurrences listed, or matches sent, at once
 SLICE = 4096  # seeds of a chunk whose pairs are formed at once
 CHAINS_PER_TASK = 2000  # chains to one document that a task aligns
 KEY_BITS = 48
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _rng = random.Random(6)
 _FACTORS = np.array([_rng.getrandbits(64) | 1 for _ in range(K)], np.uint64)
 
@@ -127,6 +128,7 @@ def chunks(rows: DataFrame, id_type: str) -> DataFrame:
                 w = word_hashes(data)
                 held.append((d, key, (w >> np.uint64(48)).astype("<u2"), *seeds(w)))
                 count += len(data)
+        _hashes.clear()  # the worker lives on
         if held:
             yield closed()
 
@@ -134,10 +136,10 @@ def chunks(rows: DataFrame, id_type: str) -> DataFrame:
 
 
 class Chunk:
-    """The unpacked words and seeds of a chunk."""
+    """The unpacked seeds of a chunk, and its words where the row has them."""
 
     def __init__(self, row: dict):
-        self.ds, self.ids = np.array(row["ds"], np.int64), row["ids"]
+        self.ds, self.ids = np.array(row["ds"], np.int64), row.get("ids")
         self.ends = np.cumsum(row["counts"])
         self.begins = self.ends - row["counts"]
         self.key = unsteps(row["keys"])
@@ -146,7 +148,7 @@ class Chunk:
         self.pos = place - self.begins[self.doc] if len(place) else place
         self.first = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.zeros(0, np.int64)
         self.codes = self.key[self.first]
-        self.words = unpack(row["words"], "<u2")
+        self.words = unpack(row["words"], "<u2") if "words" in row else None
 
     def slice(self, doc: int, start: int, end: int) -> bytes:
         begin = self.begins[doc]
@@ -174,14 +176,19 @@ def chunk_keys(parts: DataFrame, shards: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 c = Chunk(row)
                 if len(c.codes):
                     last = np.r_[c.first[1:], len(c.key)] - 1
                     several = c.ds[c.doc[c.first]] != c.ds[c.doc[last]]
                     yield _cells(_sent(row["chunk"], c.codes, shards, several), _SENT, _SENT_KINDS)
 
-    return parts.mapInArrow(work, SENT)
+    return bare_parts(parts).mapInArrow(work, SENT)
+
+
+def bare_parts(parts: DataFrame) -> DataFrame:
+    """Chunks without their words and ids."""
+    return parts.drop("words", "ids")
 
 
 def by_shards(sent: DataFrame, shards: int, answer) -> DataFrame:
@@ -296,7 +303,7 @@ def offers(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
                 out = _sent(no, key[first], shards, c.ds[doc[first]].astype("<i8"), pos[first].astype("<i4"))
         return _cells(out, _SENT, _SENT_KINDS)
 
-    return with_chunks(parts, told, work, SENT)
+    return with_chunks(bare_parts(parts), told, work, SENT)
 
 
 def _keys(rows: list[dict]) -> np.ndarray:
@@ -316,7 +323,7 @@ def bare_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
                 out = _sent(no, key[first], shards, np.logical_or.reduceat(bare, first))
         return _cells(out, _SENT, _SENT_KINDS)
 
-    return with_chunks(parts, told, work, SENT)
+    return with_chunks(bare_parts(parts), told, work, SENT)
 
 
 def bare_somewhere(shard: int, rows: list[dict]) -> list[tuple]:
@@ -398,7 +405,7 @@ def pair_keys(parts: DataFrame, told: DataFrame, shards: int) -> DataFrame:
             out = _sent(no, pair[first], shards, c.ds[low[first]] != c.ds[high[last]], np.logical_or.reduceat(bare, first))
         return _cells(out, _SENT, _SENT_KINDS)
 
-    return with_chunks(parts, told, work, SENT)
+    return with_chunks(bare_parts(parts), told, work, SENT)
 
 
 def repeated_bare(shard: int, rows: list[dict]) -> list[tuple]:
@@ -627,6 +634,11 @@ def word_rows(parts: DataFrame, id_type: DataType) -> DataFrame:
     return parts.select("ds", "ids", "counts", "words").mapInArrow(work, f"d bigint, doc_id {id_type.simpleString()}, words binary")
 
 
+def words_of(words: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of :func:`word_rows` of the documents ``d`` that are named; rows equal in id and text are one document."""
+    return words.join(broadcast_if_small(named.distinct()), "d", "left_semi").dropDuplicates(["d"])
+
+
 class Fenwick:
     """Largest (value, index) of a prefix of positions."""
 
@@ -720,10 +732,11 @@ def chain_table(parts: DataFrame, told: DataFrame, id_type: DataType) -> DataFra
 def _run_chains(runs: tuple[np.ndarray, ...]):
     """(doc, r, runs of the chain) for the chains of each two documents."""
     cut = np.flatnonzero((np.diff(runs[0]) != 0) | (np.diff(runs[1]) != 0)) + 1
-    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(runs[0])]):
-        p0, r0, p1, r1 = (x[lo:hi].tolist() for x in runs[2:6])
-        for chain in chain_runs(p0, r0, p1, r1, runs[6][lo:hi].tolist()):
-            yield int(runs[0][lo]), int(runs[1][lo]), [(p0[i], r0[i], p1[i], r1[i]) for i in chain]
+    doc, r, p0, r0, p1, r1, worth = (x.tolist() for x in runs)
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(doc)]):
+        many = hi > lo + 1
+        for chain in chain_runs(p0[lo:hi], r0[lo:hi], p1[lo:hi], r1[lo:hi], worth[lo:hi]) if many else [[0]]:
+            yield doc[lo], r[lo], [(p0[lo + i], r0[lo + i], p1[lo + i], r1[lo + i]) for i in chain]
 
 
 def _roomy(runs: list[tuple]) -> bool:
@@ -836,8 +849,7 @@ def hidden(scratch: Scratch, parts: DataFrame, words: DataFrame, wanted: DataFra
     pairs, _ = scratch.pin(by_shards(pair_keys(parts, told, shards), shards, repeated_bare))
     placed, _ = scratch.pin(pair_rows(parts, told.unionByName(_told(pairs, 3))))
     chained, _ = scratch.pin(chained_matches(matches(placed)))
-    named = chained.select("d").union(chained.select("r")).distinct()
-    words, _ = scratch.pin(words.join(broadcast_if_small(named), "d", "left_semi"))
+    words, _ = scratch.pin(words_of(words, chained.select("d").union(chained.select("r"))))
     both = beside(beside(chained, words, "d", "doc_id", "a", "b", "x"), words)
     return scratch.pin(aligned(both.select(*_PAIRS), id_type).distinct())[0]
 
@@ -857,13 +869,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                        F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("bytes"))
     smallest = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts, name, path = scratch.table(chunks(rows, id_type), "chunk", max(smallest, docs.rdd.getNumPartitions()))
-    shards = max(smallest, parts.count() // 2)
+    shards = max(smallest, parts.count() // CHUNKS_PER_SHARD)
     wanted, wanted_path = scratch.pin(by_shards(chunk_keys(parts, shards), shards, repeated))
-    # rows equal in id and text are one document
-    words = word_rows(parts, docs.schema[doc_id].dataType).dropDuplicates(["d"])
+    words = word_rows(parts, docs.schema[doc_id].dataType)
     answers, _ = scratch.pin(by_shards(offers(parts, _told(wanted, 0), shards), shards, least))
     chained, _ = scratch.pin(chain_table(parts, _told(answers, 1), docs.schema[doc_id].dataType))
-    found, _ = scratch.pin(aligned(beside(chained, words).select(*_PAIRS), id_type).distinct())
+    reps = words_of(words, chained.select(F.col("r").alias("d")))
+    found, _ = scratch.pin(aligned(beside(chained, reps).select(*_PAIRS), id_type).distinct())
     out = found.unionByName(hidden(scratch, parts, words, wanted, found, shards, id_type))
     scratch.drop(wanted_path)
     scratch.drop_table(name, path)

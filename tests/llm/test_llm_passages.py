@@ -265,10 +265,11 @@ def test_a_chunk_does_not_hold_the_words_around_all_pairs(spark, monkeypatch):
     """The pairs of seeds of a text of 6,000 words, all of them wanted."""
     works = []
     monkeypatch.setattr(chaining, "with_chunks", lambda parts, told, work, schema: works.append(work))
-    chaining.pair_keys(None, None, 3)
-    chaining.pair_rows(None, None)
     rows = spark.createDataFrame([(1, 1, bytearray(prose(random.Random(5), 6000).encode()))], "d bigint, doc_id bigint, bytes binary")
-    c = chaining.Chunk(chaining.chunks(rows, "bigint").collect()[0].asDict())
+    parts = chaining.chunks(rows, "bigint")
+    chaining.pair_keys(parts, None, 3)
+    chaining.pair_rows(parts, None)
+    c = chaining.Chunk(parts.collect()[0].asDict())
     seeds = [{"keys": steps(c.codes)}]
     pairs = works[0](0, c, {0: seeds}).to_pylist()
     held, n = most_held(lambda: [works[1](0, c, {0: seeds, 3: pairs})])
