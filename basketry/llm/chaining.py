@@ -55,7 +55,7 @@ LISTED = 65_536  # pairs of occurrences listed, or matches sent, at once
 SLICE = 4096  # seeds of a chunk whose pairs are formed at once
 CHAINS_PER_TASK = 2000  # chains to one document that a task aligns
 KEY_BITS = 48
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 _rng = random.Random(6)
 _FACTORS = np.array([_rng.getrandbits(64) | 1 for _ in range(K)], np.uint64)
 
@@ -565,7 +565,8 @@ def _met(t: dict[str, np.ndarray]):
 
 
 def matches(placed: DataFrame) -> DataFrame:
-    """(d, r, pos, rpos) of the seeds of pairs that two documents share, the smaller one as ``r``; several times if in several pairs.
+    """(d, r, pos, rpos) of the pairs of seeds that two documents share, the smaller one as ``r``.  A place holds both seeds of
+    its pair: 256 times the first one's position and the words to the second.
 
     The occurrences of a pair of seeds are dealt in blocks of some ``BLOCK``; each two blocks meet in a group of their own.
     What meets is sent in pieces, so that a task holds its groups' occurrences but not all that meet.
@@ -583,9 +584,8 @@ def matches(placed: DataFrame) -> DataFrame:
         i, j = np.where(t["d"][i] > t["d"][j], i, j), np.where(t["d"][i] > t["d"][j], j, i)
         for lo in range(0, len(i), LISTED):
             a, b = i[lo : lo + LISTED], j[lo : lo + LISTED]
-            for more in (0, 1):
-                cells = [t["d"][a], t["d"][b], t["pos"][a] + more * t["far"][a], t["pos"][b] + more * t["far"][b]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cells], ["d", "r", "pos", "rpos"])
+            cells = [t["d"][a], t["d"][b], *(t["pos"][x].astype(np.int64) << 8 | t["far"][x] for x in (a, b))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], ["d", "r", "pos", "rpos"])
 
     def work(batches):
         for table in whole_groups(batches, ["pair", "x", "y"]):
@@ -613,7 +613,9 @@ def chained_matches(found: DataFrame) -> DataFrame:
 
     def work(batches):
         for table in whole_groups(batches, ["d", "r"]):
-            runs = match_runs(*(table.column(n).to_numpy() for n in ("d", "r", "pos", "rpos")))
+            d, r, pos, rpos = (table.column(n).to_numpy() for n in ("d", "r", "pos", "rpos"))
+            both = (np.concatenate([x >> 8, (x >> 8) + (x & 255)]) for x in (pos, rpos))
+            runs = match_runs(np.tile(d, 2), np.tile(r, 2), *both)
             out = [(0, d, r, *_span(chain)) for d, r, chain in _run_chains(runs) if _roomy(chain)]
             yield _cells(out, names, kinds)
 
